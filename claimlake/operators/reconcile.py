@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.functions.scalars import display_actual, display_expected, js_number, operational_message, scalar_match
+from claimlake.functions.stage import sealed
 from claimlake.sources.state import State, binding_types, key_text_claimed, state_facts
 
 # A registry whose table or column names come from params may touch at most this many bindings.
@@ -121,19 +122,21 @@ def judge_checks(joined: DataFrame) -> DataFrame:
             F.lit(" but actual "), js_number(measured))))
     )
     first = F.try_element_at(F.filter(F.transform("pairs", _field_failure), lambda x: x["code"].isNotNull()), F.lit(1))
-    judged = (
-        joined.withColumn("pairs", F.when((kind == "sql_row") & (matched == 1), F.transform("required", _stored)))
-        .withColumn("failure", first)
-        .withColumn("failure", F.when(F.col("failure").isNotNull(), F.struct(
+    paired = sealed(joined.withColumn("pairs", F.when((kind == "sql_row") & (matched == 1), F.transform("required", _stored))).drop("payload", "field_kinds", "required"))
+    failed = sealed(paired.withColumn("failure", first).drop("pairs"))
+    coded = sealed(
+        failed.withColumn("failure", F.when(F.col("failure").isNotNull(), F.struct(
             "failure.code", "failure.field", display_expected(F.col("failure.t"), F.col("failure.v")).alias("expected"),
             display_actual(F.col("failure.kind"), F.col("failure.stored")).alias("actual"))))
         .withColumn("status", status)
         .withColumn("code", code)
-        .withColumn("message", message)
+    )
+    return (
+        coded.withColumn("message", message)
         .withColumn("matched", F.when(F.col("problem_code").isNull() & F.col("key_kinds").isNotNull(), matched))
-        .withColumn("measured", F.when(kind.isin("aggregate", "join_count") & F.col("key_kinds").isNotNull(), measured))
+        .withColumn("measured", F.when(F.col("problem_code").isNull() & kind.isin("aggregate", "join_count") & F.col("key_kinds").isNotNull(), measured))
         .withColumn("field", F.when(F.col("code").isin("VALUE_MISMATCH", "UNREADABLE_VALUE"), failure["field"]))
         .withColumn("expected", F.when(F.col("code") == "VALUE_MISMATCH", failure["expected"]))
         .withColumn("actual", F.when(F.col("code") == "VALUE_MISMATCH", failure["actual"]))
+        .drop("failure", "key_kinds", "n", "total", "n_anchor_keys", "key_values")
     )
-    return judged.drop("failure", "pairs", "payload", "field_kinds", "key_kinds", "n", "total", "n_anchor_keys", "key_values")

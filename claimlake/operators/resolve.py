@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions import jsonval as J
+from claimlake.functions.stage import sealed
 
 IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
 
@@ -135,7 +136,8 @@ def resolve_checks(steps: DataFrame, registry: DataFrame) -> DataFrame:
     s, r = steps.alias("s"), registry.alias("r")
     joined = s.join(
         r, (F.col("s.tool_id") == F.col("r.tool_id")) & (~F.col("s.divergent") | (F.col("r.check_ord") == 0)), "left"
-    ).select("s.*", *[F.col(f"r.{c}") for c in registry.columns if c != "tool_id"]).withColumn("doc", F.try_parse_json("params"))
+    ).select("s.*", *[F.col(f"r.{c}") for c in registry.columns if c != "tool_id"])
+    joined = sealed(joined.withColumn("doc", F.try_parse_json("params")))
 
     doc, prefix = F.col("doc"), F.coalesce(F.col("prefix"), F.lit(""))
     read = (
@@ -147,12 +149,12 @@ def resolve_checks(steps: DataFrame, registry: DataFrame) -> DataFrame:
         .drop("doc", "specs", "template", "fields_path", "fields_alt")
     )
     typed = (
-        read.withColumn("typed", F.transform("read", _type))
+        sealed(read).withColumn("typed", F.transform("read", _type))
         .withColumn("entries", F.transform("entries", lambda e: F.struct(e["k"].alias("k"), J.json_type(e["j"]).alias("t"), J.scalar_text(e["j"]).alias("v"))))
         .drop("read")
     )
     named = (
-        typed.withColumn("table_name", F.try_element_at(_texts("table"), F.lit(1)))
+        sealed(typed).withColumn("table_name", F.try_element_at(_texts("table"), F.lit(1)))
         .withColumn("lookup_table", F.try_element_at(_texts("table"), F.lit(2)))
         .withColumn("name_list", _texts("name"))
         .withColumn("identity_eq", _equalities("identity"))
@@ -163,7 +165,7 @@ def resolve_checks(steps: DataFrame, registry: DataFrame) -> DataFrame:
             "entries", lambda e: F.struct(locale_key(e["k"]).alias("o"), e["k"].alias("k"), e["t"].alias("t"), e["v"].alias("v"))))))
     )
     taken = F.when(F.col("check_kind") == "sql_row_absent", F.transform("identity_eq", lambda p: p["column"])).otherwise(F.array().cast("array<string>"))
-    judged = named.withColumn("taken", taken).withColumn(
+    judged = sealed(named).withColumn("taken", taken).withColumn(
         "failing", F.filter(F.transform("typed", lambda x: _judge(x, prefix, F.col("taken"))), lambda p: p["code"].isNotNull())
     )
     kind = F.col("check_kind")
@@ -192,13 +194,13 @@ def resolve_checks(steps: DataFrame, registry: DataFrame) -> DataFrame:
     ))
     none = F.array().cast("array<struct<ord:int,code:string,message:string>>")
     spec_problems = F.when(F.size("failing") > 0, F.transform("failing", lambda p: _explain(p, prefix))).otherwise(none)
-    out = judged.withColumn("problem", F.array_min(F.concat(whole, F.coalesce(spec_problems, none))))
-    return _with_binding(out).select(
+    out = sealed(judged).withColumn("problem", F.array_min(F.concat(whole, F.coalesce(spec_problems, none))))
+    return sealed(_with_binding(sealed(out.drop("typed", "failing", "entries", "taken"))).select(
         *steps.columns, "tool_kind", "check_ord", "check_id", "check_kind", "n_checks", "narrative",
         F.col("problem.code").alias("problem_code"), F.col("problem.message").alias("problem_message"),
         "table_name", "lookup_table", "name_list", "identity_eq", "filter_eq", "filter2_eq", "required",
         "fn", "expect_op", "expect_value", "binding", "key_values",
-    )
+    ))
 
 
 def _columns(pairs: Column) -> Column:

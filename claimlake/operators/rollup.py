@@ -135,3 +135,28 @@ def workflow_status(steps: DataFrame, run_codes: DataFrame | None = None) -> Dat
         .when(F.col("n_verified") == F.col("n_steps"), "complete")
         .otherwise("incomplete"),
     )
+
+
+# What a reader is told per workflow status.
+TRUST_LINES = {
+    "complete": "TRUSTED: Every step matched the database under the configured verification rules.",
+    "incomplete": "NOT TRUSTED: Verification is incomplete; the workflow cannot be fully confirmed.",
+    "inconsistent": "NOT TRUSTED: At least one step failed verification against the database (determinate failure).",
+}
+TRUST_LINE_UNCERTAIN = (
+    "NOT TRUSTED: At least one step could not be confirmed within the verification window "
+    "(row not observed; replication or processing delay is possible)."
+)
+TRUST_LINE_IRREGULAR = "Event capture or timestamps were irregular; verification used seq-sorted order. See event_sequence below."
+
+
+def trust_line(irregular: Column | None = None) -> Column:
+    """The trust line of a workflow_status row."""
+    only_uncertain = (
+        (F.col("status") == "incomplete") & ~F.col("malformed") & (F.col("n_uncertain") > 0)
+        & (F.col("n_uncertain") + F.col("n_verified") == F.col("n_steps"))
+    )
+    line = F.when(only_uncertain, TRUST_LINE_UNCERTAIN)
+    for status, text in TRUST_LINES.items():
+        line = line.when(F.col("status") == status, text)
+    return line if irregular is None else F.when(irregular, F.concat_ws(" ", line, F.lit(TRUST_LINE_IRREGULAR))).otherwise(line)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions.jsonval import canonical
-from claimlake.operators.skew import previous_row, running_max_before
+from claimlake.operators.skew import block_positions, previous_row, running_max_before
 from claimlake.sources.events import LINES_PER_BLOCK
 
 
@@ -55,16 +55,23 @@ def capture_irregular(observations: DataFrame) -> DataFrame:
 SEQS_PER_BLOCK = 1 << 18
 
 
+def seq_block() -> Column:
+    return F.floor(F.col("seq") / SEQS_PER_BLOCK)
+
+
+def seq_positions(observations: DataFrame) -> DataFrame:
+    """0-based place of each observation in (seq, capture) order of its workflow."""
+    return block_positions(observations, ["workflow_id"], seq_block(), ["seq", "source_file", "line_no"], "place")
+
+
 def timestamp_regressions(observations: DataFrame) -> DataFrame:
     """First adjacent pair, in (seq, capture) order, whose timestamps decrease.
 
-    Unparsable timestamps make the pair pass. A seq observed very often is split by its log block.
+    Unparsable timestamps make the pair pass. Blocks are ranges of seq, so one large workflow
+    spreads over many tasks.
     """
     stamped = observations.withColumn("ms", F.unix_millis(F.try_to_timestamp("ts")))
-    block = F.struct(
-        F.floor(F.col("seq") / SEQS_PER_BLOCK).alias("s"),
-    )
-    paired = previous_row(stamped, ["workflow_id"], block, ["seq", "source_file", "line_no"], ["seq", "ms"], "prev")
+    paired = previous_row(stamped, ["workflow_id"], seq_block(), ["seq", "source_file", "line_no"], ["seq", "ms"], "prev")
     drops = paired.filter(F.col("prev.ms") > F.col("ms"))
     return drops.groupBy("workflow_id").agg(
         F.min(F.struct(F.col("seq").alias("seq_after"), "source_file", "line_no", F.col("prev.seq").alias("seq_before"))).alias("f")

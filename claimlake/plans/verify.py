@@ -17,13 +17,13 @@ from claimlake.sources.registry import Registry
 from claimlake.sources.state import State
 
 
-def registry_bindings(registry: Registry) -> list[str]:
+def registry_bindings(registry: Registry, kinds: list[str] | None = None) -> list[str]:
     """Bindings of a registry whose names are all constants."""
     names = set()
     for r in registry.check_rows():
-        if r["static_code"]:
-            continue
         kind = r["check_kind"]
+        if r["static_code"] or (kinds and kind not in kinds):
+            continue
         of = lambda role: [s for s in r["specs"] if s["role"] == role]
         const = lambda role: [s["const"] for s in of(role)]
         filters = sorted(f"{s['side']}.{s['const']}" if kind == "join_count" else s["const"] for s in of("filter"))
@@ -38,11 +38,32 @@ def registry_bindings(registry: Registry) -> list[str]:
     return sorted(names)
 
 
-def verify_claims(spark: SparkSession, steps: DataFrame, registry: Registry, state: State) -> DataFrame:
-    """Check verdicts of planned steps."""
-    checks = resolve_checks(steps, registry.checks(spark))
-    bindings = discover_bindings(checks) if registry.needs_discovery() else registry_bindings(registry)
-    return judge_checks(attach_facts(spark, checks, state, bindings))
+def verify_claims(
+    spark: SparkSession, resolved: DataFrame, registry: Registry, state: State, kinds: list[str] | None = None
+) -> DataFrame:
+    """Verdicts of resolved checks, optionally of some check kinds only."""
+    if kinds:
+        resolved = resolved.filter(F.col("check_kind").isin(kinds))
+    bindings = discover_bindings(resolved) if registry.needs_discovery() else registry_bindings(registry, kinds)
+    return judge_checks(attach_facts(spark, resolved, state, bindings))
+
+
+# Fixed value: the message a workflow without claims gets.
+NO_STEPS = (
+    'No tool_observed events for workflowId "%s" after filtering. event_file_non_empty_lines=%d '
+    "schema_valid_events=%d tool_observed_for_workflow=0 tool_observed_other_workflows=%d."
+)
+
+
+def no_steps_reasons(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """Run-level reason of asked-for workflows (workflow_id, source_file) that have no claims."""
+    claimed = events.filter("type = 'tool_observed'").select("workflow_id").distinct()
+    zero = F.lit(0).cast("bigint")
+    return asked.join(claimed, "workflow_id", "left_anti").join(file_counts(events), "source_file", "left").select(
+        "workflow_id", "source_file", F.lit("NO_STEPS_FOR_WORKFLOW").alias("code"),
+        F.format_string(NO_STEPS, F.col("workflow_id"), F.coalesce("non_empty_lines", zero), F.coalesce("valid_events", zero),
+                        F.coalesce("tool_observed", zero)).alias("message"),
+    )
 
 
 @dataclass
@@ -53,6 +74,7 @@ class Verification:
     lines: DataFrame
     registry: Registry
     state: State
+    kinds: list[str] | None = None  # verify only these check kinds
 
     @cached_property
     def events(self) -> DataFrame:
@@ -66,9 +88,13 @@ class Verification:
     def planned(self) -> DataFrame:
         return logical_steps(self.observations)
 
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return resolve_checks(self.planned, self.registry.checks(self.spark))
+
     @cached_property
     def checks(self) -> DataFrame:
-        return verify_claims(self.spark, self.planned, self.registry, self.state)
+        return verify_claims(self.spark, self.resolved, self.registry, self.state, self.kinds)
 
     @cached_property
     def steps(self) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.functions.jsonval import json_unquote
+from claimlake.functions.stage import sealed
 from claimlake.operators.skew import block_positions
 
 # Per event type, the required fields, the optional fields and the closed value lists.
@@ -55,79 +53,64 @@ FIELDS = [
 ]
 
 
-def _raw(name: str) -> Column:
-    """JSON text of a top-level field; null when the field is missing."""
-    return F.col(f"j_{name}")
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
-def _field_ok(name: str) -> Column:
+def _field_ok(name: str) -> str:
     """The field is missing, or its value has the declared type and range."""
-    raw, head = _raw(name), F.substring(_raw(name), 1, 1)
+    kind, text = f"schema_of_variant(e.{name})", f"cast(e.{name} as string)"
     if name in ("seq", "hitCount"):
-        value = raw.try_cast("double")
-        ok = (value >= 0) & (value == F.floor(value))
+        value = f"cast(e.{name} as double)"
+        ok = f"({kind} rlike '^(BIGINT|DECIMAL|DOUBLE)' and {value} >= 0 and {value} = floor({value}))"
     elif name == "params":
-        ok = head == "{"
+        ok = f"startswith({kind}, 'OBJECT')"
     elif name in ("controlKind", "decision"):
-        ok = raw.isin([f'"{v}"' for v in ENUMS["control"][name]])
+        ok = f"({kind} = 'STRING' and {text} in ({_quoted(ENUMS['control'][name])}))"
     elif name == "status":
         ok = (
-            F.when(_raw("type") == '"model_turn"', raw.isin([f'"{v}"' for v in ENUMS["model_turn"]["status"]]))
-            .when(_raw("type") == '"retrieval"', raw.isin([f'"{v}"' for v in ENUMS["retrieval"]["status"]]))
+            f"({kind} = 'STRING' and case cast(e.type as string) when 'model_turn' then {text} in ({_quoted(ENUMS['model_turn']['status'])})"
+            f" when 'retrieval' then {text} in ({_quoted(ENUMS['retrieval']['status'])}) end)"
         )
     else:
-        ok = (head == '"') & (F.length(raw) >= (3 if name in NON_EMPTY else 2))
-    return raw.isNull() | F.coalesce(ok, F.lit(False))
+        ok = f"({kind} = 'STRING' and length({text}) >= {1 if name in NON_EMPTY else 0})"
+    return f"(e.{name} is null or coalesce({ok}, false))"
 
 
 def event_valid() -> Column:
-    """The closed union over (schemaVersion, type), on columns keys and j_*."""
-    def lists(pick) -> Column:
-        entries = []
-        for (version, type_name), (required, optional) in EVENT_SHAPES.items():
-            names = ["schemaVersion", "workflowId", "type", *pick(required, optional)]
-            entries += [F.lit(f'{version}"{type_name}"'), F.array(*[F.lit(n) for n in names])]
-        return F.create_map(*entries)
-
-    version = F.when(_raw("schemaVersion").try_cast("double") == 1, "1").when(_raw("schemaVersion").try_cast("double") == 2, "2")
-    shape = F.concat(version, _raw("type"))
-    allowed = F.try_element_at(lists(lambda required, optional: [*required, *optional]), shape)
-    required = F.try_element_at(lists(lambda required, optional: required), shape)
-    fields = reduce(lambda a, b: a & b, [_field_ok(f) for f in FIELDS if f not in ("schemaVersion", "type")])
-    closed = (F.size(F.array_except("keys", allowed)) == 0) & (F.size(F.array_except(required, "keys")) == 0)
-    return F.coalesce(closed & fields, F.lit(False))
+    """The closed union over (schemaVersion, type), on columns keys and e (a struct of variants)."""
+    def lists(pick) -> str:
+        return "map(" + ", ".join(
+            f"'{version}:{type_name}', array({_quoted(['schemaVersion', 'workflowId', 'type', *pick(required, optional)])})"
+            for (version, type_name), (required, optional) in EVENT_SHAPES.items()
+        ) + ")"
+
+    version = "case when schema_of_variant(e.schemaVersion) rlike '^(BIGINT|DECIMAL|DOUBLE)' then cast(cast(e.schemaVersion as double) as string) end"
+    shape = f"concat(case {version} when '1.0' then '1' when '2.0' then '2' end, ':', case when schema_of_variant(e.type) = 'STRING' then cast(e.type as string) end)"
+    allowed = f"try_element_at({lists(lambda required, optional: [*required, *optional])}, {shape})"
+    required = f"try_element_at({lists(lambda required, optional: required)}, {shape})"
+    fields = " and ".join(_field_ok(f) for f in FIELDS if f not in ("schemaVersion", "type"))
+    return F.expr(f"coalesce(size(array_except(keys, {allowed})) = 0 and size(array_except({required}, keys)) = 0 and {fields}, false)")
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
     """One row per non-blank line with its typed fields and a `valid` flag; bad lines are kept."""
-    doc = lines.filter(F.trim("line") != "").withColumn("doc", F.try_parse_json("line"))
-    raws = doc.select(
-        "source_file", "line_no", F.json_object_keys("line").alias("keys"),
-        *[F.to_json(F.variant_get("doc", f"$.{f}", "variant")).alias(f"j_{f}") for f in FIELDS],
+    shape = ", ".join(f"{f} VARIANT" for f in FIELDS)
+    doc = lines.filter("trim(line) != ''").selectExpr(
+        "source_file", "line_no", f"from_json(line, '{shape}') as e", "json_object_keys(line) as keys",
     )
-    parsed = raws.withColumn("valid", event_valid())
-    text = lambda name: json_unquote(_raw(name))
-    number = lambda name: _raw(name).try_cast("double").cast("bigint")
-    fields = {
-        "schema_version": number("schemaVersion"),
-        "workflow_id": text("workflowId"),
-        "run_event_id": text("runEventId"),
-        "parent_run_event_id": text("parentRunEventId"),
-        "type": text("type"),
-        "seq": number("seq"),
-        "tool_id": text("toolId"),
-        "params": _raw("params"),
-        "status": text("status"),
-        "source": text("source"),
-        "hit_count": number("hitCount"),
-        "control_kind": text("controlKind"),
-        "decision": text("decision"),
-        "label": text("label"),
-        "reason": text("reason"),
-        "ts": text("timestamp"),
+    parsed = sealed(doc.select("source_file", "line_no", "e", event_valid().alias("valid")))
+    text = {
+        "workflow_id": "workflowId", "run_event_id": "runEventId", "parent_run_event_id": "parentRunEventId", "type": "type",
+        "tool_id": "toolId", "status": "status", "source": "source", "control_kind": "controlKind", "decision": "decision",
+        "label": "label", "reason": "reason", "ts": "timestamp",
     }
-    return parsed.select(
-        "source_file", "line_no", "valid", *[F.when(F.col("valid"), c).alias(n) for n, c in fields.items()]
+    number = {"schema_version": "schemaVersion", "seq": "seq", "hit_count": "hitCount"}
+    return parsed.selectExpr(
+        "source_file", "line_no", "valid",
+        *[f"case when valid then cast(e.{f} as string) end as {n}" for n, f in text.items()],
+        *[f"case when valid then cast(e.{f} as bigint) end as {n}" for n, f in number.items()],
+        "case when valid then to_json(e.params) end as params",
     )
 
 
