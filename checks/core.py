@@ -15,6 +15,11 @@ def run(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> Ver
     return Verification(spark, W.log_lines(table(spark, sf_dir, "orders")), W.registry(), W.state(spark, sf_dir), kinds)
 
 
+def claimed(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> Verification:
+    """The same claims without the log text around them."""
+    return Verification(spark, None, W.registry(), W.state(spark, sf_dir), kinds, W.observations(table(spark, sf_dir, "orders")))
+
+
 # --- logs ---------------------------------------------------------------------------------
 
 @query("load_events", with_(EVENTS, """
@@ -69,14 +74,14 @@ def ingest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("logical_steps", with_(STEPS, "SELECT workflow_id, seq, tool_id, 't' || k AS claim, repeat_count FROM planned"))
 def logical_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir).planned.select(
+    return claimed(spark, sf_dir).planned.select(
         "workflow_id", "seq", "tool_id", F.concat(F.lit("t"), F.floor(F.col("line_no") / 8)).alias("claim"), "repeat_count"
     )
 
 
 @query("retry_divergence", with_(STEPS, "SELECT workflow_id, seq, repeat_count, divergent FROM planned WHERE repeat_count > 1"))
 def retry_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir).planned.filter("repeat_count > 1").select("workflow_id", "seq", "repeat_count", "divergent")
+    return claimed(spark, sf_dir).planned.filter("repeat_count > 1").select("workflow_id", "seq", "repeat_count", "divergent")
 
 
 @query("stable_seq_sort", with_(OBS, """
@@ -84,7 +89,7 @@ SELECT workflow_id, seq, line_no, row_number() OVER (PARTITION BY workflow_id OR
 def stable_seq_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.operators.steps import seq_positions
 
-    return seq_positions(run(spark, sf_dir).observations).select("workflow_id", "seq", "line_no", "place")
+    return seq_positions(claimed(spark, sf_dir).observations).select("workflow_id", "seq", "line_no", "place")
 
 
 @query("capture_order", with_(OBS, """,
@@ -93,7 +98,7 @@ SELECT workflow_id, COALESCE(BOOL_OR(seq < mx), false) AS capture_irregular, COU
 def capture_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.operators.steps import capture_irregular
 
-    return capture_irregular(run(spark, sf_dir).observations)
+    return capture_irregular(claimed(spark, sf_dir).observations)
 
 
 _TS = """,
@@ -106,7 +111,7 @@ firstdrop AS (SELECT workflow_id, MIN_BY(pseq, (seq, line_no)) AS seq_before, MI
 def timestamp_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.operators.steps import timestamp_regressions
 
-    return timestamp_regressions(run(spark, sf_dir).observations)
+    return timestamp_regressions(claimed(spark, sf_dir).observations)
 
 
 # --- registry and resolution ----------------------------------------------------------------
@@ -117,13 +122,13 @@ SELECT workflow_id, seq, tool_id, tool_id <> 'ghost.tool' AS known,
     WHEN 'orders.link' THEN 'sql_relational' ELSE '' END AS tool_kind FROM planned"""))
 def registry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = W.registry().checks(spark).filter("check_ord = 0").select("tool_id", "tool_kind")
-    return run(spark, sf_dir).planned.join(F.broadcast(tools), "tool_id", "left").select(
+    return claimed(spark, sf_dir).planned.join(F.broadcast(tools), "tool_id", "left").select(
         "workflow_id", "seq", "tool_id", F.col("tool_kind").isNotNull().alias("known"), F.coalesce("tool_kind", F.lit("")).alias("tool_kind")
     )
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir).resolved
+    return claimed(spark, sf_dir).resolved
 
 
 _WANT = """,
@@ -211,7 +216,7 @@ SELECT workflow_id, line_no, '{"attempt":' || attempt || ',"custId":' || c || ',
 def canonical_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.functions.jsonval import canonical
 
-    claims = run(spark, sf_dir).observations
+    claims = claimed(spark, sf_dir).observations
     k = F.floor(F.col("line_no") / 8)
     attempt = F.when((F.col("line_no") % 8 == 6) & (k % 2 == 1), 2).otherwise(1)
     unordered = F.format_string(
@@ -223,7 +228,7 @@ def canonical_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- checks -------------------------------------------------------------------------------
 
 def _checks(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    return run(spark, sf_dir, list(kinds)).checks
+    return claimed(spark, sf_dir, list(kinds)).checks
 
 
 _ROW = "SELECT workflow_id, seq, check_id, status, COALESCE(code, '') AS code, COALESCE(field, '') AS field FROM checks WHERE check_kind='sql_row'"
@@ -318,7 +323,7 @@ def two_row_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("multi_rollup", with_(ROLLED, "SELECT workflow_id, seq, tool_id, status, COALESCE(code, '') AS code, effects FROM steps WHERE multi"))
 def multi_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.array_join(F.transform("effects", lambda e: F.concat_ws(":", e["id"], e["status"], F.coalesce(e["code"], F.lit("")))), ";")
-    return run(spark, sf_dir).steps.filter("effects is not null").select(
+    return claimed(spark, sf_dir).steps.filter("effects is not null").select(
         "workflow_id", "seq", "tool_id", "status", F.coalesce("code", F.lit("")).alias("code"), text.alias("effects")
     )
 

@@ -30,14 +30,32 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
-def json_at(variant: Column, path: Column, alt: Column) -> Column:
-    """JSON text at a path that may differ per row; null when nothing is there, 'null' for JSON null."""
+def variant_at(variant: Column, path: Column, alt: Column) -> Column:
+    """The value at a path that may differ per row; null when nothing is there."""
     def at(p: Column) -> Column:
-        return F.to_json(F.call_function("variant_get", variant, p, F.lit("variant")))
+        return F.call_function("variant_get", variant, p, F.lit("variant"))
 
     return F.coalesce(at(path), F.when(alt.isNotNull(), at(alt)))
 
 
+def json_at(variant: Column, path: Column, alt: Column) -> Column:
+    """JSON text at a path; 'null' for JSON null."""
+    return F.to_json(variant_at(variant, path, alt))
+
+
+def variant_kind(schema: Column) -> Column:
+    """missing / null / boolean / number / string / object / array from schema_of_variant text."""
+    return (
+        F.when(schema.isNull(), "missing")
+        .when(schema == "STRING", "string")
+        .when(schema == "VOID", "null")
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema.startswith("OBJECT"), "object")
+        .when(schema.startswith("ARRAY"), "array")
+        .otherwise("number")
+    )
+
+
 def json_type(text: Column) -> Column:
     """missing / null / boolean / number / string / object / array, read off the JSON text."""
     head = F.substring(text, 1, 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions import jsonval as J
+from claimlake.functions.scalars import js_number_text
 from claimlake.functions.stage import sealed
 
 IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
@@ -18,24 +19,36 @@ def _problem(when: Column, ord_: Column | int, code: str, message: Column) -> Co
 
 
 def _read(doc: Column, s: Column) -> Column:
-    """Stage 1: the JSON text each spec points at."""
+    """Stage 1: the value each spec points at."""
     keep = [s[n].alias(n) for n in ("role", "ord", "side", "label", "const", "pointer", "v_const", "v_pointer")]
     return F.struct(
         *keep,
-        F.when(s["path"].isNotNull(), J.json_at(doc, s["path"], s["alt"])).alias("raw"),
-        F.when(s["v_path"].isNotNull(), J.json_at(doc, s["v_path"], s["v_alt"])).alias("v_raw"),
+        F.when(s["path"].isNotNull(), J.variant_at(doc, s["path"], s["alt"])).alias("raw"),
+        F.when(s["v_path"].isNotNull(), J.variant_at(doc, s["v_path"], s["v_alt"])).alias("v_raw"),
     )
 
 
+def _schema(s: Column) -> Column:
+    """Stage 2: variant schemas beside the values."""
+    keep = [s[n].alias(n) for n in ("role", "ord", "side", "label", "const", "pointer", "v_const", "v_pointer", "raw", "v_raw")]
+    return F.struct(*keep, F.schema_of_variant(s["raw"]).alias("sch"), F.schema_of_variant(s["v_raw"]).alias("v_sch"))
+
+
+def _text(raw: Column, schema: Column) -> Column:
+    """What String(x) gives for a scalar; objects and arrays have no text here."""
+    text = raw.cast("string")
+    return F.when(schema.isin("STRING", "BOOLEAN", "BIGINT"), text).when(schema.rlike("^(DECIMAL|DOUBLE)"), js_number_text(text))
+
+
 def _type(s: Column) -> Column:
-    """Stage 2: type and text of the name, type and text of the compared value."""
+    """Stage 3: type and text of the name, type and text of the compared value."""
     return F.struct(
         s["role"].alias("role"), s["ord"].alias("ord"), s["side"].alias("side"), s["label"].alias("label"),
         s["pointer"].alias("pointer"), s["v_pointer"].alias("v_pointer"),
-        F.when(s["pointer"].isNull(), "const").otherwise(J.json_type(s["raw"])).alias("kind"),
-        F.when(s["pointer"].isNull(), s["const"]).when(s["role"] != "fields", J.scalar_text(s["raw"])).alias("text"),
-        F.when(s["v_pointer"].isNull(), "const").otherwise(J.json_type(s["v_raw"])).alias("v_kind"),
-        F.when(s["v_pointer"].isNull(), s["v_const"]).otherwise(J.scalar_text(s["v_raw"])).alias("v_text"),
+        F.when(s["pointer"].isNull(), "const").otherwise(J.variant_kind(s["sch"])).alias("kind"),
+        F.when(s["pointer"].isNull(), s["const"]).otherwise(_text(s["raw"], s["sch"])).alias("text"),
+        F.when(s["v_pointer"].isNull(), "const").otherwise(J.variant_kind(s["v_sch"])).alias("v_kind"),
+        F.when(s["v_pointer"].isNull(), s["v_const"]).otherwise(_text(s["v_raw"], s["v_sch"])).alias("v_text"),
     )
 
 
@@ -133,24 +146,23 @@ def resolve_checks(steps: DataFrame, registry: DataFrame) -> DataFrame:
 
     The work is staged over narrow projections, so every JSON path is read once per claim.
     """
-    s, r = steps.alias("s"), registry.alias("r")
+    s, r = sealed(steps.withColumn("doc", F.try_parse_json("params"))).alias("s"), registry.alias("r")
     joined = s.join(
         r, (F.col("s.tool_id") == F.col("r.tool_id")) & (~F.col("s.divergent") | (F.col("r.check_ord") == 0)), "left"
     ).select("s.*", *[F.col(f"r.{c}") for c in registry.columns if c != "tool_id"])
-    joined = sealed(joined.withColumn("doc", F.try_parse_json("params")))
 
     doc, prefix = F.col("doc"), F.coalesce(F.col("prefix"), F.lit(""))
     read = (
-        joined.withColumn("read", F.transform("specs", lambda x: _read(doc, x)))
+        joined.withColumn("read", F.transform(F.transform("specs", lambda x: _read(doc, x)), _schema))
         .withColumn("narrative", F.when(F.col("check_kind").isNull(), F.concat(F.lit("Unknown tool: "), F.col("tool_id"))).otherwise(render_effect(doc, F.col("template"))))
         .withColumn("entries", F.when(F.col("fields_path").isNotNull(), F.transform(
             F.map_entries(F.call_function("try_variant_get", doc, F.col("fields_path"), F.lit("map<string,variant>"))),
-            lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("j")))))
+            lambda e: F.struct(e["key"].alias("k"), e["value"].alias("raw"), F.schema_of_variant(e["value"]).alias("sch")))))
         .drop("doc", "specs", "template", "fields_path", "fields_alt")
     )
     typed = (
         sealed(read).withColumn("typed", F.transform("read", _type))
-        .withColumn("entries", F.transform("entries", lambda e: F.struct(e["k"].alias("k"), J.json_type(e["j"]).alias("t"), J.scalar_text(e["j"]).alias("v"))))
+        .withColumn("entries", F.transform("entries", lambda e: F.struct(e["k"].alias("k"), J.variant_kind(e["sch"]).alias("t"), F.when(e["sch"] == "VOID", "null").otherwise(_text(e["raw"], e["sch"])).alias("v"))))
         .drop("read")
     )
     named = (

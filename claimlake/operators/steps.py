@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.functions.jsonval import canonical
 from claimlake.operators.skew import block_positions, previous_row, running_max_before
 from claimlake.sources.events import LINES_PER_BLOCK
 
@@ -20,15 +19,16 @@ def logical_steps(observations: DataFrame) -> DataFrame:
 
     Divergent means some observation differs from the last in tool or canonical params, which is
     the same as the group holding two different values: smallest and largest are not equal. All
-    aggregates combine map-side, so a hot (workflow, seq) costs one row per map task.
+    aggregates combine map-side, so a hot (workflow, seq) costs one row per map task. Params must be
+    canonical JSON text, as parse_events gives it.
     """
-    seen = observations.withColumn("__content", F.struct("tool_id", F.coalesce(canonical(F.col("params")), F.col("params")).alias("c")))
+    content = F.struct("tool_id", "params")
     return (
-        seen.groupBy("workflow_id", "seq")
+        observations.groupBy("workflow_id", "seq")
         .agg(
             F.max(F.struct("source_file", "line_no", "tool_id", "params", "ts")).alias("last"),
             F.count(F.lit(1)).alias("repeat_count"),
-            (F.min("__content") != F.max("__content")).alias("divergent"),
+            (F.min(content) != F.max(content)).alias("divergent"),
         )
         .select(
             "workflow_id", "seq",

@@ -71,10 +71,11 @@ class Verification:
     """Every table of one verification run, each built when first asked for."""
 
     spark: SparkSession
-    lines: DataFrame
+    lines: DataFrame | None  # log lines, or
     registry: Registry
     state: State
     kinds: list[str] | None = None  # verify only these check kinds
+    claimed: DataFrame | None = None  # observations already parsed
 
     @cached_property
     def events(self) -> DataFrame:
@@ -82,7 +83,7 @@ class Verification:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return self.events.filter("valid and type = 'tool_observed'")
+        return self.claimed if self.claimed is not None else self.events.filter("valid and type = 'tool_observed'")
 
     @cached_property
     def planned(self) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlake.functions.stage import sealed
 from claimlake.sources.registry import Registry
 from claimlake.sources.state import State
 
@@ -85,30 +86,37 @@ def fault(k: Column, shift: int = 0) -> Column:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a small input file is a single split. Inputs with many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def claims(orders: DataFrame, shift: int = 0) -> DataFrame:
     """One claim per order: workflow, seq, tool, params text, timestamp."""
+    orders = sealed(spread(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")).withColumn("fault", fault(F.col("o_orderkey"), shift)))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    f = fault(k, shift)
+    f = F.col("fault")
     tool = F.when(f == "unknown", "ghost.tool").otherwise(
         F.element_at(F.array(*[F.lit(t) for t in ("orders.upsert", "orders.upsert", "orders.audit", "orders.purge", "orders.link")]), (F.pmod(k, F.lit(5)) + 1).cast("int"))
     )
     record = F.when(f == "absent", (k + 100000000).cast("string")).when(f != "nokey", k.cast("string"))
     status = F.when(f == "mismatch", F.lit("X")).otherwise(F.col("o_orderstatus"))
     params = F.to_json(F.struct(
-        record.alias("recordId"),
+        F.struct(F.when(F.pmod(k, F.lit(7)) == 0, F.lit("nobody")).otherwise(F.concat(F.lit("Customer#"), F.lpad(c.cast("string"), 9, "0"))).alias("c_name")).alias("custFields"),
+        c.alias("custId"),
         F.struct(
-            F.when(f != "shape", status).alias("o_orderstatus"),
             F.when(f == "shape", status).alias("o_ghost"),
-            F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"),
+            F.when(f != "shape", status).alias("o_orderstatus"),
+            F.col("o_totalprice").alias("o_totalprice"),
         ).alias("fields"),
-        c.alias("custId"),
-        F.struct(F.when(F.pmod(k, F.lit(7)) == 0, F.lit("nobody")).otherwise(F.format_string("Customer#%09d", c)).alias("c_name")).alias("custFields"),
         F.when(F.pmod(k, F.lit(3)) == 0, F.pmod(k, F.lit(7)) + 1).otherwise(F.lit(8)).alias("lineNo"),
         F.pmod(k, F.lit(4)).alias("minLines"),
+        record.alias("recordId"),
     ))
     moved = (F.pmod(k, F.lit(37)) == 0) & (k >= 200)
     clock = F.timestamp_seconds(F.lit(1704067200) + k - F.when(F.pmod(k, F.lit(41)) == 0, F.lit(86400)).otherwise(F.lit(0)))
-    return orders.select(
+    return sealed(orders.select(
         F.concat(F.lit("wf_"), c).alias("workflow_id"),
         F.concat(F.lit("log_"), F.floor(c / 4)).alias("source_file"),
         (k * 8).alias("line_no"),
@@ -118,6 +126,16 @@ def claims(orders: DataFrame, shift: int = 0) -> DataFrame:
         F.when(F.pmod(k, F.lit(5)) != 0, F.date_format(clock, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"),
         f.alias("fault"),
         k.alias("k"),
+    ))
+
+
+def observations(orders: DataFrame, shift: int = 0) -> DataFrame:
+    """The claims as parsed observations: each once, retried ones twice."""
+    twice = F.when(F.col("fault") == "retry", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    changed = (F.col("attempt") == 1) & (F.pmod("k", F.lit(2)) == 1)
+    return claims(orders, shift).withColumn("attempt", F.explode(twice)).select(
+        "workflow_id", "source_file", (F.col("line_no") + 5 + F.col("attempt")).alias("line_no"), "seq", "tool_id",
+        F.when(changed, F.concat(F.lit('{"attempt":2,'), F.substr("params", F.lit(2)))).otherwise(F.col("params")).alias("params"), "ts",
     )
 
 
@@ -137,10 +155,10 @@ def log_lines(orders: DataFrame, shift: int = 0) -> DataFrame:
 
     def observed(offset: int, hit: Column, params: Column, tag: str) -> Column:
         shell = F.to_json(F.struct(*head, rid(tag), F.lit("tool_observed").alias("type"), F.col("seq"), F.col("tool_id").alias("toolId"), F.col("ts").alias("timestamp")))
-        return F.when(hit, F.struct((F.col("line_no") + offset).alias("line_no"), F.concat(F.regexp_replace(shell, r"\}$", ","), params_of(params)).alias("line")))
+        return F.when(hit, F.struct((F.col("line_no") + offset).alias("line_no"), F.concat(F.rtrim(shell, F.lit("}")), F.lit(","), params_of(params)).alias("line")))
 
     pick = lambda names, m: F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(F.floor(k / m), F.lit(len(names))) + 1).cast("int"))
-    again = F.when(F.pmod(k, F.lit(2)) == 0, F.col("params")).otherwise(F.regexp_replace("params", r'"minLines":', '"attempt":2,"minLines":'))
+    again = F.when(F.pmod(k, F.lit(2)) == 0, F.col("params")).otherwise(F.concat(F.lit('{"attempt":2,'), F.substr("params", F.lit(2))))
     lines = F.array(
         event(0, at(7, 1), rid("r"), F.lit("retrieval").alias("type"), F.lit("kb").alias("source"), pick(["ok", "ok", "empty", "error"], 7).alias("status"),
               F.when(at(14, 1), F.pmod(F.floor(k / 14), F.lit(3))).alias("hitCount")),
