@@ -67,8 +67,9 @@ def _field_failure(f: Column) -> Column:
     return F.struct(code.alias("code"), f["k"].alias("field"), f["t"].alias("t"), f["v"].alias("v"), f["kind"].alias("kind"), f["actual"].alias("stored"))
 
 
-def judge_checks(joined: DataFrame) -> DataFrame:
+def judge_checks(joined: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """status, code, message, field, expected, actual and matched count per check."""
+    rows = not kinds or "sql_row" in kinds
     kind = F.col("check_kind")
     matched = F.coalesce(F.col("n"), F.lit(0))
     measured = F.when(F.col("fn") == "SUM", F.coalesce(F.col("total"), F.lit(0.0))).otherwise(matched.cast("double"))
@@ -122,8 +123,12 @@ def judge_checks(joined: DataFrame) -> DataFrame:
             F.lit(" but actual "), js_number(measured))))
     )
     first = F.try_element_at(F.filter(F.transform("pairs", _field_failure), lambda x: x["code"].isNotNull()), F.lit(1))
-    paired = sealed(joined.withColumn("pairs", F.when((kind == "sql_row") & (matched == 1), F.transform("required", _stored))).drop("payload", "field_kinds", "required"))
-    failed = sealed(paired.withColumn("failure", first).drop("pairs"))
+    if rows:
+        paired = sealed(joined.withColumn("pairs", F.when((kind == "sql_row") & (matched == 1), F.transform("required", _stored))).drop("payload", "field_kinds", "required"))
+        failed = sealed(paired.withColumn("failure", first).drop("pairs"))
+    else:
+        failed = joined.drop("payload", "field_kinds", "required").withColumn(
+            "failure", F.expr("cast(null as struct<code:string,field:string,t:string,v:string,kind:string,stored:string>)"))
     coded = sealed(
         failed.withColumn("failure", F.when(F.col("failure").isNotNull(), F.struct(
             "failure.code", "failure.field", display_expected(F.col("failure.t"), F.col("failure.v")).alias("expected"),

@@ -242,3 +242,88 @@ def _with_binding(df: DataFrame) -> DataFrame:
     return df.withColumn("keyed", keyed).withColumn(
         "binding", F.when(F.col("problem").isNull(), binding)
     ).withColumn("key_values", F.when(F.col("problem").isNull(), F.transform("keyed", lambda p: p["value"])))
+
+
+# --- registries whose names are all constants -------------------------------------------------
+
+_READ_VALUES = """
+transform(transform(fixed_values, s -> named_struct(
+    'role', s.role, 'ord', s.ord, 'column', s.column, 'label', s.label, 'const', s.const, 'pointer', s.pointer,
+    'raw', case when s.path is not null then coalesce(variant_get(doc, s.path, 'variant'),
+             case when s.alt is not null then variant_get(doc, s.alt, 'variant') end) end)),
+  s -> named_struct('role', s.role, 'ord', s.ord, 'column', s.column, 'label', s.label, 'const', s.const, 'pointer', s.pointer,
+    'raw', s.raw, 'sch', schema_of_variant(s.raw)))
+"""
+_READ_FIELDS = """
+case when fields_path is not null then transform(map_entries(try_variant_get(doc, fields_path, 'map<string,variant>')),
+  e -> named_struct('k', e.key, 'raw', e.value, 'sch', schema_of_variant(e.value))) end
+"""
+_EFFECT = """
+case when check_kind is null then concat('Unknown tool: ', tool_id) else array_join(transform(template,
+  t -> coalesce(t.const, to_json(variant_get(doc, t.path, 'variant')), to_json(variant_get(doc, t.alt, 'variant')), 'MISSING')), '') end
+"""
+_FAILING = """
+transform(filter(typed, s -> s.pointer is not null and s.kind in ('missing', 'null', 'object', 'array')), s -> named_struct(
+  'ord', s.ord, 'code', if(s.kind in ('missing', 'null'), 'KEY_VALUE_POINTER_MISSING', 'KEY_VALUE_NOT_SCALAR'),
+  'message', concat(s.label, if(s.kind in ('missing', 'null'), '. key.value missing at ', '. key.value must be scalar at '), s.pointer)))
+"""
+_WHOLE = """
+array_compact(array(
+  case when divergent then named_struct('ord', -3, 'code', 'RETRY_OBSERVATIONS_DIVERGE', 'message',
+    'Multiple observations for this seq do not all match the last observation (toolId and canonical params).') end,
+  case when check_kind is null then named_struct('ord', -2, 'code', 'UNKNOWN_TOOL', 'message', concat('Unknown toolId: ', tool_id)) end,
+  case when static_code is not null then named_struct('ord', static_ord, 'code', static_code, 'message', static_message) end,
+  case when check_kind = 'sql_row' and fields_kind in ('missing', 'null') then named_struct('ord', 600, 'code', 'REQUIRED_FIELDS_POINTER_MISSING',
+    'message', concat(prefix, 'requiredFields missing at ', fields_pointer)) end,
+  case when check_kind = 'sql_row' and fields_kind not in ('missing', 'null', 'object') then named_struct('ord', 600, 'code', 'REQUIRED_FIELDS_NOT_OBJECT',
+    'message', concat(prefix, 'requiredFields must be object at ', fields_pointer)) end,
+  try_element_at(transform(filter(required, e -> not (e.k rlike '^[a-zA-Z_][a-zA-Z0-9_]*$') or e.t in ('object', 'array')), e -> named_struct(
+    'ord', 700, 'code', if(not (e.k rlike '^[a-zA-Z_][a-zA-Z0-9_]*$'), 'INVALID_IDENTIFIER', 'REQUIRED_FIELDS_VALUE_NOT_SCALAR'),
+    'message', if(not (e.k rlike '^[a-zA-Z_][a-zA-Z0-9_]*$'), concat(prefix, 'requiredFields key: ', e.k),
+      concat(prefix, 'requiredFields.', e.k, ' must be string, number, boolean, or null')))), 1),
+  case when expect_pointer is not null and expect_value is null then named_struct('ord', 800, 'code', 'RELATIONAL_EXPECT_VALUE_INVALID', 'message',
+    concat(prefix, if(expect_kind in ('missing', 'null'), 'expect.value: missing number at ', 'expect.value: expected finite number at '), expect_pointer)) end))
+"""
+
+
+def resolve_fixed(steps: DataFrame, registry: DataFrame) -> DataFrame:
+    """Same result as resolve_checks when every table and column name is a constant.
+
+    Names, their validity and the fact binding come ready from the registry; a claim only supplies values.
+    """
+    s, r = sealed(steps.withColumn("doc", F.try_parse_json("params"))).alias("s"), registry.alias("r")
+    joined = s.join(
+        r, (F.col("s.tool_id") == F.col("r.tool_id")) & (~F.col("s.divergent") | (F.col("r.check_ord") == 0)), "left"
+    ).select("s.*", *[F.col(f"r.{c}") for c in registry.columns if c != "tool_id"])
+    read = sealed(joined.selectExpr(
+        *[c for c in joined.columns if c not in ("doc", "fixed_values", "template", "fields_path", "expect_path")],
+        f"{_READ_VALUES} as vals", f"{_READ_FIELDS} as entries", f"{_EFFECT} as narrative",
+        "schema_of_variant(variant_get(doc, fields_path, 'variant')) as fields_sch",
+        "schema_of_variant(variant_get(doc, expect_path, 'variant')) as expect_sch",
+        "coalesce(expect_const, try_variant_get(doc, expect_path, 'double')) as expect_raw",
+    ))
+    typed = sealed(read.select(
+        *[c for c in read.columns if c not in ("vals", "entries", "fields_sch", "expect_sch", "expect_raw")],
+        F.transform("vals", lambda v: F.struct(
+            v["role"].alias("role"), v["ord"].alias("ord"), v["column"].alias("column"), v["label"].alias("label"), v["pointer"].alias("pointer"),
+            J.variant_kind(v["sch"]).alias("kind"), F.coalesce(v["const"], _text(v["raw"], v["sch"])).alias("text"))).alias("typed"),
+        F.array_sort(F.transform("entries", lambda e: F.struct(
+            locale_key(e["k"]).alias("o"), e["k"].alias("k"), J.variant_kind(e["sch"]).alias("t"),
+            F.when(e["sch"] == "VOID", "null").otherwise(_text(e["raw"], e["sch"])).alias("v")))).alias("required"),
+        J.variant_kind(F.col("fields_sch")).alias("fields_kind"), J.variant_kind(F.col("expect_sch")).alias("expect_kind"),
+        F.when(F.col("expect_const").isNotNull() | (J.variant_kind(F.col("expect_sch")) == "number"), F.col("expect_raw")).alias("expect_value"),
+    ))
+    pairs = lambda role: f"transform(filter(typed, s -> s.role = '{role}'), s -> named_struct('column', s.column, 'value', s.text))"
+    none = "cast(array() as array<struct<ord:int,code:string,message:string>>)"
+    judged = sealed(typed.selectExpr(
+        *steps.columns, "tool_kind", "check_ord", "check_id", "check_kind", "n_checks", "narrative",
+        f"array_min(concat({_WHOLE}, coalesce({_FAILING}, {none}))) as problem",
+        "table_name", "lookup_table", "name_list", f"{pairs('identity')} as identity_eq", f"{pairs('filter')} as filter_eq", f"{pairs('filter2')} as filter2_eq",
+        "required", "fn", "expect_op", "expect_value", "binding", "transform(typed, s -> s.text) as key_values",
+    ))
+    return judged.selectExpr(
+        *steps.columns, "tool_kind", "check_ord", "check_id", "check_kind", "n_checks", "narrative",
+        "problem.code as problem_code", "problem.message as problem_message", "table_name", "lookup_table", "name_list",
+        "identity_eq", "filter_eq", "filter2_eq", "required", "fn", "expect_op", "expect_value",
+        "case when problem is null then binding end as binding", "case when problem is null then key_values end as key_values",
+    )

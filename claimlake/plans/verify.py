@@ -9,33 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.operators.reconcile import attach_facts, discover_bindings, judge_checks
-from claimlake.operators.resolve import resolve_checks
+from claimlake.operators.resolve import resolve_checks, resolve_fixed
 from claimlake.operators.rollup import rollup_steps, workflow_status
 from claimlake.operators.steps import logical_steps, sequence_integrity
 from claimlake.sources.events import file_counts, parse_events
-from claimlake.sources.registry import Registry
+from claimlake.sources.registry import Registry, check_binding
 from claimlake.sources.state import State
 
 
 def registry_bindings(registry: Registry, kinds: list[str] | None = None) -> list[str]:
     """Bindings of a registry whose names are all constants."""
-    names = set()
-    for r in registry.check_rows():
-        kind = r["check_kind"]
-        if r["static_code"] or (kinds and kind not in kinds):
-            continue
-        of = lambda role: [s for s in r["specs"] if s["role"] == role]
-        const = lambda role: [s["const"] for s in of(role)]
-        filters = sorted(f"{s['side']}.{s['const']}" if kind == "join_count" else s["const"] for s in of("filter"))
-        if kind == "join_count":
-            parts = ["join", *const("table"), *const("name"), ",".join(filters)]
-        elif kind == "anti_join":
-            parts = ["orphan", *const("table"), *const("name"), ",".join(filters), ",".join(sorted(const("filter2")))]
-        else:
-            head = "row" if kind == "sql_row" else f"sum:{const('name')[0]}" if r["fn"] == "SUM" and const("name") else "count"
-            parts = [head, *const("table"), ",".join(sorted(const("identity") + filters))]
-        names.add("|".join(parts))
-    return sorted(names)
+    rows = [r for r in registry.check_rows() if not kinds or r["check_kind"] in kinds]
+    return sorted({b for b in map(check_binding, rows) if b})
 
 
 def verify_claims(
@@ -45,7 +30,7 @@ def verify_claims(
     if kinds:
         resolved = resolved.filter(F.col("check_kind").isin(kinds))
     bindings = discover_bindings(resolved) if registry.needs_discovery() else registry_bindings(registry, kinds)
-    return judge_checks(attach_facts(spark, resolved, state, bindings))
+    return judge_checks(attach_facts(spark, resolved, state, bindings), kinds)
 
 
 # Fixed value: the message a workflow without claims gets.
@@ -91,7 +76,10 @@ class Verification:
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return resolve_checks(self.planned, self.registry.checks(self.spark))
+        if self.registry.needs_discovery():
+            return resolve_checks(self.planned, self.registry.checks(self.spark))
+        fixed = self.registry.fixed_checks(self.spark)
+        return resolve_fixed(self.planned, fixed.filter(F.col("check_kind").isin(self.kinds)) if self.kinds else fixed)
 
     @cached_property
     def checks(self) -> DataFrame:

@@ -172,3 +172,32 @@ def log_lines(orders: DataFrame, shift: int = 0) -> DataFrame:
         event(7, at(3, 0) & ~at(1009, 5), rid("z"), parent, F.lit("control").alias("type"), F.lit("run_completed").alias("controlKind")),
     )
     return base.select("source_file", F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("e")).select("source_file", "e.line_no", "e.line")
+
+
+# --- product events ------------------------------------------------------------------------
+
+AS_OF = "2024-01-31 00:00:00"
+
+
+def funnel_events(events: DataFrame) -> DataFrame:
+    """Product funnel rows from the events table: id, event, user, install, metadata JSON, created_at."""
+    n = F.get_json_object("props", "$.k").cast("bigint")
+    eid, user = F.col("event_id"), F.col("user_id")
+    pick = lambda names, m: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(n, F.lit(m)) + 1).cast("int"))
+    name = (
+        F.when(F.col("event_type") == "view", "acquisition_landed").when(F.col("event_type") == "click", "integrate_landed")
+        .when(F.col("event_type") == "signup", "verify_started").when(F.col("event_type") == "purchase", "verify_outcome")
+        .otherwise("reserve_allowed")
+    )
+    metadata = F.to_json(F.struct(
+        F.when(F.pmod(eid, F.lit(22)) == 0, F.lit(" ")).when(F.pmod(eid, F.lit(11)) != 0, F.concat(F.lit("u"), user)).alias("funnel_anon_id"),
+        F.when(F.pmod(n, F.lit(3)) == 0, "bundled_examples").when(F.pmod(n, F.lit(3)) == 1, "non_bundled").alias("workload_class"),
+        F.when(F.pmod(n, F.lit(10)) == 0, "local_dev").when(F.pmod(n, F.lit(10)) > 1, "cli").alias("telemetry_source"),
+        pick(["complete", "inconsistent", "incomplete", "weird"], 4).alias("terminal_status"),
+        pick(["integrator_scoped", "catalog_shipped"], 2).alias("workflow_lineage"),
+    ))
+    return events.select(
+        eid.alias("id"), name.alias("event"), user.alias("user_id"),
+        F.when(F.pmod(eid, F.lit(13)) != 0, F.concat(F.lit("i"), F.pmod(user, F.lit(50)))).alias("install_id"),
+        metadata.alias("metadata"), F.col("ts").alias("created_at"), F.col("value"),
+    )

@@ -38,6 +38,15 @@ CHECK_SCHEMA = _struct(
     static_code=_STR, static_message=_STR, specs=T.ArrayType(SPEC), fields_path=_STR, fields_alt=_STR,
     fn=_STR, expect_op=_STR, template=T.ArrayType(PART),
 )
+# A check whose table and column names are all constants: only compared values depend on the claim.
+VALUE = _struct(role=_STR, ord=T.IntegerType(), column=_STR, label=_STR, const=_STR, path=_STR, alt=_STR, pointer=_STR)
+FIXED_SCHEMA = _struct(
+    tool_id=_STR, tool_kind=_STR, check_ord=T.IntegerType(), check_id=_STR, check_kind=_STR, n_checks=T.IntegerType(), prefix=_STR,
+    static_ord=T.IntegerType(), static_code=_STR, static_message=_STR, table_name=_STR, lookup_table=_STR, name_list=T.ArrayType(_STR),
+    fixed_values=T.ArrayType(VALUE), binding=_STR, fields_path=_STR, fields_pointer=_STR, fn=_STR, expect_op=_STR,
+    expect_const=T.DoubleType(), expect_path=_STR, expect_pointer=_STR, template=T.ArrayType(PART),
+)
+IDENTIFIER = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 # Order in which problems of a check are reported, by role.
 ROLE_ORDER = {"table": 0, "name": 100, "identity": 200, "filter": 300, "filter2": 400, "fields": 600, "expect": 800}
 
@@ -165,6 +174,12 @@ class Registry:
         df = spark.createDataFrame(rows, CHECK_SCHEMA)
         return F.broadcast(df) if len(rows) <= BROADCAST_ENTRIES else df
 
+    def fixed_checks(self, spark: SparkSession) -> DataFrame:
+        """The checks of a registry without pointer-driven names, with everything fixed worked out once."""
+        rows = [_fixed(r) for r in self.check_rows()]
+        df = spark.createDataFrame(rows, FIXED_SCHEMA)
+        return F.broadcast(df) if len(rows) <= BROADCAST_ENTRIES else df
+
     def needs_discovery(self) -> bool:
         """True when a table or column name comes from the claims themselves."""
         named = ("table", "name", "identity", "filter", "filter2")
@@ -182,3 +197,82 @@ def _common(entry, kind, items, ord_, check_id, check_kind, prefix) -> dict:
         "prefix": prefix,
         "template": _template(entry.get("effectDescriptionTemplate", "")),
     }
+
+
+def _column(spec: dict, kind: str) -> str:
+    return f"{spec['side']}.{spec['const']}" if kind == "join_count" and spec["side"] else spec["const"]
+
+
+def _of(row: dict, role: str) -> list[dict]:
+    return [s for s in row["specs"] if s["role"] == role]
+
+
+def check_binding(row: dict) -> str | None:
+    """Name of the keyed fact a check with constant names reads."""
+    if row["static_code"]:
+        return None
+    kind = row["check_kind"]
+    const = lambda role: [s["const"] for s in _of(row, role)]
+    filters = sorted(_column(s, kind) for s in _of(row, "filter"))
+    if kind == "join_count":
+        parts = ["join", *const("table"), *const("name"), ",".join(filters)]
+    elif kind == "anti_join":
+        parts = ["orphan", *const("table"), *const("name"), ",".join(filters), ",".join(sorted(const("filter2")))]
+    else:
+        head = "row" if kind == "sql_row" else f"sum:{const('name')[0]}" if row["fn"] == "SUM" and const("name") else "count"
+        parts = [head, *const("table"), ",".join(sorted(const("identity") + filters))]
+    return "|".join(parts)
+
+
+def _fixed_problem(row: dict) -> tuple[int, str, str] | None:
+    """First problem that holds for every claim, with its place in emit order."""
+    kind, prefix, found = row["check_kind"], row["prefix"], []
+    taken = [s["const"] for s in _of(row, "identity")] if kind == "sql_row_absent" else []
+    for s in row["specs"]:
+        if s["const"] is None or s["role"] in ("fields", "expect"):
+            continue
+        pair = s["role"] in ("identity", "filter", "filter2")
+        label = prefix + s["label"] + (".column" if pair else "")
+        if s["const"] == "" and s["role"] != "table":
+            found.append((s["ord"], "CONST_STRING_EMPTY", f"{label}: const must be non-empty string"))
+        elif not IDENTIFIER.match(s["const"]):
+            found.append((s["ord"], "INVALID_IDENTIFIER", f"{label}: {s['const']}"))
+        elif s["role"] == "filter" and s["const"] in taken:
+            found.append((s["ord"], "FILTER_EQ_OVERLAPS_IDENTITY", f"{prefix}filterEq column {s['const']} duplicates identityEq"))
+    repeats = {"sql_row": [("identity", 299, "")], "related_exists": [("identity", 299, "")],
+               "sql_row_absent": [("identity", 299, ""), ("filter", 500, "filterEq: ")],
+               "anti_join": [("filter", 500, "filterEqAnchor: "), ("filter2", 501, "filterEqLookup: ")]}
+    for role, place, label in repeats.get(kind, []):
+        names = sorted(s["const"] for s in _of(row, role))
+        twice = next((a for a, b in zip(names, names[1:]) if a == b), None)
+        if twice:
+            found.append((place, "EQUALITY_DUPLICATE_COLUMN", f"{prefix}{label}duplicate equality column: {twice}"))
+    if kind == "aggregate" and row["fn"] == "SUM" and not _of(row, "name"):
+        found.append((99, "RELATIONAL_SUM_COLUMN_REQUIRED", f"{prefix}sumColumn required when fn is SUM"))
+    if row["static_code"]:
+        found.append((-1, row["static_code"], row["static_message"]))
+    return min(found) if found else None
+
+
+def _fixed(row: dict) -> dict:
+    kind = row["check_kind"]
+    problem = _fixed_problem(row) or (None, None, None)
+    tables, names = [s["const"] for s in _of(row, "table")], [s["const"] for s in _of(row, "name")]
+    if kind == "anti_join":
+        pairs = sorted(_of(row, "filter"), key=lambda s: s["const"]) + sorted(_of(row, "filter2"), key=lambda s: s["const"])
+    else:
+        pairs = sorted([*_of(row, "identity"), *_of(row, "filter")], key=lambda s: _column(s, kind))
+    values = [
+        {"role": s["role"], "ord": s["ord"], "column": _column(s, kind), "label": row["prefix"] + s["label"], "const": s["v_const"],
+         "path": s["v_path"], "alt": s["v_alt"], "pointer": s["v_pointer"]}
+        for s in pairs
+    ]
+    fields, expect = (_of(row, "fields") or [{}])[0], (_of(row, "expect") or [{}])[0]
+    return {
+        **{n: row[n] for n in ("tool_id", "tool_kind", "check_ord", "check_id", "check_kind", "n_checks", "prefix", "fn", "expect_op", "template")},
+        "static_ord": problem[0], "static_code": problem[1], "static_message": problem[2],
+        "table_name": tables[0] if tables else None, "lookup_table": tables[1] if len(tables) > 1 else None, "name_list": names,
+        "fixed_values": values, "binding": check_binding(row), "fields_path": fields.get("path"), "fields_pointer": fields.get("pointer"),
+        "expect_const": float(expect["const"]) if expect.get("const") is not None else None,
+        "expect_path": expect.get("path"), "expect_pointer": expect.get("pointer"),
+    }
