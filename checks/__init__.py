@@ -1,4 +1,4 @@
 """Queries over the test tables and the SQL that must give the same rows."""
 
-from checks import core, kpi  # noqa: F401
+from checks import core, diagnosis, kpi  # noqa: F401
 from checks.base import QUERIES, SQL  # noqa: F401
