@@ -201,3 +201,27 @@ def funnel_events(events: DataFrame) -> DataFrame:
         F.when(F.pmod(eid, F.lit(13)) != 0, F.concat(F.lit("i"), F.pmod(user, F.lit(50)))).alias("install_id"),
         metadata.alias("metadata"), F.col("ts").alias("created_at"), F.col("value"),
     )
+
+
+# --- saved runs ----------------------------------------------------------------------------
+
+def saved_steps(orders: DataFrame, runs: int = 3) -> DataFrame:
+    """Step results of several runs: twenty orders make a workflow, and faults move with the run."""
+    k, r = F.col("o_orderkey"), F.col("run_index")
+    h = k + r * 5
+    hit = lambda m: F.pmod(h, F.lit(m)) == 0
+    status = (
+        F.when(hit(17), "missing").when(hit(13), "inconsistent").when(hit(19), "incomplete_verification").when(hit(11), "partially_verified").otherwise("verified")
+    )
+    code = F.when(hit(17), "ROW_ABSENT").when(hit(13), "VALUE_MISMATCH").when(hit(19), "UNKNOWN_TOOL").when(hit(11), "MULTI_EFFECT_PARTIAL")
+    rows = spread(orders.select("o_orderkey", "o_orderdate")).withColumn("run_index", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).filter(F.pmod(k + r, F.lit(23)) != 0)
+    second = F.when(F.pmod(h, F.lit(2)) == 0, F.struct(F.lit("b").alias("id"), F.lit("missing").alias("status"), F.lit("ROW_ABSENT").alias("code"))).otherwise(
+        F.struct(F.lit("b").alias("id"), F.lit("inconsistent").alias("status"), F.lit("VALUE_MISMATCH").alias("code")))
+    first = F.struct(F.lit("a").alias("id"), F.lit("verified").alias("status"), F.lit(None).cast("string").alias("code"))
+    key = F.when(F.pmod(k, F.lit(10)) == 3, k - 1).otherwise(k)
+    out = sealed(rows.select(
+        F.concat(F.lit("wf_"), F.floor(k / 20)).alias("workflow_id"), "run_index", k.alias("seq"),
+        F.when(status == "incomplete_verification", "ghost.tool").when(F.pmod(k, F.lit(2)) == 0, "orders.upsert").otherwise("orders.audit").alias("tool_id"),
+        status.alias("status"), code.alias("code"), F.when(status == "partially_verified", F.array(first, second)).alias("effects"),
+        F.when(status != "incomplete_verification", F.concat(F.lit("sql_row|orders|o_orderkey="), key)).alias("logical_step_key")))
+    return out
