@@ -54,23 +54,23 @@ def ingest_lines(lines: DataFrame) -> DataFrame:
 
 def flatten_params(actions: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, path, t, v) for every scalar inside params, down to six levels and 500 nodes per action."""
+    # Every pass opens one more level in place: a container stays as a closed node beside its children.
     child = """
-      case when startswith(sch, 'OBJECT') then transform(map_entries(try_variant_get(node, '$', 'map<string,variant>')), e -> named_struct(
-          'path', if(path = '', e.key, concat(path, '.', e.key)), 'step', e.key, 'node', e.value))
-        when startswith(sch, 'ARRAY') then filter(transform(try_variant_get(node, '$', 'array<variant>'), (el, i) -> named_struct(
-          'path', concat(path, '[', i, ']'), 'step', lpad(cast(i as string), 10, '0'), 'node', el)),
-          x -> schema_of_variant(x.node) like 'OBJECT%' or schema_of_variant(x.node) like 'ARRAY%') end"""
-    level = sealed(actions.select(*ids, F.lit("").alias("path"), F.array().cast("array<string>").alias("ord"), F.try_parse_json("params").alias("node")))
-    nodes = None
+      case when open and startswith(sch, 'OBJECT') then concat(array(named_struct('path', path, 'ord', ord, 'node', node, 'open', false)),
+          transform(map_entries(try_variant_get(node, '$', 'map<string,variant>')), e -> named_struct(
+            'path', if(path = '', e.key, concat(path, '.', e.key)), 'ord', concat(ord, array(e.key)), 'node', e.value, 'open', true)))
+        when open and startswith(sch, 'ARRAY') then concat(array(named_struct('path', path, 'ord', ord, 'node', node, 'open', false)),
+          filter(transform(try_variant_get(node, '$', 'array<variant>'), (el, i) -> named_struct(
+            'path', concat(path, '[', i, ']'), 'ord', concat(ord, array(lpad(cast(i as string), 10, '0'))), 'node', el, 'open', true)),
+          x -> startswith(schema_of_variant(x.node), 'OBJECT') or startswith(schema_of_variant(x.node), 'ARRAY')))
+        else array(named_struct('path', path, 'ord', ord, 'node', node, 'open', open)) end"""
+    nodes = sealed(actions.select(*ids, F.lit("").alias("path"), F.array().cast("array<string>").alias("ord"), F.try_parse_json("params").alias("node"), F.lit(True).alias("open")))
     for _ in range(MAX_DEPTH):
-        typed = level.withColumn("sch", F.schema_of_variant("node"))
-        level = sealed(typed.select(*ids, "ord", F.explode(F.expr(child)).alias("c")).select(
-            *ids, F.col("c.path").alias("path"), F.concat("ord", F.array("c.step")).alias("ord"), F.col("c.node").alias("node")))
-        nodes = level if nodes is None else nodes.unionByName(level)
+        nodes = nodes.withColumn("sch", F.schema_of_variant("node")).select(*ids, F.explode(F.expr(child)).alias("c")).select(*ids, "c.*")
     typed = sealed(nodes.withColumn("sch", F.schema_of_variant("node")))
-    # The root is the first node, so 499 more fit. An action's nodes are one params document, not data.
+    # The root is the first node. An action's nodes are one params document, not data.
     place = F.row_number().over(Window.partitionBy(*ids).orderBy("ord"))
-    kept = typed.withColumn("n", place).filter(F.col("n") < MAX_NODES).filter(~F.col("sch").startswith("OBJECT") & ~F.col("sch").startswith("ARRAY"))
+    kept = typed.withColumn("n", place).filter(F.col("n") <= MAX_NODES).filter(~F.col("sch").startswith("OBJECT") & ~F.col("sch").startswith("ARRAY"))
     text = F.col("node").cast("string")
     kind = F.when(F.col("sch") == "STRING", "string").when(F.col("sch") == "BOOLEAN", "boolean").when(F.col("sch") == "VOID", "null").otherwise("number")
     value = F.when(F.col("sch") == "VOID", "null").when(F.col("sch").isin("STRING", "BOOLEAN", "BIGINT"), text).otherwise(js_number_text(text))
