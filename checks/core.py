@@ -11,8 +11,8 @@ from claimlake.plans import workload as W
 from claimlake.plans.verify import Verification
 
 
-def run(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> Verification:
-    return Verification(spark, W.log_lines(table(spark, sf_dir, "orders")), W.registry(), W.state(spark, sf_dir), kinds)
+def run(spark: SparkSession, sf_dir: str, *keep: str) -> Verification:
+    return Verification(spark, W.log_lines(table(spark, sf_dir, "orders")), W.registry(), W.state(spark, sf_dir), keep=keep)
 
 
 def claimed(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> Verification:
@@ -51,7 +51,7 @@ FROM w JOIN f USING (source_file)"""))
 def event_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.sources.events import workflow_counts
 
-    return workflow_counts(run(spark, sf_dir).events)
+    return workflow_counts(run(spark, sf_dir, "events").events)
 
 
 @query("workflow_filter", with_(EVENTS, """
@@ -67,7 +67,7 @@ SELECT workflow_id, run_event_id, row_number() OVER (PARTITION BY workflow_id OR
 def ingest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.sources.events import with_ingest_index
 
-    return with_ingest_index(run(spark, sf_dir).events).select("workflow_id", "run_event_id", "ingest_index")
+    return with_ingest_index(run(spark, sf_dir, "events").events).select("workflow_id", "run_event_id", "ingest_index")
 
 
 # --- steps --------------------------------------------------------------------------------
@@ -330,7 +330,7 @@ def multi_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("workflow_status", with_(ROLLED, "SELECT workflow_id, status, malformed, n_steps, n_verified, n_incomplete FROM wfs"))
 def workflow_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir).workflows.select(
+    return run(spark, sf_dir, "events").workflows.select(
         "workflow_id", "status", "malformed", "n_steps", "n_verified", F.col("n_incomplete_verification").alias("n_incomplete")
     )
 
@@ -344,7 +344,7 @@ SELECT workflow_id, n_verified AS verified, n_missing AS missing, n_inconsistent
 def step_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.operators.rollup import trust_line
 
-    w = run(spark, sf_dir).workflows
+    w = run(spark, sf_dir, "events").workflows
     return w.select("workflow_id", *[F.col(f"n_{s}").alias(s) for s in (
         "verified", "missing", "inconsistent", "incomplete_verification", "partially_verified", "uncertain")], trust_line().alias("trust"))
 
@@ -370,6 +370,6 @@ SELECT workflow_id, seq, tool_id, s.status, COALESCE(code, '') AS code, repeat_c
 def verify_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.operators.skew import lookup_join
 
-    v = run(spark, sf_dir)
+    v = run(spark, sf_dir, "events", "steps")
     steps = v.steps.select("workflow_id", "seq", "tool_id", "status", F.coalesce("code", F.lit("")).alias("code"), "repeat_count")
     return lookup_join(steps, v.workflows.select("workflow_id", F.col("status").alias("workflow_status")), ["workflow_id"])

@@ -41,7 +41,7 @@ DIAG = full() + _CAP + _TS.rstrip() + _IDX + _DRIVER + _CAUSE
 
 
 def diagnosis(spark: SparkSession, sf_dir: str) -> D.Diagnosis:
-    return D.Diagnosis(spark, run(spark, sf_dir))
+    return D.Diagnosis(spark, run(spark, sf_dir, "events", "steps"))
 
 
 @query("run_context", with_(EVENTS, _IDX.replace("ARG_MAX_NULL", "arg_max_null") + """

@@ -61,10 +61,19 @@ class Verification:
     state: State
     kinds: list[str] | None = None  # verify only these check kinds
     claimed: DataFrame | None = None  # observations already parsed
+    keep: tuple[str, ...] = ()  # tables several branches read, kept in memory or on disk once computed
+
+    def _kept(self, name: str, df: DataFrame) -> DataFrame:
+        """Kept tables spill to disk, and a lost executor's part is computed again from its lineage."""
+        return df.persist() if name in self.keep else df
+
+    def release(self) -> None:
+        for name in self.keep:
+            getattr(self, name).unpersist()
 
     @cached_property
     def events(self) -> DataFrame:
-        return parse_events(self.lines)
+        return self._kept("events", parse_events(self.lines))
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -87,7 +96,7 @@ class Verification:
 
     @cached_property
     def steps(self) -> DataFrame:
-        return rollup_steps(self.checks)
+        return self._kept("steps", rollup_steps(self.checks))
 
     @cached_property
     def run_codes(self) -> DataFrame:
