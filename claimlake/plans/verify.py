@@ -112,3 +112,10 @@ class Verification:
     @cached_property
     def workflows(self) -> DataFrame:
         return workflow_status(self.steps, self.run_codes)
+
+
+def validate_registry(resolved: DataFrame) -> DataFrame:
+    """Resolution problems per step, found without reading state: the first problem in registry order."""
+    first = resolved.filter("problem_code is not null").groupBy("workflow_id", "seq").agg(
+        F.min_by(F.struct("problem_code", "problem_message", "tool_id"), F.coalesce("check_ord", F.lit(0))).alias("p"))
+    return first.select("workflow_id", "seq", "p.tool_id", F.col("p.problem_code").alias("code"), F.col("p.problem_message").alias("message"))
