@@ -251,3 +251,9 @@ def pin_and_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT workflow_id, seq, kind FROM d WHERE x""")
 def lock_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.lock_diff(_pinned(spark, sf_dir, 0), _pinned(spark, sf_dir, 1)).select("workflow_id", "seq", "kind")
+
+
+@query("consecutive_pairs", SAVED + """, d AS (SELECT DISTINCT workflow_id, run_index FROM s) SELECT workflow_id, prior_run, run_index AS current_run FROM (
+  SELECT workflow_id, run_index, LAG(run_index) OVER (PARTITION BY workflow_id ORDER BY run_index) AS prior_run FROM d) WHERE prior_run IS NOT NULL""")
+def consecutive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.consecutive_pairs(steps(spark, sf_dir))

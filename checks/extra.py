@@ -100,3 +100,31 @@ def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = rows.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("total"))
     return ranked(rows, ["workflow_id"], ["seq", "run_index"], 50).join(totals, "workflow_id").select(
         "workflow_id", "seq", "place", F.when(F.col("total") > 50, "ACTIONS_TRUNCATED").otherwise("").alias("code"))
+
+
+@query("user_phrase", SAVED + """SELECT COALESCE(code, 'MAPPING_LOW_CONFIDENCE') AS code, COUNT(*) AS n, CASE code WHEN 'ROW_ABSENT' THEN 'Success was implied, but no matching row was found in the database.'
+  WHEN 'VALUE_MISMATCH' THEN 'Wrong value in the database for a required field.' WHEN 'UNKNOWN_TOOL' THEN 'The tool is not defined in the registry (or could not be resolved).'
+  WHEN 'MULTI_EFFECT_PARTIAL' THEN 'Some intended effects matched; others did not.' ELSE 'Mapping: low confidence.' END AS phrase FROM s GROUP BY 1, 3""")
+def user_phrase_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimlake.functions.phrases import user_phrase
+
+    coded = steps(spark, sf_dir).groupBy(F.coalesce("code", F.lit("MAPPING_LOW_CONFIDENCE")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return coded.withColumn("phrase", user_phrase(F.col("code")))
+
+
+@query("verify_target", with_(STEPS, """SELECT workflow_id, seq, 'sql_row_absent table=lineitem identity=[l_orderkey=' || CASE b.fault WHEN 'absent' THEN b.k+100000000 ELSE b.k END || '] filter=[l_linenumber='
+  || CASE WHEN b.k%3=0 THEN b.k%7+1 ELSE 8 END || ']' AS target FROM planned p JOIN base b USING (k) WHERE p.tool_id='orders.purge' AND NOT p.divergent AND b.fault<>'nokey'"""))
+def verify_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimlake.functions.phrases import target_summary
+
+    rows = claimed(spark, sf_dir, ["sql_row_absent"]).resolved.filter("tool_id = 'orders.purge' and problem_code is null")
+    return rows.select("workflow_id", "seq", target_summary().alias("target"))
+
+
+@query("observed_state_summary", with_(ROLLED, """SELECT workflow_id, seq, CASE WHEN code IN ('RETRY_OBSERVATIONS_DIVERGE','UNKNOWN_TOOL','KEY_VALUE_POINTER_MISSING') THEN 'No SQL verification request (registry resolution or unknown tool).'
+  WHEN tool_id='orders.audit' THEN 'multi_effect effect_rows=2' WHEN tool_id='orders.link' THEN 'multi_effect effect_rows=5' ELSE 'SQL evidence present (no rowCount in summary).' END AS summary
+FROM steps WHERE tool_id <> 'orders.upsert'"""))
+def observed_state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimlake.functions.phrases import evidence_summary
+
+    return claimed(spark, sf_dir).steps.filter("tool_id <> 'orders.upsert'").select("workflow_id", "seq", evidence_summary().alias("summary"))

@@ -27,7 +27,8 @@ def attach_facts(spark: SparkSession, checks: DataFrame, state: State, bindings:
     The fact side is a union of aggregates and so is shuffled by itself for the join; AQE can then
     split a hot key's claims over several tasks and re-read its one fact row.
     """
-    types = F.broadcast(binding_types(spark, state, bindings))
+    types = binding_types(spark, state, bindings)
+    types = F.broadcast(types) if len(bindings) <= MAX_BINDINGS else types
     typed = checks.join(types, "binding", "left").withColumn(
         "key", F.zip_with("key_values", "key_kinds", key_text_claimed)
     )

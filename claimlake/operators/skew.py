@@ -103,8 +103,3 @@ def previous_row(
         .drop("__block", "__carried", "__f")
     )
 
-
-def first_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First n rows per key. Spark cuts each key to n rows before the shuffle, so a hot key stays small."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")

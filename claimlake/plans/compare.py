@@ -6,15 +6,24 @@ keyed by workflow, so any number of workflows and runs is compared in the same f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.operators.skew import block_positions, previous_row
 from claimlake.operators.topk import HIGHLIGHTS, TOP_PATTERNS, ranked
 
 UNSPECIFIED_CUSTOMER = "__unspecified__"
 MAX_LISTED_CODES = 40
 
 
+# Runs per block when a workflow's runs are walked in order.
+RUNS_PER_BLOCK = 4096
+
+
+def run_block() -> Column:
+    return F.floor(F.col("run_index") / RUNS_PER_BLOCK)
+
+
 def failing(status: str = "status") -> Column:
     return F.col(status) != "verified"
 
@@ -53,8 +62,8 @@ def last_pairs(steps: DataFrame) -> DataFrame:
 def consecutive_pairs(steps: DataFrame) -> DataFrame:
     """(workflow, prior run, current run) for every neighbouring pair of runs."""
     runs = steps.groupBy("workflow_id", "run_index").agg(F.lit(1).alias("one")).drop("one")
-    prior = F.lag("run_index").over(Window.partitionBy("workflow_id").orderBy("run_index"))
-    return runs.select("workflow_id", prior.alias("prior_run"), F.col("run_index").alias("current_run")).filter("prior_run is not null")
+    paired = previous_row(runs, ["workflow_id"], run_block(), ["run_index"], ["run_index"], "prior")
+    return paired.filter("prior is not null").select("workflow_id", F.col("prior.run_index").alias("prior_run"), F.col("run_index").alias("current_run"))
 
 
 def _side(keyed: DataFrame, pairs: DataFrame, run: str, name: str) -> DataFrame:
@@ -162,8 +171,8 @@ def top_exemplars(steps: DataFrame, top: DataFrame, n: int = 5) -> DataFrame:
 def category_streaks(runs: DataFrame) -> DataFrame:
     """Per workflow and category: runs hit and the longest streak of consecutive runs."""
     hit = runs.filter("category <> 'complete'").groupBy("workflow_id", "category", "run_index").agg(F.lit(1).alias("one"))
-    island = F.col("run_index") - F.row_number().over(Window.partitionBy("workflow_id", "category").orderBy("run_index"))
-    streaks = hit.withColumn("island", island).groupBy("workflow_id", "category", "island").agg(F.count(F.lit(1)).alias("n"))
+    placed = block_positions(hit, ["workflow_id", "category"], run_block(), ["run_index"], "place")
+    streaks = placed.withColumn("island", F.col("run_index") - F.col("place")).groupBy("workflow_id", "category", "island").agg(F.count(F.lit(1)).alias("n"))
     return streaks.groupBy("workflow_id", "category").agg(F.sum("n").alias("runs_hit"), F.max("n").alias("longest_streak"))
 
 

@@ -121,7 +121,7 @@ def fk_checks(flat: DataFrame, catalog: DataFrame, ids: list[str]) -> DataFrame:
     names = [tuple(r) for r in edges.collect()]  # declared keys: a few rows of metadata
     each = flat.select("path").distinct().select("path", F.explode(F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in names])).alias("e"))
     scored = sealed(each.select("path", "e.table_name", "e.column_name", S.column_score(F.col("path"), F.col("e.column_name")).alias("score"))).filter(F.col("score") >= S.T_COLUMN)
-    hits = flat.filter("t <> 'null'").join(F.broadcast(scored) if len(names) <= 1000 else scored, "path")
+    hits = flat.filter("t <> 'null'").join(scored, "path")
     best = hits.groupBy(*ids, "table_name", "column_name").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "v")).alias("b"))
     return best.select(*ids, F.concat(F.lit("fk:"), "table_name", F.lit("."), "column_name").alias("check_id"), "table_name", "column_name", F.col("b.path").alias("path"), F.col("b.v").alias("value"))
 
