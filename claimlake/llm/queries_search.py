@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm import decontaminate, ngram_join
+from claimlake.llm import decontaminate, ngram_join, repeats
 from claimlake.llm.common import query, table
 
 _DECON_SQL = r"""
@@ -53,3 +53,19 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
 def join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+@query("op8_suffix_dedup")
+def dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    info, cuts = repeats.repeated_spans(docs)
+    left = repeats.cut_texts(docs, cuts).select(
+        F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.octet_length("kept").cast("long").alias("n_kept"), (F.size("spans") / 2).cast("long").alias("runs"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    joined = info.join(left, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")) & ~F.col("copied"), "left")
+    return joined.select(
+        "doc_id", "n_bytes",
+        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce(F.col("n_bytes") - F.col("n_kept"), F.lit(0))).alias("n_removed"),
+        F.when(F.col("copied"), 1).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("copied"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+    )
