@@ -3,18 +3,21 @@
 Documents that may be similar are put into groups, the union of each group's tokens is kept, a query group's overlap
 with another group's union is bounded, and only qualifying groups are opened.
 
-Steps. (1) Equal word sequences become one class. (2) A class's tokens are its shingles in one global order, frequent
-ones last; sets A and B can reach the threshold only if the first |A| - ceil(t |A|) + 1 tokens of A meet those of B.
-(3) Classes that share such a token, directly or through others, form a candidate group. A group of more than
+Steps. (1) Equal word sequences are one class. (2) A class's tokens are its shingles in one global order, frequent ones
+last, and it shows the first p = |A| - ceil(t |A|) + l of them, l = 1 + |A| / SPARE. Two classes that reach the threshold t show at
+least min(l, l') tokens in common. So a class that shows fewer tokens in common with all others together links with none; dropping
+such classes, their tokens leave the count, and a few rounds of this leave little but real groups. Any number of rounds gives
+the same links. (3) Classes that still share a token, directly or through others, form a candidate group. A group of more than
 BLOCK_SHINGLES is cut into blocks by size band (partners' sizes differ by less than one band) and hash; the matrix of
-(token, block) gives the block pairs whose unions meet, and no other pair is opened. (4) Inside a block or a pair of
-blocks, sets are held as differences from the tokens that most members share. With slack = (den - num) |A| - (den + num)
-|difference of A|, A and B are linked exactly if slack A + slack B + 2 (den + num) |common differences| >= 0. So all
-members link to the one of most slack without looking at pairs, and only those that do not are compared, over the
-differences they share. (5) Links give components.
+(token, block) bounds the overlap of any two members of two blocks, and only block pairs that can reach the least l are opened.
+(4) Inside a block or a pair of blocks, sets are held as differences from the tokens that most members share. With slack =
+(den - num) |A| - (den + num) |difference of A|, A and B are linked exactly if slack A + slack B + 2 (den + num) |common
+differences| >= 0. So all members link to the one of most slack without looking at pairs, and only those that do not are
+compared, over the differences they share. (5) Links give components.
 
 The list of frequent shingles only orders tokens, so that common passages do not bring documents together; any order
-gives the same links. It is cut at HOT_LIMIT entries, the bound of what is broadcast.
+gives the same links. It is cut at HOT_LIMIT entries, the bound of what is broadcast. Classes and shingles are named by
+64-bit content hashes.
 
 Nulls and empty texts have no shingles and are their own component. A null doc_id counts as no id: its component is
 named by the other members. Repeated rows and equal texts share a component. An empty table gives an empty result.
@@ -27,7 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimlake.llm import kernel as K
@@ -37,6 +42,9 @@ from claimlake.llm.graph import components
 #: Shingles that one task holds at a time, at most twice as many.
 BLOCK_SHINGLES = 1 << 21
 HOT_LIMIT = 1 << 16
+#: One more token is shown, and asked for in common, for so many shingles.
+SPARE = 20
+ROUNDS = 3
 #: A shingle counts as frequent from so many documents of one task's run of shingles, and so many in all.
 _HOT_LOCAL, _HOT_TOTAL, _HOT_RUN = 4, 64, 1 << 22
 _TOP = np.uint64(1 << 63)
@@ -74,51 +82,87 @@ class Shingler:
                     yield digests[row], digests[row, :1] >> np.uint64(1) if b > a else keys[:0]
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Keys of frequent shingles, rarest first."""
-    def count(batches):
+def scan(docs: DataFrame, k: int) -> DataFrame:
+    """One pass: a row (doc_id, cls, n, key: the class as a number) for each document, and rows (key, often) of shingles that many of a task's documents have."""
+    doc_kind = docs.schema["doc_id"].dataType
+
+    def read(batches):
         shingler, run, held = Shingler(k), [], 0
 
-        def flush():
+        def rows(ids, cls, n, keys, often):
+            return pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(often, pa.int64())], ["doc_id", "cls", "n", "key", "often"])
+
+        def frequent():
             keys, n = np.unique(np.concatenate(run), return_counts=True)
-            often = n >= _HOT_LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(n[often])], ["key", "n"])
+            some = n >= _HOT_LOCAL
+            keys, none = keys[some].astype(np.int64), [None] * int(some.sum())
+            return rows(pa.array(none, kind), none, none, keys, n[some])
 
         for batch in batches:
-            for _, keys in shingler.sets(batch.column(0)):
+            kind, cls, cid, n = batch.column(0).type, [], [], []
+            for digest, keys in shingler.sets(batch.column(1)):
+                cls.append(digest.tobytes())
+                cid.append(digest[0])
+                n.append(len(keys))
                 run.append(keys)
                 held += len(keys)
                 if held >= _HOT_RUN:
-                    yield flush()
+                    yield frequent()
                     run, held = [], 0
+            yield rows(batch.column(0), cls, n, np.array(cid, np.uint64).view(np.int64), [None] * len(n))
         if run:
-            yield flush()
+            yield frequent()
 
-    counted = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(read, f"doc_id {doc_kind.simpleString()}, cls binary, n long, key long, often long")
+
+
+def frequent_shingles(scanned: DataFrame) -> np.ndarray:
+    """Keys of frequent shingles, rarest first."""
+    counted = scanned.filter("cls IS NULL").groupBy("key").agg(F.sum("often").alias("n"))
     top = counted.filter(F.col("n") >= _HOT_TOTAL).orderBy(F.desc("n"), "key").limit(HOT_LIMIT).collect()
     return np.array([r["key"] for r in reversed(top)], np.int64).astype(np.uint64)
 
 
-def signatures(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Shingler]:
-    """doc_id, cls (word sequence), n (set size), prefix (tokens that a partner must share one of)."""
-    shingler = Shingler(k, frequent_shingles(docs, k))
-    shared = docs.sparkSession.sparkContext.broadcast(shingler)
-
-    def sign(batches):
+def shown_tokens(docs: DataFrame, shared: Broadcast, num: int, den: int) -> DataFrame:
+    """token, cid, n: the tokens that a class shows."""
+    def read(batches):
         for batch in batches:
-            cls, n, prefix, counts = [], [], [], []
-            for digest, keys in shared.value.sets(batch.column(1)):
-                cls.append(digest.tobytes())
-                n.append(len(keys))
-                kept = keys[: len(keys) - -(-num * len(keys) // den) + 1] if len(keys) else keys
-                prefix.append(kept)
-                counts.append(len(kept))
-            flat = np.concatenate(prefix).astype(np.int64) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), K.as_lists(flat, np.array(counts, np.int64), pa.int64())], ["doc_id", "cls", "n", "prefix"])
+            for at in range(0, batch.num_rows, 1024):
+                cid, size, shown = [], [], []
+                for digest, keys in shared.value.sets(batch.column(0).slice(at, 1024)):
+                    if len(keys):
+                        shown.append(keys[: len(keys) - -(-num * len(keys) // den) + 1 + len(keys) // SPARE])
+                        cid.append(digest[0])
+                        size.append(len(keys))
+                if shown:
+                    n = [len(x) for x in shown]
+                    columns = (np.concatenate(shown), np.repeat(np.array(cid, np.uint64), n), np.repeat(np.array(size, np.uint64), n))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["token", "cid", "n"])
+
+    return docs.select("text").mapInArrow(read, "token long, cid long, n long")
+
+
+def asked(n: Column, num: int, den: int) -> Column:
+    """Tokens that a class of n shingles must show in common with a partner, whose size is num / den of n at least."""
+    least = F.ceil(n * num / den)
+    return 1 + F.floor(least / SPARE)
 
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return stash(rows.mapInArrow(sign, f"doc_id {kind}, cls binary, n long, prefix array<long>")), shared
+
+def shared_tokens(tokens: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
+    """token, cid, n, hub: tokens shown by two classes at least, of classes that show enough of them; hub is the token's least class."""
+    by_token = W.partitionBy("token")
+
+    def twice(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("hub", F.min("cid").over(by_token)).withColumn("top", F.max("cid").over(by_token))
+            .filter(F.col("hub") != F.col("top")).select("token", "cid", "n", "hub").distinct()
+        )
+
+    left = stash(twice(tokens))
+    for _ in range(rounds):
+        enough = left.groupBy("cid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= asked(F.col("n"), num, den)).select(F.col("cid").alias("e"))
+        left = stash(twice(left.join(enough, F.col("cid") == F.col("e"), "left_semi").select("token", "cid", "n")))
+    return left
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> list[int]:
@@ -180,38 +224,39 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[int]:
 def similar_documents(docs: DataFrame, *, k: int = 3, num: int = 90, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, cls, n, component_id: one row for each row of docs."""
     rows = docs.select("doc_id", "text")
-    signed, shared = signatures(rows, k, num, den)
-    classes = stash(
-        signed.filter(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        .withColumn("cid", F.monotonically_increasing_id())
-    )
-    tokens = classes.select("cid", F.explode("prefix").alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).filter(F.col("c") > 1).select("token", "hub")
-    candidates = components(tokens.join(hubs, "token").filter(F.col("cid") != F.col("hub")).select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct())
+    scanned = stash(scan(rows, k))
+    info = scanned.filter("cls IS NOT NULL").select("doc_id", "cls", F.col("key").alias("cid"), "n")
+    shared = docs.sparkSession.sparkContext.broadcast(Shingler(k, frequent_shingles(scanned)))
+    shown = shared_tokens(shown_tokens(rows, shared, num, den), num, den)
+    candidates = components(shown.filter(F.col("cid") != F.col("hub")).select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct())
 
     # groups: a whole candidate component, or its blocks where it is large
-    member = candidates.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "cls", "n", "first_doc"), "cid")
+    member = candidates.select(F.col("node").alias("cid"), "root").join(shown.select("cid", "n").distinct(), "cid")
     held = member.groupBy("root").agg(F.sum("n").alias("held"))
     band = F.when(F.col("held") <= block_shingles, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9))
     banded = member.join(held, "root").withColumn("band", band.cast("int"))
     cuts = banded.groupBy("root", "band").agg(F.ceil(F.sum("n") / block_shingles).alias("cuts"))
-    grouped = stash(banded.join(cuts, ["root", "band"]).withColumn("cut", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int")).withColumn("grp", F.xxhash64("root", "band", "cut")).select("cid", "cls", "first_doc", "n", "root", "band", "grp", "held"))
+    grouped = stash(banded.join(cuts, ["root", "band"]).withColumn("cut", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int")).withColumn("grp", F.xxhash64("root", "band", "cut")).select("cid", "n", "root", "band", "grp", "held"))
     large = grouped.filter(F.col("held") > block_shingles)
-    matrix = tokens.join(large.select("cid", "root", "band", "grp"), "cid").groupBy("root", "token").agg(F.collect_set(F.struct("band", "grp")).alias("g"))
-    pairs = (
+    matrix = shown.select("cid", "token").join(large.select("cid", "root", "band", "grp"), "cid").groupBy("root", "token").agg(F.collect_set(F.struct("band", "grp")).alias("g"))
+    least = large.groupBy("grp").agg(F.min(asked(F.col("n"), num, den)).alias("l"))
+    opened = stash(
         matrix.filter(F.size("g") > 1).select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b"))
         .filter((F.col("a.grp") < F.col("b.grp")) & (F.abs(F.col("a.band") - F.col("b.band")) <= 1))
-        .select(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).distinct()
+        .groupBy(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).agg(F.count("*").alias("overlap"))
+        .join(least.select(F.col("grp").alias("a"), F.col("l").alias("la")), "a").join(least.select(F.col("grp").alias("b"), F.col("l").alias("lb")), "b")
+        .filter(F.col("overlap") >= F.least("la", "lb")).select("a", "b")
     )
-    opened = stash(pairs)
-    task = F.xxhash64("a", "b").alias("task")
-    tasks = grouped.select("grp", F.col("grp").alias("task")).distinct().unionByName(opened.select(F.col("a").alias("grp"), task)).unionByName(opened.select(F.col("b").alias("grp"), task))
-    work = stash(grouped.join(tasks, "grp").select("task", "cid", "cls", "first_doc", "n"))
+    pair = F.xxhash64("a", "b").alias("task")
+    in_pairs = opened.select(F.col("a").alias("grp"), pair).unionByName(opened.select(F.col("b").alias("grp"), pair))
+    alone = grouped.select("grp").distinct().join(in_pairs, "grp", "left_anti").select("grp", F.col("grp").alias("task"))
+    work = stash(grouped.join(in_pairs.unionByName(alone), "grp").select("task", "cid", "n"))
     total = work.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-2 * total // block_shingles))
 
-    # the texts of the candidates, each once for each task that opens it
-    wanted = work.select(F.col("first_doc").alias("d"), "cid", "cls", "task")
+    # the texts of the candidates, one of each class, once for each task that opens it
+    classes = stash(info.filter("n > 0").groupBy("cls", "cid").agg(F.min("doc_id").alias("first_doc")))
+    wanted = work.join(classes.select("cid", "cls", "first_doc"), "cid").select(F.col("first_doc").alias("d"), "cid", "cls", "task")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select(F.pmod(F.xxhash64("task"), F.lit(buckets)).alias("bucket"), "task", "cid", "cls", "text")
 
     def link(table: pa.Table) -> pa.Table:
@@ -232,6 +277,6 @@ def similar_documents(docs: DataFrame, *, k: int = 3, num: int = 90, den: int =
 
     labels = components(texts.groupBy("bucket").applyInArrow(link, "u long, v long"))
     named = classes.select("cid", "cls", "first_doc").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_class = named.join(least, "root").select(F.col("cls").alias("c"), "component_id")
-    return signed.join(by_class, F.col("cls") == F.col("c"), "left").select("doc_id", "cls", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    by_class = named.join(smallest, "root").select(F.col("cls").alias("c"), "component_id")
+    return info.join(by_class, F.col("cls") == F.col("c"), "left").select("doc_id", "cls", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
