@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm import language, toxicity
+from claimlake.llm import language, pii, toxicity
 from claimlake.llm.common import query, table
 
 
@@ -24,3 +24,11 @@ def score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language.remainder("doc_id", 5) == 0
     model = toxicity.fit(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
     return toxicity.score_documents(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op10_personal_data")
+def find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
