@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm import chat, mixing, sharding
+from claimlake.llm import chat, mixing, quality, sharding
 from claimlake.llm.common import query, stash, table, text_or_empty
 
 _CHAT_SQL = r"""
@@ -66,3 +66,9 @@ def mix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stash(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
     mixed = mixing.mix_sources(rows, F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"))
+
+
+@query("op7_quality_rules")
+def judge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = stash(quality.measured(table(spark, sf_dir, "documents"), ["doc_id", "lang"]))
+    return quality.judge(features, table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
