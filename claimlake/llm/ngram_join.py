@@ -34,9 +34,10 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.llm import kernel as K
-from claimlake.llm.common import stash
+from claimlake.llm.common import WORD, fresh, quoted, stash
 from claimlake.llm.graph import components
 
 #: Shingles that one task holds at a time, at most twice as many.
@@ -61,6 +62,13 @@ class Shingler:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hot & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def digests(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Digests alone."""
+        for _, _, data, offsets in K.slices(texts):
+            lower = K.LOWER[data]
+            starts, ends, firsts = K.words(lower, offsets, K.NOT_SPACE)
+            yield from K.sequence_digest(K.span_hash(K.prefix_hash(lower), starts, ends), firsts)
+
     def sets(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(two-part digest of the word sequence, keys) of every text."""
         for first, last, data, offsets in K.slices(texts):
@@ -222,7 +230,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[int]:
 
 
 def similar_documents(docs: DataFrame, *, k: int = 3, num: int = 90, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, cls, n, component_id: one row for each row of docs."""
+    """docs (doc_id, text) -> doc_id, cls, n, component_id, grp (the component as a number, null for empty sets): a row for each row of docs."""
     rows = docs.select("doc_id", "text")
     scanned = stash(scan(rows, k))
     info = scanned.filter("cls IS NOT NULL").select("doc_id", "cls", F.col("key").alias("cid"), "n")
@@ -278,5 +286,26 @@ def similar_documents(docs: DataFrame, *, k: int = 3, num: int = 90, den: int =
     labels = components(texts.groupBy("bucket").applyInArrow(link, "u long, v long"))
     named = classes.select("cid", "cls", "first_doc").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_class = named.join(smallest, "root").select(F.col("cls").alias("c"), "component_id")
-    return info.join(by_class, F.col("cls") == F.col("c"), "left").select("doc_id", "cls", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_class = named.join(smallest, "root").select(F.col("cls").alias("c"), "component_id", F.col("root").alias("grp"))
+    return info.join(by_class, F.col("cls") == F.col("c"), "left").select("doc_id", "cls", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "grp")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the least id, a null id last. Texts without words all stay."""
+    has_word = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    found = similar_documents(docs, **options).filter("n > 0")
+    first = found.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("one"))
+    name, cls = fresh(docs, "row_name", "row_class")
+    named = lambda i, c: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("none")), F.hex(c))
+    kept = first.select(named(F.col("one.doc_id"), F.col("one.cls")).alias("kept_name"))
+    shingler = Shingler(options.get("k", 3))
+
+    def classify(batches):
+        for batch in batches:
+            digests = [d.tobytes() for d in shingler.digests(batch.column(batch.schema.get_field_index("text")))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, cls])
+
+    columns = [quoted(c) for c in docs.columns]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(cls, T.BinaryType())])
+    rows = docs.filter(has_word).mapInArrow(classify, schema).withColumn(name, named(F.col("doc_id"), F.col(cls)))
+    return rows.join(kept, F.col(name) == F.col("kept_name"), "left_semi").dropDuplicates([name]).select(*columns).unionByName(docs.filter(~has_word))
