@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimlake.functions.stage import sealed
@@ -81,8 +82,7 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 def cutoffs(holdout: DataFrame, stratum: str, *, alpha: float = ALPHA, delta: float = DELTA, grid: tuple[float, ...] = GRID) -> DataFrame:
     """holdout: good texts with ratios. stratum -> one cutoff column for each rule, null where none may be used."""
     counts = holdout.groupBy(stratum).agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(grid)])
-    tests = counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("strata")).select((F.lit(delta) / (F.col("strata") * len(RULES) * len(grid))).alias("level"))
-    tested = counts.crossJoin(F.broadcast(tests))  # one row
+    tested = counts.withColumn("level", F.lit(delta) / (F.count("*").over(W.partitionBy()) * len(RULES) * len(grid)))  # a row for each stratum
     lowest = lambda r: F.array_min(F.array(*[F.when(binomial_tail(F.col(f"{r}_{i}"), F.col("n"), alpha / len(RULES)) <= F.col("level"), F.lit(c)) for i, c in enumerate(grid)]))
     return tested.select(quoted(stratum), *[lowest(r).alias(f"{r}_cut") for r in RULES])
 
