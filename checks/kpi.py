@@ -195,12 +195,12 @@ def hourly_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RES = FUNNEL + """, r AS (SELECT user_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS run_id, MIN(created_at) AS reserved_at FROM fe WHERE event='reserve_allowed' GROUP BY 1, 2),
 o AS (SELECT f.id, f.user_id, CAST(CAST(f.created_at AS DATE) AS VARCHAR) AS run_id, f.created_at FROM fe f WHERE event='verify_outcome'),
-m AS (SELECT o.*, r.reserved_at, created_at <= reserved_at + INTERVAL 6 HOUR AS ok FROM o LEFT JOIN r USING (user_id, run_id)),
-d AS (SELECT *, row_number() OVER (PARTITION BY user_id, run_id, ok ORDER BY created_at, id) AS rn FROM m)
+m AS (SELECT o.*, CASE WHEN reserved_at IS NULL OR created_at < reserved_at THEN 'unknown' WHEN created_at > reserved_at + INTERVAL 6 HOUR THEN 'expired' ELSE 'held' END AS what FROM o LEFT JOIN r USING (user_id, run_id)),
+d AS (SELECT *, row_number() OVER (PARTITION BY user_id, run_id, what ORDER BY created_at, id) AS rn FROM m)
 """
 
 
-@query("reservation_outcome", _RES + "SELECT id, 'k' || user_id AS api_key, CASE WHEN reserved_at IS NULL THEN 'unknown' WHEN NOT ok THEN 'expired' WHEN rn=1 THEN 'accepted' ELSE 'repeat' END AS decision FROM d")
+@query("reservation_outcome", _RES + "SELECT id, 'k' || user_id AS api_key, CASE WHEN what<>'held' THEN what WHEN rn=1 THEN 'accepted' ELSE 'repeat' END AS decision FROM d")
 def reservation_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = funnel(spark, sf_dir).select("id", "event", F.concat(F.lit("k"), "user_id").alias("api_key"), F.to_date("created_at").cast("string").alias("run_id"), "created_at")
     return usage.reservation_outcomes(keyed.filter("event = 'verify_outcome'").drop("event"), keyed.filter("event = 'reserve_allowed'")).select("id", "api_key", "decision")

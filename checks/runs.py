@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from checks.base import query, table
 from checks.comparison import SAVED, steps
 from checks.diagnosis import ANALYSIS, diagnosis
-from checks.kpi import FUNNEL, funnel
-from checks.sqltext import with_
+from checks.core import claimed
+from checks.kpi import FUNNEL, _RES, funnel
+from checks.sqltext import ROLLED, with_
+from claimlake.plans.verify import Verification
 from claimlake.session import shared_dir
 from claimlake.sources import corpus as K
 from claimlake.streaming import streams as Z
@@ -70,31 +72,60 @@ def _timed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return claims, rows
 
 
+# Presence of a user's row: it comes with each verify_outcome and goes `hold` hours later, every third one for good.
 _EV = FUNNEL + """, c AS (SELECT id AS claim_id, 'u' || user_id AS key, created_at AS claimed_at FROM fe WHERE event='verify_started'),
-h AS (SELECT 'u' || user_id AS key, MIN(created_at) AS appeared, MAX(created_at) AS gone FROM fe WHERE event='verify_outcome' GROUP BY 1)
+h AS (SELECT 'u' || user_id AS key, created_at AS appeared, CASE WHEN id%3<>0 THEN created_at + to_hours(CAST(id%5 AS INTEGER) + 1) END AS removed, id%4<>0 AS matches FROM fe WHERE event='verify_outcome')
 """
 
 
-@query("eventual_row", _EV + "SELECT claim_id, key, CASE WHEN appeared <= claimed_at + INTERVAL 1 HOUR THEN 'verified' ELSE 'uncertain' END AS status FROM c LEFT JOIN h USING (key)")
+def presence(rows: DataFrame) -> DataFrame:
+    hold = F.make_dt_interval(hours=(F.col("id") % 5 + 1).cast("int"))
+    return rows.filter("event = 'verify_outcome'").select(
+        "key", F.col("ts").alias("appeared_at"), F.when(F.col("id") % 3 != 0, F.col("ts") + hold).alias("removed_at"), (F.col("id") % 4 != 0).alias("matches"))
+
+
+@query("eventual_row", _EV + """, s AS (SELECT claim_id, c.key, min_by(matches, struct_pack(a := appeared, m := matches)) AS m, count(appeared) AS n FROM c LEFT JOIN h ON h.key=c.key AND appeared <= claimed_at + INTERVAL 1 HOUR
+  AND COALESCE(removed, TIMESTAMP '9999-12-31') > claimed_at GROUP BY 1, 2)
+SELECT claim_id, key, CASE WHEN n=0 THEN 'uncertain' WHEN m THEN 'verified' ELSE 'inconsistent' END AS status FROM s""")
 def eventual_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, rows = _timed(spark, sf_dir)
-    return Z.eventual_rows(claims, rows.filter("event = 'verify_outcome'").select("key", F.col("ts").alias("appeared_at")), 3_600_000).select("claim_id", "key", "status")
+    return Z.eventual_rows(claims, presence(rows), 3_600_000).select("claim_id", "key", "status")
 
 
-@query("eventual_absent", _EV + "SELECT claim_id, key, CASE WHEN gone > claimed_at + INTERVAL 1 HOUR THEN 'uncertain' ELSE 'verified' END AS status FROM c LEFT JOIN h USING (key)")
+# A time between claim and window end without a row: the claim itself, the window's end, or where a presence ends.
+@query("eventual_absent", _EV + """, e AS (SELECT key, appeared, COALESCE(removed, TIMESTAMP '9999-12-31') AS gone FROM h),
+t AS (SELECT claim_id, key, claimed_at, claimed_at AS at FROM c UNION ALL SELECT claim_id, key, claimed_at, claimed_at + INTERVAL 1 HOUR FROM c
+  UNION ALL SELECT claim_id, c.key, claimed_at, gone FROM c JOIN e ON e.key=c.key AND gone > claimed_at AND gone <= claimed_at + INTERVAL 1 HOUR),
+f AS (SELECT t.claim_id, t.key, t.at, count(e.key) AS n FROM t LEFT JOIN e ON e.key=t.key AND e.appeared <= t.at AND e.gone > t.at GROUP BY 1, 2, 3)
+SELECT claim_id, key, CASE WHEN min(n)=0 THEN 'verified' ELSE 'uncertain' END AS status FROM f GROUP BY 1, 2""")
 def eventual_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, rows = _timed(spark, sf_dir)
-    history = rows.filter("event = 'verify_outcome'").select("key", F.col("ts").alias("appeared_at"), F.col("ts").alias("removed_at"))
-    return Z.eventual_absent(claims, history, 3_600_000).select("claim_id", "key", "status")
+    return Z.eventual_absent(claims, presence(rows), 3_600_000).select("claim_id", "key", "status")
 
 
-@query("eventual_multi", _EV + """, e AS (SELECT claim_id, appeared <= claimed_at + INTERVAL 1 HOUR AS a, claim_id%3=0 AS b FROM c LEFT JOIN h USING (key))
-SELECT claim_id AS step_id, CASE WHEN COALESCE(a, false) AND b THEN 'verified' WHEN NOT COALESCE(a, false) AND NOT b THEN 'uncertain' ELSE 'partially_verified' END AS status FROM e""")
+@query("eventual_multi", _EV + """, e AS (SELECT claim_id, user_id%7 AS a, claim_id%5 AS b FROM c JOIN fe ON fe.id=claim_id),
+s AS (SELECT claim_id, unnest(['verified','verified','uncertain','inconsistent','uncertain','incomplete_verification','missing'][a+1:a+1] || ['verified','uncertain','inconsistent','uncertain','verified'][b+1:b+1]) AS st FROM e),
+g AS (SELECT claim_id, count(*) AS n, count(*) FILTER (st='verified') AS ok, count(*) FILTER (st IN ('uncertain','missing')) AS open, count(*) FILTER (st='incomplete_verification') AS inc FROM s GROUP BY 1)
+SELECT claim_id AS step_id, CASE WHEN inc>0 THEN 'incomplete_verification' WHEN ok=n THEN 'verified' WHEN open=n THEN 'uncertain' WHEN ok=0 THEN 'inconsistent' ELSE 'partially_verified' END AS status,
+  CASE WHEN inc>0 THEN 'MULTI_EFFECT_INCOMPLETE' WHEN ok=n THEN '' WHEN open=n THEN 'MULTI_EFFECT_UNCERTAIN_WITHIN_WINDOW' WHEN ok=0 THEN 'MULTI_EFFECT_ALL_FAILED' ELSE 'MULTI_EFFECT_PARTIAL' END AS code FROM g""")
 def eventual_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, rows = _timed(spark, sf_dir)
-    first = Z.eventual_rows(claims, rows.filter("event = 'verify_outcome'").select("key", F.col("ts").alias("appeared_at")), 3_600_000)
-    second = claims.select("claim_id", F.when(F.col("claim_id") % 3 == 0, "verified").otherwise("uncertain").alias("status"))
-    return Z.eventual_multi(first.select(F.col("claim_id").alias("step_id"), "status").unionByName(second.withColumnRenamed("claim_id", "step_id"))).select("step_id", "status")
+    rows = funnel(spark, sf_dir).filter("event = 'verify_started'")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+    first = pick(["verified", "verified", "uncertain", "inconsistent", "uncertain", "incomplete_verification", "missing"], F.col("user_id"))
+    second = pick(["verified", "uncertain", "inconsistent", "uncertain", "verified"], F.col("id"))
+    effects = rows.select(F.col("id").alias("step_id"), F.explode(F.array(first, second)).alias("status"))
+    return Z.eventual_multi(effects).select("step_id", "status", F.coalesce("code", F.lit("")).alias("code"))
+
+
+@query("eventual_stream", _EV + """, x AS (SELECT 'u' || user_id AS key, created_at AS t, event='verify_outcome' AS turn_on FROM fe WHERE event IN ('verify_outcome','integrate_landed')),
+y AS (SELECT key, t AS appeared, turn_on, lead(t) OVER (PARTITION BY key ORDER BY t, turn_on) AS gone FROM x),
+z AS (SELECT claim_id, c.key, count(appeared) AS n FROM c LEFT JOIN y ON y.key=c.key AND turn_on AND appeared <= claimed_at + INTERVAL 1 HOUR AND (gone IS NULL OR gone > claimed_at) GROUP BY 1, 2)
+SELECT CAST(claim_id AS VARCHAR) AS claim_id, key, CASE WHEN n>0 THEN 'verified' ELSE 'uncertain' END AS status FROM z""")
+def eventual_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's row comes with a verify_outcome and goes with an integrate_landed; the last row of the stream closes every window."""
+    kind = F.when(F.col("event") == "verify_started", "claim").when(F.col("event") == "verify_outcome", "row").when(F.col("event") == "integrate_landed", "gone")
+    rows = funnel(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("key"), kind.alias("kind"), F.col("id").cast("string").alias("claim_id"), F.col("created_at").cast("timestamp").alias("ts")).filter("kind is not null")
+    return _replay(spark, rows, lambda s: Z.eventual_stream(s, 3_600_000), "eventual", closing={"key": "closing", "kind": "gone", "ts": CLOSING}).select("claim_id", "key", "status")
 
 
 @query("skew_filter", FUNNEL + "SELECT id FROM fe WHERE id%10*60 <= 300")
@@ -103,11 +134,19 @@ def skew_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.skew_filter(beacons).select("id")
 
 
-def _replay(spark: SparkSession, df: DataFrame, build, name: str, mode: str = "append") -> DataFrame:
-    """Write the rows as a file source, run the stream over all of it, and read what it wrote."""
+CLOSING = "2099-01-01 00:00:00"
+
+
+def _replay(spark: SparkSession, df: DataFrame, build, name: str, mode: str = "append", closing: dict | None = None) -> DataFrame:
+    """Write the rows as a file source, run the stream over all of it, and read what it wrote.
+
+    closing: values of one more row, far ahead in time, that closes what waits for later events.
+    """
     import uuid
 
     base = f"{shared_dir(spark)}/replay-{name}-{uuid.uuid4().hex}"
+    if closing:
+        df = df.unionByName(spark.range(1).select(*[F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]))
     df.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
     q = build(stream).writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
@@ -122,28 +161,67 @@ def idempotent_beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("run_id", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hourly_counts", FUNNEL + """, m AS (SELECT date_trunc('hour', MAX(created_at) - INTERVAL 10 MINUTE) AS closed FROM fe)
-SELECT CAST(epoch(date_trunc('hour', created_at)) AS BIGINT) AS window_start, event AS scope, COUNT(*) AS n FROM fe, m WHERE date_trunc('hour', created_at) < closed GROUP BY 1, 2""")
+@query("hourly_counts", FUNNEL + "SELECT CAST(epoch(date_trunc('hour', created_at)) AS BIGINT) AS window_start, event AS scope, COUNT(*) AS n FROM fe GROUP BY 1, 2")
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = funnel(spark, sf_dir).select(F.col("event").alias("scope"), F.col("created_at").cast("timestamp").alias("ts"))
-    return _replay(spark, rows, Z.hourly_counts, "hours").select(F.unix_seconds("w.start").alias("window_start"), "scope", "n")
+    return _replay(spark, rows, Z.hourly_counts, "hours", closing={"scope": "closing", "ts": CLOSING}).filter("scope <> 'closing'").select(F.unix_seconds("w.start").alias("window_start"), "scope", "n")
+
+
+_SESSIONS = FUNNEL + """, o AS (SELECT 'u' || user_id AS workflow_id, created_at AS t, event='verify_outcome' AS claim, lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, id) AS p FROM fe),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR t >= p + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY workflow_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM o)
+"""
 
 
-@query("session_close")
+@query("session_close", _SESSIONS + "SELECT workflow_id, CAST(floor(epoch(min(t))) AS BIGINT) AS started, count(*) AS n_events, count(*) FILTER (claim) AS n_claims FROM g GROUP BY workflow_id, s")
 def session_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = funnel(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("workflow_id"), F.when(F.col("event") == "verify_outcome", "tool_observed").otherwise("control").alias("type"), F.col("created_at").cast("timestamp").alias("ts"))
-    return _replay(spark, rows, lambda s: Z.closed_sessions(s, "2 hours"), "sessions").select("workflow_id", F.unix_seconds("session.start").alias("started"), "n_events", "n_claims")
+    closed = _replay(spark, rows, lambda s: Z.closed_sessions(s, "2 hours"), "sessions", closing={"workflow_id": "closing", "type": "control", "ts": CLOSING})
+    return closed.filter("workflow_id <> 'closing'").select("workflow_id", F.unix_seconds("session.start").alias("started"), "n_events", "n_claims")
 
 
-@query("reservation_expiry")
-def reservation_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = funnel(spark, sf_dir).select("id", "event", F.concat(F.lit("k"), "user_id").alias("api_key"), F.to_date("created_at").cast("string").alias("run_id"), F.col("created_at").cast("timestamp").alias("created_at"))
+@query("session_verify", with_(ROLLED, "SELECT workflow_id, seq, status, COALESCE(code, '') AS code FROM steps"))
+def session_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflows are verified when their session closes; the verdicts of all batches together are those of the batch job."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/closing-{uuid.uuid4().hex}"
+    whole = claimed(spark, sf_dir)
+    whole.observations.write.parquet(f"{base}/claims")
+    claims = spark.read.parquet(f"{base}/claims")
+    log = claims.select("workflow_id", F.lit("tool_observed").alias("type"), F.timestamp_seconds(F.lit(1704067200) + F.col("line_no")).alias("ts"))
+    log.unionByName(spark.range(1).select(F.lit("closing").alias("workflow_id"), F.lit("control").alias("type"), F.lit(CLOSING).cast("timestamp").alias("ts"))).write.parquet(f"{base}/log")
+
+    def verify(closed: DataFrame) -> DataFrame:
+        known = closed.select("workflow_id").distinct()
+        return Verification(spark, None, whole.registry, whole.state, claimed=claims.join(known, "workflow_id", "left_semi")).steps.select("workflow_id", "seq", "status", "code")
+
+    stream = spark.readStream.schema(log.schema).parquet(f"{base}/log")
+    Z.close_and_verify(stream, "30 days", verify, f"{base}/verdicts", f"{base}/ck").awaitTermination()
+    return spark.read.parquet(f"{base}/verdicts").select("workflow_id", "seq", "status", F.coalesce("code", F.lit("")).alias("code"))
 
-    def build(stream: DataFrame) -> DataFrame:
-        held = stream.filter("event = 'reserve_allowed'").select("api_key", "run_id", F.col("created_at").alias("reserved_at"))
-        return Z.reservation_expiry(stream.filter("event = 'verify_outcome'"), held)
 
-    return _replay(spark, rows, build, "reservations")
+# Events arrive by id in eight parts; late is what is an hour older than the latest of the parts before.
+@query("late_events", FUNNEL + """, b AS (SELECT id, created_at, id * 8 // (SELECT max(id) + 1 FROM fe) AS part FROM fe), m AS (SELECT part, max(created_at) AS top FROM b GROUP BY 1)
+SELECT id, coalesce(created_at < (SELECT max(top) FROM m WHERE m.part < b.part) - INTERVAL 1 HOUR, false) AS late FROM b""")
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    rows = funnel(spark, sf_dir).select("id", F.col("created_at").cast("timestamp").alias("ts"))
+    most = rows.agg(F.max("id").alias("m")).first()["m"] + 1
+    for part in range(8):
+        rows.filter(F.floor(F.col("id") * 8 / most) == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    Z.split_late(stream, "1 hour", f"{base}/on-time", f"{base}/late", f"{base}/ck").awaitTermination()
+    read = lambda side, late: spark.read.schema(rows.schema).parquet(f"{base}/{side}").select("id", F.lit(late).alias("late"))
+    return read("on-time", False).unionByName(read("late", True))
+
+
+@query("reservation_expiry", _RES + "SELECT id, 'k' || user_id AS api_key, CASE WHEN what<>'held' THEN what WHEN rn=1 THEN 'accepted' ELSE 'repeat' END AS decision FROM d")
+def reservation_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event") == "reserve_allowed", "reserve").when(F.col("event") == "verify_outcome", "outcome")
+    rows = funnel(spark, sf_dir).select(F.concat(F.lit("k"), "user_id").alias("api_key"), F.to_date("created_at").cast("string").alias("run_id"), kind.alias("kind"), F.col("id").cast("bigint").alias("id"), F.col("created_at").cast("timestamp").alias("created_at")).filter("kind is not null")
+    return _replay(spark, rows, Z.reservation_expiry, "reservations", closing={"api_key": "closing", "run_id": "", "kind": "reserve", "created_at": CLOSING})
 
 
 @query("rolling_kpis", FUNNEL + """, d AS (SELECT unnest([TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-31']) AS as_of)

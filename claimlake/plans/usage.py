@@ -54,18 +54,18 @@ def hourly_limit(requests: DataFrame, cap: int) -> DataFrame:
 
 
 def reservation_outcomes(outcomes: DataFrame, reservations: DataFrame) -> DataFrame:
-    """Each outcome against the reservation of its (key, run): unknown, expired, accepted or repeat."""
+    """Each outcome against the reservation of its (key, run): unknown (none yet), expired, accepted or repeat."""
     held = reservations.groupBy("api_key", "run_id").agg(F.min("created_at").alias("reserved_at"))
     # Only an outcome inside the window can be accepted, so the earliest such outcome is the accepted one.
-    matched = outcomes.join(held, ["api_key", "run_id"], "left").withColumn(
-        "in_time", F.col("created_at") <= F.col("reserved_at") + F.expr(f"interval {RESERVATION_HOURS} hours")
+    matched = outcomes.join(held, ["api_key", "run_id"], "left").withColumn("known", F.coalesce(F.col("created_at") >= F.col("reserved_at"), F.lit(False))).withColumn(
+        "in_time", F.col("known") & (F.col("created_at") <= F.col("reserved_at") + F.expr(f"interval {RESERVATION_HOURS} hours"))
     )
     first = matched.filter("in_time").groupBy("api_key", "run_id").agg(F.min(F.struct("created_at", "id")).alias("first"))
     return matched.join(first, ["api_key", "run_id"], "left").withColumn(
         "decision",
-        F.when(F.col("reserved_at").isNull(), "unknown").when(~F.col("in_time"), "expired")
+        F.when(~F.col("known"), "unknown").when(~F.col("in_time"), "expired")
         .when(F.struct("created_at", "id") == F.col("first"), "accepted").otherwise("repeat"),
-    ).drop("first", "in_time")
+    ).drop("first", "in_time", "known")
 
 
 def recent_activity(outcomes: DataFrame, valid: Column) -> DataFrame:
