@@ -219,11 +219,6 @@ def page_info_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_info(_rows(spark, sf_dir), 100, 100)
 
 
-@query("corpus_guard", _LIST + "SELECT COUNT(*) AS total_matched, CASE WHEN COUNT(*)>10000 THEN 'CORPUS_TOO_LARGE' ELSE '' END AS code FROM li")
-def corpus_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.corpus_guard(_rows(spark, sf_dir), 10_000).select("total_matched", F.coalesce("code", F.lit("")).alias("code"))
-
-
 @query("corpus_patterns", _LIST + "SELECT 'category' AS part, category AS name, COUNT(*) AS n FROM po WHERE status='inconsistent' GROUP BY 2 UNION ALL SELECT 'code', code, COUNT(*) FROM s JOIN po USING (workflow_id, run_index) WHERE code IS NOT NULL AND po.status='inconsistent' GROUP BY 2")
 def corpus_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = C.run_list_filter(_rows(spark, sf_dir), status="inconsistent")

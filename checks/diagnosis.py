@@ -15,7 +15,7 @@ ix AS (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY source_fil
 ctx AS (SELECT workflow_id, 2 AS max_wire, COUNT(*) FILTER (WHERE type='retrieval') AS n_retrieval, COUNT(*) FILTER (WHERE type='control') AS n_control,
   COUNT(*) FILTER (WHERE type='model_turn') AS n_model_turn, COUNT(*) FILTER (WHERE type='tool_skipped') AS n_tool_skipped,
   COUNT(*) FILTER (WHERE type='tool_observed') AS n_tool_observed, MIN(i) FILTER (WHERE type='tool_observed') AS first_tool_index,
-  COALESCE(BOOL_OR(control_kind='run_completed'), false) AS run_completed, MAX(i) AS last_index, MAX_BY(type, i) AS last_type, ARG_MAX_NULL(status, i) AS last_status FROM ix GROUP BY 1)
+  COALESCE(BOOL_OR(control_kind='run_completed'), false) AS run_completed, MAX(i) AS last_index, MAX_BY(type, i) AS last_type, ARG_MAX_NULL(status, i) AS last_status, COALESCE(ARG_MAX_NULL(control_kind, i)='run_completed', false) AS ends_completed FROM ix GROUP BY 1)
 """
 _DRIVER = """,
 bad AS (SELECT s.*, CASE status WHEN 'incomplete_verification' THEN 0 WHEN 'missing' THEN 1 WHEN 'inconsistent' THEN 2 WHEN 'partially_verified' THEN 3 ELSE 4 END AS rk FROM steps s WHERE status<>'verified'),
@@ -31,7 +31,7 @@ sus AS (SELECT ix.workflow_id, i, run_event_id,
     WHEN type='tool_skipped' THEN 'TOOL_SKIPPED' END AS cc FROM ix),
 ph AS (SELECT sus.*, CASE WHEN cc='RETRIEVAL_ERROR' THEN 1 WHEN cc LIKE 'MODEL_TURN%' THEN 2 WHEN cc='CONTROL_INTERRUPT' THEN 3 WHEN cc LIKE 'CONTROL%' THEN 4 ELSE 5 END AS p
   FROM sus JOIN frontier USING (workflow_id) WHERE cc IS NOT NULL AND i < frontier),
-cause AS (SELECT workflow_id, MIN_BY(p, (p, i)) AS p, MIN_BY(i, (p, i)) AS cause_index, MIN_BY(cc, (p, i)) AS cause_code FROM ph GROUP BY 1)
+cause AS (SELECT workflow_id, MIN_BY(p, (p, i)) AS p, MIN_BY(i, (p, i)) AS cause_index, MIN_BY(cc, (p, i)) AS cause_code, MIN_BY(run_event_id, (p, i)) AS cause_event FROM ph GROUP BY 1)
 """
 _CAP = """,
 cap AS (SELECT workflow_id, COALESCE(BOOL_OR(seq < mx), false) AS capture_irregular FROM (
@@ -87,7 +87,7 @@ meaning(code, origin, category, action) AS (VALUES
   ('RELATED_ROWS_ABSENT','downstream_system_state','state_inconsistency','reconcile_downstream_state'),
   ('RELATIONAL_EXPECTATION_MISMATCH','downstream_system_state','state_inconsistency','reconcile_downstream_state'),
   ('ORPHAN_ROW_DETECTED','downstream_system_state','state_inconsistency','reconcile_downstream_state')),
-led AS (SELECT w.workflow_id, w.status, w.n_missing+w.n_inconsistent+w.n_partial AS bad_steps,
+led AS (SELECT w.workflow_id, w.status, c.cause_index, c.cause_event, d.driver_seq, d.driver_tool_id, d.step_code, w.n_missing+w.n_inconsistent+w.n_partial AS bad_steps,
     CASE WHEN w.malformed THEN 'p0' WHEN c.p=1 THEN 'p1' WHEN c.p IN (2,3) THEN 'p2' WHEN c.p=4 THEN 'p2b' WHEN c.p=5 THEN 'p3'
       WHEN capture_irregular OR f.seq_after IS NOT NULL THEN 'p4' ELSE 'p5' END AS phase,
     CASE WHEN w.malformed THEN 'MALFORMED_EVENT_LINE' WHEN c.p IS NOT NULL THEN c.cause_code WHEN capture_irregular THEN 'CAPTURE_ORDER_NOT_MONOTONIC_IN_SEQ'

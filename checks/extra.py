@@ -16,7 +16,6 @@ from checks.sqltext import OBS, ROLLED, STEPS, with_
 from claimlake.functions import jsonval as J
 from claimlake.functions.decisions import outcome_label
 from claimlake.operators.rollup import eq_text
-from claimlake.operators.topk import ranked
 from claimlake.plans import kpi
 from claimlake.plans import workload as W
 from claimlake.plans.verify import validate_registry as validate
@@ -92,16 +91,6 @@ def state_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.state(spark, sf_dir).tables["orders"].groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("caps", SAVED + """, x AS (SELECT workflow_id, seq, row_number() OVER (PARTITION BY workflow_id ORDER BY seq, run_index) AS place, COUNT(*) OVER (PARTITION BY workflow_id) AS total FROM s)
-SELECT workflow_id, seq, CAST(place AS INTEGER) AS place, CASE WHEN total>50 THEN 'ACTIONS_TRUNCATED' ELSE '' END AS code FROM x WHERE place<=50""")
-def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty actions a document may bring, with a code where there are more."""
-    rows = steps(spark, sf_dir)
-    totals = rows.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("total"))
-    return ranked(rows, ["workflow_id"], ["seq", "run_index"], 50).join(totals, "workflow_id").select(
-        "workflow_id", "seq", "place", F.when(F.col("total") > 50, "ACTIONS_TRUNCATED").otherwise("").alias("code"))
-
-
 @query("user_phrase", SAVED + """SELECT COALESCE(code, 'MAPPING_LOW_CONFIDENCE') AS code, COUNT(*) AS n, CASE code WHEN 'ROW_ABSENT' THEN 'Success was implied, but no matching row was found in the database.'
   WHEN 'VALUE_MISMATCH' THEN 'Wrong value in the database for a required field.' WHEN 'UNKNOWN_TOOL' THEN 'The tool is not defined in the registry (or could not be resolved).'
   WHEN 'MULTI_EFFECT_PARTIAL' THEN 'Some intended effects matched; others did not.' ELSE 'Mapping: low confidence.' END AS phrase FROM s GROUP BY 1, 3""")

@@ -56,12 +56,15 @@ def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("failure_explanation", with_(ANALYSIS, """SELECT workflow_id, CASE phase WHEN 'p0' THEN 'Run-level ingest or planning issue (MALFORMED_EVENT_LINE); origin: inputs.'
+  WHEN 'p1' THEN 'A retrieval step failed before the failing tool observation (kb); origin: retrieval.'
   WHEN 'p2' THEN 'A model or control event indicates the run did not complete normally before the failing tool observation; origin: decision_making.'
   WHEN 'p2b' THEN 'A branch or gate was skipped before the failing tool observation; decision-making may explain downstream behavior (see alternatives).'
-  WHEN 'p3' THEN 'A tool was skipped before the failing tool observation; origin: tool_use.' WHEN 'p4' THEN 'Event capture order or timestamps were irregular (' || code || '); origin: workflow_flow.' END AS summary
-FROM analysis WHERE phase IN ('p0','p2','p2b','p3','p4')"""))
+  WHEN 'p3' THEN 'A tool was skipped before the failing tool observation; origin: tool_use.' WHEN 'p4' THEN 'Event capture order or timestamps were irregular (' || code || '); origin: workflow_flow.'
+  ELSE 'Primary failure at seq ' || driver_seq || ' tool ' || driver_tool_id || ' (code ' || code || '); origin: ' || origin || '.' ||
+    CASE WHEN step_code LIKE 'MULTI_EFFECT%' THEN ' Multi-effect verification: authoritative per-effect outcomes are under workflowTruthReport.steps[].effects.' ELSE '' END END AS summary
+FROM analysis"""))
 def failure_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnosis(spark, sf_dir).analysis.filter("phase in ('p0','p2','p2b','p3','p4')").select("workflow_id", "summary")
+    return diagnosis(spark, sf_dir).analysis.select("workflow_id", "summary")
 
 
 # --- streams ---------------------------------------------------------------------------------------

@@ -22,13 +22,25 @@ _NSP = r"[^\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 n AS (SELECT doc_id, t, length(t) + length(regexp_replace(t, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS n FROM r)
 SELECT doc_id, CASE WHEN n>240 THEN '[REDACTED_LONG_STRING_LEN_' || n || ']' ELSE t END AS redacted FROM n""")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", D.redact(F.col("text")).alias("redacted"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", D.redact(F.col("text"), shorten=True).alias("redacted"))
 
 
 @query("operational_message", """WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t)>2048 THEN substr(t, 1, 2045) || '...' ELSE t END AS message FROM f""")
 def operational_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", S.operational_message(F.col("text")).alias("message"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", S.display_message(F.col("text")).alias("message"))
+
+
+# Both again without the display's length rules: whole texts.
+@query("redact_text", f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)Bearer{_SP}+{_NSP}+', '[REDACTED_BEARER]', 'g'),
+  '(?i)sk-[a-zA-Z0-9]{{20,}}', '[REDACTED_SK]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[REDACTED_EMAIL]', 'g') AS redacted FROM documents""")
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", D.redact(F.col("text")).alias("redacted"))
+
+
+@query("operational_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS message FROM documents")
+def operational_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.operational_message(F.col("text")).alias("message"))
 
 
 @query("code_point_length", "SELECT doc_id, CAST(length(text) AS INTEGER) AS code_points FROM documents")

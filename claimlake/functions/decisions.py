@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimlake.functions.catalog import RESOLVER_CODES
+from claimlake.functions.scalars import js_trim
 
 # Patterns and limits of text redaction.
 _SPACE = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
@@ -20,9 +21,11 @@ def utf16_length(s: Column) -> Column:
     return F.octet_length(F.encode(s, "UTF-16BE")) / 2
 
 
-def redact(s: Column) -> Column:
-    """Mask bearer tokens, secret keys and e-mail addresses; then replace a long text by its length."""
+def redact(s: Column, shorten: bool = False) -> Column:
+    """Mask bearer tokens, secret keys and e-mail addresses; where asked to shorten, a long masked text becomes its length."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, BEARER, "[REDACTED_BEARER]"), SECRET_KEY, "[REDACTED_SK]"), EMAIL, "[REDACTED_EMAIL]")
+    if not shorten:
+        return t
     n = utf16_length(t).cast("int")
     return F.when(n > REDACT_MAX, F.concat(F.lit("[REDACTED_LONG_STRING_LEN_"), n.cast("string"), F.lit("]"))).otherwise(t)
 
@@ -39,7 +42,7 @@ def attribution_problem(values: dict[str, Column], keys: Column) -> Column:
     for name, limit in ATTRIBUTION_LIMITS.items():
         if name not in values:
             continue
-        t = F.trim(values[name])
+        t = js_trim(values[name])
         checks += [
             F.when(t.rlike("[\\x00-\\x1F\\x7F-\\x9F]"), F.lit(f"ATTRIBUTION_CONTROL_{name}")),
             F.when(t.contains("://"), F.lit("ATTRIBUTION_PROTOCOL")),
@@ -55,13 +58,13 @@ UUID_V4 = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{
 
 def anon_id(raw: Column) -> Column:
     """Lower-cased UUID v4, or null."""
-    t = F.trim(raw)
+    t = js_trim(raw)
     return F.when(t.rlike(UUID_V4), F.lower(t))
 
 
 def hypothesis_label(raw: Column) -> Column:
     """Trimmed label of 1..240 printable ASCII characters without quotes, or null."""
-    t = F.trim(raw)
+    t = js_trim(raw)
     return F.when(t.rlike("^[\\x20\\x21\\x23-\\x26\\x28-\\x7E]{1,240}$"), t)
 
 
@@ -105,7 +108,7 @@ def workload_class(db_kind: Column, *paths: Column) -> Column:
 
 
 def workflow_lineage(command: Column, workload: Column, workflow_id: Column) -> Column:
-    wf = F.coalesce(F.trim(workflow_id), F.lit(""))
+    wf = F.coalesce(js_trim(workflow_id), F.lit(""))
     return (
         F.when(command == "quick_verify", F.when(workload == "bundled_examples", "catalog_shipped").otherwise("integrator_scoped"))
         .when(wf == "", "unknown").when(wf == SPINE_WORKFLOW, "integrate_spine").when(wf.isin(SHIPPED_WORKFLOWS), "catalog_shipped")
@@ -127,6 +130,7 @@ def activation_metadata(version: Column, lineage: Column, terminal: Column) -> C
         F.when(version >= 3, lineage).alias("workflow_lineage")))
 
 
+# Codes that point at the set-up rather than at the workflow.
 SETUP_CODES = ["MULTI_EFFECT_INCOMPLETE", "UNKNOWN_TOOL", *RESOLVER_CODES, "CONNECTOR_ERROR", "ROW_SHAPE_MISMATCH", "UNREADABLE_VALUE", "RELATIONAL_SCALAR_UNUSABLE"]
 
 
@@ -171,9 +175,19 @@ def log_salvage(line: Column) -> Column:
     return F.when(reads(s1), s1).when((s1 != s2) & reads(s2), s2).when((s1 != s3) & reads(s3), s3)
 
 
+_KEY_STEPS = r"^(?:(?:\[\d+\]|[^.\[]+)\.?)*+"
+
+
+def flat_key_problem(key: Column) -> Column:
+    """Why a flat key is no pointer, by its first bad place; null when it is well formed."""
+    rest = F.regexp_replace(key, _KEY_STEPS, "")
+    return F.when(key == "", "EMPTY_KEY").when(rest == "", F.lit(None)).when(rest.startswith("[") & rest.contains("]"), "INVALID_ARRAY_INDEX").otherwise(
+        F.when(rest.isNotNull(), "INVALID_SYNTAX"))
+
+
 def flat_key_pointer(key: Column) -> Column:
-    """a.b[0] -> /a/b/0, null when the key is not well formed."""
-    good = key.rlike(r"^([^.\[]+|\[\d+\])((\.|(?=\[)|(?<=\]))([^.\[]+|\[\d+\]))*$")
+    """a.b[0] -> /a/b/0; a dot may end the key. Null when the key is not well formed."""
     escaped = F.regexp_replace(F.regexp_replace(key, "~", "~0"), "/", "~1")
     steps = F.regexp_replace(F.regexp_replace(escaped, r"\[(\d+)\]\.?", "/$1/"), r"\.", "/")
-    return F.when(good, F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(steps, "/+", "/"), "^/|/$", "")))
+    pointer = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(steps, "/+", "/"), "^/|/$", ""))
+    return F.when(flat_key_problem(key).isNull() & key.isNotNull(), pointer)

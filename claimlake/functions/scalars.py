@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Longest operational message, and the characters a trimmed text loses.
+# Longest operational message in a display, and the characters a trimmed text loses.
 MESSAGE_MAX_CHARS = 2048
 _BLANKS = "[\\s\\u00A0\\uFEFF\\u2028\\u2029]"
 JSON_NUMBER = r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"
@@ -58,8 +58,13 @@ def json_quote(s: Column) -> Column:
 
 
 def operational_message(raw: Column) -> Column:
-    """One line: tabs and line ends become spaces, runs squeezed, trimmed, capped with an ellipsis."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(raw, "[\\t\\r\\n]", " "), " +", " "))
+    """One line: tabs and line ends become spaces, runs squeezed, trimmed. The whole text stays."""
+    return F.trim(F.regexp_replace(F.regexp_replace(raw, "[\\t\\r\\n]", " "), " +", " "))
+
+
+def display_message(raw: Column) -> Column:
+    """The operational message as a display shows it: cut with an ellipsis at the longest length."""
+    flat = operational_message(raw)
     return F.when(
         F.length(flat) > MESSAGE_MAX_CHARS,
         F.concat(F.substring(flat, 1, MESSAGE_MAX_CHARS - 3), F.lit("...")),

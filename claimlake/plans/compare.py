@@ -13,7 +13,6 @@ from claimlake.operators.skew import block_positions, previous_row
 from claimlake.operators.topk import HIGHLIGHTS, TOP_PATTERNS, ranked
 
 UNSPECIFIED_CUSTOMER = "__unspecified__"
-MAX_LISTED_CODES = 40
 
 
 # Runs per block when a workflow's runs are walked in order.
@@ -231,15 +230,19 @@ def highlights(step_changes: DataFrame) -> DataFrame:
 
 # --- corpus -------------------------------------------------------------------------------
 
-def run_index(steps: DataFrame, postures: DataFrame, meta: DataFrame) -> DataFrame:
-    """One list row per run. Tool and code lists are bounded by the registry and the code catalog."""
+def run_index(steps: DataFrame, postures: DataFrame, meta: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """One list row per run. findings: workflow_id, run_index, code of the concerns along each run's path."""
     lists = steps.groupBy("workflow_id", "run_index").agg(
         F.array_sort(F.collect_set("tool_id")).alias("tool_ids"),
-        F.slice(F.array_sort(F.collect_set("code")), 1, MAX_LISTED_CODES).alias("reason_codes"))
+        F.array_sort(F.collect_set("code")).alias("reason_codes"))
     joined = postures.join(lists, ["workflow_id", "run_index"]).join(meta, ["workflow_id", "run_index"], "left")
+    found = F.array().cast("array<string>")
+    if findings is not None:
+        each = findings.groupBy("workflow_id", "run_index").agg(F.array_sort(F.collect_set("code")).alias("found"))
+        joined, found = joined.join(each, ["workflow_id", "run_index"], "left"), F.coalesce("found", found)
     return joined.select(
         F.concat_ws("/", "workflow_id", F.col("run_index").cast("string")).alias("run_id"), "workflow_id", "run_index", F.lit("ok").alias("load_status"),
-        "status", "category", "tool_ids", "reason_codes",
+        "status", "category", "tool_ids", "reason_codes", found.alias("finding_codes"),
         F.when(F.coalesce(F.col("customer_id"), F.lit("")) != "", F.col("customer_id")).otherwise(UNSPECIFIED_CUSTOMER).alias("customer_id"),
         F.coalesce("captured_at", "verified_at", "modified_at").alias("captured_at"))
 
@@ -276,13 +279,6 @@ def code_counts(steps: DataFrame) -> DataFrame:
     return steps.filter("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def corpus_guard(matched: DataFrame, max_runs: int | None = None) -> DataFrame:
-    """Opt-in limit: one row saying whether a pattern query may run. Spark itself needs no limit."""
-    n = matched.agg(F.count(F.lit(1)).alias("total_matched"))
-    over = F.lit(False) if max_runs is None else F.col("total_matched") > max_runs
-    return n.withColumn("code", F.when(over, "CORPUS_TOO_LARGE"))
-
-
 def pin(steps: DataFrame) -> DataFrame:
     """Canonical projection of step results, to be stored and compared later."""
     effects = F.to_json(F.transform("effects", lambda e: F.struct(e["id"].alias("id"), e["status"].alias("status"), e["code"].alias("code"))))

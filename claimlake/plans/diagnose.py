@@ -57,8 +57,11 @@ def run_context(indexed: DataFrame) -> DataFrame:
         *[F.count_if(kind == t).alias(f"n_{t}") for t in ("retrieval", "control", "model_turn", "tool_skipped", "tool_observed")],
         F.min(F.when(kind == "tool_observed", F.col("ingest_index"))).alias("first_tool_index"),
         F.coalesce(F.bool_or(F.col("control_kind") == "run_completed"), F.lit(False)).alias("run_completed"),
-        F.max_by(F.struct("ingest_index", "type", "status"), "ingest_index").alias("last"),
-    ).select("*", F.col("last.ingest_index").alias("last_index"), F.col("last.type").alias("last_type"), F.col("last.status").alias("last_status")).drop("last")
+        F.max_by(F.struct("ingest_index", "type", "status", "control_kind"), "ingest_index").alias("last"),
+    ).select(
+        "*", F.col("last.ingest_index").alias("last_index"), F.col("last.type").alias("last_type"), F.col("last.status").alias("last_status"),
+        F.coalesce((F.col("last.type") == "control") & (F.col("last.control_kind") == "run_completed"), F.lit(False)).alias("ends_completed"),
+    ).drop("last")
 
 
 def primary_code() -> Column:
@@ -98,9 +101,9 @@ def upstream_causes(indexed: DataFrame, frontier: DataFrame) -> DataFrame:
     before = lookup_join(
         suspects.select("workflow_id", "ingest_index", "run_event_id", "context_code", "source", "tool_id"), frontier, ["workflow_id"], "inner"
     ).filter(F.col("ingest_index") < F.col("frontier"))
-    first = before.groupBy("workflow_id").agg(F.min(F.struct(phase.alias("phase"), "ingest_index", "context_code", "run_event_id")).alias("u"))
+    first = before.groupBy("workflow_id").agg(F.min(F.struct(phase.alias("phase"), "ingest_index", "context_code", "run_event_id", "source")).alias("u"))
     return first.select("workflow_id", *[F.col(f"u.{c}").alias(n) for c, n in (
-        ("phase", "cause_phase"), ("ingest_index", "cause_index"), ("context_code", "cause_code"), ("run_event_id", "cause_event"))])
+        ("phase", "cause_phase"), ("ingest_index", "cause_index"), ("context_code", "cause_code"), ("run_event_id", "cause_event"), ("source", "cause_source"))])
 
 
 @dataclass
@@ -162,11 +165,31 @@ class Diagnosis:
             F.when(F.col("origin").isNull(), "unclassified").when(alternatives, "ambiguous").otherwise(F.col("category")).alias("category"),
             F.when((F.col("status") == "inconsistent") | bad, "high").otherwise("medium").alias("severity"),
             F.when(F.col("origin").isNull() | alternatives, "manual_review").otherwise(F.col("action")).alias("action"),
-            "malformed", "no_steps", "capture_irregular", "timestamp_irregular", "cause_index", "cause_event",
+            "malformed", "no_steps", "capture_irregular", "timestamp_irregular", "cause_index", "cause_event", "cause_source",
             "driver_seq", "driver_tool_id", "driver_status", "driver_step_code", "driver_effect_id",
         ))
         return judged.withColumn("summary", analysis_summary())
 
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """What each analysis rests on, one row for each item: workflow_id, scope, ingest_index, run_event_id, seq, tool_id, code."""
+        none = lambda kind: F.lit(None).cast(kind)
+        judged = self.analysis
+        lead = judged.select(
+            "workflow_id",
+            F.when(F.col("phase") == "p0", "run_level").when(F.col("phase").isin("p2", "p2b", "p3"), "run_context").when(F.col("phase") == "p4", "event_sequence")
+            .when(F.col("phase") == "p5", "step").alias("scope"),
+            F.when(F.col("phase").isin("p2", "p2b", "p3"), F.col("cause_index")).alias("ingest_index"),
+            F.when(F.col("phase").isin("p2", "p2b"), F.col("cause_event")).alias("run_event_id"),
+            F.when(F.col("phase") == "p5", F.col("driver_seq")).alias("seq"),
+            F.when(F.col("phase") == "p5", F.col("driver_tool_id")).alias("tool_id"), F.col("lead_code").alias("code")).filter("scope is not null")
+        # every failed retrieval before the frontier is evidence, not only the first
+        retrievals = lookup_join(
+            self.indexed.filter("type = 'retrieval' and status = 'error'").select("workflow_id", "ingest_index", "run_event_id"),
+            self.frontier.join(judged.filter("phase = 'p1'").select("workflow_id"), "workflow_id"), ["workflow_id"], "inner").filter("ingest_index < frontier")
+        return lead.unionByName(retrievals.select(
+            "workflow_id", F.lit("run_context").alias("scope"), "ingest_index", "run_event_id", none("bigint").alias("seq"), none("string").alias("tool_id"), F.lit("RETRIEVAL_ERROR").alias("code")))
+
     @cached_property
     def findings(self) -> DataFrame:
         return path_findings(self.indexed, self.context, self.run.steps, self.run.workflows, self.run.integrity)
@@ -181,7 +204,7 @@ def analysis_summary() -> Column:
                     " Multi-effect verification: authoritative per-effect outcomes are under workflowTruthReport.steps[].effects.").otherwise("")
     return (
         F.when(phase == "p0", say("Run-level ingest or planning issue (", codes, "); origin: ", origin, "."))
-        .when(phase == "p1", say("A retrieval step failed before the failing tool observation (", F.coalesce("cause_event", F.lit("retrieval error")), "); origin: retrieval."))
+        .when(phase == "p1", say("A retrieval step failed before the failing tool observation (", F.coalesce("cause_source", F.lit("retrieval error")), "); origin: retrieval."))
         .when(phase == "p2", say("A model or control event indicates the run did not complete normally before the failing tool observation; origin: ", origin, "."))
         .when(phase == "p2b", F.lit("A branch or gate was skipped before the failing tool observation; decision-making may explain downstream behavior (see alternatives)."))
         .when(phase == "p3", F.lit("A tool was skipped before the failing tool observation; origin: tool_use."))

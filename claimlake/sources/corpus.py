@@ -38,17 +38,20 @@ def artifact_integrity(files: DataFrame) -> DataFrame:
 def load_corpus(files: DataFrame) -> DataFrame:
     """One row per run folder: ok with its result text, or the first problem in load order."""
     pick = lambda n: F.max(F.when(F.col("name") == n, F.decode("content", "UTF-8")))
-    runs = files.filter(F.col("name").isin(MANIFEST, *ARTIFACTS)).groupBy("run_id").agg(
-        pick(MANIFEST).alias("manifest"), pick(ARTIFACTS[0]).alias("result"), pick(ARTIFACTS[1]).alias("events"), F.max("modified_at").alias("modified_at"))
-    broken = artifact_integrity(files).filter("code is not null").groupBy("run_id").agg(F.min("code").alias("integrity_code"))
+    # the events file is only asked for: its content stays out of the shuffle
+    files_ = files.withColumn("content", F.when(F.col("name") != ARTIFACTS[1], F.col("content")))
+    runs = files_.filter(F.col("name").isin(MANIFEST, *ARTIFACTS)).groupBy("run_id").agg(
+        pick(MANIFEST).alias("manifest"), pick(ARTIFACTS[0]).alias("result"), F.bool_or(F.col("name") == ARTIFACTS[1]).alias("events"), F.max("modified_at").alias("modified_at"))
+    of = lambda n: F.max(F.when(F.col("name") == n, F.col("code")))
+    broken = artifact_integrity(files).filter("code is not null").groupBy("run_id").agg(of(ARTIFACTS[0]).alias("result_code"), of(ARTIFACTS[1]).alias("events_code"))
     parsed = lambda c: F.try_parse_json(c).isNull()
     doc = lambda p: F.get_json_object("manifest", p)
     code = (
         F.when(F.col("manifest").isNull(), "MISSING_AGENT_RUN").when(parsed("manifest"), "AGENT_RUN_JSON_SYNTAX")
         .when(doc("$.runId").isNull() | doc("$.workflowId").isNull() | doc("$.artifacts").isNull(), "AGENT_RUN_INVALID")
         .when(doc("$.runId") != F.col("run_id"), "RUN_ID_MISMATCH")
-        .when(F.col("result").isNull(), "MISSING_WORKFLOW_RESULT").when(F.col("events").isNull(), "MISSING_EVENTS")
-        .when(F.col("integrity_code").isNotNull(), F.col("integrity_code"))
+        .when(F.col("result").isNull(), "MISSING_WORKFLOW_RESULT").when(F.col("result_code").isNotNull(), F.col("result_code"))
+        .when(~F.col("events"), "MISSING_EVENTS").when(F.col("events_code").isNotNull(), F.col("events_code"))
         .when(parsed("result"), "WORKFLOW_RESULT_JSON_SYNTAX")
         .when(F.get_json_object("result", "$.workflowId") != doc("$.workflowId"), "WORKFLOW_RESULT_WORKFLOW_ID_MISMATCH")
     )
