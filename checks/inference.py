@@ -20,7 +20,7 @@ KEYS = {
 
 
 def state(spark: SparkSession, sf_dir: str) -> State:
-    return State.parquet(spark, sf_dir, ["customer", "orders"], {"orders": ["o_orderkey", "o_orderstatus"], "customer": ["c_custkey", "c_name"]})
+    return State.parquet(spark, sf_dir, ["customer", "orders"])
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

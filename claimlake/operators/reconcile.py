@@ -7,32 +7,30 @@ from pyspark.sql import functions as F
 
 from claimlake.functions.scalars import display_actual, display_expected, js_number, operational_message, scalar_match
 from claimlake.functions.stage import sealed
+from claimlake.session import stored
 from claimlake.sources.state import State, binding_types, key_text_claimed, state_facts
 
-# A registry whose table or column names come from params may touch at most this many bindings.
-MAX_BINDINGS = 10_000
-
-
-def discover_bindings(checks: DataFrame) -> list[str]:
-    """Binding names present in the claims. Metadata only, and its size is checked."""
-    rows = checks.filter("binding is not null").select("binding").distinct().limit(MAX_BINDINGS + 1).collect()
-    if len(rows) > MAX_BINDINGS:
-        raise ValueError(f"more than {MAX_BINDINGS} different table and key-column combinations are claimed")
+def discover_bindings(checks: DataFrame, state: State) -> list[str]:
+    """Bindings named in the claims that state can answer: combinations of its tables and columns, so metadata in size."""
+    known = {c for df in state.tables.values() for c in df.columns} | {c.lower() for df in state.tables.values() for c in df.columns}
+    parts = F.split("binding", "\\|")
+    columns = F.flatten(F.transform(F.slice(parts, F.lit(3), F.size(parts)), lambda p: F.split(p, ",")))
+    plain = F.transform(columns, lambda c: F.regexp_replace(c, r"^(left|right)\.", ""))
+    # names that are no table or column leave the list before it is collected
+    answerable = F.size(F.array_except(plain, F.array(*[F.lit(x) for x in sorted({"", *known, *state.tables})]))) == 0
+    rows = checks.filter(F.col("binding").isNotNull() & parts[1].isin(list(state.tables))).filter(answerable).select("binding").distinct().collect()
     return sorted(r[0] for r in rows)
 
 
 def attach_facts(spark: SparkSession, checks: DataFrame, state: State, bindings: list[str]) -> DataFrame:
-    """Add n, total and payload of each check's (binding, key).
+    """Add n, total and payload of each check's (binding, key). The checks are computed once: their keys cut state first.
 
     The fact side is a union of aggregates and so is shuffled by itself for the join; AQE can then
     split a hot key's claims over several tasks and re-read its one fact row.
     """
     types = binding_types(spark, state, bindings)
-    types = F.broadcast(types) if len(bindings) <= MAX_BINDINGS else types
-    typed = checks.join(types, "binding", "left").withColumn(
-        "key", F.zip_with("key_values", "key_kinds", key_text_claimed)
-    )
-    facts = state_facts(spark, state, bindings)
+    typed = stored(checks.join(types, "binding", "left").withColumn("key", F.zip_with("key_values", "key_kinds", key_text_claimed)))
+    facts = state_facts(spark, state, bindings, typed.filter("key is not null").select("binding", "key"))
     joined = typed.join(facts, ["binding", "key"], "left")
     if any(b.startswith("orphan|") and not b.endswith("|") for b in bindings):
         totals = facts.filter(F.col("binding").endswith("#anchors")).select(

@@ -29,7 +29,7 @@ def verify_claims(
     """Verdicts of resolved checks, optionally of some check kinds only."""
     if kinds:
         resolved = resolved.filter(F.col("check_kind").isin(kinds))
-    bindings = discover_bindings(resolved) if registry.needs_discovery() else registry_bindings(registry, kinds)
+    bindings = discover_bindings(resolved, state) if registry.needs_discovery() else registry_bindings(registry, kinds)
     return judge_checks(attach_facts(spark, resolved, state, bindings), kinds)
 
 

@@ -71,10 +71,7 @@ def registry() -> Registry:
 
 
 def state(spark: SparkSession, sf_dir: str) -> State:
-    return State.parquet(
-        spark, sf_dir, ["orders", "lineitem", "customer"],
-        {"orders": ["o_orderkey", "o_orderstatus", "o_totalprice"], "customer": ["c_custkey", "c_name"], "lineitem": ["l_orderkey", "l_linenumber", "l_quantity"]},
-    )
+    return State.parquet(spark, sf_dir, ["orders", "lineitem", "customer"])
 
 
 def fault(k: Column, shift: int = 0) -> Column:

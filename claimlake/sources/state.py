@@ -2,12 +2,14 @@
 
 A binding names one pre-aggregation of state: its kind, tables and key columns. Every check kind
 becomes a lookup of (binding, key): a row count, a sum, and for row checks the stored values.
-Each state table is aggregated once per binding, whatever the number of claims.
+State is first cut to the claimed keys, on the stored columns and their own types, and then aggregated
+once for each table and set of key columns, whatever the number of claims and of bindings that share it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections import defaultdict
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,14 @@ def key_text_stored(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
+def key_native(text: Column, dtype: T.DataType) -> Column:
+    """A claimed key's text as a value of the stored type; null, or a neighbour, where the type cannot hold it."""
+    kind = key_kind(dtype)
+    if kind == "time":
+        return F.timestamp_micros(text.try_cast("bigint")).cast(dtype)
+    return text if kind == "string" else text.try_cast(dtype)
+
+
 def key_text_claimed(value: Column, kind: Column) -> Column:
     """Claimed key values are text; a text that does not fit the column type matches nothing."""
     exact = value.try_cast("decimal(38,10)")
@@ -54,14 +64,13 @@ def key_text_claimed(value: Column, kind: Column) -> Column:
 
 @dataclass
 class State:
-    """Declared state tables, by lower-cased name. `columns` limits which stored values row checks may read."""
+    """Declared state tables, by lower-cased name."""
 
     tables: dict[str, DataFrame]
-    columns: dict[str, list[str]] = field(default_factory=dict)
 
     @staticmethod
-    def parquet(spark: SparkSession, base: str, names: list[str], columns: dict[str, list[str]] | None = None) -> "State":
-        return State({n: spark.read.parquet(f"{base}/{n}.parquet") for n in names}, columns or {})
+    def parquet(spark: SparkSession, base: str, names: list[str]) -> "State":
+        return State({n: spark.read.parquet(f"{base}/{n}.parquet") for n in names})
 
     @staticmethod
     def jdbc(spark: SparkSession, url: str, names: list[str], **options: str) -> "State":
@@ -145,39 +154,52 @@ def _present(columns: list[str], prefix: str = "") -> Column:
     return reduce(lambda a, b: a & b, [F.col(prefix + c).isNotNull() for c in columns], F.lit(True))
 
 
-def row_columns(state: State, table: str) -> list[T.StructField]:
-    limit = state.columns.get(table)
-    return [f for f in state.tables[table].schema.fields if limit is None or f.name in limit]
+def claimed_only(df: DataFrame, columns: list[str], wanted: DataFrame | None, texts: list[Column]) -> DataFrame:
+    """Rows of df whose columns are among the claimed keys; `texts` give the key texts in wanted."""
+    if wanted is None or not columns:
+        return df
+    kinds = {f.name.lower(): f.dataType for f in df.schema.fields}
+    names = [f"claimed_{i}" for i in range(len(columns))]
+    keys = wanted.select(*[key_native(t, kinds[c.lower()]).alias(n) for t, c, n in zip(texts, columns, names, strict=True)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(n) for c, n in zip(columns, names, strict=True)])
+    return df.join(keys, same, "left_semi")
 
 
-def _count_facts(state: State, b: Binding) -> DataFrame:
-    table = b.tables[0]
-    cols = [c for _, c in b.keys]
-    df = state.tables[table].filter(_present(cols))
+def exact_sum(column: str, dtype: T.DataType) -> Column:
+    """A sum that does not depend on the order of rows: whole numbers and decimals, and doubles that a decimal holds exactly."""
+    if isinstance(dtype, T.IntegralType):
+        return F.sum(F.col(column).cast("decimal(20,0)")).cast("double")
+    if isinstance(dtype, T.DecimalType):
+        return F.sum(column).cast("double")
+    held = F.col(column).cast("double")
+    exact = held.cast("decimal(38,10)")
+    inexact = F.count_if(held.isNotNull() & ~F.coalesce(exact.cast("double") == held, F.lit(False)))
+    return F.when(inexact == 0, F.sum(exact).cast("double")).otherwise(F.sum(held))
+
+
+def _table_facts(state: State, table: str, cols: list[str], bindings: list[Binding], wanted: DataFrame | None) -> DataFrame:
+    """Facts of all bindings that look up `table` by `cols`: one scan, one aggregate over the typed key columns."""
+    df = claimed_only(state.tables[table].filter(_present(cols)), cols, wanted, [F.col("key")[i] for i in range(len(cols))])
+    sums = sorted({b.kind[4:] for b in bindings if b.kind.startswith("sum:")})
+    fields = state.tables[table].schema.fields if any(b.kind == "row" for b in bindings) else []
+    wanted_aggs = [F.count(F.lit(1)).alias("fact_n"), *[exact_sum(c, state.dtype(table, c)).alias(f"fact_sum_{i}") for i, c in enumerate(sums)]]
+    if fields:
+        wanted_aggs.append(F.any_value(F.struct(*[F.col(f"`{f.name}`") for f in fields])).alias("fact_v"))
+    grouped = df.groupBy(*[F.col(c) for c in cols]).agg(*wanted_aggs)
+    none, empty = F.lit(None).cast("double"), F.lit(None).cast("map<string,string>")
+    entries = [x for f in fields for x in (F.lit(f.name.lower()), stored_text(F.col(f"fact_v.`{f.name}`"), f.dataType))]
+    payload = F.when(F.col("fact_n") == 1, F.create_map(*entries)) if fields else empty
+    rows = []
+    for b in bindings:
+        total = F.coalesce(f"fact_sum_{sums.index(b.kind[4:])}", F.lit(0.0)) if b.kind.startswith("sum:") else none
+        rows.append(F.struct(F.lit(b.name).alias("binding"), F.col("fact_n").alias("n"), total.alias("total"), (payload if b.kind == "row" else empty).alias("payload")))
     key = _key(state, table, cols).alias("key")
-    none = F.lit(None).cast("double")
-    empty = F.lit(None).cast("map<string,string>")
-    if b.kind == "row":
-        values = row_columns(state, table)
-        entries = [x for f in values for x in (F.lit(f.name.lower()), stored_text(F.col(f"v.`{f.name}`"), f.dataType))]
-        grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*[f"`{f.name}`" for f in values])).alias("v"))
-        return grouped.select("key", "n", none.alias("total"), F.when(F.col("n") == 1, F.create_map(*entries)).alias("payload"))
-    if b.kind == "count":
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select("key", "n", none.alias("total"), empty.alias("payload"))
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(b.kind[4:]).cast("double")).alias("total")).select(
-        "key", "n", F.coalesce("total", F.lit(0.0)).alias("total"), empty.alias("payload")
-    )
+    if len(rows) == 1:
+        return grouped.select(*[rows[0][c].alias(c) for c in ("binding",)], key, *[rows[0][c].alias(c) for c in ("n", "total", "payload")])
+    return grouped.select(key, F.inline(F.array(*rows))).select("binding", "key", "n", "total", "payload")
 
 
-def _side_columns(state: State, b: Binding, side: int, prefix: str, extra: list[str]) -> DataFrame:
-    table = b.tables[side]
-    keys = [c.split(".")[-1] for t, c in b.keys] if b.kind != "join" else [c.split(".")[-1] for t, c in b.keys if c.startswith(("left.", "right.")[side])]
-    have = {f.name.lower() for f in state.tables[table].schema.fields}
-    wanted = sorted({c for c in [*keys, *extra] if c.lower() in have})
-    return state.tables[table].select(*[F.col(c).alias(prefix + c) for c in wanted])
-
-
-def _join_facts(state: State, b: Binding) -> DataFrame:
+def _join_facts(state: State, b: Binding, wanted: DataFrame | None) -> DataFrame:
     """Joined row counts per filter key, without making the joined rows.
 
     Each side is counted per (join key, its own filter values) first, so a hot join key meets as
@@ -187,19 +209,19 @@ def _join_facts(state: State, b: Binding) -> DataFrame:
     lcols = [c.split(".")[1] for _, c in b.keys if c.startswith("left.")]
     rcols = [c.split(".")[1] for _, c in b.keys if c.startswith("right.")]
 
-    def side(table: str, join_col: str, cols: list[str], tag: str) -> DataFrame:
+    def side(table: str, join_col: str, cols: list[str], first: int, tag: str) -> DataFrame:
         df = state.tables[table].filter(F.col(join_col).isNotNull() & _present(cols))
-        return df.groupBy(
-            key_text_stored(F.col(join_col), state.dtype(table, join_col)).alias("j"), _key(state, table, cols).alias(tag)
-        ).agg(F.count(F.lit(1)).alias(f"n_{tag}"))
+        df = claimed_only(df, cols, wanted, [F.col("key")[first + i] for i in range(len(cols))])
+        grouped = df.groupBy(*[F.col(c) for c in dict.fromkeys([join_col, *cols])]).agg(F.count(F.lit(1)).alias(f"n_{tag}"))
+        return grouped.select(key_text_stored(F.col(join_col), state.dtype(table, join_col)).alias("j"), _key(state, table, cols).alias(tag), f"n_{tag}")
 
-    pairs = side(lt, b.names[0], lcols, "l").join(side(rt, b.names[1], rcols, "r"), "j")
+    pairs = side(lt, b.names[0], lcols, 0, "l").join(side(rt, b.names[1], rcols, len(lcols), "r"), "j")
     return pairs.groupBy(F.concat("l", "r").alias("key")).agg(F.sum(F.col("n_l") * F.col("n_r")).alias("n")).select(
         "key", "n", F.lit(None).cast("double").alias("total"), F.lit(None).cast("map<string,string>").alias("payload")
     )
 
 
-def orphan_parts(state: State, b: Binding) -> tuple[DataFrame, DataFrame | None]:
+def orphan_parts(state: State, b: Binding, wanted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Anchor rows per anchor filter, and the correction per (anchor filter, lookup filter).
 
     Rows of `anchor LEFT JOIN lookup ON key AND lookup filter WHERE presence IS NULL` equal all anchor
@@ -209,12 +231,12 @@ def orphan_parts(state: State, b: Binding) -> tuple[DataFrame, DataFrame | None]
     ac, lc, pc = b.names
     fa = [c for _, c in b.keys[: b.n_anchor_keys]]
     fl = [c for _, c in b.keys[b.n_anchor_keys:]]
-    anchors = state.tables[at].filter(_present(fa)).groupBy(
-        key_text_stored(F.col(ac), state.dtype(at, ac)).alias("j"), _key(state, at, fa).alias("a")
-    ).agg(F.count(F.lit(1)).alias("n_a"))
-    lookups = state.tables[lt].filter(F.col(lc).isNotNull() & _present(fl)).groupBy(
-        key_text_stored(F.col(lc), state.dtype(lt, lc)).alias("j"), _key(state, lt, fl).alias("l")
-    ).agg(F.count_if(F.col(pc).isNull()).alias("absent"))
+    anchor_rows = claimed_only(state.tables[at].filter(_present(fa)), fa, wanted, [F.col("key")[i] for i in range(len(fa))])
+    anchors = anchor_rows.groupBy(*[F.col(c) for c in dict.fromkeys([ac, *fa])]).agg(F.count(F.lit(1)).alias("n_a")).select(
+        key_text_stored(F.col(ac), state.dtype(at, ac)).alias("j"), _key(state, at, fa).alias("a"), "n_a")
+    lookup_rows = claimed_only(state.tables[lt].filter(F.col(lc).isNotNull() & _present(fl)), fl, wanted, [F.col("key")[len(fa) + i] for i in range(len(fl))])
+    lookups = lookup_rows.groupBy(*[F.col(c) for c in dict.fromkeys([lc, *fl])]).agg(F.count_if(F.col(pc).isNull()).alias("absent")).select(
+        key_text_stored(F.col(lc), state.dtype(lt, lc)).alias("j"), _key(state, lt, fl).alias("l"), "absent")
     everything = anchors.groupBy("a").agg(F.sum("n_a").alias("anchors"))
     found = anchors.join(lookups, "j").groupBy("a", "l").agg(
         F.sum("n_a").alias("found"), F.sum(F.col("n_a") * F.col("absent")).alias("absent")
@@ -222,38 +244,38 @@ def orphan_parts(state: State, b: Binding) -> tuple[DataFrame, DataFrame | None]
     return everything, found
 
 
-def _orphan_facts(state: State, b: Binding) -> DataFrame:
-    everything, found = orphan_parts(state, b)
+def _orphan_facts(state: State, b: Binding, wanted: DataFrame | None) -> list[DataFrame]:
+    everything, found = orphan_parts(state, b, wanted)
     none, empty = F.lit(None).cast("double").alias("total"), F.lit(None).cast("map<string,string>").alias("payload")
+    named = F.lit(b.name).alias("binding")
     if b.n_anchor_keys == len(b.keys):
         merged = everything.join(found.select("a", "found", "absent"), "a", "left")
         left = F.col("anchors") - F.coalesce("found", F.lit(0)) + F.coalesce("absent", F.lit(0))
-        return merged.select(F.col("a").alias("key"), left.alias("n"), none, empty)
+        return [merged.select(named, F.col("a").alias("key"), left.alias("n"), none, empty)]
     # With lookup filters the claim brings the lookup value: totals and corrections stay separate facts.
-    corrections = found.select(F.concat("a", "l").alias("key"), (F.col("absent") - F.col("found")).alias("n"), none, empty)
-    return corrections
+    corrections = found.select(named, F.concat("a", "l").alias("key"), (F.col("absent") - F.col("found")).alias("n"), none, empty)
+    totals = everything.select(F.lit(f"{b.name}#anchors").alias("binding"), F.col("a").alias("key"), F.col("anchors").alias("n"), none, empty)
+    return [corrections, totals]
 
 
-def state_facts(spark: SparkSession, state: State, names: list[str]) -> DataFrame:
-    """All keyed facts of the given bindings: (binding, key) is unique."""
+def state_facts(spark: SparkSession, state: State, names: list[str], claimed: DataFrame | None = None) -> DataFrame:
+    """Keyed facts of the given bindings: (binding, key) is unique.
+
+    claimed: the (binding, key) that are asked for; without it, every key of state has its facts.
+    """
+    readable = [b for b in map(Binding.parse, names) if b.readable(state)]
+    asked = lambda *bs: None if claimed is None else claimed.filter(F.col("binding").isin([b.name for b in bs])).select("key")
+    shared: dict[tuple, list[Binding]] = defaultdict(list)
     parts = []
-    for name in names:
-        b = Binding.parse(name)
-        if not b.readable(state):
-            continue
+    for b in readable:
         if b.kind == "join":
-            part = _join_facts(state, b)
+            parts.append(_join_facts(state, b, asked(b)).select(F.lit(b.name).alias("binding"), "key", "n", "total", "payload"))
         elif b.kind == "orphan":
-            part = _orphan_facts(state, b)
-            if b.n_anchor_keys != len(b.keys):
-                totals = orphan_parts(state, b)[0].select(
-                    F.lit(f"{name}#anchors").alias("binding"), F.col("a").alias("key"), F.col("anchors").alias("n"),
-                    F.lit(None).cast("double").alias("total"), F.lit(None).cast("map<string,string>").alias("payload"),
-                )
-                parts.append(totals)
+            parts += _orphan_facts(state, b, asked(b))
         else:
-            part = _count_facts(state, b)
-        parts.append(part.select(F.lit(name).alias("binding"), "key", "n", "total", "payload"))
+            shared[b.tables[0], tuple(c for _, c in b.keys)].append(b)
+    for (table, cols), bs in shared.items():
+        parts.append(_table_facts(state, table, list(cols), bs, asked(*bs)))
     if not parts:
         return spark.createDataFrame([], FACT_SCHEMA)
     return reduce(DataFrame.unionByName, parts)
@@ -266,6 +288,6 @@ def binding_types(spark: SparkSession, state: State, names: list[str]) -> DataFr
         b = Binding.parse(name)
         if not b.readable(state):
             continue
-        kinds = {f.name.lower(): stored_kind(f.dataType) for f in row_columns(state, b.tables[0])} if b.kind == "row" else {}
+        kinds = {f.name.lower(): stored_kind(f.dataType) for f in state.tables[b.tables[0]].schema.fields} if b.kind == "row" else {}
         rows.append((name, b.key_kinds(state), kinds, b.n_anchor_keys if b.kind == "orphan" else len(b.keys)))
     return spark.createDataFrame(rows, "binding string, key_kinds array<string>, field_kinds map<string,string>, n_anchor_keys int")
