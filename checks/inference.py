@@ -15,12 +15,15 @@ KEYS = {
     "customer": {"primary": ["c_custkey"], "foreign": {"c_nationkey": ("nation", "n_nationkey")}},
     "orders": {"primary": ["o_orderkey"], "foreign": {"o_custkey": ("customer", "c_custkey")}},
     "lineitem": {"primary": ["l_orderkey", "l_linenumber"], "foreign": {"l_orderkey": ("orders", "o_orderkey")}},
-    "part": {"primary": ["p_partkey"]}, "supplier": {"primary": ["s_suppkey"]},
+    "part": {"primary": ["p_partkey"]}, "supplier": {"primary": ["s_suppkey"], "foreign": {"s_nationkey": ("nation", "n_nationkey")}},
+    "nation": {"unique": [["n_nationkey"]], "foreign": {"n_regionkey": ("region", "r_regionkey")}}, "region": {"unique": [["r_regionkey"]]},
+    "events": {"primary": ["event_id"]}, "documents": {"primary": ["doc_id"]}, "pages": {"primary": ["page_id"]}, "benchmark": {"primary": ["item_id"]},
+    "conversations": {"primary": ["conv_id", "turn"]},
 }
 
 
 def state(spark: SparkSession, sf_dir: str) -> State:
-    return State.parquet(spark, sf_dir, ["customer", "orders"])
+    return State.parquet(spark, sf_dir, TABLES)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,20 +109,28 @@ def fk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.fk_checks(flat, catalog(spark, sf_dir), ["doc_id", "place"]).select("doc_id", "check_id", "path", "value")
 
 
-def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def row_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(actions, row units, relation units), verified against every table."""
     acts = actions(spark, sf_dir)
-    planned = Q.plan_units(Q.flatten_params(acts, ["doc_id", "place"]), acts, catalog(spark, sf_dir), TABLES)
-    return Q.verify_units(spark, planned, state(spark, sf_dir), {"orders": ["o_orderkey"], "customer": ["c_custkey"]})
+    flat, known, tables = Q.flatten_params(acts, ["doc_id", "place"]), catalog(spark, sf_dir), state(spark, sf_dir)
+    rows = Q.verify_units(spark, Q.plan_units(flat, acts, known, TABLES), tables, known)
+    return acts, rows, Q.verify_relations(spark, Q.fk_checks(flat, known, ["doc_id", "place"]), tables)
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts, rows, relations = row_units(spark, sf_dir)
+    return Q.all_units(rows, relations, acts.select("doc_id", "place", "params"))
 
 
-_UNITS = _ACT + """, u AS (SELECT doc_id, 'orders' AS table_name, CASE WHEN doc_id%17=0 THEN 'ROW_ABSENT' ELSE '' END AS code FROM a
-  UNION ALL SELECT doc_id, 'customer', CASE WHEN doc_id%7=0 THEN 'VALUE_MISMATCH' ELSE '' END FROM a)
+_UNITS = _ACT + """, u AS (SELECT doc_id, 'row' AS kind, 'orders' AS table_name, CASE WHEN doc_id%17=0 THEN 'ROW_ABSENT' ELSE '' END AS code, 0 AS unit FROM a
+  UNION ALL SELECT doc_id, 'row', 'customer', CASE WHEN doc_id%7=0 THEN 'VALUE_MISMATCH' ELSE '' END, 1 FROM a
+  UNION ALL SELECT doc_id, 'related_exists', 'lineitem', CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey=a.key) THEN '' ELSE 'RELATED_ROWS_ABSENT' END, 2 FROM a)
 """
 
 
-@query("quick_verify", _UNITS + "SELECT doc_id, table_name, CASE WHEN code='' THEN 'verified' ELSE 'fail' END AS verdict, code FROM u")
+@query("quick_verify", _UNITS + "SELECT doc_id, kind, table_name, CASE WHEN code='' THEN 'verified' ELSE 'fail' END AS verdict, code FROM u")
 def quick_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir).select("doc_id", "table_name", "verdict", F.coalesce("code", F.lit("")).alias("code"))
+    return units(spark, sf_dir).select("doc_id", "kind", "table_name", "verdict", F.coalesce("code", F.lit("")).alias("code"))
 
 
 @query("quick_rollup", _UNITS + "SELECT doc_id, COUNT(*) AS units, CASE WHEN COUNT(*) FILTER (WHERE code<>'')>0 THEN 'fail' ELSE 'pass' END AS verdict FROM u GROUP BY 1")
@@ -127,16 +138,53 @@ def quick_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.quick_rollup(units(spark, sf_dir), activity(spark, sf_dir))
 
 
-@query("export_registry")
+# Buckets are numbered by name. The customer bucket: a tool named after orders scores 0 for the table, 1 for the key and 1 for its best table, so 2/3; orders scores 1.
+_EXPORT = _UNITS + """, x AS (SELECT u.*, a.key, a.st, a.c, a.name, CASE WHEN kind='row' THEN 'const' WHEN code='' THEN 'related_exists' END AS export,
+  CASE WHEN kind='row' THEN 'quick:u' || rank ELSE 'quick:rel:fk:lineitem.l_orderkey' END AS tool_id FROM (SELECT *, CASE table_name WHEN 'customer' THEN 0 ELSE 1 END AS rank FROM u) u JOIN a USING (doc_id))
+"""
+
+
+@query("quick_export_eligibility", _EXPORT + "SELECT doc_id, kind, table_name, COALESCE(export, '') AS export FROM x")
+def quick_export_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units(spark, sf_dir).select("doc_id", "kind", "table_name", F.coalesce("export", F.lit("")).alias("export"))
+
+
+_ROW = """'{"effectDescriptionTemplate":"Quick inferred row: ' || table_name || '","toolId":"' || tool_id || '","verification":{"identityEq":[{"column":{"const":"' || {col} || '"},"value":{"const":"' || {val} || '"}}],"kind":"sql_row","requiredFields":{"pointer":"/__qvFields"},"table":{"const":"' || table_name || '"}}}'"""
+
+
+@query("export_registry", _EXPORT + """SELECT doc_id, tool_id, CASE table_name WHEN 'orders' THEN """ + _ROW.replace("{col}", "'o_orderkey'").replace("{val}", "key")
+       + " WHEN 'customer' THEN " + _ROW.replace("{col}", "'c_custkey'").replace("{val}", "c")
+       + """ ELSE '{"effectDescriptionTemplate":"Quick inferred related_exists: fk:lineitem.l_orderkey","toolId":"' || tool_id || '","verification":{"checks":[{"checkKind":"related_exists","childTable":{"const":"lineitem"},"id":"fk:lineitem.l_orderkey","matchEq":[{"column":{"const":"l_orderkey"},"value":{"const":"' || key || '"}}]}],"kind":"sql_relational"}}' END AS entry FROM x WHERE export IS NOT NULL""")
 def export_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.export_registry(units(spark, sf_dir)).select("doc_id", "tool_id", "entry")
 
 
-@query("export_replay_events")
+@query("export_replay_events", _EXPORT + """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tool_id) - 1 AS seq, tool_id,
+  CASE table_name WHEN 'orders' THEN '{"__qvFields":{"o_orderstatus":"' || st || '"}}' WHEN 'customer' THEN '{"__qvFields":{"c_name":"' || name || '"}}' ELSE '{}' END AS params FROM x WHERE export IS NOT NULL""")
 def export_replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.export_replay_events(Q.export_registry(units(spark, sf_dir)))
 
 
-@query("catalog_metadata", "SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) - 1 AS position FROM information_schema.columns WHERE table_name IN ('orders','customer','lineitem')")
+# Documents of eight orders' lines: whole JSON, lines behind prefixes with a broken one, prose around braces, and prose alone.
+@query("ingest_documents", """SELECT o_orderkey//8 AS doc_id, CASE o_orderkey//8%4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS rung,
+  CASE o_orderkey//8%4 WHEN 0 THEN count(*) WHEN 1 THEN count(*) WHEN 2 THEN 1 ELSE 0 END AS actions, CASE o_orderkey//8%4 WHEN 0 THEN 0 ELSE 1 END AS malformed_lines,
+  CASE WHEN o_orderkey//8%4=3 THEN 'INGEST_NO_STRUCTURED_TOOL_ACTIVITY' ELSE '' END AS code FROM orders GROUP BY o_orderkey//8""")
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = activity(spark, sf_dir).withColumn("doc", F.floor(F.col("doc_id") / 8)).withColumn("j", F.regexp_replace("line", "^[^{\\[]*", ""))
+    packed = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("doc_id", "j"))).alias("a"))
+    each = F.transform("a", lambda x: x["j"])
+    kind = F.col("doc") % 4
+    text = (
+        F.when(kind == 0, F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+        .when(kind == 1, F.concat(F.lit("WARN broken {\n"), F.array_join(F.transform(each, lambda j: F.concat(F.lit("2024-01-01 00:00:00 "), j)), "\n")))
+        .when(kind == 2, F.concat(F.lit("it said {not json} and "), F.regexp_replace(F.array_join(each, " then "), "^\\[|\\]$", "")))
+        .otherwise("nothing here, {brace"))
+    acts, docs = Q.ingest_documents(packed.select(F.col("doc").alias("doc_id"), text.alias("text")))
+    n = acts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("actions"))
+    return docs.join(n, "doc_id", "left").select(
+        "doc_id", F.coalesce("rung", F.lit(0)).alias("rung"), F.coalesce("actions", F.lit(0)).alias("actions"), "malformed_lines", F.coalesce("code", F.lit("")).alias("code"))
+
+
+@query("catalog_metadata", "SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) - 1 AS position FROM information_schema.columns")
 def catalog_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).filter(F.col("table_name").isin("orders", "customer", "lineitem")).select("table_name", "column_name", "position")
+    return catalog(spark, sf_dir).select("table_name", "column_name", "position")

@@ -2,49 +2,69 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.functions import scoring as S
-from claimlake.functions.decisions import log_salvage
+from claimlake.functions.decisions import ANSI, flat_key_pointer, log_salvage
 from claimlake.functions.scalars import js_number_text
 from claimlake.functions.stage import sealed
 from claimlake.operators.reconcile import attach_facts, judge_checks
 from claimlake.operators.resolve import locale_key
+from claimlake.operators.skew import block_positions
+from claimlake.session import stored
 from claimlake.sources.state import State
 
-# Size limits of one activity document.
-MAX_DEPTH, MAX_NODES, MAX_ACTIONS, MAX_UNITS = 6, 500, 50, 20
 TOOL_KEYS = ["toolId", "tool", "name", "function.name", "action"]
+# What is not a parameter of an action without a parameter object.
+NOT_PARAMS = ["tool_calls", "toolId", "tool", "name", "action", "function"]
 GLOBAL = "__global__"
+_REQUIRED = "array<struct<o:struct<a:string,b:string>,k:string,t:string,v:string>>"
+#: An action stands after the calls listed inside it.
+_OWN = 2**62
 
 
 # --- actions ------------------------------------------------------------------------------------
 
 def extract_actions(values: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, place, tool_name, params) from JSON values: objects, arrays of them, and tool_calls lists.
+    """(ids, place, tool_name, params) from JSON values: objects, arrays of them, and tool_calls lists, however deep.
 
-    values: ids, place (orderable), j (JSON text). Lists nest at most three deep in practice-shaped logs:
-    an array of messages, its tool_calls, and a call.
+    values: ids, place (orderable), j (JSON text). One pass for each level of lists; a level without rows ends it.
     """
-    array = "from_json(j, 'array<string>')"
-    calls = "from_json(get_json_object(j, '$.tool_calls'), 'array<string>')"
     level = values.select(*ids, F.array(F.col("place").cast("long")).alias("place"), "j")
     objects = []
-    for _ in range(3):
+    while True:
         head = F.substring(F.ltrim("j"), 1, 1)
         objects.append(level.filter(head == "{"))
-        level = level.select(*ids, "place", F.posexplode(F.expr(f"case when substring(ltrim(j), 1, 1) = '[' then {array} else {calls} end")).alias("i", "j")).select(
-            *ids, F.concat("place", F.array(F.col("i").cast("long"))).alias("place"), "j")
+        listed = F.expr("case when substring(ltrim(j), 1, 1) = '[' then from_json(j, 'array<string>') else from_json(get_json_object(j, '$.tool_calls'), 'array<string>') end")
+        inner = level.select(*ids, "place", F.posexplode(listed).alias("i", "j")).filter(F.substring(F.ltrim("j"), 1, 1).isin("{", "["))
+        level = stored(inner.select(*ids, F.concat("place", F.array(F.col("i").cast("long"))).alias("place"), "j"))
+        if level.isEmpty():
+            break
     every = objects[0]
     for more in objects[1:]:
         every = every.unionByName(more)
-    named = [F.get_json_object("j", "$." + k) for k in TOOL_KEYS]
-    tool = F.coalesce(*[F.when(n != "", n) for n in named])
-    body = lambda p: F.when(F.ltrim(F.get_json_object("j", p)).startswith("{"), F.get_json_object("j", p))
-    rest = F.to_json(F.map_filter(F.from_json("j", "map<string,string>"), lambda k, v: ~k.isin("tool_calls", "toolId", "tool", "name", "action", "function")))
-    params = F.coalesce(body("$.function.arguments"), body("$.params"), body("$.arguments"), body("$.input"), rest)
-    return sealed(every.select(*ids, "place", tool.alias("tool_name"), params.alias("params"))).filter("tool_name is not null")
+    at = lambda path: F.expr(f"try_variant_get(v, '$.{path}', 'variant')")
+    is_text = lambda path: F.coalesce(F.schema_of_variant(at(path)) == "STRING", F.lit(False))
+    text = lambda path: F.expr(f"try_variant_get(v, '$.{path}', 'string')")
+    tool = F.coalesce(*[F.when(is_text(k) & (text(k) != ""), text(k)) for k in TOOL_KEYS])
+
+    def body(path: str) -> Column:
+        """An object, or a text that reads as one, as JSON text in its own order."""
+        raw = F.trim(F.get_json_object("j", "$." + path))
+        return F.when(raw.startswith("{") & F.coalesce(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.lit(False)), raw)
+
+    named = is_text("function.name") & (text("function.name") != "")
+    rest = F.expr(f"to_json(map_filter(try_variant_get(v, '$', 'map<string,variant>'), (k, x) -> k not in ({', '.join(repr(k) for k in NOT_PARAMS)})))")
+    params = F.coalesce(F.when(named, body("function.arguments")), body("params"), body("arguments"), body("input"), body("function.arguments"), rest)
+    parsed = sealed(every.withColumn("v", F.try_parse_json("j"))).filter("v is not null")
+    own = F.concat("place", F.array(F.lit(_OWN)))
+    return sealed(parsed.select(*ids, own.alias("place"), tool.alias("tool_name"), params.alias("params"))).filter("tool_name is not null")
 
 
 def ingest_lines(lines: DataFrame) -> DataFrame:
@@ -52,29 +72,119 @@ def ingest_lines(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "place", log_salvage(F.col("line")).alias("j")).filter("j is not null")
 
 
+def balanced_objects(text: str) -> Iterator[str]:
+    """Brace-balanced pieces of a text, in order; quoted braces do not count. An open piece ends the search."""
+    at = text.find("{")
+    while at >= 0:
+        depth, quote, skip, end = 0, "", False, -1
+        for i in range(at, len(text)):
+            c = text[i]
+            if quote:
+                if skip:
+                    skip = False
+                elif c == "\\":
+                    skip = True
+                elif c == quote:
+                    quote = ""
+            elif c in "\"'":
+                quote = c
+            elif c == "{":
+                depth += 1
+            elif c == "}":
+                depth -= 1
+                if depth == 0:
+                    end = i + 1
+                    break
+        if end < 0:
+            return
+        yield text[at:end]
+        at = text.find("{", end)
+
+
+def ingest_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(actions, documents) of activity documents (doc_id, text): doc_id, place, tool_name, params; and doc_id, rung, malformed_lines, code.
+
+    Each document takes the first rung that gives an action: the whole text as JSON, its lines, or the first piece
+    between balanced braces.
+    """
+    clean = stored(documents.select("doc_id", F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "^\uFEFF", ""), ANSI, "").alias("text")))
+    ids = ["doc_id"]
+    whole = stored(extract_actions(clean.select("doc_id", F.lit(0).alias("place"), F.trim("text").alias("j")).filter("try_parse_json(j) is not null"), ids))
+    left = clean.join(whole.select("doc_id").distinct(), "doc_id", "left_anti")
+    lines = left.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.trim("line") != "")
+    read = stored(lines.select("doc_id", "place", log_salvage(F.col("line")).alias("j")))
+    by_line = stored(extract_actions(read.filter("j is not null"), ids))
+    malformed = read.groupBy("doc_id").agg(F.count_if(F.col("j").isNull()).alias("malformed_lines"))
+
+    def pieces(batches):
+        for batch in batches:
+            doc, place, found = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for n, piece in enumerate(balanced_objects(text)):
+                    doc.append(i)
+                    place.append(n)
+                    found.append(piece)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(place, pa.int64()), pa.array(found, pa.string())], ["doc_id", "place", "j"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    still = left.join(by_line.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "text")
+    braced = stored(extract_actions(still.mapInArrow(pieces, f"doc_id {kind}, place long, j string"), ids))
+    first = braced.groupBy("doc_id").agg(F.min(F.col("place")[0]).alias("piece"))
+    braced = braced.join(first, "doc_id").filter(F.col("place")[0] == F.col("piece")).drop("piece")
+    actions = whole.unionByName(by_line).unionByName(braced)
+    rung = whole.select("doc_id", F.lit(1).alias("rung")).unionByName(by_line.select("doc_id", F.lit(2).alias("rung"))).unionByName(braced.select("doc_id", F.lit(3).alias("rung"))).distinct()
+    judged = clean.join(rung, "doc_id", "left").join(malformed, "doc_id", "left").select(
+        "doc_id", "rung", F.coalesce("malformed_lines", F.lit(0)).alias("malformed_lines"),
+        F.when(F.col("rung").isNotNull(), F.lit(None)).when(F.trim("text") == "", "INGEST_NO_ACTIONS").otherwise("INGEST_NO_STRUCTURED_TOOL_ACTIVITY").alias("code"))
+    return actions, judged
+
+
+class _Number(str):
+    """A JSON number as it is written."""
+
+
+def _leaves(value, path: str, out: list) -> None:
+    """Scalars inside a parsed JSON value, keys in order: (path, kind, text). Lists are entered for the objects and lists in them."""
+    open_ = [(path, value)]
+    while open_:
+        path, value = open_.pop()
+        if isinstance(value, dict):
+            open_ += [(f"{path}.{k}" if path else k, value[k]) for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"), reverse=True)]
+        elif isinstance(value, list):
+            open_ += [(f"{path}[{i}]", value[i]) for i in range(len(value) - 1, -1, -1) if isinstance(value[i], dict | list)]
+        elif value is None:
+            out.append((path or "value", "null", "null"))
+        elif isinstance(value, bool):
+            out.append((path or "value", "boolean", "true" if value else "false"))
+        elif isinstance(value, _Number):
+            out.append((path or "value", "number", str(value)))
+        else:
+            out.append((path or "value", "string", value))
+
+
 def flatten_params(actions: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, path, t, v) for every scalar inside params, down to six levels and 500 nodes per action."""
-    # Every pass opens one more level in place: a container stays as a closed node beside its children.
-    child = """
-      case when open and startswith(sch, 'OBJECT') then concat(array(named_struct('path', path, 'ord', ord, 'node', node, 'open', false)),
-          transform(map_entries(try_variant_get(node, '$', 'map<string,variant>')), e -> named_struct(
-            'path', if(path = '', e.key, concat(path, '.', e.key)), 'ord', concat(ord, array(e.key)), 'node', e.value, 'open', true)))
-        when open and startswith(sch, 'ARRAY') then concat(array(named_struct('path', path, 'ord', ord, 'node', node, 'open', false)),
-          filter(transform(try_variant_get(node, '$', 'array<variant>'), (el, i) -> named_struct(
-            'path', concat(path, '[', i, ']'), 'ord', concat(ord, array(lpad(cast(i as string), 10, '0'))), 'node', el, 'open', true)),
-          x -> startswith(schema_of_variant(x.node), 'OBJECT') or startswith(schema_of_variant(x.node), 'ARRAY')))
-        else array(named_struct('path', path, 'ord', ord, 'node', node, 'open', open)) end"""
-    nodes = sealed(actions.select(*ids, F.lit("").alias("path"), F.array().cast("array<string>").alias("ord"), F.try_parse_json("params").alias("node"), F.lit(True).alias("open")))
-    for _ in range(MAX_DEPTH):
-        nodes = nodes.withColumn("sch", F.schema_of_variant("node")).select(*ids, F.explode(F.expr(child)).alias("c")).select(*ids, "c.*")
-    typed = sealed(nodes.withColumn("sch", F.schema_of_variant("node")))
-    # The root is the first node. An action's nodes are one params document, not data.
-    place = F.row_number().over(Window.partitionBy(*ids).orderBy("ord"))
-    kept = typed.withColumn("n", place).filter(F.col("n") <= MAX_NODES).filter(~F.col("sch").startswith("OBJECT") & ~F.col("sch").startswith("ARRAY"))
-    text = F.col("node").cast("string")
-    kind = F.when(F.col("sch") == "STRING", "string").when(F.col("sch") == "BOOLEAN", "boolean").when(F.col("sch") == "VOID", "null").otherwise("number")
-    value = F.when(F.col("sch") == "VOID", "null").when(F.col("sch").isin("STRING", "BOOLEAN", "BIGINT"), text).otherwise(js_number_text(text))
-    return kept.select(*ids, "path", kind.alias("t"), value.alias("v"))
+    """(ids, path, t, v, ord) for every scalar inside params, of any depth and number; ord is its place."""
+    out = T.StructType([actions.schema[c] for c in ids] + [T.StructField("path", T.StringType()), T.StructField("t", T.StringType()), T.StructField("v", T.StringType()), T.StructField("ord", T.IntegerType())])
+
+    def walk(batches):
+        reader = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+        for batch in batches:
+            row, found, place = [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                try:
+                    value = reader.decode(text or "")
+                except ValueError:
+                    continue
+                first = len(found)
+                _leaves(value, "", found)
+                row += [i] * (len(found) - first)
+                place += range(len(found) - first)
+            at = pa.array(row, pa.int64())
+            columns = [c.take(at) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([f[k] for f in found], pa.string()) for k in range(3)), pa.array(place, pa.int32())], [*ids, "path", "t", "v", "ord"])
+
+    flat = actions.select(*ids, "params").mapInArrow(walk, out)
+    return flat.withColumn("v", F.when(F.col("t") == "number", js_number_text(F.col("v"))).otherwise(F.col("v")))
 
 
 def dedupe_actions(flat: DataFrame, actions: DataFrame) -> DataFrame:
@@ -110,26 +220,31 @@ def segment_tables(flat: DataFrame, tables: list[str]) -> DataFrame:
 
 def param_column_scores(keys: DataFrame, catalog: DataFrame) -> DataFrame:
     """Distinct (table, mapping key) against the table's columns."""
-    columns = F.broadcast(catalog.select("table_name", "column_name", "is_primary"))
+    columns = catalog.select("table_name", "column_name", "is_primary")
     each = keys.select("table_name", "mapping_key").distinct().join(columns, "table_name")
     return sealed(each.withColumn("score", S.column_score(F.col("mapping_key"), F.col("column_name"))))
 
 
 def fk_checks(flat: DataFrame, catalog: DataFrame, ids: list[str]) -> DataFrame:
-    """Per action and foreign-key column: the best matching parameter, as a related-row check."""
-    edges = catalog.filter("ref_table is not null").select("table_name", "column_name")
-    names = [tuple(r) for r in edges.collect()]  # declared keys: a few rows of metadata
-    each = flat.select("path").distinct().select("path", F.explode(F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in names])).alias("e"))
-    scored = sealed(each.select("path", "e.table_name", "e.column_name", S.column_score(F.col("path"), F.col("e.column_name")).alias("score"))).filter(F.col("score") >= S.T_COLUMN)
-    hits = flat.filter("t <> 'null'").join(scored, "path")
-    best = hits.groupBy(*ids, "table_name", "column_name").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "v")).alias("b"))
-    return best.select(*ids, F.concat(F.lit("fk:"), "table_name", F.lit("."), "column_name").alias("check_id"), "table_name", "column_name", F.col("b.path").alias("path"), F.col("b.v").alias("value"))
+    """Per action and foreign-key column: the best matching parameter, as a related-row check; none where that parameter is null."""
+    edges = catalog.filter("ref_table is not null").select(F.lit(1).alias("k"), "table_name", "column_name", "position")
+    each = flat.select("path").distinct().withColumn("k", F.lit(1)).join(edges, "k").drop("k")  # names against the catalog's keys
+    scored = sealed(each.select("path", "table_name", "column_name", S.column_score(F.col("path"), F.col("column_name")).alias("score"))).filter(F.col("score") >= S.T_COLUMN)
+    best = flat.join(scored, "path").groupBy(*ids, "table_name", "column_name").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "path", "t", "v")).alias("b"))
+    return best.filter("b.t <> 'null'").select(*ids, F.concat(F.lit("fk:"), "table_name", F.lit("."), "column_name").alias("check_id"), "table_name", "column_name", F.col("b.path").alias("path"), F.col("b.v").alias("value"))
 
 
 # --- units --------------------------------------------------------------------------------------
 
+def key_columns(catalog: DataFrame) -> DataFrame:
+    """(table_name, column_name) of each table's key: its primary key, or else its first unique column by name."""
+    primary = catalog.filter("is_primary").select("table_name", "column_name")
+    unique = catalog.filter("is_unique").join(primary, "table_name", "left_anti").groupBy("table_name").agg(F.min("column_name").alias("column_name"))
+    return primary.unionByName(unique)
+
+
 def plan_units(flat: DataFrame, actions: DataFrame, catalog: DataFrame, tables: list[str]) -> DataFrame:
-    """Row expectations per (action, bucket): table, identity, required fields and confidence."""
+    """Row expectations per (action, bucket): table, identity, required fields and confidence. Every bucket gives a unit."""
     ids = ["doc_id", "place"]
     ranks = tool_table_scores(actions, tables)
     best = ranks.groupBy("tool_name").agg(
@@ -141,40 +256,93 @@ def plan_units(flat: DataFrame, actions: DataFrame, catalog: DataFrame, tables:
     nested = F.col("path").contains(".") & (F.col("bucket") != GLOBAL)
     keyed = sealed(paths.withColumn("bucket", bucket).withColumn("table_name", F.when(F.col("bucket") == GLOBAL, F.col("tool_table")).otherwise(F.col("bucket"))).withColumn(
         "mapping_key", F.when(nested, F.expr("substring(path, instr(path, '.') + 1)")).otherwise(F.col("path"))))
-    scores = param_column_scores(keyed, catalog).filter(F.col("score") >= S.T_COLUMN)
+    keys = key_columns(catalog).withColumn("is_key", F.lit(True))
+    columns = catalog.select("table_name", "column_name", "is_primary").join(keys, ["table_name", "column_name"], "left").withColumn("is_primary", F.coalesce("is_key", F.lit(False))).drop("is_key")
+    scores = param_column_scores(keyed, columns).filter(F.col("score") >= S.T_COLUMN)
     unit = [*ids, "tool_name", "bucket", "table_name", "s1", "s2"]
     mapped = keyed.join(scores, ["table_name", "mapping_key"]).groupBy(*unit, "column_name", "is_primary").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "path", "t", "v")).alias("p"))
+        F.min(F.struct((-F.col("score")).alias("s"), "mapping_key", "path", "t", "v")).alias("p"))
     pairs = F.struct(F.col("column_name").alias("column"), F.col("p.v").alias("value"))
     fields = F.struct(locale_key(F.col("column_name")).alias("o"), F.col("column_name").alias("k"), F.col("p.t").alias("t"), F.col("p.v").alias("v"))
-    keys = catalog.filter("is_primary").groupBy("table_name").agg(F.count(F.lit(1)).alias("n_keys"))
+    sources = F.struct(F.col("column_name").alias("column"), flat_key_pointer(F.col("p.path")).alias("pointer"))
     units = mapped.groupBy(*unit).agg(
         F.array_sort(F.collect_list(F.when(F.col("is_primary"), pairs))).alias("identity_eq"), F.array_sort(F.collect_list(F.when(~F.col("is_primary"), fields))).alias("required"),
-        F.min(F.when(F.col("is_primary"), -F.col("p.s"))).alias("key_score"))
-    scored = units.join(F.broadcast(keys), "table_name", "left")
+        F.array_sort(F.collect_list(F.when(F.col("is_primary"), sources))).alias("pointers"), F.min(F.when(F.col("is_primary"), -F.col("p.s"))).alias("key_score"))
+    every = keyed.select(*unit).distinct().join(units.drop("tool_name", "table_name", "s1", "s2"), [*ids, "bucket"], "left")
+    counted = every.join(keys.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_keys")), "table_name", "left")
     own = S.table_score(S.tokens(F.col("tool_name")), S.word_variants(F.col("table_name")))
-    whole = F.size("identity_eq") == F.col("n_keys")
+    whole = F.coalesce(F.size("identity_eq") == F.col("n_keys"), F.lit(False))
     ambiguous = (F.col("bucket") == GLOBAL) & (F.col("s1") - F.col("s2") <= S.T_AMBIGUITY)
-    return sealed(scored.select(
-        *unit, "identity_eq", "required", F.when(whole, F.least(F.lit(1.0), (own + F.col("key_score") + F.col("s1")) / 3)).otherwise(0.0).alias("confidence"),
-        F.when(ambiguous, "MAPPING_AMBIGUOUS").when(~F.coalesce(whole, F.lit(False)), "MAPPING_NO_UNIQUE_KEY")
-        .when((F.col("bucket") == GLOBAL) & (F.col("s1") < S.T_OVERALL), "MAPPING_LOW_CONFIDENCE").alias("mapping_code")))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return sealed(counted.select(
+        *unit, none("identity_eq", "array<struct<column:string,value:string>>"), none("required", _REQUIRED),
+        none("pointers", "array<struct<column:string,pointer:string>>"),
+        F.when(ambiguous, F.col("s1")).when(whole, F.least(F.lit(1.0), (own + F.col("key_score") + F.col("s1")) / 3)).otherwise(0.0).alias("confidence"),
+        F.when(ambiguous, "MAPPING_AMBIGUOUS").when(~whole, "MAPPING_NO_UNIQUE_KEY").alias("mapping_code"),
+        F.coalesce((F.col("bucket") == GLOBAL) & (F.col("s1") < S.T_OVERALL), F.lit(False)).alias("low_confidence")))
+
+
+_NO_PAIRS = "array<struct<column:string,value:string>>"
+
+
+def _verdict(status: Column) -> Column:
+    return F.when(status == "verified", "verified").when(status.isin("missing", "inconsistent"), "fail").otherwise("uncertain")
 
 
-def verify_units(spark: SparkSession, units: DataFrame, state: State, keys: dict[str, list[str]]) -> DataFrame:
-    """Row checks of the mapped units; unmapped ones are uncertain."""
+def _checks(units: DataFrame, kind: str, problem: Column, binding: Column, values: Column) -> DataFrame:
+    """Units in the shape that checks are judged in."""
     none = F.lit(None)
-    mapped = F.col("mapping_code").isNull()
-    binding = F.concat(F.lit("row|"), "table_name", F.lit("|"), F.array_join(F.transform("identity_eq", lambda p: p["column"]), ","))
-    checks = units.select(
-        "*", F.lit("sql_row").alias("check_kind"), F.lit("").alias("check_id"), F.when(~mapped, F.col("mapping_code")).alias("problem_code"), F.when(~mapped, F.col("mapping_code")).alias("problem_message"),
-        none.cast("string").alias("lookup_table"), F.array().cast("array<struct<column:string,value:string>>").alias("filter_eq"), none.cast("string").alias("fn"),
+    return units.select(
+        "*", F.col("required").alias("fields"), F.lit(kind).alias("check_kind"), problem.alias("problem_code"), problem.alias("problem_message"),
+        none.cast("string").alias("lookup_table"), F.array().cast(_NO_PAIRS).alias("filter_eq"), none.cast("string").alias("fn"),
         none.cast("string").alias("expect_op"), none.cast("double").alias("expect_value"),
-        F.when(mapped, binding).alias("binding"), F.when(mapped, F.transform("identity_eq", lambda p: p["value"])).alias("key_values"))
-    bindings = sorted(f"row|{t}|{','.join(sorted(k))}" for t, k in keys.items() if t in state.tables)
-    judged = judge_checks(attach_facts(spark, checks, state, bindings))
-    verdict = F.when(F.col("status") == "verified", "verified").when(F.col("status").isin("missing", "inconsistent"), "fail").otherwise("uncertain")
-    return judged.withColumn("verdict", verdict)
+        F.when(problem.isNull(), binding).alias("binding"), F.when(problem.isNull(), values).alias("key_values"))
+
+
+def verify_units(spark: SparkSession, units: DataFrame, state: State, catalog: DataFrame) -> DataFrame:
+    """Row checks of the mapped units; unmapped ones are uncertain. The bindings are the catalog's tables and keys."""
+    binding = F.concat(F.lit("row|"), "table_name", F.lit("|"), F.array_join(F.transform("identity_eq", lambda p: p["column"]), ","))
+    checks = _checks(units.withColumn("check_id", F.lit("")), "sql_row", F.col("mapping_code"), binding, F.transform("identity_eq", lambda p: p["value"]))
+    keyed = key_columns(catalog).groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("c")).collect()  # a row for each table
+    bindings = sorted(f"row|{r['table_name']}|{r['c']}" for r in keyed if r["table_name"] in state.tables)
+    return judge_checks(attach_facts(spark, checks, state, bindings)).withColumn("verdict", _verdict(F.col("status")))
+
+
+def verify_relations(spark: SparkSession, relations: DataFrame, state: State) -> DataFrame:
+    """Foreign-key checks, each (document, table, column) once: that of the first action that gives it."""
+    first = relations.groupBy("doc_id", "table_name", "column_name").agg(F.min(F.struct("place", "check_id", "path", "value")).alias("f")).select(
+        "doc_id", "table_name", "column_name", F.col("f.place").alias("place"), F.col("f.check_id").alias("check_id"), F.col("f.path").alias("path"), F.col("f.value").alias("value"))
+    pairs = F.array(F.struct(F.col("column_name").alias("column"), F.col("value").alias("value")))
+    shaped = first.withColumn("identity_eq", pairs).withColumn("required", F.array().cast(_REQUIRED))
+    binding = F.concat(F.lit("count|"), "table_name", F.lit("|"), "column_name")
+    checks = _checks(shaped, "related_exists", F.lit(None).cast("string"), binding, F.array("value"))
+    edges = relations.select("table_name", "column_name").distinct().collect()  # declared foreign keys at most
+    bindings = sorted({f"count|{t}|{c}" for t, c in edges})
+    return judge_checks(attach_facts(spark, checks, state, bindings), ["related_exists"]).withColumn("verdict", _verdict(F.col("status")))
+
+
+REL_CONFIDENCE = 0.8  # fixed value
+
+
+def all_units(rows: DataFrame, relations: DataFrame, params: DataFrame) -> DataFrame:
+    """Row and relation units of every document, numbered in the order actions bring them; whether and how each may be exported.
+
+    params: doc_id, place, params of the actions.
+    """
+    one = rows.select(
+        "doc_id", "place", F.lit("row").alias("kind"), F.col("bucket").alias("name"), "table_name", "confidence", "verdict", F.col("code"), "identity_eq", "fields", "pointers")
+    two = relations.select(
+        "doc_id", "place", F.lit("related_exists").alias("kind"), F.col("check_id").alias("name"), "table_name", F.lit(REL_CONFIDENCE).alias("confidence"), "verdict", "code", "identity_eq", "fields",
+        F.array().cast("array<struct<column:string,pointer:string>>").alias("pointers"))
+    both = one.unionByName(two).withColumn("turn", F.struct("place", (F.col("kind") == "related_exists").alias("late"), "name"))
+    numbered = block_positions(both, ["doc_id"], F.floor(F.col("place")[0] / 256), ["turn"], "unit").drop("turn").join(params, ["doc_id", "place"])
+    mapped = ~F.coalesce(F.col("code").startswith("MAPPING_"), F.lit(False))
+    pointed = (F.size("pointers") > 0) & ~F.exists("pointers", lambda p: p["pointer"].isNull())
+    return numbered.withColumn(
+        "export",
+        F.when(F.col("kind") == "related_exists", F.when((F.col("verdict") == "verified") & (F.col("confidence") >= S.T_EXPORT), "related_exists"))
+        .when(mapped & (F.col("confidence") >= S.T_EXPORT), "const")
+        .when(mapped & (F.col("verdict") == "verified") & (F.col("confidence") >= S.T_COLUMN) & pointed, "pointer"))
 
 
 def quick_rollup(units: DataFrame, documents: DataFrame) -> DataFrame:
@@ -187,18 +355,33 @@ def quick_rollup(units: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def export_registry(units: DataFrame) -> DataFrame:
-    """Registry entries of verified, confident units, as canonical JSON sorted by tool id."""
-    good = units.filter((F.col("verdict") == "verified") & (F.col("confidence") >= S.T_EXPORT))
-    tool = F.concat(F.lit("quick:"), F.col("tool_name"), F.lit(":"), F.col("table_name"))
-    identity = F.transform("identity_eq", lambda p: F.struct(F.struct(p["column"].alias("const")).alias("column"), F.struct(p["value"].alias("const")).alias("value")))
-    entry = F.to_json(F.struct(
-        F.lit("Inferred row expectation").alias("effectDescriptionTemplate"), tool.alias("toolId"),
-        F.struct(identity.alias("identityEq"), F.lit("sql_row").alias("kind"), F.struct(F.lit("/fields").alias("pointer")).alias("requiredFields"),
-                 F.struct(F.col("table_name").alias("const")).alias("table")).alias("verification")))
-    return good.select("doc_id", "place", tool.alias("tool_id"), entry.alias("entry"))
+    """Registry entries of units that may be exported, one registry for each document: tool ids are unique in it."""
+    tool = F.when(F.col("kind") == "row", F.concat(F.lit("quick:u"), F.col("unit").cast("string"))).otherwise(F.concat(F.lit("quick:rel:"), "name"))
+    const = lambda c: F.struct(c.alias("const"))
+    by_value = F.transform("identity_eq", lambda p: F.struct(const(p["column"]).alias("column"), const(p["value"]).alias("value")))
+    by_pointer = F.transform("pointers", lambda p: F.struct(const(p["column"]).alias("column"), F.struct(p["pointer"].alias("pointer")).alias("value")))
+    row = lambda identity: F.to_json(F.struct(
+        F.concat(F.lit("Quick inferred row: "), "table_name").alias("effectDescriptionTemplate"), tool.alias("toolId"),
+        F.struct(identity.alias("identityEq"), F.lit("sql_row").alias("kind"), F.struct(F.lit("/__qvFields").alias("pointer")).alias("requiredFields"), const(F.col("table_name")).alias("table")).alias("verification")))
+    related = F.to_json(F.struct(
+        F.concat(F.lit("Quick inferred related_exists: "), "name").alias("effectDescriptionTemplate"), tool.alias("toolId"),
+        F.struct(F.array(F.struct(F.lit("related_exists").alias("checkKind"), const(F.col("table_name")).alias("childTable"), F.col("name").alias("id"), by_value.alias("matchEq"))).alias("checks"), F.lit("sql_relational").alias("kind")).alias("verification")))
+    entry = F.when(F.col("export") == "const", row(by_value)).when(F.col("export") == "pointer", row(by_pointer)).otherwise(related)
+    return units.filter("export is not null").select("doc_id", "place", "export", tool.alias("tool_id"), entry.alias("entry"), "fields", "params")
 
 
 def export_replay_events(entries: DataFrame) -> DataFrame:
-    """Synthetic observations that replay exported entries: seq counts tools within a document."""
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("tool_id", "place")) - 1
-    return entries.select("doc_id", "tool_id", seq.cast("bigint").alias("seq"))
+    """Synthetic observations that replay exported entries: seq counts tools within a document by id."""
+    filled = F.concat(F.lit('"__qvFields":'), required_json(F.col("fields")), F.lit("}"))
+    params = (
+        F.when(F.col("export") == "related_exists", "{}").when(F.col("export") == "const", F.concat(F.lit("{"), filled))
+        .otherwise(F.when(F.trim("params") == "{}", F.concat(F.lit("{"), filled)).otherwise(F.concat(F.rtrim(F.regexp_replace("params", r"\}\s*$", "")), F.lit(","), filled))))
+    placed = block_positions(entries, ["doc_id"], F.substring("tool_id", 1, 10), ["tool_id"], "seq")
+    return placed.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "tool_id", params.alias("params"))
+
+
+def required_json(required: Column) -> Column:
+    """Required fields as a JSON object text, keys in order."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    pair = lambda f: F.concat(quoted(f["k"]), F.lit(":"), F.when(f["t"] == "string", quoted(f["v"])).otherwise(f["v"]))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.transform(required, lambda f: F.struct(f["k"].alias("k"), f["t"].alias("t"), f["v"].alias("v")))), pair), ","), F.lit("}"))
