@@ -219,13 +219,14 @@ def page_info_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_info(_rows(spark, sf_dir), 100, 100)
 
 
-@query("corpus_patterns", _LIST + "SELECT 'category' AS part, category AS name, COUNT(*) AS n FROM po WHERE status='inconsistent' GROUP BY 2 UNION ALL SELECT 'code', code, COUNT(*) FROM s JOIN po USING (workflow_id, run_index) WHERE code IS NOT NULL AND po.status='inconsistent' GROUP BY 2")
+@query("corpus_patterns", _LIST + "SELECT 'category' AS part, status, category AS name, COUNT(*) AS n FROM po GROUP BY 2, 3 UNION ALL SELECT 'code', po.status, code, COUNT(*) FROM s JOIN po USING (workflow_id, run_index) WHERE code IS NOT NULL GROUP BY 2, 3")
 def corpus_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = C.run_list_filter(_rows(spark, sf_dir), status="inconsistent")
-    matched = steps(spark, sf_dir).join(runs.select("workflow_id", "run_index"), ["workflow_id", "run_index"], "left_semi")
+    """Categories and codes of runs of every status."""
+    runs = C.run_list_filter(_rows(spark, sf_dir))
+    matched = steps(spark, sf_dir).drop("status").join(runs.select("workflow_id", "run_index", "status"), ["workflow_id", "run_index"])
     count = F.count(F.lit(1)).alias("n")
-    return runs.groupBy(F.lit("category").alias("part"), F.col("category").alias("name")).agg(count).unionByName(
-        matched.filter("code is not null").groupBy(F.lit("code").alias("part"), F.col("code").alias("name")).agg(count))
+    return runs.groupBy(F.lit("category").alias("part"), "status", F.col("category").alias("name")).agg(count).unionByName(
+        matched.filter("code is not null").groupBy(F.lit("code").alias("part"), "status", F.col("code").alias("name")).agg(count))
 
 
 def _pinned(spark: SparkSession, sf_dir: str, run: int) -> DataFrame:

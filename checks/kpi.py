@@ -110,10 +110,13 @@ def verify_workload_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.daily_workload(spark, funnel(spark, sf_dir), DAY)
 
 
-@query("dimension_fill", FUNNEL + """SELECT x.event, COUNT(fe.id) AS row_count FROM (VALUES ('acquisition_landed'),('integrate_landed'),('verify_started'),('verify_outcome')) x(event)
-LEFT JOIN fe ON fe.event=x.event AND created_at >= TIMESTAMP '2030-01-01' GROUP BY x.event""")
+@query("dimension_fill", FUNNEL + f"""SELECT x.event, b.workload_bucket, COUNT(fe.id) AS row_count FROM (VALUES ('verify_started'),('verify_outcome')) x(event) CROSS JOIN (VALUES ('bundled_examples'),('non_bundled'),('__other__')) b(workload_bucket)
+LEFT JOIN fe ON fe.event=x.event AND COALESCE(wc,'__other__')=b.workload_bucket AND {_D} AND (wc='non_bundled' OR fe.event='verify_outcome' AND wc IS NULL) GROUP BY 1, 2""")
 def dimension_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kpi.daily_counts(spark, funnel(spark, sf_dir), "2030-01-01").drop("day_utc")
+    """A day's events of which some (event, bucket) never happen: those appear with zero."""
+    rows = kpi.with_metadata(funnel(spark, sf_dir))
+    some = rows.filter((F.col("workload_class") == "non_bundled") | ((F.col("event") == "verify_outcome") & F.col("workload_class").isNull()))
+    return kpi.daily_workload(spark, some.select(*funnel(spark, sf_dir).columns), DAY).drop("day_utc")
 
 
 @query("join_quality_daily", FUNNEL + f"""SELECT '{DAY}' AS day_utc, event, COUNT(*) FILTER (WHERE trim(fid)<>'') AS rows_with_fid,
@@ -144,11 +147,15 @@ def event_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel(spark, sf_dir).groupBy("event", kpi.event_tier(F.col("event")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("catalog_partition", FUNNEL + "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS untiered, CAST(0 AS BIGINT) AS in_both FROM fe")
+@query("catalog_partition", FUNNEL + """, a AS (SELECT event FROM fe UNION ALL SELECT event_type FROM events)
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (event NOT IN ('acquisition_landed','integrate_landed','verify_started','verify_outcome','reserve_allowed')) AS untiered,
+  COUNT(*) FILTER (event IN ('acquisition_landed','integrate_landed','verify_started','verify_outcome') AND event='reserve_allowed') AS in_both FROM a""")
 def catalog_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funnel events are of one tier; the raw event types beside them are of none."""
     e = F.col("event")
     t, c = e.isin(kpi.TELEMETRY_EVENTS), e.isin(kpi.CORE_EVENTS)
-    return funnel(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~t & ~c).alias("untiered"), F.count_if(t & c).alias("in_both"))
+    rows = funnel(spark, sf_dir).select("event").unionByName(table(spark, sf_dir, "events").select(F.col("event_type").alias("event")))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~t & ~c).alias("untiered"), F.count_if(t & c).alias("in_both"))
 
 
 # --- usage --------------------------------------------------------------------------------

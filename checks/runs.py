@@ -227,12 +227,10 @@ def reservation_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replay(spark, rows, Z.reservation_expiry, "reservations", closing={"api_key": "closing", "run_id": "", "kind": "reserve", "created_at": CLOSING})
 
 
-@query("rolling_kpis", FUNNEL + """, d AS (SELECT unnest([TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-31']) AS as_of)
-SELECT strftime(as_of, '%Y-%m-%d') AS as_of, COUNT(DISTINCT install_id) AS distinct_installs FROM d JOIN fe ON created_at >= as_of - INTERVAL 7 DAY WHERE event='verify_started' AND install_id<>'' AND src IS DISTINCT FROM 'local_dev' GROUP BY 1""")
+@query("rolling_kpis", FUNNEL + """, d AS (SELECT unnest(range((SELECT date_trunc('day', min(created_at)) FROM fe), (SELECT max(created_at) FROM fe), INTERVAL 1 DAY)) AS as_of)
+SELECT strftime(as_of, '%Y-%m-%d') AS as_of, COUNT(DISTINCT install_id) FILTER (event='verify_started' AND install_id<>'') AS distinct_installs, COUNT(*) FILTER (event='verify_outcome') AS outcome_rows
+FROM d JOIN fe ON created_at >= as_of - INTERVAL 7 DAY WHERE src IS DISTINCT FROM 'local_dev' GROUP BY 1""")
 def rolling_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from functools import reduce
-
     from claimlake.plans import kpi
 
-    days = ["2024-01-15", "2024-01-22", "2024-01-31"]
-    return reduce(DataFrame.unionByName, [kpi.active_installs(funnel(spark, sf_dir), d).select(F.lit(d).alias("as_of"), "distinct_installs") for d in days])
+    return kpi.rolling(funnel(spark, sf_dir))

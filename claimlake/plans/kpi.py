@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Event names by tier, and the lists that daily reports fill with zeros.
@@ -103,6 +103,25 @@ def active_installs(events: DataFrame, as_of: str) -> DataFrame:
     return rows.groupBy("install_id").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("distinct_installs"))
 
 
+def rolling(events: DataFrame, days: int = 7) -> DataFrame:
+    """For every day of the data, installs and outcomes from `days` before that day on: one scan for all days.
+
+    An install counts for every day up to `days` after its last start, an outcome for every day up to `days` after it,
+    so counts per last day are summed from the last day backwards; that table has one row for each day.
+    """
+    rows = with_metadata(events).filter(not_local())
+    reach = F.to_date(F.col("created_at") + F.make_dt_interval(days=F.lit(days)))
+    started = is_event("verify_started") & F.col("install_id").isNotNull() & (F.col("install_id") != "")
+    installs = rows.filter(started).groupBy("install_id").agg(F.max(reach).alias("until")).groupBy("until").agg(F.count(F.lit(1)).alias("installs"), F.lit(0).cast("bigint").alias("outcomes"))
+    outcomes = rows.filter(is_event("verify_outcome")).groupBy(reach.alias("until")).agg(F.lit(0).cast("bigint").alias("installs"), F.count(F.lit(1)).alias("outcomes"))
+    span = events.agg(F.to_date(F.min("created_at")).alias("a"), F.max("created_at").alias("b")).select(F.explode(F.sequence("a", F.to_date("b"))).alias("day"), "b").filter(F.col("day") < F.col("b"))
+    seen = span.select("day", F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("installs"), F.lit(0).cast("bigint").alias("outcomes"))
+    line = seen.unionByName(installs.unionByName(outcomes).select(F.col("until").alias("day"), F.lit(1).alias("k"), "installs", "outcomes"))
+    later = Window.orderBy(F.col("day").desc(), F.col("k").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return line.withColumn("distinct_installs", F.sum("installs").over(later)).withColumn("outcome_rows", F.sum("outcomes").over(later)).filter("k = 0").select(
+        F.date_format("day", "yyyy-MM-dd").alias("as_of"), "distinct_installs", "outcome_rows")
+
+
 def time_to_first_outcome(events: DataFrame) -> DataFrame:
     """Seconds from an id's first landing to its first outcome, rounded; null while a side is missing."""
     rows = with_metadata(events).filter(F.col("funnel_anon_id").isNotNull())
