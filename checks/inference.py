@@ -40,7 +40,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("orders.upsert").alias("name"), F.to_json(params).alias("arguments")).alias("function"))).alias("tool_calls")))
     listed = F.to_json(F.array(F.struct(F.lit("orders.upsert").alias("tool"), params.alias("input"))))
     line = F.when(k % 3 == 0, plain).when(k % 3 == 1, call).otherwise(F.concat(F.lit("2024-01-01T00:00:00Z INFO "), listed))
-    return spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.lit(0).alias("place"), line.alias("line"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(k.alias("doc_id"), F.lit(0).alias("place"), line.alias("line"))
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,13 @@ _NSP = r"[^\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 n AS (SELECT doc_id, t, length(t) + length(regexp_replace(t, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS n FROM r)
 SELECT doc_id, CASE WHEN n>240 THEN '[REDACTED_LONG_STRING_LEN_' || n || ']' ELSE t END AS redacted FROM n""")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", D.redact(F.col("text"), shorten=True).alias("redacted"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", D.redact(F.col("text"), shorten=True).alias("redacted"))
 
 
 @query("operational_message", """WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t)>2048 THEN substr(t, 1, 2045) || '...' ELSE t END AS message FROM f""")
 def operational_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", S.display_message(F.col("text")).alias("message"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", S.display_message(F.col("text")).alias("message"))
 
 
 # Both again without the display's length rules: whole texts.
@@ -165,7 +165,7 @@ def scalar_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored_kind = kind("str", "num", "str", "num", "num", "num")
     stored = kind(F.concat(F.lit(" "), price), price, F.col("o_orderstatus"), price, k.cast("string"), price)
     del null
-    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", S.scalar_match(expected_type, expected, stored_kind, stored).alias("matches"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", S.scalar_match(expected_type, expected, stored_kind, stored).alias("matches"))
 
 
 _LABEL = """SELECT workflow_id, seq, CASE status WHEN 'verified' THEN 'VERIFIED' WHEN 'missing' THEN 'FAILED_ROW_MISSING' WHEN 'inconsistent' THEN 'FAILED_VALUE_MISMATCH' WHEN 'partially_verified' THEN 'PARTIALLY_VERIFIED' ELSE 'INCOMPLETE_CANNOT_VERIFY' END AS label,

@@ -10,26 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot. Keys beyond it hold under 1/HOT_KEYS of the
-# rows each, which one task can take; the list itself is small enough to broadcast.
-HOT_KEYS = 1000
-HOT_KEY_ROWS = 2_000_000
 SALTS = 64
 
 
 def hot_key_rows(df: DataFrame, keys: list[str], min_rows: int | None = None) -> DataFrame:
-    """The hottest keys: at most HOT_KEYS rows, so a broadcast of it is bounded.
-
-    Keys that do not make the list take the ordinary join path; no row is dropped.
+    """Keys with more rows than a partition has on average, or than min_rows. There are fewer of them than
+    partitions, so a broadcast of the list is bounded; the others take the ordinary join path.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") >= F.lit(min_rows or HOT_KEY_ROWS))
-        .orderBy(F.col("__rows").desc(), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    if min_rows is not None:
+        hot = counted.filter(F.col("__rows") >= min_rows)
+    else:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = counted.filter(F.col("__rows") * partitions > counted.agg(F.sum("__rows")).scalar())
+    return hot.select(*keys, F.lit(True).alias("__hot"))
 
 
 def lookup_join(

@@ -20,12 +20,12 @@ def hour_start(ts: Column) -> Column:
 def usage_monthly(reservations: DataFrame, limit: int) -> DataFrame:
     """Per (key, run): its first reservation, month, place in the month, and whether the quota allows it.
 
-    Repeats of a run are free. Places are counted per day block, so one busy key is not one task.
+    Repeats of a run are free. Places are counted per minute, so one busy key, or one busy day of it, is not one task.
     """
     first = reservations.groupBy("api_key", "run_id").agg(F.min("created_at").alias("first_at")).withColumn(
         "month", F.date_format("first_at", "yyyy-MM")
     )
-    placed = block_positions(first, ["api_key", "month"], F.to_date("first_at"), ["first_at", "run_id"], "place")
+    placed = block_positions(first, ["api_key", "month"], F.date_trunc("minute", "first_at"), ["first_at", "run_id"], "place")
     return placed.withColumn("allowed", F.col("place") < limit)
 
 
@@ -49,7 +49,7 @@ def key_usage(keys: DataFrame, counters: DataFrame, month: str, limits: dict[str
 def hourly_limit(requests: DataFrame, cap: int) -> DataFrame:
     """Each request's 1-based place in its (scope, key, UTC hour) and whether the cap lets it pass."""
     hourly = requests.withColumn("window_start", hour_start(F.col("ts")))
-    placed = block_positions(hourly, ["scope", "scope_key", "window_start"], F.date_trunc("minute", "ts"), ["ts", "id"], "before")
+    placed = block_positions(hourly, ["scope", "scope_key", "window_start"], F.date_trunc("second", "ts"), ["ts", "id"], "before")
     return placed.withColumn("place", F.col("before") + 1).withColumn("allowed", F.col("place") <= cap).drop("before")
 
 

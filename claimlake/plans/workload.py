@@ -83,15 +83,14 @@ def fault(k: Column, shift: int = 0) -> Column:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where a small input file is a single split. Inputs with many splits stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows that logs are derived from by key: a table may be one split, and its derived log is much larger than itself."""
+    return df.repartition(key)
 
 
 def claims(orders: DataFrame, shift: int = 0) -> DataFrame:
     """One claim per order: workflow, seq, tool, params text, timestamp."""
-    orders = sealed(spread(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")).withColumn("fault", fault(F.col("o_orderkey"), shift)))
+    orders = sealed(spread(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderkey").withColumn("fault", fault(F.col("o_orderkey"), shift)))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     f = F.col("fault")
     tool = F.when(f == "unknown", "ghost.tool").otherwise(
@@ -211,7 +210,7 @@ def saved_steps(orders: DataFrame, runs: int = 3) -> DataFrame:
         F.when(hit(17), "missing").when(hit(13), "inconsistent").when(hit(19), "incomplete_verification").when(hit(11), "partially_verified").otherwise("verified")
     )
     code = F.when(hit(17), "ROW_ABSENT").when(hit(13), "VALUE_MISMATCH").when(hit(19), "UNKNOWN_TOOL").when(hit(11), "MULTI_EFFECT_PARTIAL")
-    rows = spread(orders.select("o_orderkey", "o_orderdate")).withColumn("run_index", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).filter(F.pmod(k + r, F.lit(23)) != 0)
+    rows = spread(orders.select("o_orderkey", "o_orderdate"), "o_orderkey").withColumn("run_index", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).filter(F.pmod(k + r, F.lit(23)) != 0)
     second = F.when(F.pmod(h, F.lit(2)) == 0, F.struct(F.lit("b").alias("id"), F.lit("missing").alias("status"), F.lit("ROW_ABSENT").alias("code"))).otherwise(
         F.struct(F.lit("b").alias("id"), F.lit("inconsistent").alias("status"), F.lit("VALUE_MISMATCH").alias("code")))
     first = F.struct(F.lit("a").alias("id"), F.lit("verified").alias("status"), F.lit(None).cast("string").alias("code"))

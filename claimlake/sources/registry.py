@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlake.functions.jsonval import pointer_paths
-
-# Largest registry that is broadcast; a larger one is joined by shuffle.
-BROADCAST_ENTRIES = 20_000
+from claimlake.session import stored
 
 _STR = T.StringType()
 
@@ -169,16 +167,12 @@ class Registry:
         return rows
 
     def checks(self, spark: SparkSession) -> DataFrame:
-        """One row per (tool, check), broadcast while the registry is small."""
-        rows = self.check_rows()
-        df = spark.createDataFrame(rows, CHECK_SCHEMA)
-        return F.broadcast(df) if len(rows) <= BROADCAST_ENTRIES else df
+        """One row per (tool, check). It is a small file, so the optimizer knows its size and picks the join."""
+        return stored(spark.createDataFrame(self.check_rows(), CHECK_SCHEMA).coalesce(1))
 
     def fixed_checks(self, spark: SparkSession) -> DataFrame:
         """The checks of a registry without pointer-driven names, with everything fixed worked out once."""
-        rows = [_fixed(r) for r in self.check_rows()]
-        df = spark.createDataFrame(rows, FIXED_SCHEMA)
-        return F.broadcast(df) if len(rows) <= BROADCAST_ENTRIES else df
+        return stored(spark.createDataFrame([_fixed(r) for r in self.check_rows()], FIXED_SCHEMA).coalesce(1))
 
     def needs_discovery(self) -> bool:
         """True when a table or column name comes from the claims themselves."""
