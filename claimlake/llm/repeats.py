@@ -32,7 +32,9 @@ from claimlake.llm.common import stash
 LENGTH, Q = 200, 40
 #: Members of a bucket from which its windows are counted over all tasks.
 HOT_BUCKET = 20_000
-_CHUNK_ROWS = 8192
+#: Buckets, at most, that are split over tasks, of those with so many anchors in one run of documents.
+SPLIT_BUCKETS, _OFTEN = 1024, 32
+_CHUNK_ROWS = 4096
 _FILTER_BITS = 1 << 23
 _PLACE_BITS = 20
 _U = np.uint64
@@ -103,7 +105,7 @@ def _kind(docs: DataFrame) -> str:
 
 
 def anchors(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """doc_id, tag, p, h (q-gram bucket), g (hull bucket; null where the hull leaves the text)."""
+    """doc_id, tag, p, h (q-gram bucket), g (hull bucket; null where the hull leaves the text), often (h is frequent nearby)."""
     def read(batches):
         for batch in batches:
             ids = batch.column(0)
@@ -115,12 +117,40 @@ def anchors(docs: DataFrame, length: int, q: int) -> DataFrame:
                 low, high = at - (length - q), at + length
                 whole = (low >= offsets[row]) & (high <= offsets[row + 1])
                 hull = K.span_hash(prefix, np.where(whole, low, 0), np.where(whole, high, 0))
+                h = K.span_hash(prefix, at, at + q).view(np.int64)
+                _, which, count = np.unique(h, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(row + first)), pa.array(tag[row], pa.int32()), pa.array((at - offsets[row]).astype(np.int64)),
-                    pa.array(K.span_hash(prefix, at, at + q).view(np.int64)), pa.array(hull.view(np.int64), mask=~whole),
-                ], ["doc_id", "tag", "p", "h", "g"])
+                    pa.array(h), pa.array(hull.view(np.int64), mask=~whole), pa.array(count[which] >= _OFTEN),
+                ], ["doc_id", "tag", "p", "h", "g", "often"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {_kind(docs)}, tag int, p long, h long, g long")
+    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {_kind(docs)}, tag int, p long, h long, g long, often boolean")
+
+
+def bucket_members(placed: DataFrame) -> DataFrame:
+    """Anchors of buckets of two or more: doc_id, tag, p, open (no hull like it), member (goes on to refinement).
+
+    The most frequent buckets pre-aggregate their hulls and meet them again in a join whose large partitions Spark
+    splits; the others, one shuffle and no more, are looked at where they stand together. Both say the same of any bucket,
+    so the list of frequent ones, at most SPLIT_BUCKETS long, need not be exact.
+    """
+    often = stash(placed.filter("often").groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(SPLIT_BUCKETS).select(F.col("h").alias("o")))
+    few = placed.join(F.broadcast(often), F.col("h") == F.col("o"), "left_anti")
+    by_bucket, by_hull = W.partitionBy("h"), W.partitionBy("h", "g")
+    looked = (
+        few.repartition("h").withColumn("nth", F.row_number().over(by_hull.orderBy("doc_id", "tag", "p")))
+        .withColumn("open", F.col("g").isNull() | (F.count("*").over(by_hull) == 1))
+        .withColumn("size", F.count("*").over(by_bucket)).withColumn("any_open", F.max("open").over(by_bucket)).filter(F.col("size") > 1)
+        .select("doc_id", "tag", "p", "open", ((F.col("open") | (F.col("nth") == 1)) & F.col("any_open")).alias("member"))
+    )
+    many = placed.join(F.broadcast(often), F.col("h") == F.col("o"), "left_semi")
+    hulls = many.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "p")).alias("one"))
+    buckets = hulls.groupBy("h").agg(F.sum("n").alias("size"), F.max(F.col("g").isNull() | (F.col("n") == 1)).alias("any_open")).filter(F.col("size") > 1)
+    said = hulls.join(buckets, "h").select(F.col("h").alias("bh"), F.col("g").alias("bg"), (F.col("g").isNull() | (F.col("n") == 1)).alias("open"), "any_open", "one")
+    joined = many.join(said, (F.col("h") == F.col("bh")) & F.col("g").eqNullSafe(F.col("bg"))).select(
+        "doc_id", "tag", "p", "open", ((F.col("open") | F.struct("doc_id", "tag", "p").eqNullSafe(F.col("one"))) & F.col("any_open")).alias("member"),
+    )
+    return looked.unionByName(joined)
 
 
 def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -289,15 +319,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, q: int = Q, hot_buc
     whole = info.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag")).alias("one")).filter((F.col("n") > 1)).select(F.col("digest").alias("e"), "one")
     info = stash(info.join(whole, F.col("digest") == F.col("e"), "left").select("doc_id", "tag", "n_bytes", "sha", (F.col("e").isNotNull() & (F.col("n_bytes") >= length)).alias("copied"), (F.col("e").isNotNull() & (F.struct("doc_id", "tag") == F.col("one"))).alias("stands")))
 
-    by_bucket, by_hull = W.partitionBy("h"), W.partitionBy("h", "g")
-    sorted_anchors = anchors(docs, length, q).repartition("h")
-    ranked = (
-        sorted_anchors.withColumn("nth", F.row_number().over(by_hull.orderBy("doc_id", "tag", "p")))
-        .withColumn("open", F.col("g").isNull() | (F.count("*").over(by_hull) == 1))
-        .withColumn("size", F.count("*").over(by_bucket)).withColumn("any_open", F.max("open").over(by_bucket))
-        .filter(F.col("size") > 1)
-        .select("doc_id", "tag", "p", "open", ((F.col("open") | (F.col("nth") == 1)) & F.col("any_open")).alias("member"))
-    )
+    ranked = bucket_members(stash(anchors(docs, length, q)))
     marks = ranked.groupBy("doc_id", "tag").agg(F.collect_list(F.when(~F.col("open"), F.col("p"))).alias("resolved"), F.collect_list(F.when(F.col("member"), F.col("p"))).alias("members"))
     known = info.filter("copied").select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "stands").distinct()
     marks = stash(
