@@ -67,6 +67,42 @@ def failure_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis(spark, sf_dir).analysis.select("workflow_id", "summary")
 
 
+_POLICY = "consistencyMode=strong; verificationWindowMs=0; pollIntervalMs=0"
+
+
+@query("correctness_definition", with_(ANALYSIS, f"""SELECT a.workflow_id, CASE phase WHEN 'p0' THEN 'run_ingest_integrity' WHEN 'p4' THEN 'event_capture_integrity' WHEN 'p5' THEN 'step_sql_expectation' ELSE 'run_context_fairness' END AS kind,
+  CASE phase WHEN 'p0' THEN 'Must: ingest for workflowId=' || a.workflow_id || ' SHALL deliver a valid captured run under policy [{_POLICY}] with no blocking run-level failures (codes: ' || code || ').'
+  WHEN 'p4' THEN 'Must: event capture for workflowId=' || a.workflow_id || ' SHALL preserve monotonic, well-formed ordering under policy [{_POLICY}] and SHALL NOT emit event-sequence fault codes '
+    || concat_ws(',', CASE WHEN capture_irregular THEN 'CAPTURE_ORDER_NOT_MONOTONIC_IN_SEQ' END, CASE WHEN f.seq_after IS NOT NULL THEN 'TIMESTAMP_NOT_MONOTONIC_WITH_SEQ_SORT_ORDER' END) || '.'
+  WHEN 'p5' THEN 'Must: after tool_observed seq=' || driver_seq || ' toolId=' || driver_tool_id || ', database state SHALL satisfy the verification contract in verificationRequest under policy [{_POLICY}] for workflowId=' || a.workflow_id || '.'
+  ELSE 'Must: before evaluating the failing tool observation at ingest_index=' || cause_index || ', upstream run context SHALL satisfy contract ' || CASE WHEN code='RETRIEVAL_ERROR' THEN 'retrieval_ok_before_observation'
+    WHEN code LIKE 'MODEL_TURN%' THEN 'model_turn_completed_before_observation' WHEN code='CONTROL_INTERRUPT' THEN 'no_interrupt_before_observation' WHEN code='CONTROL_BRANCH_SKIPPED' THEN 'branch_not_skipped_before_observation'
+    WHEN code='CONTROL_GATE_SKIPPED' THEN 'gate_not_skipped_before_observation' ELSE 'tool_not_skipped_before_observation' END || ' under policy [{_POLICY}] for workflowId=' || a.workflow_id || ' (primary codes: ' || code || ').' END AS must_always_hold,
+  CASE WHEN alt THEN 'manual_review' ELSE action END AS action
+FROM analysis a LEFT JOIN cap USING (workflow_id) LEFT JOIN firstdrop f USING (workflow_id)"""))
+def correctness_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimlake.plans.correctness import correctness_definitions
+
+    return correctness_definitions(diagnosis(spark, sf_dir).analysis).select("workflow_id", "kind", "must_always_hold", "action")
+
+
+# Every document's text becomes a plan that cites paths named after it, some under obligations and some not.
+@query("plan_path_harvest", """SELECT doc_id, unnest(list_filter(['src/a' || doc_id || '.ts', CASE WHEN doc_id%2=0 THEN 'docs/d' || doc_id || '.md' END, CASE WHEN doc_id%3=0 THEN 'test/t' || doc_id || '.mjs' END, 'schemas/todo' || doc_id || '.json'], lambda x: x IS NOT NULL)) AS path FROM documents""")
+def plan_path_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimlake.plans.harvest import harvest_paths
+
+    d = F.col("doc_id").cast("string")
+    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    n = F.col("doc_id")
+    body = say(
+        "---\ntitle: x\n---\n# ", d, "\n", F.coalesce(F.regexp_replace("text", "[`\\[\\]#]", " "), F.lit("")), "\n`src/before", d, ".ts` must change\n## Implementation notes\n",
+        "1. We must keep [the file](./src/a", d, ".TS) now. ![no](src/image", d, ".ts) Update\n", F.when(n % 2 == 0, "Update").otherwise("Read"), " `docs/d", d, ".md`\n",
+        "For example add `src/example", d, ".ts`\n```ts\nadd `src/fenced", d, ".ts`\n```\n## Testing\nmust pass `test/t", d, F.when(n % 3 == 0, ".mjs").otherwise(".exe"), "`\n",
+        "Expect: add `src/expected", d, ".ts`\n## Background\nAdd `src/background", d, ".ts`\n")
+    todos = F.array(say("create `schemas/todo", d, ".json`; similar to `schemas/old", d, ".json` update"))
+    return harvest_paths(table(spark, sf_dir, "documents").select("doc_id", body.alias("text"), todos.alias("todos")))
+
+
 # --- streams ---------------------------------------------------------------------------------------
 
 def _timed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -68,3 +68,17 @@ def test_focus_targets_name_events(spark):
     rows = [("w", 3, "e3", None), ("w", 3, "e3", None), ("v", None, "", 7), ("u", None, None, None)]
     got = T.focus_targets(spark.createDataFrame(rows, "workflow_id string, ingest_index long, run_event_id string, seq long")).collect()
     assert {tuple(r) for r in got} == {("w", "ingestIndex:3"), ("w", "runEventId:e3"), ("v", "seq:7")}
+
+
+def test_paths_are_harvested_under_obligations_only(spark):
+    from claimlake.plans.harvest import harvest_paths, qualified
+
+    text = (
+        "---\na: 1\n---\nadd `src/x.ts`\n## Deliverables\r\n- Add [x](<../no/src/up.ts>), [y](/repo/src/deep/src/y.JSON) and `docs/d.md`. Nothing for `schemas/s.sql`\n"
+        "same pattern: add `src/ref.ts`\n```\nadd `src/fence.ts`\n```lang\n```\n## Testing plan\nmust hold `test/t.ts`; Expect: `test/e.ts`\n## Notes\nadd `src/z.ts`\n")
+    rows = [(1, text, ["update `plans/p.md`; e.g. update `plans/q.md`"]), (2, "no front matter\n## Testing\nadd `src/a.ts`", []), (3, None, None)]
+    got = {tuple(r) for r in harvest_paths(spark.createDataFrame(rows, "doc_id long, text string, todos array<string>")).collect()}
+    assert got == {(1, "src/y.json"), (1, "docs/d.md"), (1, "plans/p.md")}
+    cases = {"file:///home/src/a%2Eb.ts": "src/a.b.ts", "./././docs/x.md": "docs/x.md", "src\\win\\a.js": "src/win/a.js", "src//a.ts": None, "src/a.exe": None, "lib/a.ts": None, "src/a.ts#l1": None}
+    for raw, path in cases.items():
+        assert one(spark, qualified(F.lit(raw))) == path, raw
