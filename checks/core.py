@@ -308,6 +308,19 @@ def sample_rows_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("l_orderkey", "l_linenumber", "place", "l_partkey")
 
 
+@query("failing_samples", with_(CHECKS, """, bad AS (SELECT DISTINCT s.rec, s.line_claimed FROM checks c JOIN step s USING (workflow_id, seq) WHERE c.code='ROW_PRESENT_WHEN_FORBIDDEN'),
+r AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem l JOIN bad ON l_orderkey=rec AND l_linenumber=line_claimed)
+SELECT l_orderkey, l_linenumber, CAST(rn AS INTEGER) AS place, l_partkey FROM r WHERE rn <= 3"""))
+def failing_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimlake.operators.reconcile import failing_samples as samples
+    from claimlake.plans.verify import registry_bindings
+
+    v = claimed(spark, sf_dir, ["sql_row_absent"])
+    found = samples(v.checks, v.state, registry_bindings(v.registry, v.kinds), {"lineitem": ["l_partkey", "l_suppkey", "l_extendedprice"]})
+    number = lambda c: F.get_json_object("row", f"$.{c}").cast("bigint").alias(c)
+    return found.select(number("l_orderkey"), number("l_linenumber"), "place", number("l_partkey"))
+
+
 @query("two_row_probe", """
 SELECT l_orderkey, l_linenumber, CAST(LEAST(COUNT(*), 2) AS INTEGER) AS row_count, CASE WHEN COUNT(*) > 1 THEN 'DUPLICATE_ROWS' ELSE '' END AS code
 FROM lineitem GROUP BY 1, 2""")

@@ -165,6 +165,20 @@ def export_replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.export_replay_events(Q.export_registry(units(spark, sf_dir)))
 
 
+@query("quick_reconciliation", _UNITS + """SELECT doc_id, kind, table_name, 'tool=orders.upsert; action#=0; parameters_digest={"customer.c_custkey":' || c || ',"customer.c_name":"' || name || '","o_orderkey":' || key || ',"o_orderstatus":"' || st || '"}' AS declared,
+  CASE table_name WHEN 'orders' THEN 'table=orders; table=orders identity=[o_orderkey=' || key || '] required_fields=[o_orderstatus]' WHEN 'customer' THEN 'table=customer; table=customer identity=[c_custkey=' || c || '] required_fields=[c_name]'
+    ELSE 'related_exists; id=fk:lineitem.l_orderkey' END AS expected,
+  CASE WHEN kind='related_exists' THEN CASE code WHEN '' THEN 'Related-exists scalar: present (1).' ELSE 'Related-exists scalar: absent (0).' END WHEN code='ROW_ABSENT' THEN 'rowCount=0'
+    WHEN code='VALUE_MISMATCH' THEN 'rowCount=1 field=c_name expected="nobody" actual="Customer#' || lpad(CAST(c AS VARCHAR), 9, '0') || '"' ELSE 'rowCount=1' END AS observed,
+  'outcome=' || CASE code WHEN '' THEN 'verified' ELSE 'fail' END || '; confidence=' || CASE table_name WHEN 'orders' THEN {orders} WHEN 'customer' THEN {customer} ELSE '0.8' END AS verdict_text
+FROM u JOIN a USING (doc_id)""".replace("{orders}", "'1'").replace("{customer}", "'0.667'"))
+def quick_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts, rows, relations = row_units(spark, sf_dir)
+    texts = Q.quick_reconciliation(rows, relations, Q.flatten_params(acts, ["doc_id", "place"]), acts)
+    table_name = F.when(F.col("kind") == "row", F.col("name")).otherwise("lineitem")
+    return texts.select("doc_id", "kind", table_name.alias("table_name"), "declared", "expected", "observed", "verdict_text")
+
+
 # Documents of eight orders' lines: whole JSON, lines behind prefixes with a broken one, prose around braces, and prose alone.
 @query("ingest_documents", """SELECT o_orderkey//8 AS doc_id, CASE o_orderkey//8%4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS rung,
   CASE o_orderkey//8%4 WHEN 0 THEN count(*) WHEN 1 THEN count(*) WHEN 2 THEN 1 ELSE 0 END AS actions, CASE o_orderkey//8%4 WHEN 0 THEN 0 ELSE 1 END AS malformed_lines,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.functions.scalars import display_actual, display_expected, js_number, operational_message, scalar_match
 from claimlake.functions.stage import sealed
 from claimlake.session import stored
-from claimlake.sources.state import State, binding_types, key_text_claimed, state_facts
+from claimlake.operators.topk import SAMPLE_ROWS, ranked
+from claimlake.sources.state import Binding, State, binding_types, claimed_only, key_text_claimed, key_text_stored, state_facts
 
 def discover_bindings(checks: DataFrame, state: State) -> list[str]:
     """Bindings named in the claims that state can answer: combinations of its tables and columns, so metadata in size."""
@@ -144,3 +147,22 @@ def judge_checks(joined: DataFrame, kinds: list[str] | None = None) -> DataFrame
         .withColumn("actual", F.when(F.col("code") == "VALUE_MISMATCH", failure["actual"]))
         .drop("failure", "key_kinds", "n", "total", "n_anchor_keys", "key_values")
     )
+
+
+def failing_samples(judged: DataFrame, state: State, bindings: list[str], order: dict[str, list[str]]) -> DataFrame:
+    """The first SAMPLE_ROWS stored rows behind each failing forbidden-row check: binding, key, place and the row as JSON.
+
+    judged: verdicts with binding and key. Only the failing checks' distinct keys reach state. order: a total order per table.
+    """
+    failing = stored(judged.filter("code = 'ROW_PRESENT_WHEN_FORBIDDEN'").select("binding", "key").distinct())
+    parts = []
+    for b in map(Binding.parse, bindings):
+        if b.kind != "count" or not b.readable(state):
+            continue
+        table, cols = b.tables[0], [c for _, c in b.keys]
+        asked = failing.filter(F.col("binding") == b.name)
+        rows = claimed_only(state.tables[table], cols, asked.select("key"), [F.col("key")[i] for i in range(len(cols))])
+        keyed = rows.select(F.lit(b.name).alias("binding"), F.array(*[key_text_stored(F.col(c), state.dtype(table, c)) for c in cols]).alias("key"), F.struct(*rows.columns).alias("row"))
+        parts.append(ranked(keyed, ["binding", "key"], [F.col(f"row.{c}") for c in order[table]], SAMPLE_ROWS).withColumn("row", F.to_json("row")).join(asked, ["binding", "key"], "left_semi"))
+    empty = judged.sparkSession.createDataFrame([], "binding string, key array<string>, row string, place int")
+    return reduce(DataFrame.unionByName, parts, empty)

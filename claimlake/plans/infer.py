@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from claimlake.functions import scoring as S
 from claimlake.functions.decisions import ANSI, flat_key_pointer, log_salvage
-from claimlake.functions.scalars import js_number_text
+from claimlake.functions.phrases import target_summary
+from claimlake.functions.scalars import js_number_text, operational_message
 from claimlake.functions.stage import sealed
 from claimlake.operators.reconcile import attach_facts, judge_checks
 from claimlake.operators.resolve import locale_key
@@ -345,6 +346,36 @@ def all_units(rows: DataFrame, relations: DataFrame, params: DataFrame) -> DataF
         .when(mapped & (F.col("verdict") == "verified") & (F.col("confidence") >= S.T_COLUMN) & pointed, "pointer"))
 
 
+# What a reader is told was expected and observed where there is nothing to name.
+NO_EXPECTATION = "(none \u2014 no resolvable SQL expectation)"
+NOT_RUN = "No database observation (verification not run)."
+RELATED = {"verified": "Related-exists scalar: present (1).", "fail": "Related-exists scalar: absent (0).", "uncertain": "Related-exists scalar: unusable."}
+
+
+def quick_reconciliation(rows: DataFrame, relations: DataFrame, flat: DataFrame, actions: DataFrame) -> DataFrame:
+    """(doc_id, place, kind, name, declared, expected, observed, verdict_text) of every unit."""
+    ids = ["doc_id", "place"]
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    pair = lambda x: F.concat(quoted(x["path"]), F.lit(":"), F.when(x["t"] == "string", quoted(x["v"])).otherwise(x["v"]))
+    digest = flat.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("path", "t", "v"))).alias("a")).select(*ids, F.concat(F.lit("{"), F.array_join(F.transform("a", pair), ","), F.lit("}")).alias("digest"))
+    numbered = block_positions(actions.select(*ids, "tool_name"), ["doc_id"], F.floor(F.col("place")[0] / 256), ["place"], "n").join(digest, ids, "left")
+    declared = numbered.select(*ids, operational_message(F.concat(F.lit("tool="), "tool_name", F.lit("; action#="), F.col("n").cast("string"), F.lit("; parameters_digest="), F.coalesce("digest", F.lit("{}")))).alias("declared"))
+    shown = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", F.col("confidence")), "0+$", ""), r"\.$", "")
+    said = operational_message(F.concat(F.lit("outcome="), "verdict", F.lit("; confidence="), shown)).alias("verdict_text")
+    unmapped = F.col("mapping_code").isNotNull()
+    target = rows.withColumn("required", F.col("fields")).withColumn("found", F.coalesce(F.col("matched"), F.lit(0)))
+    detail = F.concat(F.lit(" field="), "field", F.lit(" expected="), "expected", F.lit(" actual="), "actual")
+    row = target.select(
+        *ids, F.lit("row").alias("kind"), F.col("bucket").alias("name"),
+        F.when(unmapped, NO_EXPECTATION).otherwise(operational_message(F.concat(F.lit("table="), "table_name", F.lit("; "), target_summary()))).alias("expected_text"),
+        F.when(unmapped, NOT_RUN).otherwise(operational_message(F.concat(F.lit("rowCount="), F.least("found", F.lit(2)).cast("string"), F.coalesce(detail, F.lit(""))))).alias("observed"), said)
+    known = F.create_map(*[F.lit(x) for p in RELATED.items() for x in p])
+    related = relations.withColumn("confidence", F.lit(REL_CONFIDENCE)).select(
+        *ids, F.lit("related_exists").alias("kind"), F.col("check_id").alias("name"), operational_message(F.concat(F.lit("related_exists; id="), "check_id")).alias("expected_text"),
+        known[F.col("verdict")].alias("observed"), said)
+    return row.unionByName(related).join(declared, ids).select(*ids, "kind", "name", "declared", F.col("expected_text").alias("expected"), "observed", "verdict_text")
+
+
 def quick_rollup(units: DataFrame, documents: DataFrame) -> DataFrame:
     """pass / fail / uncertain per document; a document without units is uncertain."""
     counted = units.groupBy("doc_id").agg(
