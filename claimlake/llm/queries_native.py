@@ -68,7 +68,34 @@ def mix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"))
 
 
-@query("op7_quality_rules")
+def _quality_sql() -> str:
+    """Features, exact binomial tails and cutoffs, said in SQL."""
+    ratio = {"symbol_ratio": "n_symbols / word_chars", "capital_ratio": "n_capitals / word_chars", "dup_line_ratio": "n_dup_lines / n_lines", "repeat_ratio": "n_repeat_words / n_words"}
+    ratios = ", ".join(f"coalesce({e.split(' / ')[0]} / nullif(CAST({e.split(' / ')[1]} AS DOUBLE), 0), 0.0) AS {r}" for r, e in ratio.items())
+    tests = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, c, n, (SELECT count(*) FROM good g WHERE g.lang IS NOT DISTINCT FROM s.lang AND g.{r} > c) AS k FROM strata s, grid" for r in quality.RULES)
+    verdict = " AND ".join(f"coalesce({r} <= (SELECT cut FROM cuts WHERE cuts.lang IS NOT DISTINCT FROM f.lang AND rule = '{r}'), true)" for r in quality.RULES)
+    rate = quality.ALPHA / len(quality.RULES)
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, row_number() OVER () AS row FROM documents),
+g AS (SELECT row, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
+p AS (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS next FROM (SELECT row, i, count(*) OVER (PARTITION BY row, s) AS n FROM g) WHERE n > 1),
+r AS (SELECT row, sum(least(3, coalesce(next - i, 3))) AS n FROM p GROUP BY row),
+m AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals,
+    len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM t LEFT JOIN r USING (row)),
+f AS (SELECT *, {ratios}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+good AS (SELECT f.* FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) > 0)),
+strata AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+grid AS (SELECT unnest({list(quality.GRID)}) AS c),
+tests AS ({tests}),
+tails AS (SELECT *, CASE WHEN k >= n * {rate} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate}) + (n - j) * ln(1 - {rate}))) FROM range(0, k + 1) x(j)) END AS tail FROM tests),
+cuts AS (SELECT lang, rule, min(c) AS cut FROM tails WHERE tail <= {quality.DELTA} / ((SELECT count(*) FROM strata) * {len(quality.RULES) * len(quality.GRID)}) GROUP BY lang, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict} AS kept FROM f
+"""
+
+
+@query("op7_quality_rules", _quality_sql())
 def judge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = stash(quality.measured(table(spark, sf_dir, "documents"), ["doc_id", "lang"]))
     return quality.judge(features, table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
