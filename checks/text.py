@@ -38,6 +38,15 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", D.redact(F.col("text")).alias("redacted"))
 
 
+@query("redact_params", f"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)Bearer{_SP}+{_NSP}+', '[REDACTED_BEARER]', 'g'),
+  '(?i)sk-[a-zA-Z0-9]{{20,}}', '[REDACTED_SK]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[REDACTED_EMAIL]', 'g') AS t FROM documents)
+SELECT doc_id, '{{"id":' || doc_id || ',"parts":[{{"text":' || to_json(t) || '}},true]}}' AS redacted FROM r""")
+def redact_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts nested in lists and objects of a JSON document."""
+    nested = F.concat(F.lit('{"id":'), F.col("doc_id"), F.lit(',"parts":['), F.to_json(F.struct("text")), F.lit(",true]}"))
+    return table(spark, sf_dir, "documents").select("doc_id", D.redact_json(nested).alias("redacted"))
+
+
 @query("operational_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS message FROM documents")
 def operational_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.operational_message(F.col("text")).alias("message"))

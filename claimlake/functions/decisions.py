@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +34,36 @@ def redact(s: Column, shorten: bool = False) -> Column:
     return F.when(n > REDACT_MAX, F.concat(F.lit("[REDACTED_LONG_STRING_LEN_"), n.cast("string"), F.lit("]"))).otherwise(t)
 
 
+def redact_json(s: Column, shorten: bool = False) -> Column:
+    """The same for every string value inside a JSON text; keys, numbers and shape stay. Text that is no JSON is masked whole."""
+    rules = [(re.compile(p), by) for p, by in ((BEARER, "[REDACTED_BEARER]"), (SECRET_KEY, "[REDACTED_SK]"), (EMAIL, "[REDACTED_EMAIL]"))]
+
+    def mask(text: str) -> str:
+        for pattern, by in rules:
+            text = pattern.sub(by, text)
+        n = len(text.encode("utf-16-le", "surrogatepass")) // 2
+        return f"[REDACTED_LONG_STRING_LEN_{n}]" if shorten and n > REDACT_MAX else text
+
+    def walk(value):
+        if isinstance(value, dict):
+            return {k: walk(v) for k, v in value.items()}
+        return [walk(v) for v in value] if isinstance(value, list) else mask(value) if isinstance(value, str) else value
+
+    def masked(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(walk(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return mask(text)
+
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series) -> pd.Series:
+        return texts.map(masked, na_action="ignore")
+
+    return redacted(s)
+
+
 # Attribution fields and their longest length in code points.
 UTM_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term"]
 PATH_KEYS = ["landing_path", "referrer_path"]

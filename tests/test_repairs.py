@@ -82,3 +82,13 @@ def test_paths_are_harvested_under_obligations_only(spark):
     cases = {"file:///home/src/a%2Eb.ts": "src/a.b.ts", "./././docs/x.md": "docs/x.md", "src\\win\\a.js": "src/win/a.js", "src//a.ts": None, "src/a.exe": None, "lib/a.ts": None, "src/a.ts#l1": None}
     for raw, path in cases.items():
         assert one(spark, qualified(F.lit(raw))) == path, raw
+
+
+def test_redaction_walks_json(spark):
+    import json
+
+    value = {"a": ["x@y.com", {"k": "Bearer abc", "n": 1.5, "z": None}], "sk": "sk-" + "a" * 20, "x@y.com": True}
+    got = json.loads(one(spark, D.redact_json(F.lit(json.dumps(value)))))
+    assert got == {"a": ["[REDACTED_EMAIL]", {"k": "[REDACTED_BEARER]", "n": 1.5, "z": None}], "sk": "[REDACTED_SK]", "x@y.com": True}
+    assert one(spark, D.redact_json(F.lit("mail x@y.com {"))) == "mail [REDACTED_EMAIL] {" and one(spark, D.redact_json(F.lit(None).cast("string"))) is None
+    assert json.loads(one(spark, D.redact_json(F.lit(json.dumps(["b" * 300])), shorten=True))) == ["[REDACTED_LONG_STRING_LEN_300]"]
