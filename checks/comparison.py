@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import query, table
-from claimlake.operators.topk import page, page_info
+from claimlake.operators.topk import page, page_after, page_info
 from claimlake.plans import compare as C
 from claimlake.plans.diagnose import driver_steps, reason_catalog
 from claimlake.plans.workload import saved_steps
@@ -214,6 +214,14 @@ def page_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(_rows(spark, sf_dir), [F.col("captured_at").desc(), "run_id"], 100, 100).select("run_id", "status")
 
 
+@query("page_cursor", _LIST + "SELECT run_id, status FROM li ORDER BY captured DESC, run_id LIMIT 100 OFFSET 100")
+def page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page, found behind the last row of the first."""
+    rows, order = _rows(spark, sf_dir), [("captured_at", True), ("run_id", False)]
+    last = page_after(rows, order, None, 100).collect()[-1]
+    return page_after(rows, order, (last["captured_at"], last["run_id"]), 100).select("run_id", "status")
+
+
 @query("page_info", _LIST + "SELECT COUNT(*) AS total, CASE WHEN COUNT(*)>200 THEN 200 END AS next_offset FROM li")
 def page_info_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_info(_rows(spark, sf_dir), 100, 100)

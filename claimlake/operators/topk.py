@@ -33,6 +33,27 @@ def page(df: DataFrame, order: list[Column | str], limit: int = PAGE_DEFAULT, of
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None = None, limit: int = PAGE_DEFAULT) -> DataFrame:
+    """The page behind a row, by the values it has in `order`: (column, descending). Only rows behind it are sorted, however deep.
+
+    The order must be total; nulls stand where Spark puts them, first ascending and last descending.
+    """
+    if not 1 <= limit <= PAGE_MAX:
+        raise ValueError(f"limit must be between 1 and {PAGE_MAX}")
+    if after is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(order, after, strict=True):
+            c, v = F.col(name), F.lit(value)
+            if value is None:
+                later = F.lit(False) if descending else c.isNotNull()
+            else:
+                later = (c < v) | c.isNull() if descending else c > v
+            behind = behind | (same & F.coalesce(later, F.lit(False)))
+            same = same & c.eqNullSafe(v)
+        df = df.filter(behind)
+    return df.orderBy(*[F.col(n).desc() if d else F.col(n).asc() for n, d in order]).limit(limit)
+
+
 def page_info(df: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """total rows and the next offset, null on the last page."""
     total = df.agg(F.count(F.lit(1)).alias("total"))

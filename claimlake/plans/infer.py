@@ -228,8 +228,9 @@ def param_column_scores(keys: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def fk_checks(flat: DataFrame, catalog: DataFrame, ids: list[str]) -> DataFrame:
     """Per action and foreign-key column: the best matching parameter, as a related-row check; none where that parameter is null."""
-    edges = catalog.filter("ref_table is not null").select(F.lit(1).alias("k"), "table_name", "column_name", "position")
-    each = flat.select("path").distinct().withColumn("k", F.lit(1)).join(edges, "k").drop("k")  # names against the catalog's keys
+    edges = catalog.filter("ref_table is not null").select("table_name", "column_name").orderBy("table_name", "column_name").collect()  # declared keys: a few rows of metadata
+    known = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in edges]) if edges else F.array().cast("array<struct<table_name:string,column_name:string>>")
+    each = flat.select("path").distinct().select("path", F.inline(known))
     scored = sealed(each.select("path", "table_name", "column_name", S.column_score(F.col("path"), F.col("column_name")).alias("score"))).filter(F.col("score") >= S.T_COLUMN)
     best = flat.join(scored, "path").groupBy(*ids, "table_name", "column_name").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "path", "t", "v")).alias("b"))
     return best.filter("b.t <> 'null'").select(*ids, F.concat(F.lit("fk:"), "table_name", F.lit("."), "column_name").alias("check_id"), "table_name", "column_name", F.col("b.path").alias("path"), F.col("b.v").alias("value"))

@@ -92,3 +92,18 @@ def test_redaction_walks_json(spark):
     assert got == {"a": ["[REDACTED_EMAIL]", {"k": "[REDACTED_BEARER]", "n": 1.5, "z": None}], "sk": "[REDACTED_SK]", "x@y.com": True}
     assert one(spark, D.redact_json(F.lit("mail x@y.com {"))) == "mail [REDACTED_EMAIL] {" and one(spark, D.redact_json(F.lit(None).cast("string"))) is None
     assert json.loads(one(spark, D.redact_json(F.lit(json.dumps(["b" * 300])), shorten=True))) == ["[REDACTED_LONG_STRING_LEN_300]"]
+
+
+def test_pages_follow_a_row(spark):
+    from claimlake.operators.topk import page_after
+
+    rows = [(i % 7 if i % 5 else None, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for descending in (True, False):
+        order = [("a", descending), ("b", False)]
+        whole = [tuple(r) for r in df.orderBy(*[F.col(n).desc() if d else F.col(n).asc() for n, d in order]).collect()]
+        seen, after = [], None
+        while page := [tuple(r) for r in page_after(df, order, after, 13).collect()]:
+            seen += page
+            after = page[-1]
+        assert seen == whole
