@@ -51,27 +51,39 @@ def capture_irregular(observations: DataFrame) -> DataFrame:
     )
 
 
-# Seq values per block when neighbours in seq order are compared.
+# Seq values per block when neighbours in seq order are compared, and rows of one seq from which it is cut further.
 SEQS_PER_BLOCK = 1 << 18
+HOT_SEQS = 10_000
 
 
-def seq_block() -> Column:
-    return F.floor(F.col("seq") / SEQS_PER_BLOCK)
+def with_seq_block(observations: DataFrame, hot_rows: int = SEQS_PER_BLOCK) -> DataFrame:
+    """Observations with `seq_block`, which rises with (seq, capture order) and bounds the rows of a block.
+
+    A block is a range of seq. Where a range holds a seq of more than hot_rows observations, and of more than
+    1 / HOT_SEQS of them all, each seq and stretch of log lines in it is a block of its own. There are fewer than
+    HOT_SEQS such seqs, the bound of what is broadcast.
+    """
+    part = F.floor(F.col("seq") / SEQS_PER_BLOCK)
+    counted = observations.groupBy("workflow_id", "seq").agg(F.count(F.lit(1)).alias("n"))
+    hot = counted.filter((F.col("n") > hot_rows) & (F.col("n") * HOT_SEQS > counted.agg(F.sum("n")).scalar())).select(
+        F.col("workflow_id").alias("hot_workflow"), part.alias("hot_part")).distinct()
+    joined = observations.join(F.broadcast(hot), (F.col("workflow_id") == F.col("hot_workflow")) & (part == F.col("hot_part")), "left")
+    fine = F.struct("seq", "source_file", F.floor(F.col("line_no") / LINES_PER_BLOCK).alias("b"))
+    return joined.withColumn("seq_block", F.struct(part.alias("part"), F.when(F.col("hot_part").isNotNull(), fine).alias("fine"))).drop("hot_workflow", "hot_part")
 
 
-def seq_positions(observations: DataFrame) -> DataFrame:
+def seq_positions(observations: DataFrame, hot_rows: int = SEQS_PER_BLOCK) -> DataFrame:
     """0-based place of each observation in (seq, capture) order of its workflow."""
-    return block_positions(observations, ["workflow_id"], seq_block(), ["seq", "source_file", "line_no"], "place")
+    return block_positions(with_seq_block(observations, hot_rows), ["workflow_id"], F.col("seq_block"), ["seq", "source_file", "line_no"], "place").drop("seq_block")
 
 
-def timestamp_regressions(observations: DataFrame) -> DataFrame:
+def timestamp_regressions(observations: DataFrame, hot_rows: int = SEQS_PER_BLOCK) -> DataFrame:
     """First adjacent pair, in (seq, capture) order, whose timestamps decrease.
 
-    Unparsable timestamps make the pair pass. Blocks are ranges of seq, so one large workflow
-    spreads over many tasks.
+    Unparsable timestamps make the pair pass. Blocks bound the rows of one task, however large a workflow or a seq is.
     """
-    stamped = observations.withColumn("ms", F.unix_millis(F.try_to_timestamp("ts")))
-    paired = previous_row(stamped, ["workflow_id"], seq_block(), ["seq", "source_file", "line_no"], ["seq", "ms"], "prev")
+    stamped = with_seq_block(observations, hot_rows).withColumn("ms", F.unix_millis(F.try_to_timestamp("ts")))
+    paired = previous_row(stamped, ["workflow_id"], F.col("seq_block"), ["seq", "source_file", "line_no"], ["seq", "ms"], "prev")
     drops = paired.filter(F.col("prev.ms") > F.col("ms"))
     return drops.groupBy("workflow_id").agg(
         F.min(F.struct(F.col("seq").alias("seq_after"), "source_file", "line_no", F.col("prev.seq").alias("seq_before"))).alias("f")

@@ -107,3 +107,20 @@ def test_pages_follow_a_row(spark):
             seen += page
             after = page[-1]
         assert seen == whole
+
+
+def test_a_hot_seq_is_cut_into_blocks(spark):
+    import random
+
+    from claimlake.operators.steps import seq_positions, timestamp_regressions, with_seq_block
+
+    rng = random.Random(4)
+    rows = [("w", rng.choice("ab"), i * 300, 7 if i % 3 else rng.randrange(20), f"2024-01-01T00:{rng.randrange(60):02d}:00Z") for i in range(900)] + [("v", "a", i, i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "workflow_id string, source_file string, line_no long, seq long, ts string")
+    fine, coarse = with_seq_block(df, 100), with_seq_block(df)
+    assert fine.groupBy("workflow_id", "seq_block").count().agg(F.max("count")).first()[0] < 500 and coarse.select("workflow_id", "seq_block").distinct().count() == 2
+    key = lambda r: (r["workflow_id"], r["place"])
+    listed = [tuple(r) for r in sorted(seq_positions(df, 100).collect(), key=key)]
+    assert listed == [tuple(r) for r in sorted(seq_positions(df).collect(), key=key)]
+    assert [r[1:4] for r in listed if r[0] == "w"] == [(f, n, s) for s, f, n in sorted((s, f, n) for w, f, n, s, _ in rows if w == "w")]
+    assert timestamp_regressions(df, 100).collect() == timestamp_regressions(df).collect()
