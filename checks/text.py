@@ -70,6 +70,17 @@ def attribution_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(D.attribution_problem(values, keys), F.lit("")).alias("problem"))
 
 
+@query("attribution_json", """WITH p AS (SELECT page_id, url LIKE '%://%' AS far, page_id%6 AS m FROM pages)
+SELECT page_id, CASE m WHEN 0 THEN 'ATTRIBUTION_ROOT' WHEN 1 THEN 'ATTRIBUTION_TYPE_utm_medium' WHEN 2 THEN 'ATTRIBUTION_UNKNOWN_zz' WHEN 3 THEN CASE WHEN far THEN 'ATTRIBUTION_PROTOCOL' ELSE '' END ELSE '' END AS problem FROM p""")
+def attribution_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, url = F.col("page_id") % 6, F.to_json(F.struct(F.col("url").alias("referrer_path")))
+    raw = (
+        F.when(m == 0, F.concat(F.lit("["), url, F.lit("]"))).when(m == 1, F.concat(F.lit('{"utm_source":"\\t news ","utm_medium":'), F.col("page_id"), F.lit(',"zz":1}')))
+        .when(m == 2, F.lit('{"zz":1,"aa":2,"utm_term":null}')).when(m == 3, url).when(m == 4, F.lit("null")).otherwise('{"utm_source":"  ","landing_path":"/a"}')
+    )
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(D.attribution_json_problem(raw), F.lit("")).alias("problem"))
+
+
 @query("anon_id_valid", """WITH i AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events), u AS (SELECT event_id, upper(substr(h,1,8) || '-' || substr(h,9,4) || '-4' || substr(h,14,3) || '-' || substr(h,17,4) || '-' || substr(h,21,12)) AS raw FROM i)
 SELECT event_id, CASE WHEN regexp_matches(lower(raw), '^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') THEN lower(raw) ELSE '' END AS anon_id FROM u""")
 def anon_id_valid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,20 @@ def attribution_problem(values: dict[str, Column], keys: Column) -> Column:
     return F.coalesce(*checks)
 
 
+def attribution_json_problem(raw: Column) -> Column:
+    """The same over the JSON text of a record: also a root that is no object, and values that are no text. A null record is clean."""
+    v = F.try_parse_json(raw)
+    checks = [F.when(~F.schema_of_variant(v).startswith("OBJECT") & (F.schema_of_variant(v) != "VOID"), "ATTRIBUTION_ROOT")]
+    for name in ATTRIBUTION_LIMITS:
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        checks.append(F.when(kind.isNotNull() & ~kind.isin("STRING", "VOID"), F.lit(f"ATTRIBUTION_TYPE_{name}")))
+        text = F.when(kind == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+        checks.append(attribution_problem({name: text}, F.array().cast("array<string>")))
+    unknown = F.filter(F.json_object_keys(raw), lambda k: ~k.isin(list(ATTRIBUTION_LIMITS)))
+    checks.append(F.when(F.size(unknown) > 0, F.concat(F.lit("ATTRIBUTION_UNKNOWN_"), F.try_element_at(unknown, F.lit(1)))))
+    return F.coalesce(*checks)
+
+
 UUID_V4 = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
