@@ -246,11 +246,14 @@ def similar_documents(docs: DataFrame, *, k: int = 3, num: int = 90, den: int =
     cuts = banded.groupBy("root", "band").agg(F.ceil(F.sum("n") / block_shingles).alias("cuts"))
     grouped = stash(banded.join(cuts, ["root", "band"]).withColumn("cut", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int")).withColumn("grp", F.xxhash64("root", "band", "cut")).select("cid", "n", "root", "band", "grp", "held"))
     large = grouped.filter(F.col("held") > block_shingles)
-    matrix = shown.select("cid", "token").join(large.select("cid", "root", "band", "grp"), "cid").groupBy("root", "token").agg(F.collect_set(F.struct("band", "grp")).alias("g"))
+    # blocks of one band, or of neighbouring bands, meet under the greater band
+    matrix = shown.select("cid", "token").join(large.select("cid", "root", "band", "grp"), "cid").select("root", "token", "band", "grp").distinct()
+    beside = matrix.withColumn("key", F.explode(F.array("band", F.col("band") + 1))).groupBy("root", "token", "key").agg(F.collect_set(F.struct("band", "grp")).alias("g"))
     least = large.groupBy("grp").agg(F.min(asked(F.col("n"), num, den)).alias("l"))
+    one_band = (F.col("a.band") == F.col("b.band")) & (F.col("a.band") == F.col("key"))
     opened = stash(
-        matrix.filter(F.size("g") > 1).select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b"))
-        .filter((F.col("a.grp") < F.col("b.grp")) & (F.abs(F.col("a.band") - F.col("b.band")) <= 1))
+        beside.filter(F.size("g") > 1).select("key", F.explode("g").alias("a"), "g").select("key", "a", F.explode("g").alias("b"))
+        .filter((F.col("a.grp") < F.col("b.grp")) & (one_band | (F.col("a.band") != F.col("b.band"))))
         .groupBy(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).agg(F.count("*").alias("overlap"))
         .join(least.select(F.col("grp").alias("a"), F.col("l").alias("la")), "a").join(least.select(F.col("grp").alias("b"), F.col("l").alias("lb")), "b")
         .filter(F.col("overlap") >= F.least("la", "lb")).select("a", "b")
