@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.session import shared_dir
+from claimlake.session import stored as stash  # noqa: F401  computed once, in the shared folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,13 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and any executor can read it again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
