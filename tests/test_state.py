@@ -36,3 +36,15 @@ def test_claimed_texts_meet_typed_columns(spark):
     asked = [("count|t|i", ["5"]), ("count|t|i", ["99999999999999"]), ("count|t|d", ["1.5000000000"]), ("count|t|day", ["1704153600000000"]), ("count|t|b", ["true"]), ("count|t|x", ["0.5"])]
     got = facts(state_facts(spark, state, [a for a, _ in dict(asked).items()], spark.createDataFrame(asked, "binding string, key array<string>")))
     assert set(got) == {(n, tuple(k)) for n, k in asked if k != ["99999999999999"]}
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import glob
+
+    from claimlake.session import clear_stored, shared_dir, stored
+
+    kept = stored(spark.range(5))
+    found = lambda: glob.glob(f"{shared_dir(spark).removeprefix('file:')}/stored-*")
+    assert kept.count() == 5 and found()
+    clear_stored(spark)
+    assert not found()
