@@ -43,8 +43,10 @@ def test_stored_tables_can_be_cleared(spark):
 
     from claimlake.session import clear_stored, shared_dir, stored
 
+    found = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/stored-*"))
+    before = found()
     kept = stored(spark.range(5))
-    found = lambda: glob.glob(f"{shared_dir(spark).removeprefix('file:')}/stored-*")
-    assert kept.count() == 5 and found()
+    mine = found() - before
+    assert kept.count() == 5 and mine
     clear_stored(spark)
-    assert not found()
+    assert not mine & found()
