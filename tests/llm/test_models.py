@@ -173,3 +173,35 @@ def test_pipeline(spark, docs_of, prose, tables):
 def test_pipeline_of_empty_tables(spark, docs_of, tables):
     folder = tables(documents=docs_of([]), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def five_word_components(rows):
+    """(id, text) -> least id of each component of a five-word Jaccard of 0.8, by all pairs."""
+    def words(text):
+        w = re.findall(r"[^ \t-\r]+", text.lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = {i: words(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return set(root.values())
+
+
+def test_pipeline_near_duplicates_against_all_pairs(spark, docs_of, prose):
+    rows = []
+    for i in range(12):
+        words = prose(700 + i, 150).split()
+        rows.append((20 * i, " ".join(words)))
+        for j, share in enumerate((2, 12, 16, 20, 22, 24, 26, 30), 1):
+            n = 150 * share // 100
+            rows.append((20 * i + j, " ".join(words + prose(900 + 20 * i + j, n).split() if i % 2 else words[:-n])))
+        swapped = words[:]
+        swapped[10 * (i % 7) + 20] = "other"
+        rows.append((20 * i + 10, " ".join(swapped)))
+    rows += [(900, "ka lo mi ne"), (901, "Ka lo mi ne"), (902, "ka lo mi ne ru")]
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), "").collect()]
+    want = five_word_components(rows)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows)
