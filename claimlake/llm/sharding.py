@@ -23,6 +23,8 @@ from claimlake.llm.common import fresh, quoted
 
 BINS = 8192
 VNODES = 64
+#: Pieces of a shard's rows along a column from 0 to 1 that are numbered each by itself.
+STEPS = 4096
 SLACK = 0.001
 
 
@@ -59,13 +61,14 @@ def place_arcs(loads: dict[int, int], n_shards: int, vnodes: int = VNODES, bins:
     return out
 
 
-def shard_rows(df: DataFrame, n_shards: int, key: Column, size: Column, order: list[Column], *, vnodes: int = VNODES, bins: int = BINS, slack: float = SLACK) -> DataFrame:
-    """df with `shard` and a gapless `slot` per shard.
+def shard_rows(df: DataFrame, n_shards: int, key: Column, size: Column, order: list[Column], *, along: str | None = None, vnodes: int = VNODES, bins: int = BINS, slack: float = SLACK) -> DataFrame:
+    """df with `shard` and a gapless `slot` per shard: by arc and order, or by the column `along` (0 to 1) and order.
 
     key decides the arc, size is the load, order makes slots repeatable (rows equal in it must be equal throughout).
-    df is read twice: once for the loads of the arcs, once to deal its rows.
+    df is read twice: once for the loads of the arcs, once to deal its rows; with `along` once more, for the rows of each
+    shard's steps (n_shards * STEPS numbers at most, which are broadcast).
     """
-    arc, load, at = fresh(df, "arc", "load", "at")
+    arc, load, at, home, step, home_of, step_of, before = fresh(df, "arc", "load", "at", "home", "step", "home_of", "step_of", "before")
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     rows = df.select(*[quoted(c) for c in df.columns], F.pmod(F.xxhash64(key), F.lit(bins)).cast("int").alias(arc), F.coalesce(size, F.lit(0)).cast("long").alias(load))
     totals = rows.groupBy(arc).agg(F.sum(load).alias("b"), F.count("*").alias("n")).collect()
@@ -79,6 +82,14 @@ def shard_rows(df: DataFrame, n_shards: int, key: Column, size: Column, order: l
     def lookup(values: dict[int, int], kind: str) -> Column:
         return F.element_at(F.split(F.lit(",".join(str(values.get(a, 0)) for a in range(bins))), ",").cast(f"array<{kind}>"), F.col(arc) + 1)
 
+    if along is not None:
+        place = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor(quoted(along) * STEPS)))
+        dealt = rows.withColumn(home, lookup(shard_of, "int")).withColumn(step, place.cast("int"))
+        counts = dealt.groupBy(F.col(home).alias(home_of), F.col(step).alias(step_of)).agg(F.count("*").alias("n"))
+        starts = counts.select(home_of, step_of, (F.sum("n").over(W.partitionBy(home_of).orderBy(step_of)) - F.col("n")).alias(before))
+        numbered = dealt.withColumn(at, F.row_number().over(W.partitionBy(home, step).orderBy(quoted(along), *order)))
+        joined = numbered.join(F.broadcast(starts), (F.col(home) == F.col(home_of)) & (F.col(step) == F.col(step_of)))
+        return joined.select(*[quoted(c) for c in kept], F.col(home).alias("shard"), (F.col(before) + F.col(at) - 1).alias("slot"))
     numbered = rows.withColumn(at, F.row_number().over(W.partitionBy(arc).orderBy(*order)))
     return numbered.select(
         *[quoted(c) for c in kept],

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.llm import decontaminate, language, mixing, ngram_join, sharding
-from claimlake.llm.common import quoted, stash, table
+from claimlake.llm.common import fresh, quoted, stash, table
 
 SHARDS = 16
 
@@ -34,14 +34,19 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: a row for each use of a document, none where its source has enough without it."""
+    """The mix in training order: a row for each use of a document, none where its source has enough without it.
+
+    The training position is a last column, as rows read from Parquet again have no order of their own.
+    """
+    position, = fresh(docs, "training_position")
     mixed = mixing.mix_sources(docs, mixing.word_count())
-    return mixing.training_order(mixed, docs.columns)
+    return mixing.training_order(mixed, docs.columns, position)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows of the mix with shard and slot."""
-    return sharding.shard_documents(docs, SHARDS)
+    """All rows of the mix with shard and slot; slots of a shard follow the training position, the mix's last column."""
+    position = docs.columns[-1]
+    return sharding.shard_documents(docs, SHARDS, along=position).drop(position)
 
 
 STAGES = [

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimlake.llm import language, pii, toxicity
+from claimlake.llm import language, mixing, pii, toxicity
 from claimlake.llm.registry import QUERIES
 
 TONGUES = {"xa": ("ka", "lo", "mi", "ne"), "yb": ("str", "eng", "urd", "olf"), "zc": ("éa", "ôu", "îs", "ça")}
@@ -205,3 +205,19 @@ def test_pipeline_near_duplicates_against_all_pairs(spark, docs_of, prose):
     got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), "").collect()]
     want = five_word_components(rows)
     assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows)
+
+
+def test_pipeline_slots_follow_training_position(spark, docs_of, prose, tables):
+    rows = [(i, prose(i, 5 + i % 40), "xa", "s0" if i % 5 else f"s{i % 3}") for i in range(300)]
+    df = docs_of(rows, extra=("position", "training_position", "home"))
+    mixed = tables(mix=corpus_pipeline.source_mix(spark, df, ""))
+    got = corpus_pipeline.shards(spark, spark.read.parquet(f"{mixed}/mix.parquet"), "")
+    assert {*got.columns} == {*df.columns, "shard", "slot"}
+    got = got.collect()
+    uses = mixing.mix_sources(df, mixing.word_count()).select(F.explode("positions").alias("p"), "doc_id").collect()
+    assert any(a["doc_id"] == b["doc_id"] for a in uses for b in uses if a["p"] < b["p"])
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    for s in range(corpus_pipeline.SHARDS):
+        held = sorted((r["slot"], r["doc_id"]) for r in got if r["shard"] == s)
+        assert [n for n, _ in held] == list(range(len(held)))
+        assert [d for _, d in held] == [d for _, d in sorted((u["p"], u["doc_id"]) for u in uses if shard[u["doc_id"]] == s)]
