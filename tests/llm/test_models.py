@@ -1,5 +1,7 @@
 """Language identification, toxicity, personal data, and the pipeline."""
 
+import collections
+import math
 import random
 import re
 import zlib
@@ -221,3 +223,43 @@ def test_pipeline_slots_follow_training_position(spark, docs_of, prose, tables):
         held = sorted((r["slot"], r["doc_id"]) for r in got if r["shard"] == s)
         assert [n for n, _ in held] == list(range(len(held)))
         assert [d for _, d in held] == [d for _, d in sorted((u["p"], u["doc_id"]) for u in uses if shard[u["doc_id"]] == s)]
+
+
+def plain_ratios(labelled):
+    """word -> log P(word | toxic) - log P(word | ordinary), and that of any other word, from the definition over words themselves."""
+    pairs = {0: set(), 1: set()}
+    for text, toxic in labelled:
+        w = re.findall("[a-z0-9]+", text.lower())
+        pairs[toxic] |= set(zip(w, [None, *w]))
+    counts = [collections.Counter(w for w, _ in p) for p in (pairs[0], pairs[1], pairs[0] | pairs[1])]
+    total = [sum(c.values()) for c in counts]
+    own = [{w: max(0, counts[k][w] - 3 * total[k] * n / total[2] - 2) / total[k] for w, n in counts[2].items()} for k in (0, 1)]
+    left = [1 - sum(o.values()) for o in own]
+    chance = lambda k, w: own[k][w] + left[k] * counts[2][w] / total[2]
+    return {w: math.log(chance(1, w) / chance(0, w)) for w in counts[2]}, math.log(left[1] / left[0])
+
+
+@pytest.mark.parametrize("hot_words", [toxicity.HOT_WORDS, 5, 0])
+def test_ratios_are_those_of_whole_words(spark, docs_of, prose, hot_words):
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        words = prose(i, 20).split()
+        for _ in range(4 if i % 8 == 0 else 0):
+            words.insert(rng.randrange(len(words)), f"bad{rng.randrange(12)}")
+        rows.append((i, " ".join(words)))
+    want, other = plain_ratios([(t, int(i % 8 == 0)) for i, t in rows])
+    counts = toxicity.class_counts(docs_of(rows).select("text", (F.col("doc_id") % 8 == 0).cast("int").alias("toxic")))
+    ratios = toxicity.log_ratios(counts, hot_words)
+    assert ratios.base == pytest.approx(other) and (ratios.rest is None) == (hot_words > 100) and sum(abs(r - other) > 1e-9 for r in want.values()) > 8
+    asked = [*rows, (900, "bad1 bad1 bad2 unheard"), (901, "unheard"), (902, ""), (903, None), (903, None), (900, "bad3")]
+    got = toxicity.mean_ratios(docs_of(asked, extra=("tox_row", "word", "above")), ratios, ["doc_id", "n_chars", "word", "above"]).collect()
+    mean = lambda t: sum(want.get(w, other) for w in t.split()) / max(1, len(t.split()))
+    said = sorted((r["doc_id"], -1 if r["n_chars"] is None else r["n_chars"], r["ratio"]) for r in got)
+    assert [x[:2] for x in said] == sorted((i, -1 if t is None else len(t)) for i, t in asked)
+    assert [x[2] for x in said] == pytest.approx([x[2] for x in sorted((i, -1 if t is None else len(t), mean(t or "")) for i, t in asked)])
+
+
+def test_words_beyond_a_million_stay_apart(docs_of):
+    n = 1_300_000
+    rows = docs_of([(j, " ".join(f"w{i}" for i in range(j, n, 20))) for j in range(20)]).select("text", F.lit(0).alias("toxic"))
+    assert toxicity.class_counts(rows).count() == n
