@@ -2,7 +2,10 @@
 
 Plain identifiers are found in the text as it is. A transducer then rewrites disguises and remembers for every character
 it writes which source characters it stands for: look-alike letters, digits of any script, wide forms and invisible
-characters; spelled digits in runs; `at` and `dot` in brackets or as words of an address. Identifiers found in the
+characters; spelled digits in runs; `at` and `dot` in brackets or as words of an address. The word `at` before a domain whose
+dots are plain ones counts if the local part has `dot` as a word, or else if the domain's last label is one of LAST_LABELS, its
+first is not www, no path follows and the word before is not one of NOT_LOCAL; so `jane at example.com` counts, and
+`look at example.com` or `noon at home.so` does not. Identifiers found in the
 rewritten text that hold a rewritten character are mapped back to source offsets and added, unless they lie in a plain one of
 their kind.
 
@@ -43,9 +46,20 @@ _SPELLED = "|".join(DIGIT_WORDS)
 _SPELLED_RUN = re.compile(rf"\b(?:plus[ -])?(?:{_SPELLED})(?:[ ,-]{{1,2}}(?:(?:dot|point)[ -])?(?:{_SPELLED}|[0-9]{{1,4}}))+\b", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(plus[ -])|([ ,-]{{1,2}}(?:dot|point)[ -])|\b({_SPELLED})\b|([ ,-]+)", re.IGNORECASE)
 _BRACKETED = re.compile(r"[ ]?[\[({<][ ]?(at|dot|@|\.)[ ]?[\])}>][ ]?", re.IGNORECASE)
-_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( at )(?!(?:the|an?|this|that) )[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*((?: dot [A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*)+)", re.IGNORECASE)
+# A chain of words with " dot " between them starts at its first word only, so that it is read once.
+_NAME = r"(?<![A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-] dot )([A-Za-z0-9._%+-]++(?: dot [A-Za-z0-9._%+-]++)*+)"
+_WORDED = re.compile(_NAME + r"( at )(?!(?:the|an?|this|that) )[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*((?: dot [A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*)+)", re.IGNORECASE)
+_WORDED_AT = re.compile(_NAME + r"( at )(?!(?:the|an?|this|that) )([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)(?![\w@/%+])", re.IGNORECASE)
+_BEFORE_AT = re.compile(_NAME + r"@[A-Za-z0-9-]", re.IGNORECASE)
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]++((?: dot [A-Za-z0-9-]++)+)", re.IGNORECASE)
 _DOT = re.compile(r" dot ", re.IGNORECASE)
+#: Last labels that are no words of prose, and words that stand before a web address rather than in an email address.
+LAST_LABELS = frozenset("com org net edu gov mil info biz io ai app dev uk de fr nl es eu ch se pl cz jp cn kr ru br au ca nz pt fi dk gr ie".split())
+NOT_LOCAL = frozenset(
+    "us me we you him her it them this that these those here there now today online is are was were be been look looking looked see seen "
+    "visit visiting available accessible found find located hosted published posted listed sold bought shop read more out up live based "
+    "work works worked working and or but not only also again arrive arrives arrived download downloaded documentation documented".split()
+)
 #: Digits that a run of spelled ones needs to be rewritten.
 _LEAST_SPELLED = 4
 
@@ -135,6 +149,10 @@ class Rewritten:
         self.text = "".join(text) + self.text[at:]
         self.begin, self.end, self.changed = begin + self.begin[at:], end + self.end[at:], changed + self.changed[at:]
 
+    def rewritten(self, char: str, a: int, b: int) -> bool:
+        """Whether one of these characters in text[a:b] stands for something else."""
+        return self.changed is not None and any(c == char and done for c, done in zip(self.text[a:b], self.changed[a:b], strict=True))
+
 
 def normalise(text: str) -> Rewritten:
     """Undo look-alikes, then spelled digits, then disguised at and dot."""
@@ -154,13 +172,28 @@ def normalise(text: str) -> Rewritten:
     if " dot " in low:
         pieces = []
         for m in _WORDED.finditer(out.text):
-            pieces.append((*m.span(1), "@"))
-            pieces += [(d.start(), d.end(), ".") for d in _DOT.finditer(out.text, *m.span(2))]
+            pieces.append((*m.span(2), "@"))
+            pieces += [(d.start(), d.end(), ".") for g in (1, 3) for d in _DOT.finditer(out.text, *m.span(g))]
         out.rewrite(pieces)
         out.rewrite([(d.start(), d.end(), ".") for m in _AFTER_AT.finditer(out.text) for d in _DOT.finditer(out.text, *m.span(1))])
+    if " at " in low:
+        pieces = []
+        for m in _WORDED_AT.finditer(out.text):
+            dots = [(d.start(), d.end(), ".") for d in _DOT.finditer(out.text, *m.span(1))]
+            if dots or out.rewritten(".", *m.span(3)) or _addressed(m[1], m[3]):
+                pieces += [*dots, (*m.span(2), "@")]
+        out.rewrite(pieces)
+    if " dot " in low and out.changed is not None:
+        out.rewrite([(d.start(), d.end(), ".") for m in _BEFORE_AT.finditer(out.text) if out.changed[m.end() - 2] for d in _DOT.finditer(out.text, *m.span(1))])
     return out
 
 
+def _addressed(name: str, domain: str) -> bool:
+    """Whether `name at domain` reads as an address, not as prose about a web address."""
+    labels = domain.lower().split(".")
+    return labels[-1] in LAST_LABELS and labels[0] != "www" and name.lower() not in NOT_LOCAL
+
+
 def disguised(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers that show only in the rewritten text, at source offsets; none lies in a plain one of its kind."""
     seen = normalise(text)

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -263,3 +264,26 @@ def test_words_beyond_a_million_stay_apart(docs_of):
     n = 1_300_000
     rows = docs_of([(j, " ".join(f"w{i}" for i in range(j, n, 20))) for j in range(20)]).select("text", F.lit(0).alias("toxic"))
     assert toxicity.class_counts(rows).count() == n
+
+
+@pytest.mark.parametrize(("text", "part"), [
+    ("so john dot smith at example dot com is", "john dot smith at example dot com"),
+    ("so a dot b dot c_d at mail dot example dot com is", "a dot b dot c_d at mail dot example dot com"),
+    ("so jane at example.com.", "jane at example.com"),
+    ("SO JANE AT MAIL.EXAMPLE.ORG, THEN", "JANE AT MAIL.EXAMPLE.ORG"),
+    ("so john dot smith at example.zz is", "john dot smith at example.zz"),
+    ("so jane at example [dot] zz is", "jane at example [dot] zz"),
+    ("so john dot smith [at] example [dot] com is", "john dot smith [at] example [dot] com"),
+])
+def test_worded_addresses_are_whole(text, part):
+    assert pii.disguised(text, pii.detect(text)) == [("email", text.index(part), text.index(part) + len(part))]
+
+
+@pytest.mark.parametrize("text", [
+    "look at example.com", "find us at example.com", "jane at www.example.com", "jane at example.com/team", "we met at noon.It was", "noon at home.so",
+    "a dot " * 50_000, "a at b." * 50_000, "a at " * 50_000, "a at b.c.d/" * 50_000, "a dot b at " * 30_000,
+])
+def test_prose_with_at_stays_clean(text):
+    began = time.process_time()
+    assert pii.disguised(text, pii.detect(text)) == []
+    assert time.process_time() - began < 5
