@@ -192,8 +192,17 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     if m > 1:
         less, more = den - num, den + num
         sizes = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(m), sizes)
-        tokens, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
+        held = np.concatenate(sets)
+        order = np.argsort(held, kind="stable")
+        held = held[order]
+        new = np.ones(len(held), bool)
+        new[1:] = held[1:] != held[:-1]
+        del held
+        token = np.empty(len(order), np.int32)
+        token[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        count = np.bincount(token)
         central = count * 2 > m
         apart = sizes + central.sum() - 2 * np.bincount(owner, central[token], m).astype(np.int64)
         slack = less * sizes - more * apart
@@ -209,16 +218,20 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[int]:
             inside = central[token]
             present[(np.cumsum(central) - 1)[token[inside]], owner[inside]] = True
             lacking, lacker = np.nonzero(~present)
-            t = np.concatenate([token[outside], len(tokens) + lacking])
-            o = np.concatenate([owner[outside], lacker])
+            t = np.concatenate([token[outside], (len(count) + lacking).astype(np.int32)])
+            o = np.concatenate([owner[outside], lacker.astype(np.int32)])
+            del outside, inside, present, lacking, lacker, owner, token
             by_token = np.argsort(t, kind="stable")
             posting = o[by_token]
             names, begin, length = np.unique(t[by_token], return_index=True, return_counts=True)
-            slot = np.searchsorted(names, t)
+            slot = np.searchsorted(names, t).astype(np.int32)
+            del t, by_token
             by_owner = np.argsort(o, kind="stable")
             bounds = np.searchsorted(o[by_owner], np.arange(m + 1))
+            slot = slot[by_owner]
+            del o, by_owner
             for i in rest.tolist():
-                mine = slot[by_owner[bounds[i] : bounds[i + 1]]]
+                mine = slot[bounds[i] : bounds[i + 1]]
                 n = length[mine]
                 at = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 common = np.bincount(posting[at], minlength=m)
