@@ -8,7 +8,8 @@ The model is fitted on a bounded sample: at most SAMPLE_DOCS labelled texts per
 id, at most SAMPLE_CHARS characters of each, and MODEL_CHARS characters of all languages together, in equal shares. Texts are
 predicted whole, cut into stretches of STRETCH letters that are parsed each by itself and at the same time.
 
-Letters are lower-cased; all else counts as one space. Nulls: null text, and text without a letter, is `und` with score 0;
+Every letter of the sample is told apart: the commonest have a column of the transition table, the others' transitions are looked
+up in a sorted list. Letters that no sample has match nothing. Letters are lower-cased; all else counts as one space. Nulls: null text, and text without a letter, is `und` with score 0;
 rows of null lang or text are not learned from. Ties go to the first language by name. Without any labelled text all are
 `und`. Repeated rows are predicted alike. Empty tables give empty results; columns of the output's names are replaced.
 """
@@ -29,7 +30,7 @@ from claimlake.llm.common import fresh, quoted
 
 SAMPLE_DOCS, SAMPLE_CHARS, MODEL_CHARS = 128, 2000, 1 << 18
 STRETCH = 256
-#: Letters told apart; rarer ones match nothing.
+#: Letters with a column of the table; the transitions of rarer ones are kept in a list.
 _LETTERS = 94
 _FOREIGN, _SPACE = 0, 1
 _SLICE_CHARS = 1 << 20
@@ -41,9 +42,12 @@ def _alphabetic() -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of one sequence, as a table: state, letter -> next state and phrases ended (two low bits)."""
+    """Suffix automaton of one sequence, as a table: state, letter -> next state and phrases ended (two low bits).
 
-    def __init__(self, letters: list[int], width: int) -> None:
+    Letters from `width` on have no column: `edges` holds their (state, letter, next state) and `restart` where they begin a phrase.
+    """
+
+    def __init__(self, letters: list[int], width: int, all_letters: int) -> None:
         to, link, length, last = [{}], [-1], [0], 0
         for c in letters:
             now = len(to)
@@ -69,11 +73,17 @@ class Automaton:
                     link[q] = link[now] = copy
             last = now
         first = to[0]
-        restart = np.array([(first[c] << 2) | 1 if c in first else 2 for c in range(width)], np.int32)
-        self.table = np.tile(restart, (len(to), 1))
+        restart = np.array([(first[c] << 2) | 1 if c in first else 2 for c in range(all_letters)], np.int32)
+        self.restart = restart
+        self.table = np.tile(restart[:width], (len(to), 1))
+        rare = []
         for state, edges in enumerate(to):
             for c, target in edges.items():
-                self.table[state, c] = target << 2
+                if c < width:
+                    self.table[state, c] = target << 2
+                else:
+                    rare.append((state, c, target))
+        self.edges = np.array(rare, np.int64).reshape(-1, 3)
         self.table[0, [c for c in range(width) if c not in first]] = 1
         self.size = max(2, len(letters))
 
@@ -83,22 +93,33 @@ class Model:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.names = sorted(samples)
-        seen = Counter(c for s in samples.values() for c in s.lower() if c.isalpha() and len(c) == 1)
-        kept = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:_LETTERS])
-        self.codes = np.where(_alphabetic(), _FOREIGN, _SPACE).astype(np.uint8)
-        for i, c in enumerate(kept):
-            for form in {c, c.upper()}:
-                if len(form) == 1:
-                    self.codes[ord(form)] = i + 2
-        self.width = len(kept) + 2
-        parts, self.start, self.bits, at = [], [], [], 0
+        lower = lambda c: c.lower() if len(c.lower()) == 1 else c
+        forms = Counter(c for s in samples.values() for c in s if c.isalpha())
+        seen = Counter()
+        for c, n in forms.items():
+            seen[lower(c)] += n
+        kept = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        code = {c: i + 2 for i, c in enumerate(sorted(kept[:_LETTERS]) + kept[_LETTERS:])}
+        self.codes = np.where(_alphabetic(), _FOREIGN, _SPACE).astype(np.min_scalar_type(len(kept) + 2))
+        for form, c in [*((c.upper(), c) for c in sorted(kept)), *((c, lower(c)) for c in forms), *((c, c) for c in kept)]:
+            if len(form) == 1:
+                self.codes[ord(form)] = code[c]
+        self.width, self.all_letters = min(len(kept), _LETTERS) + 2, len(kept) + 2
+        parts, keys, targets, restarts, self.start, self.bits, at = [], [], [], [], [], [], 0
         for name in self.names:
-            one = Automaton(self.letters(samples[name]).tolist(), self.width)
+            one = Automaton(self.letters(samples[name]).tolist(), self.width, self.all_letters)
             parts.append(one.table + np.int32(at << 2))
+            keys.append((one.edges[:, 0] + at) * self.all_letters + one.edges[:, 1])
+            targets.append(((one.edges[:, 2] + at) << 2).astype(np.int32))
+            restarts.append(one.restart + np.int32(at << 2))
             self.start.append(at)
             self.bits.append(np.log2(one.size))
             at += len(one.table)
         self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
+        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        order = np.argsort(self.keys)
+        self.keys, self.targets = self.keys[order], np.concatenate(targets)[order] if targets else np.zeros(0, np.int32)
+        self.restarts = np.array(restarts, np.int32).reshape(len(self.names), self.all_letters)
 
     def letters(self, text: str) -> np.ndarray:
         codes = self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -106,6 +127,20 @@ class Model:
         keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)
         return codes[keep]
 
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Table entries of (language, stretch) states at each stretch's letter."""
+        rare = np.flatnonzero(letter >= self.width)
+        if not len(rare):
+            return self.table[state.astype(np.int64) * self.width + letter]
+        out = self.table[state.astype(np.int64) * self.width + np.where(letter < self.width, letter, _FOREIGN)]
+        from_, c = state[:, rare], letter[rare].astype(np.int64)
+        key = from_.astype(np.int64) * self.all_letters + c
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        again = self.restarts[:, c]
+        again = again - ((again & 2) >> 1) * (from_ == np.array(self.start, np.int32)[:, None])  # at the root no phrase is open
+        out[:, rare] = np.where(self.keys[place] == key, self.targets[place], again)
+        return out
+
     def rates(self, texts: list[str]) -> np.ndarray:
         """(texts, languages) bits a letter; infinite without letters."""
         coded = [self.letters(t) for t in texts]
@@ -124,7 +159,7 @@ class Model:
         ended = np.zeros(state.shape, np.int32)
         for t in range(int(length.max(initial=0))):
             n = active[t]
-            step = self.table[state[:, :n].astype(np.int64) * self.width + flat[begin[:n] + t]]
+            step = self.step(state[:, :n], flat[begin[:n] + t])
             ended[:, :n] += step & 3
             state[:, :n] = step >> 2
         ended += state != root

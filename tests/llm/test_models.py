@@ -287,3 +287,17 @@ def test_prose_with_at_stays_clean(text):
     began = time.process_time()
     assert pii.disguised(text, pii.detect(text)) == []
     assert time.process_time() - began < 5
+
+
+def test_letters_of_large_scripts_are_told_apart():
+    rng = random.Random(6)
+    script = [chr(0x4E00 + i) for i in range(600)]
+    for _ in range(20):
+        samples = {k: "".join(rng.choice(script[a : a + 400] + ["a", "b", "İ", "Σ"]) for _ in range(900)) for k, a in (("l", 0), ("m", 200))}
+        model = language.Model(samples)
+        fold = lambda t: "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+        for _ in range(5):
+            cut = rng.randrange(800)
+            text = "".join(samples["l"][cut : cut + 20] + "".join(rng.choice(script + ["漿", "é"]) for _ in range(30)) + samples["m"][cut : cut + 20])
+            rates = model.rates([text])[0]
+            assert [round(r * len(text) / b) for r, b in zip(rates, model.bits, strict=True)] == [phrases(fold(text), fold(samples[k])) for k in ("l", "m")]
