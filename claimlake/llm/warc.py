@@ -36,6 +36,8 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlake.llm.common import stash
+
 #: Named fields of the format, by column.
 FIELDS = {
     "record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date",
@@ -409,7 +411,8 @@ def archived(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "19
     Only digests that stand in several rows meet their rows again, so payloads are shuffled only if that table is large.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    shared = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).filter(F.col("n") > 1)
+    several = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).filter(F.col("n") > 1)
+    shared = stash(several)  # its size is known before the join is planned
     typed = rows.join(shared, "digest", "left").withColumn("again", F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"))
     write_warc(
