@@ -197,8 +197,3 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = acts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("actions"))
     return docs.join(n, "doc_id", "left").select(
         "doc_id", F.coalesce("rung", F.lit(0)).alias("rung"), F.coalesce("actions", F.lit(0)).alias("actions"), "malformed_lines", F.coalesce("code", F.lit("")).alias("code"))
-
-
-@query("catalog_metadata", "SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) - 1 AS position FROM information_schema.columns")
-def catalog_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).select("table_name", "column_name", "position")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.base import query, table
 from checks.comparison import SAVED, steps
@@ -15,6 +16,7 @@ from claimlake.plans.verify import Verification
 from claimlake.session import shared_dir
 from claimlake.sources import corpus as K
 from claimlake.streaming import streams as Z
+from claimlake.streaming.reservations import reservation_expiry as reservation_expiry_stream
 
 
 @query("normalize_saved_results", SAVED + """, r AS (SELECT DISTINCT workflow_id, run_index, CAST(substr(workflow_id, 4) AS BIGINT) AS n FROM s)
@@ -164,7 +166,7 @@ def eventual_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's row comes with a verify_outcome and goes with an integrate_landed; the last row of the stream closes every window."""
     kind = F.when(F.col("event") == "verify_started", "claim").when(F.col("event") == "verify_outcome", "row").when(F.col("event") == "integrate_landed", "gone")
     rows = funnel(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("key"), kind.alias("kind"), F.col("id").cast("string").alias("claim_id"), F.col("created_at").cast("timestamp").alias("ts")).filter("kind is not null")
-    return _replay(spark, rows, lambda s: Z.eventual_stream(s, 3_600_000), "eventual", closing={"key": "closing", "kind": "gone", "ts": CLOSING}).select("claim_id", "key", "status")
+    return replayed(spark, rows, lambda s: Z.eventual_stream(s, 3_600_000), "eventual", closing={"key": "closing", "kind": "gone", "ts": CLOSING}).select("claim_id", "key", "status")
 
 
 @query("skew_filter", FUNNEL + "SELECT id FROM fe WHERE id%10*60 <= 300")
@@ -176,16 +178,16 @@ def skew_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLOSING = "2099-01-01 00:00:00"
 
 
-def _replay(spark: SparkSession, df: DataFrame, build, name: str, mode: str = "append", closing: dict | None = None) -> DataFrame:
+def replayed(spark: SparkSession, df: DataFrame, build, name: str, mode: str = "append", closing: dict | list[dict] | None = None) -> DataFrame:
     """Write the rows as a file source, run the stream over all of it, and read what it wrote.
 
-    closing: values of one more row, far ahead in time, that closes what waits for later events.
+    closing: values of further rows, far ahead in time, that close what waits for later events.
     """
     import uuid
 
     base = f"{shared_dir(spark)}/replay-{name}-{uuid.uuid4().hex}"
-    if closing:
-        df = df.unionByName(spark.range(1).select(*[F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]))
+    for end in closing if isinstance(closing, list) else [closing] if closing else []:
+        df = df.unionByName(spark.range(1).select(*[F.lit(end.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]))
     df.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
     q = build(stream).writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
@@ -193,17 +195,31 @@ def _replay(spark: SparkSession, df: DataFrame, build, name: str, mode: str = "a
     return spark.read.parquet(f"{base}/out")
 
 
+FILES = 4
+
+
+def in_parts(rows: DataFrame, part: Column, parts: int, folder: str) -> DataFrame:
+    """A stream that reads the rows part by part, a batch each. Rows are dealt to folders in one pass; each part then is FILES files,
+    and the source takes files in the order they were written."""
+    spark = rows.sparkSession
+    rows.withColumn("part", part).repartition(parts * FILES, "part", F.pmod(F.xxhash64(*rows.columns), F.lit(FILES))).write.partitionBy("part").parquet(f"{folder}-dealt")
+    for p in range(parts):
+        dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])).parquet(f"{folder}-dealt").filter(F.col("part") == p).drop("part")
+        dealt.repartition(FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
 @query("idempotent_beacons", FUNNEL + "SELECT 'r' || q AS run_id, event, COUNT(*) AS n FROM (SELECT DISTINCT id//4 AS q, event FROM fe) GROUP BY 1, 2")
 def idempotent_beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = funnel(spark, sf_dir).select(F.concat(F.lit("r"), F.floor(F.col("id") / 4)).alias("run_id"), "event", F.col("created_at").cast("timestamp").alias("created_at"))
-    out = _replay(spark, rows, Z.idempotent_beacons, "beacons")
+    out = replayed(spark, rows, Z.idempotent_beacons, "beacons")
     return out.groupBy("run_id", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("hourly_counts", FUNNEL + "SELECT CAST(epoch(date_trunc('hour', created_at)) AS BIGINT) AS window_start, event AS scope, COUNT(*) AS n FROM fe GROUP BY 1, 2")
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = funnel(spark, sf_dir).select(F.col("event").alias("scope"), F.col("created_at").cast("timestamp").alias("ts"))
-    return _replay(spark, rows, Z.hourly_counts, "hours", closing={"scope": "closing", "ts": CLOSING}).filter("scope <> 'closing'").select(F.unix_seconds("w.start").alias("window_start"), "scope", "n")
+    return replayed(spark, rows, Z.hourly_counts, "hours", closing={"scope": "closing", "ts": CLOSING}).filter("scope <> 'closing'").select(F.unix_seconds("w.start").alias("window_start"), "scope", "n")
 
 
 _SESSIONS = FUNNEL + """, o AS (SELECT 'u' || user_id AS workflow_id, created_at AS t, event='verify_outcome' AS claim, lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, id) AS p FROM fe),
@@ -214,7 +230,7 @@ g AS (SELECT *, sum(CASE WHEN p IS NULL OR t >= p + INTERVAL 2 HOUR THEN 1 ELSE
 @query("session_close", _SESSIONS + "SELECT workflow_id, CAST(floor(epoch(min(t))) AS BIGINT) AS started, count(*) AS n_events, count(*) FILTER (claim) AS n_claims FROM g GROUP BY workflow_id, s")
 def session_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = funnel(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("workflow_id"), F.when(F.col("event") == "verify_outcome", "tool_observed").otherwise("control").alias("type"), F.col("created_at").cast("timestamp").alias("ts"))
-    closed = _replay(spark, rows, lambda s: Z.closed_sessions(s, "2 hours"), "sessions", closing={"workflow_id": "closing", "type": "control", "ts": CLOSING})
+    closed = replayed(spark, rows, lambda s: Z.closed_sessions(s, "2 hours"), "sessions", closing={"workflow_id": "closing", "type": "control", "ts": CLOSING})
     return closed.filter("workflow_id <> 'closing'").select("workflow_id", F.unix_seconds("session.start").alias("started"), "n_events", "n_claims")
 
 
@@ -248,9 +264,7 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
     rows = funnel(spark, sf_dir).select("id", F.col("created_at").cast("timestamp").alias("ts"))
     most = rows.agg(F.max("id").alias("m")).first()["m"] + 1
-    for part in range(8):
-        rows.filter(F.floor(F.col("id") * 8 / most) == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = in_parts(rows, F.floor(F.col("id") * 8 / most), 8, f"{base}/in")
     Z.split_late(stream, "1 hour", f"{base}/on-time", f"{base}/late", f"{base}/ck").awaitTermination()
     read = lambda side, late: spark.read.schema(rows.schema).parquet(f"{base}/{side}").select("id", F.lit(late).alias("late"))
     return read("on-time", False).unionByName(read("late", True))
@@ -260,7 +274,8 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reservation_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event") == "reserve_allowed", "reserve").when(F.col("event") == "verify_outcome", "outcome")
     rows = funnel(spark, sf_dir).select(F.concat(F.lit("k"), "user_id").alias("api_key"), F.to_date("created_at").cast("string").alias("run_id"), kind.alias("kind"), F.col("id").cast("bigint").alias("id"), F.col("created_at").cast("timestamp").alias("created_at")).filter("kind is not null")
-    return _replay(spark, rows, Z.reservation_expiry, "reservations", closing={"api_key": "closing", "run_id": "", "kind": "reserve", "created_at": CLOSING})
+    ends = [{"api_key": "closing", "run_id": "", "kind": kind, "created_at": CLOSING} for kind in ("reserve", "outcome")]
+    return replayed(spark, rows, reservation_expiry_stream, "reservations", closing=ends).filter("api_key <> 'closing'")
 
 
 @query("rolling_kpis", FUNNEL + """, d AS (SELECT unnest(range((SELECT date_trunc('day', min(created_at)) FROM fe), (SELECT max(created_at) FROM fe), INTERVAL 1 DAY)) AS as_of)

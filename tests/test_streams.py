@@ -102,6 +102,7 @@ def test_late_events_go_aside(spark, tmp_path):
 
 def test_reservation_stream_matches_batch(spark, tmp_path):
     from claimlake.plans.usage import reservation_outcomes
+    from claimlake.streaming.reservations import reservation_expiry
 
     rows = [("k", "r1", "outcome", 1, at(60)), ("k", "r1", "outcome", 4, at(70)), ("k", "r2", "outcome", 2, at(500)), ("k", "r9", "outcome", 3, at(10)), ("k", "r3", "outcome", 5, at(5)),
             ("k", "r1", "reserve", None, at(0)), ("k", "r1", "reserve", None, at(65)), ("k", "r2", "reserve", None, at(0)), ("k", "r3", "reserve", None, at(6))]
@@ -110,10 +111,30 @@ def test_reservation_stream_matches_batch(spark, tmp_path):
     every = spark.createDataFrame(rows, schema)
     got = reservation_outcomes(every.filter("kind = 'outcome'").drop("kind"), every.filter("kind = 'reserve'").drop("kind", "id"))
     assert {r.id: r.decision for r in got.collect()} == want
-    write_batches(spark, tmp_path / "in", schema, [rows[:4], rows[4:], [("end", "", "reserve", None, at(60 * 24 * 9))]])
-    streamed = replay(spark, schema, str(tmp_path / "in"), str(tmp_path), lambda s: Z.reservation_expiry(s, "10 days"))
-    assert streamed.count() == 0  # nothing is closed while the watermark waits
+    end = lambda days: [("end", "", kind, None, at(60 * 24 * days)) for kind in ("reserve", "outcome")]
+    write_batches(spark, tmp_path / "in", schema, [rows[:4], rows[4:], end(9)])
+    streamed = replay(spark, schema, str(tmp_path / "in"), str(tmp_path), lambda s: reservation_expiry(s, "10 days"))
+    assert streamed.count() == 0  # nothing is decided while the watermark waits
     closing = tmp_path / "again"
-    write_batches(spark, closing / "in", schema, [[*rows, ("end", "", "reserve", None, at(60 * 24 * 30))]])
-    streamed = replay(spark, schema, str(closing / "in"), str(closing), Z.reservation_expiry)
-    assert {r.id: r.decision for r in streamed.collect()} == want
+    write_batches(spark, closing / "in", schema, [[*rows, *end(30)]])
+    streamed = replay(spark, schema, str(closing / "in"), str(closing), reservation_expiry)
+    assert {r.id: r.decision for r in streamed.filter("api_key = 'k'").collect()} == want
+
+
+def test_reservation_state_ends_by_itself(spark, tmp_path):
+    from claimlake.plans.usage import reservation_outcomes
+    from claimlake.streaming.reservations import reservation_expiry
+
+    schema = "api_key string, run_id string, kind string, id long, created_at timestamp"
+    day = lambda d: [row for k in range(20) for row in (
+        (f"k{k}", f"r{d}", "reserve", None, at(d * 1440 + k)), (f"k{k}", f"r{d}", "outcome", d * 100 + k, at(d * 1440 + 2 * k)), (f"k{k}", f"r{d}", "outcome", d * 100 + 50 + k, at(d * 1440 + 10 * k + 300)))]
+    batches = [day(d) for d in range(10)]
+    write_batches(spark, tmp_path / "in", schema, [*batches, [("end", "", kind, None, at(1440 * 60)) for kind in ("reserve", "outcome")]])
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = reservation_expiry(source, "1 hour").writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    most = max(sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"])
+    assert most < 5 * len(batches[0])  # some two days of rows with the join's own marks, of ten
+    every = spark.createDataFrame(sum(batches, []), schema)
+    want = reservation_outcomes(every.filter("kind = 'outcome'").drop("kind"), every.filter("kind = 'reserve'").drop("kind", "id"))
+    assert {(r.id, r.decision) for r in spark.read.parquet(f"{tmp_path}/out").filter("api_key <> 'end'").collect()} == {(r.id, r.decision) for r in want.collect()}
