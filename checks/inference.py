@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.base import query, table
 from claimlake.plans import infer as Q
+from claimlake.session import stored
 from claimlake.plans.workload import spread
 from claimlake.sources.state import State
 
@@ -80,7 +81,7 @@ _TOOLS = """WITH t AS (SELECT DISTINCT lower(c_mktsegment) || '.sync_' || CASE c
 n AS (SELECT unnest(['region','nation','customer','supplier','part','orders','lineitem','events','documents','embeddings','pages','benchmark','labels','conversations']) AS table_name),
 v AS (SELECT table_name, unnest(list_distinct([table_name, CASE WHEN table_name LIKE '%s' THEN left(table_name,-1) ELSE table_name END, CASE WHEN table_name LIKE '%s' THEN table_name ELSE table_name || 's' END])) AS v FROM n),
 w AS (SELECT tool_name, unnest(string_split_regex(tool_name, '[^a-zA-Z0-9]+')) AS w FROM t),
-sc AS (SELECT tool_name, table_name, MAX(CASE WHEN w=v THEN 1.0 WHEN contains(w, v) OR contains(v, w) THEN 0.75 WHEN 1.0 - levenshtein(w, v)::DOUBLE / GREATEST(length(w), length(v)) >= 0.85 THEN 0.7 ELSE 0.0 END) AS score FROM w, v GROUP BY 1, 2)
+sc AS (SELECT tool_name, table_name, MAX(CASE WHEN w=v THEN 1.0 WHEN contains(w, v) OR contains(v, w) THEN 0.75 WHEN 1.0 - levenshtein(w, v)::DOUBLE / GREATEST(length(w), length(v)) >= 0.85 THEN 0.7 ELSE 0.0 END) AS score FROM w, v GROUP BY 1, 2 HAVING MAX(CASE WHEN w=v OR contains(w, v) OR contains(v, w) THEN 1.0 ELSE 1.0 - levenshtein(w, v)::DOUBLE / GREATEST(length(w), length(v)) END) >= 0.85)
 """
 
 
@@ -95,7 +96,7 @@ def tool_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) AS column_name),
 r AS (SELECT *, lower(mapping_key) AS k, lower(column_name) AS c FROM p, c)
 SELECT mapping_key, column_name, CASE WHEN mapping_key=column_name THEN 1.0 WHEN k=c THEN 0.95 WHEN replace(k,'_','')=replace(c,'_','') THEN 0.9 WHEN k=c || 'id' OR k=c || '_id' THEN 0.85
-  WHEN 1.0 - levenshtein(k, c)::DOUBLE / GREATEST(length(k), length(c)) >= 0.8 THEN 1.0 - levenshtein(k, c)::DOUBLE / GREATEST(length(k), length(c)) ELSE 0.0 END AS score FROM r""")
+  WHEN 1.0 - levenshtein(k, c)::DOUBLE / GREATEST(length(k), length(c)) >= 0.8 THEN 1.0 - levenshtein(k, c)::DOUBLE / GREATEST(length(k), length(c)) ELSE 0.0 END AS score FROM r WHERE score > 0""")
 def param_column_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 5
     keys = table(spark, sf_dir, "orders").select(
@@ -112,7 +113,7 @@ def fk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(actions, row units, relation units), verified against every table."""
     acts = actions(spark, sf_dir)
-    flat, known, tables = Q.flatten_params(acts, ["doc_id", "place"]), catalog(spark, sf_dir), state(spark, sf_dir)
+    flat, known, tables = stored(Q.flatten_params(acts, ["doc_id", "place"])), catalog(spark, sf_dir), state(spark, sf_dir)
     rows = Q.verify_units(spark, Q.plan_units(flat, acts, known, TABLES), tables, known)
     return acts, rows, Q.verify_relations(spark, Q.fk_checks(flat, known, ["doc_id", "place"]), tables)
 

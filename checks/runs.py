@@ -88,18 +88,29 @@ def correctness_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correctness_definitions(diagnosis(spark, sf_dir).analysis).select("workflow_id", "kind", "must_always_hold", "action")
 
 
-# Every document's text becomes a plan that cites paths named after it, some under obligations and some not.
-@query("plan_path_harvest", """SELECT doc_id, unnest(list_filter(['src/a' || doc_id || '.ts', CASE WHEN doc_id%2=0 THEN 'docs/d' || doc_id || '.md' END, CASE WHEN doc_id%3=0 THEN 'test/t' || doc_id || '.mjs' END, 'schemas/todo' || doc_id || '.json'], lambda x: x IS NOT NULL)) AS path FROM documents""")
+# Every document becomes a plan. Each line of its text gives a citation named after the line's first word: even lines oblige, odd ones
+# are only read, every fifth stands in a fenced block; the words of a line are its reason.
+@query("plan_path_harvest", r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
+w AS (SELECT doc_id, n, regexp_extract(line, '[a-z]{3,9}', 0) AS w FROM l)
+SELECT DISTINCT doc_id, unnest(['src/' || w || '.ts', 'docs/' || w || n || '.md']) AS path FROM w WHERE w<>'' AND n%2=0 AND n%5<>4
+UNION SELECT doc_id, 'test/t' || doc_id || '.mjs' FROM documents WHERE doc_id%3=0 UNION SELECT doc_id, 'schemas/todo' || doc_id || '.json' FROM documents""")
 def plan_path_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimlake.plans.harvest import harvest_paths
 
     d = F.col("doc_id").cast("string")
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
-    n = F.col("doc_id")
+
+    def cited(line, n):
+        word = F.regexp_extract(line, "[a-z]{3,9}", 0)
+        plain = F.substr(F.regexp_replace(line, r"[^a-z ]+", ""), F.lit(1), F.lit(40))
+        both = say("[it](./src/", word, ".TS) and `docs/", word, n.cast("string"), ".md`. ", F.translate(plain, "aeiou", ""))
+        said = F.when(n % 2 == 0, say("Update ", both)).otherwise(say("Read ", both))
+        return F.when(word == "", F.lit("nothing")).when(n % 5 == 4, say("```\n", said, "\n```")).otherwise(said)
+
+    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), cited), "\n")
     body = say(
-        "---\ntitle: x\n---\n# ", d, "\n", F.coalesce(F.regexp_replace("text", "[`\\[\\]#]", " "), F.lit("")), "\n`src/before", d, ".ts` must change\n## Implementation notes\n",
-        "1. We must keep [the file](./src/a", d, ".TS) now. ![no](src/image", d, ".ts) Update\n", F.when(n % 2 == 0, "Update").otherwise("Read"), " `docs/d", d, ".md`\n",
-        "For example add `src/example", d, ".ts`\n```ts\nadd `src/fenced", d, ".ts`\n```\n## Testing\nmust pass `test/t", d, F.when(n % 3 == 0, ".mjs").otherwise(".exe"), "`\n",
+        "---\ntitle: x\n---\n# ", d, "\n`src/before", d, ".ts` must change\n## Implementation notes\n", lines, "\n![no](src/image", d, ".ts) Update\n",
+        "For example add `src/example", d, ".ts`\n## Testing\nmust pass `test/t", d, F.when(F.col("doc_id") % 3 == 0, ".mjs").otherwise(".exe"), "`\n",
         "Expect: add `src/expected", d, ".ts`\n## Background\nAdd `src/background", d, ".ts`\n")
     todos = F.array(say("create `schemas/todo", d, ".json`; similar to `schemas/old", d, ".json` update"))
     return harvest_paths(table(spark, sf_dir, "documents").select("doc_id", body.alias("text"), todos.alias("todos")))

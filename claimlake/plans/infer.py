@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import accumulate, tee
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,7 @@ from claimlake.functions.scalars import js_number_text, operational_message
 from claimlake.functions.stage import sealed
 from claimlake.operators.reconcile import attach_facts, judge_checks
 from claimlake.operators.resolve import locale_key
+from claimlake.operators.similar import column_matches, token_matches
 from claimlake.operators.skew import block_positions
 from claimlake.session import stored
 from claimlake.sources.state import State
@@ -73,33 +76,25 @@ def ingest_lines(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "place", log_salvage(F.col("line")).alias("j")).filter("j is not null")
 
 
-def balanced_objects(text: str) -> Iterator[str]:
-    """Brace-balanced pieces of a text, in order; quoted braces do not count. An open piece ends the search."""
-    at = text.find("{")
-    while at >= 0:
-        depth, quote, skip, end = 0, "", False, -1
-        for i in range(at, len(text)):
-            c = text[i]
-            if quote:
-                if skip:
-                    skip = False
-                elif c == "\\":
-                    skip = True
-                elif c == quote:
-                    quote = ""
-            elif c in "\"'":
-                quote = c
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if depth == 0:
-                    end = i + 1
-                    break
-        if end < 0:
+#: Inside a piece: a quoted text (to the end of the document if it is never closed), or a brace.
+_MARK = re.compile(r"""(?s)"(?:[^"\\]|\\.)*+(?:"|\Z)|'(?:[^'\\]|\\.)*+(?:'|\Z)|[{}]""")
+_STEP = {"{": 1, "}": -1}
+
+
+def balanced_pieces(text: str) -> Iterator[str]:
+    """The pieces of a text from an opening brace to the mark at which as many braces are closed as opened; quoted braces are no marks.
+
+    Quotes between pieces mean nothing. A piece that is never closed is the last, and is none.
+    """
+    begin = text.find("{")
+    while begin >= 0:
+        marks, counted = tee(_MARK.finditer(text, begin))
+        open_braces = accumulate(_STEP.get(m[0], 0) for m in counted)
+        closing = next((m.end() for m, n in zip(marks, open_braces, strict=False) if n == 0), None)
+        if closing is None:
             return
-        yield text[at:end]
-        at = text.find("{", end)
+        yield text[begin:closing]
+        begin = text.find("{", closing)
 
 
 def ingest_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +116,7 @@ def ingest_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             doc, place, found = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for n, piece in enumerate(balanced_objects(text)):
+                for n, piece in enumerate(balanced_pieces(text)):
                     doc.append(i)
                     place.append(n)
                     found.append(piece)
@@ -198,40 +193,41 @@ def dedupe_actions(flat: DataFrame, actions: DataFrame) -> DataFrame:
 
 # --- scoring ------------------------------------------------------------------------------------
 
-def _tables(tables: list[str]) -> Column:
-    """The catalog's table names as a constant column."""
-    return F.array(*[F.lit(t) for t in sorted(tables)])
+def _variants(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """(table_name, b): the words that stand for each table of the catalog."""
+    names = spark.createDataFrame([(t,) for t in sorted(tables)], "table_name string")
+    return names.select("table_name", F.explode(S.word_variants(F.col("table_name"))).alias("b"))
 
 
 def tool_table_scores(tools: DataFrame, tables: list[str]) -> DataFrame:
-    """Every distinct tool name against every table; rank 1 is the chosen table, ties by name."""
-    each = tools.select("tool_name").distinct().select("tool_name", F.explode(_tables(tables)).alias("table_name"))
-    scored = sealed(each.select("tool_name", "table_name", S.table_score(S.tokens(F.col("tool_name")), S.word_variants(F.col("table_name"))).alias("score")))
+    """Distinct tool names and the tables that any of their words matches; rank 1 is the chosen table, ties by name."""
+    variants = _variants(tools.sparkSession, tables)
+    words = tools.select("tool_name").distinct().select("tool_name", F.explode(F.array_distinct(S.tokens(F.col("tool_name")))).alias("a"))
+    scored = words.join(stored(token_matches(words, variants)), "a").join(variants, "b").groupBy("tool_name", "table_name").agg(F.max("score").alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("tool_name").orderBy(F.col("score").desc(), "table_name")))
 
 
 def segment_tables(flat: DataFrame, tables: list[str]) -> DataFrame:
-    """Best table of every distinct first path segment."""
-    segment = F.split_part("path", F.lit("."), F.lit(1))
-    each = flat.select(segment.alias("segment")).distinct().select("segment", F.explode(_tables(tables)).alias("table_name"))
-    scored = sealed(each.select("segment", "table_name", S.table_score(F.array("segment"), S.word_variants(F.col("table_name"))).alias("score")))
-    best = scored.groupBy("segment").agg(F.min(F.struct((-F.col("score")).alias("s"), "table_name")).alias("b"))
+    """Best table of every distinct first path segment that matches one."""
+    variants = _variants(flat.sparkSession, tables)
+    segments = flat.select(F.split_part("path", F.lit("."), F.lit(1)).alias("a")).distinct()
+    scored = stored(token_matches(segments, variants)).join(variants, "b")
+    best = scored.groupBy(F.col("a").alias("segment")).agg(F.min(F.struct((-F.col("score")).alias("s"), "table_name")).alias("b"))
     return best.select("segment", F.col("b.table_name").alias("segment_table"), (-F.col("b.s")).alias("segment_score"))
 
 
 def param_column_scores(keys: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct (table, mapping key) against the table's columns."""
+    """Distinct (table, mapping key) and the table's columns that match it."""
+    asked = keys.select("table_name", "mapping_key").distinct()
     columns = catalog.select("table_name", "column_name", "is_primary")
-    each = keys.select("table_name", "mapping_key").distinct().join(columns, "table_name")
-    return sealed(each.withColumn("score", S.column_score(F.col("mapping_key"), F.col("column_name"))))
+    return asked.join(stored(column_matches(asked, columns)), "mapping_key").join(columns, ["table_name", "column_name"])
 
 
 def fk_checks(flat: DataFrame, catalog: DataFrame, ids: list[str]) -> DataFrame:
     """Per action and foreign-key column: the best matching parameter, as a related-row check; none where that parameter is null."""
-    edges = catalog.filter("ref_table is not null").select("table_name", "column_name").orderBy("table_name", "column_name").collect()  # declared keys: a few rows of metadata
-    known = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in edges]) if edges else F.array().cast("array<struct<table_name:string,column_name:string>>")
-    each = flat.select("path").distinct().select("path", F.inline(known))
-    scored = sealed(each.select("path", "table_name", "column_name", S.column_score(F.col("path"), F.col("column_name")).alias("score"))).filter(F.col("score") >= S.T_COLUMN)
+    edges = catalog.filter("ref_table is not null").select("table_name", "column_name")
+    matches = stored(column_matches(flat.select(F.col("path").alias("mapping_key")), edges))  # names are few: they are matched once
+    scored = matches.filter(F.col("score") >= S.T_COLUMN).withColumnRenamed("mapping_key", "path").join(edges, "column_name")
     best = flat.join(scored, "path").groupBy(*ids, "table_name", "column_name").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "path", "t", "v")).alias("b"))
     return best.filter("b.t <> 'null'").select(*ids, F.concat(F.lit("fk:"), "table_name", F.lit("."), "column_name").alias("check_id"), "table_name", "column_name", F.col("b.path").alias("path"), F.col("b.v").alias("value"))
 
@@ -248,15 +244,15 @@ def key_columns(catalog: DataFrame) -> DataFrame:
 def plan_units(flat: DataFrame, actions: DataFrame, catalog: DataFrame, tables: list[str]) -> DataFrame:
     """Row expectations per (action, bucket): table, identity, required fields and confidence. Every bucket gives a unit."""
     ids = ["doc_id", "place"]
-    ranks = tool_table_scores(actions, tables)
-    best = ranks.groupBy("tool_name").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("table_name"))).alias("tool_table"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"),
-        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"))
+    # tools without a match stand for the first table, at no score; so does the second place where only one table matches
+    best = actions.select("tool_name").distinct().join(tool_table_scores(actions, tables), "tool_name", "left").groupBy("tool_name").agg(
+        F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("table_name"))), F.lit(min(tables))).alias("tool_table"), F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("score"))), F.lit(0.0)).alias("s1"),
+        F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0 if len(tables) > 1 else None).cast("double")).alias("s2"))
     segment = F.split_part("path", F.lit("."), F.lit(1))
-    paths = flat.withColumn("segment", segment).join(segment_tables(flat, tables), "segment").join(actions.select(*ids, "tool_name"), ids).join(best, "tool_name")
+    paths = flat.withColumn("segment", segment).join(segment_tables(flat, tables), "segment", "left").fillna(0.0, ["segment_score"]).join(actions.select(*ids, "tool_name"), ids).join(best, "tool_name")
     bucket = F.when(F.col("segment_score") >= S.T_TABLE, F.col("segment_table")).otherwise(GLOBAL)
     nested = F.col("path").contains(".") & (F.col("bucket") != GLOBAL)
-    keyed = sealed(paths.withColumn("bucket", bucket).withColumn("table_name", F.when(F.col("bucket") == GLOBAL, F.col("tool_table")).otherwise(F.col("bucket"))).withColumn(
+    keyed = stored(paths.withColumn("bucket", bucket).withColumn("table_name", F.when(F.col("bucket") == GLOBAL, F.col("tool_table")).otherwise(F.col("bucket"))).withColumn(
         "mapping_key", F.when(nested, F.expr("substring(path, instr(path, '.') + 1)")).otherwise(F.col("path"))))
     keys = key_columns(catalog).withColumn("is_key", F.lit(True))
     columns = catalog.select("table_name", "column_name", "is_primary").join(keys, ["table_name", "column_name"], "left").withColumn("is_primary", F.coalesce("is_key", F.lit(False))).drop("is_key")
