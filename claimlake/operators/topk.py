@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlake.session import stored
+
 # Evidence rows per failed check, list page sizes, comparison highlights, corpus patterns, evidence per rule.
 SAMPLE_ROWS = 3
 PAGE_DEFAULT, PAGE_MAX = 100, 500
@@ -25,12 +27,27 @@ def sample_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column | str], limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
-    """One page of a sorted list; the caller shows `total` and `next_offset` beside it."""
+    """One page of a sorted list; the caller shows `total` and `next_offset` beside it. The order must be total.
+
+    Behind an offset, rows are dealt to ranges of the order and written once; the ranges are counted, and only those that the page
+    lies in are read again and sorted, so no task sorts the rows before it.
+    """
     if not 1 <= limit <= PAGE_MAX:
         raise ValueError(f"limit must be between 1 and {PAGE_MAX}")
     if offset < 0:
         raise ValueError("offset must not be negative")
-    return df.orderBy(*order).offset(offset).limit(limit)
+    if offset == 0:
+        return df.orderBy(*order).limit(limit)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(ranges, *order).withColumn("page_range", F.spark_partition_id()))
+    counts = dict(dealt.groupBy("page_range").agg(F.count(F.lit(1))).collect())  # a row for each range
+    before, wanted, first = 0, [], 0
+    for k in sorted(counts):
+        if before < offset + limit and before + counts[k] > offset:
+            first = first if wanted else before
+            wanted.append(k)
+        before += counts[k]
+    return dealt.filter(F.col("page_range").isin(wanted)).drop("page_range").orderBy(*order).offset(offset - first if wanted else 0).limit(limit)
 
 
 def page_after(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None = None, limit: int = PAGE_DEFAULT) -> DataFrame:

@@ -9,7 +9,7 @@ once for each table and set of key columns, whatever the number of claims and of
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlake.functions.scalars import js_number, stored_kind, stored_text
+from claimlake.operators.exact import exact_double_sum
 
 FACT_SCHEMA = "binding string, key array<string>, n bigint, total double, payload map<string,string>"
 
@@ -67,6 +68,8 @@ class State:
     """Declared state tables, by lower-cased name."""
 
     tables: dict[str, DataFrame]
+    #: (table, column) -> whether its doubles are summed in bins, as far as asked.
+    inexact: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False, compare=False)
 
     @staticmethod
     def parquet(spark: SparkSession, base: str, names: list[str]) -> "State":
@@ -166,15 +169,27 @@ def claimed_only(df: DataFrame, columns: list[str], wanted: DataFrame | None, te
 
 
 def exact_sum(column: str, dtype: T.DataType) -> Column:
-    """A sum that does not depend on the order of rows: whole numbers and decimals, and doubles that a decimal holds exactly."""
+    """A sum that does not depend on the order of rows: whole numbers, decimals, and doubles that a decimal holds exactly."""
     if isinstance(dtype, T.IntegralType):
         return F.sum(F.col(column).cast("decimal(20,0)")).cast("double")
     if isinstance(dtype, T.DecimalType):
         return F.sum(column).cast("double")
-    held = F.col(column).cast("double")
-    exact = held.cast("decimal(38,10)")
-    inexact = F.count_if(held.isNotNull() & ~F.coalesce(exact.cast("double") == held, F.lit(False)))
-    return F.when(inexact == 0, F.sum(exact).cast("double")).otherwise(F.sum(held))
+    return F.sum(_as_decimal(column)).cast("double")
+
+
+def _as_decimal(column: str) -> Column:
+    return F.col(column).cast("double").try_cast("decimal(28,10)")
+
+
+def _in_bins(state: State, table: str, column: str) -> bool:
+    """Whether a column holds doubles that no decimal holds exactly, so that it is summed in bins. Looked up once for each column."""
+    if not isinstance(state.dtype(table, column), T.DoubleType | T.FloatType):
+        return False
+    if (table, column) not in state.inexact:
+        held = F.col(column).cast("double")
+        inexact = held.isNotNull() & ~F.coalesce(_as_decimal(column).cast("double") == held, F.lit(False))
+        state.inexact[table, column] = not state.tables[table].filter(inexact).isEmpty()
+    return state.inexact[table, column]
 
 
 def _table_facts(state: State, table: str, cols: list[str], bindings: list[Binding], wanted: DataFrame | None) -> DataFrame:
@@ -182,10 +197,14 @@ def _table_facts(state: State, table: str, cols: list[str], bindings: list[Bindi
     df = claimed_only(state.tables[table].filter(_present(cols)), cols, wanted, [F.col("key")[i] for i in range(len(cols))])
     sums = sorted({b.kind[4:] for b in bindings if b.kind.startswith("sum:")})
     fields = state.tables[table].schema.fields if any(b.kind == "row" for b in bindings) else []
-    wanted_aggs = [F.count(F.lit(1)).alias("fact_n"), *[exact_sum(c, state.dtype(table, c)).alias(f"fact_sum_{i}") for i, c in enumerate(sums)]]
+    wanted_aggs = [F.count(F.lit(1)).alias("fact_n"), *[exact_sum(c, state.dtype(table, c)).alias(f"fact_sum_{i}") for i, c in enumerate(sums) if not _in_bins(state, table, c)]]
     if fields:
         wanted_aggs.append(F.any_value(F.struct(*[F.col(f"`{f.name}`") for f in fields])).alias("fact_v"))
     grouped = df.groupBy(*[F.col(c) for c in cols]).agg(*wanted_aggs)
+    for i, c in enumerate(sums):
+        if _in_bins(state, table, c):
+            keyed, kept = (df, cols) if cols else (df.withColumn("fact_all", F.lit(1)), ["fact_all"])
+            grouped = (grouped if cols else grouped.withColumn("fact_all", F.lit(1))).join(exact_double_sum(keyed, kept, F.col(c), f"fact_sum_{i}"), kept, "left")
     none, empty = F.lit(None).cast("double"), F.lit(None).cast("map<string,string>")
     entries = [x for f in fields for x in (F.lit(f.name.lower()), stored_text(F.col(f"fact_v.`{f.name}`"), f.dataType))]
     payload = F.when(F.col("fact_n") == 1, F.create_map(*entries)) if fields else empty
