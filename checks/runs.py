@@ -57,6 +57,29 @@ def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.load_corpus(files).select("run_id", F.coalesce("code", F.lit("")).alias("code"))
 
 
+# A run for each document, saved and read back. Of ten, one loses its manifest, one its events, one has other events than its manifest says.
+@query("saved_runs", """SELECT 'run_' || doc_id AS run_id, CASE doc_id%10 WHEN 3 THEN 'MISSING_AGENT_RUN' WHEN 5 THEN 'MISSING_EVENTS' WHEN 7 THEN CASE WHEN coalesce(text, '')='' THEN 'ARTIFACT_LENGTH_MISMATCH' ELSE 'ARTIFACT_INTEGRITY_MISMATCH' END ELSE '' END AS code,
+  CASE WHEN doc_id%10<>3 THEN 'wf_' || doc_id%7 END AS workflow_id, CASE WHEN doc_id%10 NOT IN (3, 5, 7) THEN 'complete' END AS status FROM documents""")
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    root = f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    d = F.col("doc_id")
+    runs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("run_"), d).alias("run_id"), F.concat(F.lit("wf_"), d % 7).alias("workflow_id"), F.lit("c").alias("customer_id"), F.lit("2024-01-01").cast("timestamp").alias("captured_at"),
+        F.format_string('{"workflowId":"wf_%d","status":"complete"}', d % 7).alias("result"), F.col("text").alias("events"))
+    whole, cut = runs.filter(~(d % 10).isin(3, 5)), runs.filter((d % 10).isin(3, 5))
+    K.save_runs(whole, root)
+    # what broken jobs and hands leave: artifacts without a manifest, a manifest without its events, events of the same length that were changed
+    K.write_files(cut.select("run_id", F.lit(K.ARTIFACTS[0]).alias("name"), F.encode("result", "UTF-8").alias("content")), root)
+    K.write_files(cut.filter(d % 10 == 5).select("run_id", F.lit(K.MANIFEST).alias("name"), F.encode(F.format_string(
+        '{"runId":"run_%d","workflowId":"wf_%d","artifacts":{"w":{"relativePath":"%s","sha256":"%s","byteLength":%d}}}', d, d % 7, F.lit(K.ARTIFACTS[0]), F.sha2(F.encode("result", "UTF-8"), 256), F.length("result")), "UTF-8").alias("content")), root)
+    changed = F.rpad(F.lit("~"), F.greatest(F.lit(1), F.coalesce(F.octet_length("events"), F.lit(0))), "~")
+    K.write_files(runs.filter(d % 10 == 7).select("run_id", F.lit(K.ARTIFACTS[1]).alias("name"), F.encode(changed, "UTF-8").alias("content")), root)
+    loaded = K.load_corpus(K.read_corpus(spark, root))
+    return loaded.select("run_id", F.coalesce("code", F.lit("")).alias("code"), "workflow_id", F.get_json_object("result", "$.status").alias("status"))
+
+
 @query("failure_explanation", with_(ANALYSIS, """SELECT workflow_id, CASE phase WHEN 'p0' THEN 'Run-level ingest or planning issue (MALFORMED_EVENT_LINE); origin: inputs.'
   WHEN 'p1' THEN 'A retrieval step failed before the failing tool observation (kb); origin: retrieval.'
   WHEN 'p2' THEN 'A model or control event indicates the run did not complete normally before the failing tool observation; origin: decision_making.'

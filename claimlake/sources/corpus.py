@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "agent-run.json"
@@ -17,18 +21,62 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
         F.col("modificationTime").alias("modified_at"))
 
 
+_SAFE_ID = r"^(?!\.{1,2}$)[A-Za-z0-9._-]+$"
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write (run_id, name, content) as root/run_id/name, where the rows are. A repeated task writes the same files again."""
+    named = files.select(F.when(F.col("run_id").rlike(_SAFE_ID), F.col("run_id")).otherwise(F.raise_error(F.concat(F.lit("no folder name: "), F.coalesce("run_id", F.lit("null"))))).alias("run_id"), "name", "content")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                run, name, content = (c[k].as_py() for c in batch.columns)
+                system.create_dir(f"{folder}/{run}", recursive=True)
+                with system.open_output_stream(f"{folder}/{run}/{name}", compression=None) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    named.mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
+
+
+def save_runs(runs: DataFrame, root: str) -> None:
+    """Write run bundles: (run_id, workflow_id, customer_id, captured_at, result, events), texts, as folders that read_corpus reads.
+
+    All artifacts are written before any manifest is, so what a job leaves behind when it breaks off are folders without a manifest.
+    """
+    data = lambda c: F.encode(F.coalesce(c, F.lit("")), "UTF-8")
+    wide = runs.select("run_id", F.inline(F.array(*[F.struct(F.lit(name).alias("name"), data(c).alias("content")) for name, c in zip(ARTIFACTS, ("result", "events"), strict=True)])))
+    write_files(wide, root)
+
+    def entry(name: str, c: str) -> Column:
+        return F.struct(F.lit(name).alias("relativePath"), F.sha2(data(c), 256).alias("sha256"), F.octet_length(data(c)).cast("long").alias("byteLength"))
+
+    manifest = F.to_json(F.struct(
+        F.lit(1).alias("schemaVersion"), F.col("run_id").alias("runId"), F.col("workflow_id").alias("workflowId"), F.col("customer_id").alias("customerId"), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("capturedAt"),
+        F.struct(entry(ARTIFACTS[0], "result").alias("workflowResult"), entry(ARTIFACTS[1], "events").alias("events")).alias("artifacts")))
+    write_files(runs.select("run_id", F.lit(MANIFEST).alias("name"), F.encode(manifest, "UTF-8").alias("content")), root)
+
+
+def _declared(manifest: Column) -> Column:
+    return F.from_json(F.get_json_object(manifest, "$.artifacts"), "map<string,struct<relativePath:string,sha256:string,byteLength:bigint>>")
+
+
 def manifest_entries(files: DataFrame) -> DataFrame:
     """(run_id, name, sha256, byte_length) that each manifest declares."""
     text = F.decode("content", "UTF-8")
-    declared = "map<string,struct<relativePath:string,sha256:string,byteLength:bigint>>"
-    listed = files.filter(F.col("name") == MANIFEST).select("run_id", F.explode(F.from_json(F.get_json_object(text, "$.artifacts"), declared)))
+    listed = files.filter(F.col("name") == MANIFEST).select("run_id", F.explode(_declared(text)))
     return listed.select("run_id", F.col("value.relativePath").alias("name"), F.col("value.sha256").alias("sha256"), F.col("value.byteLength").alias("byte_length"))
 
 
 def artifact_integrity(files: DataFrame) -> DataFrame:
-    """Declared length, then declared hash, of every artifact; hashes are computed where the file is read."""
+    """Declared length, then declared hash, of every artifact; hashes are computed where the file is read. Spark lists no empty files, so
+    an artifact declared empty counts as there."""
     actual = files.select("run_id", "name", F.length("content").alias("bytes"), F.sha2("content", 256).alias("hash"))
-    joined = manifest_entries(files).join(actual, ["run_id", "name"], "left")
+    joined = manifest_entries(files).join(actual, ["run_id", "name"], "left").withColumns({
+        "hash": F.when(F.col("bytes").isNull() & (F.col("byte_length") == 0), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("hash")),
+        "bytes": F.when(F.col("bytes").isNull() & (F.col("byte_length") == 0), 0).otherwise(F.col("bytes"))})
     return joined.select(
         "run_id", "name",
         F.when(F.col("bytes").isNull(), "ARTIFACT_MISSING").when(F.col("bytes") != F.col("byte_length"), "ARTIFACT_LENGTH_MISMATCH")
@@ -46,12 +94,13 @@ def load_corpus(files: DataFrame) -> DataFrame:
     broken = artifact_integrity(files).filter("code is not null").groupBy("run_id").agg(of(ARTIFACTS[0]).alias("result_code"), of(ARTIFACTS[1]).alias("events_code"))
     parsed = lambda c: F.try_parse_json(c).isNull()
     doc = lambda p: F.get_json_object("manifest", p)
+    no_events = F.exists(F.map_values(_declared(F.col("manifest"))), lambda v: (v["relativePath"] == ARTIFACTS[1]) & (v["byteLength"] == 0))
     code = (
         F.when(F.col("manifest").isNull(), "MISSING_AGENT_RUN").when(parsed("manifest"), "AGENT_RUN_JSON_SYNTAX")
         .when(doc("$.runId").isNull() | doc("$.workflowId").isNull() | doc("$.artifacts").isNull(), "AGENT_RUN_INVALID")
         .when(doc("$.runId") != F.col("run_id"), "RUN_ID_MISMATCH")
         .when(F.col("result").isNull(), "MISSING_WORKFLOW_RESULT").when(F.col("result_code").isNotNull(), F.col("result_code"))
-        .when(~F.col("events"), "MISSING_EVENTS").when(F.col("events_code").isNotNull(), F.col("events_code"))
+        .when(~F.col("events") & ~F.coalesce(no_events, F.lit(False)), "MISSING_EVENTS").when(F.col("events_code").isNotNull(), F.col("events_code"))
         .when(parsed("result"), "WORKFLOW_RESULT_JSON_SYNTAX")
         .when(F.get_json_object("result", "$.workflowId") != doc("$.workflowId"), "WORKFLOW_RESULT_WORKFLOW_ID_MISMATCH")
     )
