@@ -8,8 +8,9 @@ last, and it shows the first p = |A| - ceil(t |A|) + l of them, l = 1 + |A| / SP
 least min(l, l') tokens in common. So a class that shows fewer tokens in common with all others together links with none; dropping
 such classes, their tokens leave the count, and a few rounds of this leave little but real groups. Any number of rounds gives
 the same links. (3) Classes that still share a token, directly or through others, form a candidate group. A group of more than
-BLOCK_SHINGLES is cut into blocks by size band (partners' sizes differ by less than one band) and hash; the matrix of
-(token, block) bounds the overlap of any two members of two blocks, and only block pairs that can reach the least l are opened.
+BLOCK_SHINGLES is cut into blocks by size band (partners' sizes differ by less than one band) and, in a band, by the first token in
+the global order, which similar classes mostly share; the matrix of (token, block), tokens of the same blocks taken together,
+bounds the overlap of any two members of two blocks, and only block pairs that can reach the least l are opened.
 (4) Inside a block or a pair of blocks, sets are held as differences from the tokens that most members share. With slack =
 (den - num) |A| - (den + num) |difference of A|, A and B are linked exactly if slack A + slack B + 2 (den + num) |common
 differences| >= 0. So all members link to the one of most slack without looking at pairs, and only those that do not are
@@ -43,6 +44,8 @@ from claimlake.llm.graph import components
 #: Shingles that one task holds at a time, at most twice as many.
 BLOCK_SHINGLES = 1 << 21
 HOT_LIMIT = 1 << 16
+#: Places of first tokens in a band's order.
+CELLS = 1 << 12
 #: One more token is shown, and asked for in common, for so many shingles.
 SPARE = 20
 ROUNDS = 3
@@ -251,23 +254,30 @@ def similar_documents(docs: DataFrame, *, k: int = 3, num: int = 90, den: int =
     shown = shared_tokens(shown_tokens(rows, shared, num, den), num, den)
     candidates = components(shown.filter(F.col("cid") != F.col("hub")).select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct())
 
-    # groups: a whole candidate component, or its blocks where it is large
-    member = candidates.select(F.col("node").alias("cid"), "root").join(shown.select("cid", "n").distinct(), "cid")
+    # groups: a whole candidate component, or its blocks where it is large. Members of a band are laid out by their first
+    # token, which similar classes mostly share, and blocks are runs of this order; a run of one cell that is too large by itself is cut by class.
+    first = F.min(F.col("token").bitwiseXOR(F.lit(-(1 << 63)))).alias("first")  # as the global order has it: frequent tokens last
+    member = candidates.select(F.col("node").alias("cid"), "root").join(shown.groupBy("cid", "n").agg(first), "cid")
     held = member.groupBy("root").agg(F.sum("n").alias("held"))
     band = F.when(F.col("held") <= block_shingles, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9))
-    banded = member.join(held, "root").withColumn("band", band.cast("int"))
-    cuts = banded.groupBy("root", "band").agg(F.ceil(F.sum("n") / block_shingles).alias("cuts"))
-    grouped = stash(banded.join(cuts, ["root", "band"]).withColumn("cut", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int")).withColumn("grp", F.xxhash64("root", "band", "cut")).select("cid", "n", "root", "band", "grp", "held"))
+    banded = member.join(held, "root").withColumn("band", band.cast("int")).withColumn("cell", F.pmod(F.xxhash64("first"), F.lit(CELLS)))
+    before = F.sum("in_cell").over(W.partitionBy("root", "band").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
+    cells = banded.groupBy("root", "band", "cell").agg(F.sum("n").alias("in_cell"))
+    cells = cells.select("root", "band", "cell", F.floor(F.coalesce(before, F.lit(0)) / block_shingles).alias("run"), F.ceil(F.col("in_cell") / block_shingles).alias("cuts"))
+    cut = F.when(F.col("cuts") > 1, F.xxhash64("cell", F.pmod(F.xxhash64("cid"), F.col("cuts")))).otherwise(F.col("run"))
+    grouped = stash(banded.join(cells, ["root", "band", "cell"]).withColumn("cut", cut).withColumn("grp", F.xxhash64("root", "band", "cut")).select("cid", "n", "root", "band", "grp", "held"))
     large = grouped.filter(F.col("held") > block_shingles)
     # blocks of one band, or of neighbouring bands, meet under the greater band
     matrix = shown.select("cid", "token").join(large.select("cid", "root", "band", "grp"), "cid").select("root", "token", "band", "grp").distinct()
-    beside = matrix.withColumn("key", F.explode(F.array("band", F.col("band") + 1))).groupBy("root", "token", "key").agg(F.collect_set(F.struct("band", "grp")).alias("g"))
+    beside = matrix.withColumn("key", F.explode(F.array("band", F.col("band") + 1))).groupBy("root", "token", "key").agg(F.array_sort(F.collect_set(F.struct("band", "grp"))).alias("g"))
+    # tokens that stand in the same blocks count once, with their number
+    beside = beside.filter(F.size("g") > 1).groupBy("key", "g").agg(F.count("*").alias("tokens"))
     least = large.groupBy("grp").agg(F.min(asked(F.col("n"), num, den)).alias("l"))
     one_band = (F.col("a.band") == F.col("b.band")) & (F.col("a.band") == F.col("key"))
     opened = stash(
-        beside.filter(F.size("g") > 1).select("key", F.explode("g").alias("a"), "g").select("key", "a", F.explode("g").alias("b"))
+        beside.select("key", "tokens", F.explode("g").alias("a"), "g").select("key", "tokens", "a", F.explode("g").alias("b"))
         .filter((F.col("a.grp") < F.col("b.grp")) & (one_band | (F.col("a.band") != F.col("b.band"))))
-        .groupBy(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).agg(F.count("*").alias("overlap"))
+        .groupBy(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).agg(F.sum("tokens").alias("overlap"))
         .join(least.select(F.col("grp").alias("a"), F.col("l").alias("la")), "a").join(least.select(F.col("grp").alias("b"), F.col("l").alias("lb")), "b")
         .filter(F.col("overlap") >= F.least("la", "lb")).select("a", "b")
     )
