@@ -12,6 +12,7 @@ from checks.diagnosis import ANALYSIS, diagnosis
 from checks.core import claimed
 from checks.kpi import FUNNEL, _RES, funnel
 from checks.sqltext import ROLLED, with_
+from claimlake.functions.phrases import PHRASES
 from claimlake.plans.verify import Verification
 from claimlake.session import shared_dir
 from claimlake.sources import corpus as K
@@ -80,19 +81,81 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select("run_id", F.coalesce("code", F.lit("")).alias("code"), "workflow_id", F.get_json_object("result", "$.status").alias("status"))
 
 
-@query("failure_explanation", with_(ANALYSIS, """SELECT workflow_id, CASE phase WHEN 'p0' THEN 'Run-level ingest or planning issue (MALFORMED_EVENT_LINE); origin: inputs.'
+_POLICY = "consistencyMode=strong; verificationWindowMs=0; pollIntervalMs=0"
+_SUMMARY = """CASE phase WHEN 'p0' THEN 'Run-level ingest or planning issue (MALFORMED_EVENT_LINE); origin: inputs.'
   WHEN 'p1' THEN 'A retrieval step failed before the failing tool observation (kb); origin: retrieval.'
   WHEN 'p2' THEN 'A model or control event indicates the run did not complete normally before the failing tool observation; origin: decision_making.'
   WHEN 'p2b' THEN 'A branch or gate was skipped before the failing tool observation; decision-making may explain downstream behavior (see alternatives).'
   WHEN 'p3' THEN 'A tool was skipped before the failing tool observation; origin: tool_use.' WHEN 'p4' THEN 'Event capture order or timestamps were irregular (' || code || '); origin: workflow_flow.'
   ELSE 'Primary failure at seq ' || driver_seq || ' tool ' || driver_tool_id || ' (code ' || code || '); origin: ' || origin || '.' ||
-    CASE WHEN step_code LIKE 'MULTI_EFFECT%' THEN ' Multi-effect verification: authoritative per-effect outcomes are under workflowTruthReport.steps[].effects.' ELSE '' END END AS summary
-FROM analysis"""))
+    CASE WHEN step_code LIKE 'MULTI_EFFECT%' THEN ' Multi-effect verification: authoritative per-effect outcomes are under workflowTruthReport.steps[].effects.' ELSE '' END END"""
+
+# What each failing workflow's worst step was to do and did, then the texts of its scope. The phrases are the fixed values of claimlake.functions.phrases.
+_EXPLAIN = f""",
+phrase(pcode, meaning) AS (VALUES {", ".join("('" + c + "', '" + p.replace("'", "''") + "')" for c, p in PHRASES.items())}),
+eid AS (SELECT workflow_id, seq, MIN(check_id) AS eid FROM checks WHERE status<>'verified' GROUP BY 1, 2),
+told AS (SELECT a.workflow_id, a.step_code, s.tool_id, a.code, s.rec, s.c, s.k, s.st, s.price, s.fault, s.line_claimed, s.name_claimed, e.eid, ch.matched, ch.measured, ch.field, fo.st AS seen, fo.price AS seen_price, fc.name AS seen_name,
+    CASE s.fault WHEN 'shape' THEN 'o_ghost' ELSE 'o_orderstatus' END AS status_field, CASE s.fault WHEN 'mismatch' THEN 'X' ELSE s.st END AS status_claimed,
+    CASE WHEN a.step_code LIKE 'MULTI_EFFECT%' THEN e.eid END AS effect_id, s.pre IS NULL AND a.step_code<>'KEY_VALUE_POINTER_MISSING' AS resolved,
+    'table=orders o_orderkey=' || s.rec AS row_key, CASE s.tool_id WHEN 'orders.audit' THEN 'effects[order_row].' WHEN 'orders.link' THEN 'checks[a_lines].' ELSE '' END AS place
+  FROM analysis a JOIN step s ON s.workflow_id=a.workflow_id AND s.seq=a.driver_seq LEFT JOIN eid e ON e.workflow_id=a.workflow_id AND e.seq=a.driver_seq
+    LEFT JOIN checks ch ON ch.workflow_id=e.workflow_id AND ch.seq=e.seq AND ch.check_id=e.eid LEFT JOIN fo ON fo.id=s.rec LEFT JOIN fc ON fc.id=s.c WHERE a.phase='p5'),
+number AS (SELECT *, regexp_replace(CAST(CAST(price AS DOUBLE) AS VARCHAR), '\\.0$', '') AS price_text, regexp_replace(CAST(seen_price AS VARCHAR), '\\.?0+$', '') AS seen_price_text, regexp_replace(CAST(measured AS VARCHAR), '\\.0$', '') AS measured_text FROM told),
+detailed AS (SELECT workflow_id, effect_id,
+    CASE WHEN NOT resolved THEN 'null' WHEN tool_id='orders.upsert' THEN 'table=orders identity=[o_orderkey=' || rec || '] required_fields=[' || status_field || ', o_totalprice]'
+      WHEN tool_id='orders.purge' THEN 'sql_row_absent table=lineitem identity=[l_orderkey=' || rec || '] filter=[l_linenumber=' || line_claimed || ']'
+      WHEN tool_id='orders.audit' THEN 'sql_effects count=2 customer_row:customer identity=[c_custkey=' || c || ']; order_row:orders identity=[o_orderkey=' || rec || ']'
+      ELSE 'sql_relational count=5 a_lines:related_exists; b_count:aggregate; c_sum:aggregate; d_join:join_count; e_orphans:anti_join' END AS target,
+    CASE tool_id WHEN 'ghost.tool' THEN 'Unknown tool: ghost.tool' WHEN 'orders.upsert' THEN 'Upsert order ' || COALESCE('"' || rec || '"', 'MISSING') || ' with {{"' || status_field || '":"' || status_claimed || '","o_totalprice":' || price_text || '}}'
+      WHEN 'orders.audit' THEN 'Audit order ' || COALESCE('"' || rec || '"', 'MISSING') WHEN 'orders.purge' THEN 'Purge line ' || line_claimed || ' of ' || COALESCE('"' || rec || '"', 'MISSING') ELSE 'Link ' || COALESCE('"' || rec || '"', 'MISSING') END AS narrative,
+    CASE code WHEN 'UNKNOWN_TOOL' THEN 'Unknown toolId: ghost.tool' WHEN 'RETRY_OBSERVATIONS_DIVERGE' THEN 'Multiple observations for this seq do not all match the last observation (toolId and canonical params).'
+      WHEN 'KEY_VALUE_POINTER_MISSING' THEN place || 'identityEq[0]. key.value missing at /recordId' WHEN 'ROW_ABSENT' THEN 'No row matched key (' || row_key || ')' WHEN 'DUPLICATE_ROWS' THEN 'More than one row matched key (' || row_key || ')'
+      WHEN 'ROW_SHAPE_MISMATCH' THEN 'Column not in row: o_ghost (' || row_key || ')' WHEN 'ROW_PRESENT_WHEN_FORBIDDEN' THEN 'Row present when forbidden (table=lineitem identity=[l_orderkey=' || rec || '] filter=[l_linenumber=' || line_claimed || ']); matched ' || matched
+      WHEN 'VALUE_MISMATCH' THEN 'Expected ' || CASE field WHEN 'c_name' THEN '"' || name_claimed || '" but found "' || seen_name || '" for field c_name (table=customer c_custkey=' || c
+          WHEN 'o_orderstatus' THEN '"' || status_claimed || '" but found "' || seen || '" for field o_orderstatus (' || row_key ELSE price_text || ' but found ' || seen_price_text || ' for field o_totalprice (' || row_key END || ')'
+      WHEN 'RELATED_ROWS_ABSENT' THEN 'Relational check a_lines: related row does not exist' WHEN 'ORPHAN_ROW_DETECTED' THEN 'Relational check e_orphans: ' || matched || ' orphan row(s)'
+      ELSE 'Relational check ' || eid || ': expected ' || CASE eid WHEN 'b_count' THEN 'gte ' || k%4 WHEN 'c_sum' THEN 'lte 150' ELSE 'gte 2' END || ' but actual ' || measured_text END AS message,
+    CASE WHEN tool_id='orders.upsert' AND code='VALUE_MISMATCH' THEN field END AS seen_field, CASE WHEN tool_id='orders.upsert' AND code='VALUE_MISMATCH' THEN CASE field WHEN 'o_orderstatus' THEN '"' || status_claimed || '"' ELSE price_text END END AS seen_expected,
+    CASE WHEN tool_id='orders.upsert' AND code='VALUE_MISMATCH' THEN CASE field WHEN 'o_orderstatus' THEN '"' || seen || '"' ELSE seen_price_text END END AS seen_actual,
+    CASE WHEN tool_id='orders.upsert' AND resolved THEN CASE code WHEN 'ROW_ABSENT' THEN '0' WHEN 'DUPLICATE_ROWS' THEN '2' ELSE '1' END END AS seen_rows FROM number),
+lined AS (SELECT a.*, d.* EXCLUDE (workflow_id), p.meaning, f.seq_before, f.seq_after, cap.capture_irregular, {_SUMMARY} AS summary,
+    CASE phase WHEN 'p0' THEN 'run_level' WHEN 'p4' THEN 'event_sequence' WHEN 'p5' THEN 'step' ELSE 'run_context' END AS scope,
+    CASE WHEN phase='p0' THEN 'MALFORMED_EVENT_LINE' WHEN phase='p4' THEN concat_ws(',', CASE WHEN cap.capture_irregular THEN 'CAPTURE_ORDER_NOT_MONOTONIC_IN_SEQ' END, CASE WHEN f.seq_after IS NOT NULL THEN 'TIMESTAMP_NOT_MONOTONIC_WITH_SEQ_SORT_ORDER' END) ELSE a.code END AS codes,
+    CASE WHEN alt OR phase='p3' THEN 'medium' ELSE 'high' END AS confidence,
+    CASE WHEN status='inconsistent' THEN 'NOT TRUSTED: At least one step failed verification against the database (determinate failure).' ELSE 'NOT TRUSTED: Verification is incomplete; the workflow cannot be fully confirmed.' END
+      || CASE WHEN cap.capture_irregular OR f.seq_after IS NOT NULL THEN ' Event capture or timestamps were irregular; verification used seq-sorted order. See event_sequence below.' ELSE '' END AS trust,
+    CASE WHEN a.code='RETRIEVAL_ERROR' THEN 'source=kb status=error' WHEN a.code LIKE 'MODEL_TURN%' THEN 'status=' || lower(substr(a.code, 12)) WHEN a.code='CONTROL_INTERRUPT' THEN 'controlKind=interrupt'
+      WHEN a.code='CONTROL_BRANCH_SKIPPED' THEN 'controlKind=branch decision=skipped' WHEN a.code='CONTROL_GATE_SKIPPED' THEN 'controlKind=gate decision=skipped' ELSE 'toolId=orders.upsert' END AS upstream
+  FROM analysis a LEFT JOIN detailed d ON d.workflow_id=a.workflow_id LEFT JOIN phrase p ON p.pcode=a.code LEFT JOIN firstdrop f ON f.workflow_id=a.workflow_id LEFT JOIN cap ON cap.workflow_id=a.workflow_id)
+SELECT workflow_id, summary,
+  CASE scope WHEN 'run_level' THEN 'Verification expected a valid captured run for workflowId=' || workflow_id || ' under policy [{_POLICY}] with no run-level ingest or planning failures.'
+    WHEN 'event_sequence' THEN 'Verification expected monotonic, well-formed event capture for workflowId=' || workflow_id || ' under policy [{_POLICY}].'
+    WHEN 'run_context' THEN 'Verification expected upstream run context through ingest_index=' || cause_index || ' to allow fair evaluation of the failing tool observation under policy [{_POLICY}].'
+    ELSE 'Verification expected post-execution database state to satisfy verify_target "' || target || '" and intended_effect "' || narrative || '" for seq=' || driver_seq || ' toolId=' || driver_tool_id || ' under policy [{_POLICY}].' END AS expected,
+  CASE scope WHEN 'run_level' THEN 'Run-level failure: code=' || code || ' detail=' || meaning || '.'
+    WHEN 'event_sequence' THEN 'Event-sequence irregularity: code=' || code || ' detail=' || CASE WHEN capture_irregular THEN meaning ELSE 'In seq-sorted order, timestamp decreased between seq ' || seq_before || ' and seq ' || seq_after || '.' END || '.'
+    WHEN 'run_context' THEN 'Run-context signal before the failing observation: code=' || code || ' ' || upstream || '.'
+    ELSE 'Step verification outcome: code=' || code || ' detail=' || message || COALESCE('; field=' || seen_field, '') || COALESCE('; expected=' || seen_expected, '') || COALESCE('; actual=' || seen_actual, '') || COALESCE('; rowCount=' || seen_rows, '') END AS observed,
+  CASE scope WHEN 'run_context' THEN 'Divergence at run_context before the failing tool observation: code=' || code WHEN 'step' THEN 'Divergence at step seq=' || driver_seq || ' toolId=' || driver_tool_id || ': primary_code=' || code
+    ELSE 'Divergence at ' || scope || ': code=' || code END || ' meaning=' || meaning AS divergence,
+  concat_ws('; ', 'trust_summary=' || trust, 'workflow_status=' || status, 'verification_policy={_POLICY}', 'primary_origin=' || origin, 'classification_confidence=' || confidence, 'failure_analysis_summary=' || summary, 'primary_scope=' || scope, 'primary_codes=' || codes,
+    CASE WHEN scope='run_context' THEN 'primary_ingest_index=' || cause_index END, CASE WHEN phase='p3' THEN 'primary_tool_id=orders.upsert' WHEN scope='step' THEN 'primary_tool_id=' || driver_tool_id END, CASE WHEN phase='p1' THEN 'primary_source=kb' END,
+    CASE WHEN phase IN ('p1','p2','p2b') THEN 'primary_run_event_id=' || cause_event END, CASE WHEN scope='step' THEN 'primary_seq=' || driver_seq END, 'primary_effect_id=' || effect_id, 'verify_target=' || target, 'intended_effect_narrative=' || narrative,
+    'evidence_summary_field=' || seen_field, 'evidence_summary_expected=' || seen_expected, 'evidence_summary_actual=' || seen_actual, 'evidence_summary_row_count=' || seen_rows) AS known_facts,
+  concat_ws('; ', CASE WHEN confidence='medium' THEN 'classification_confidence_band=medium' END, CASE WHEN phase='p2b' THEN 'competing_hypothesis=origin=workflow_flow' WHEN phase='p5' AND code='ROW_ABSENT' THEN 'competing_hypothesis=origin=downstream_system_state; competing_hypothesis=origin=tool_use'
+    WHEN phase='p5' AND code='VALUE_MISMATCH' THEN 'competing_hypothesis=origin=downstream_system_state; competing_hypothesis=origin=inputs' END) AS unknowns FROM lined"""
+
+
+@query("failure_explanation", with_(ANALYSIS, _EXPLAIN))
 def failure_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnosis(spark, sf_dir).analysis.select("workflow_id", "summary")
-
-
-_POLICY = "consistencyMode=strong; verificationWindowMs=0; pollIntervalMs=0"
+    """Facts and unknowns as text; of a competing hypothesis its origin, the rationale being a fixed value of that origin."""
+    from claimlake.plans.explain import failure_explanations
+
+    flat = lambda c, value: F.array_join(F.transform(c, lambda x: F.concat(x["id"], F.lit("="), value(x["value"]))), "; ")
+    fact = lambda facts, name: F.filter(facts, lambda x: x["id"] == name)[0]["value"]
+    return failure_explanations(diagnosis(spark, sf_dir)).select(
+        "workflow_id", fact(F.col("known_facts"), "failure_analysis_summary").alias("summary"), "expected", "observed", "divergence", flat("known_facts", lambda v: v).alias("known_facts"),
+        flat("unknowns", lambda v: F.split_part(v, F.lit("|rationale="), F.lit(1))).alias("unknowns"))
 
 
 @query("correctness_definition", with_(ANALYSIS, f"""SELECT a.workflow_id, CASE phase WHEN 'p0' THEN 'run_ingest_integrity' WHEN 'p4' THEN 'event_capture_integrity' WHEN 'p5' THEN 'step_sql_expectation' ELSE 'run_context_fairness' END AS kind,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimlake.functions.catalog import ROLLUP_CODES, STATUS_RANK, RESOLVER_CODES, catalog_rows
 from claimlake.functions.stage import sealed
+from claimlake.operators.rollup import trust_line
 from claimlake.operators.skew import lookup_join
 from claimlake.plans.verify import Verification
 from claimlake.sources.events import with_ingest_index
@@ -101,9 +102,9 @@ def upstream_causes(indexed: DataFrame, frontier: DataFrame) -> DataFrame:
     before = lookup_join(
         suspects.select("workflow_id", "ingest_index", "run_event_id", "context_code", "source", "tool_id"), frontier, ["workflow_id"], "inner"
     ).filter(F.col("ingest_index") < F.col("frontier"))
-    first = before.groupBy("workflow_id").agg(F.min(F.struct(phase.alias("phase"), "ingest_index", "context_code", "run_event_id", "source")).alias("u"))
+    first = before.groupBy("workflow_id").agg(F.min(F.struct(phase.alias("phase"), "ingest_index", "context_code", "run_event_id", "source", "tool_id")).alias("u"))
     return first.select("workflow_id", *[F.col(f"u.{c}").alias(n) for c, n in (
-        ("phase", "cause_phase"), ("ingest_index", "cause_index"), ("context_code", "cause_code"), ("run_event_id", "cause_event"), ("source", "cause_source"))])
+        ("phase", "cause_phase"), ("ingest_index", "cause_index"), ("context_code", "cause_code"), ("run_event_id", "cause_event"), ("source", "cause_source"), ("tool_id", "cause_tool"))])
 
 
 @dataclass
@@ -165,8 +166,8 @@ class Diagnosis:
             F.when(F.col("origin").isNull(), "unclassified").when(alternatives, "ambiguous").otherwise(F.col("category")).alias("category"),
             F.when((F.col("status") == "inconsistent") | bad, "high").otherwise("medium").alias("severity"),
             F.when(F.col("origin").isNull() | alternatives, "manual_review").otherwise(F.col("action")).alias("action"),
-            "malformed", "no_steps", "capture_irregular", "timestamp_irregular", "cause_index", "cause_event", "cause_source",
-            "driver_seq", "driver_tool_id", "driver_status", "driver_step_code", "driver_effect_id",
+            "malformed", "no_steps", "capture_irregular", "timestamp_irregular", "seq_before", "seq_after", "cause_index", "cause_event", "cause_source", "cause_tool",
+            trust_line(irregular).alias("trust"), "driver_seq", "driver_tool_id", "driver_status", "driver_step_code", "driver_effect_id",
         ))
         return judged.withColumn("summary", analysis_summary())
 

@@ -83,12 +83,16 @@ class Verification:
     def planned(self) -> DataFrame:
         return logical_steps(self.observations)
 
-    @cached_property
-    def resolved(self) -> DataFrame:
+    def resolve(self, planned: DataFrame) -> DataFrame:
+        """The checks that some steps ask for."""
         if self.registry.needs_discovery():
-            return resolve_checks(self.planned, self.registry.checks(self.spark))
+            return resolve_checks(planned, self.registry.checks(self.spark))
         fixed = self.registry.fixed_checks(self.spark)
-        return resolve_fixed(self.planned, fixed.filter(F.col("check_kind").isin(self.kinds)) if self.kinds else fixed)
+        return resolve_fixed(planned, fixed.filter(F.col("check_kind").isin(self.kinds)) if self.kinds else fixed)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return self.resolve(self.planned)
 
     @cached_property
     def checks(self) -> DataFrame:
