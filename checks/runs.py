@@ -16,20 +16,86 @@ from claimlake.functions.phrases import PHRASES
 from claimlake.plans.verify import Verification
 from claimlake.session import shared_dir
 from claimlake.sources import corpus as K
+from claimlake.sources import saved as V
 from claimlake.streaming import streams as Z
 from claimlake.streaming.reservations import reservation_expiry as reservation_expiry_stream
 
 
-@query("normalize_saved_results", SAVED + """, r AS (SELECT DISTINCT workflow_id, run_index, CAST(substr(workflow_id, 4) AS BIGINT) AS n FROM s)
-SELECT workflow_id || '/' || run_index AS run_id, CAST(n%13+4 AS INTEGER) AS saved_version, CASE WHEN n%13+4 NOT BETWEEN 5 AND 15 THEN 'RESULT_VERSION_UNSUPPORTED' WHEN n%13+4=9 AND n%2=0 THEN 'RUN_LEVEL_CODES_INCONSISTENT' ELSE '' END AS problem FROM r""")
+# Each run saved by a tool of some version. A seventh of the reports were changed afterwards, and of some steps the events are lost, which older versions need.
+_VERSION = "CAST(n%13+4 AS INTEGER)"
+
+
+@query("normalize_saved_results", SAVED + f""", r AS (SELECT workflow_id, run_index, CAST(substr(workflow_id, 4) AS BIGINT) + run_index AS n, COUNT(*) AS n_steps, BOOL_OR(status='incomplete_verification') AS open_, BOOL_OR(status IN ('missing','inconsistent','partially_verified')) AS bad,
+  BOOL_OR(seq%97=0) AS lost, string_agg(seq || ':' || CASE status WHEN 'verified' THEN 'VERIFIED' WHEN 'missing' THEN 'FAILED_ROW_MISSING' WHEN 'inconsistent' THEN 'FAILED_VALUE_MISMATCH' WHEN 'partially_verified' THEN 'PARTIALLY_VERIFIED' ELSE 'INCOMPLETE_CANNOT_VERIFY' END
+    || ':' || CASE WHEN status='incomplete_verification' THEN 'null' WHEN status='partially_verified' THEN 'sql_effects count=2 a:orders identity=[' || substr(lkey, 16) || ']; b:orders identity=[' || substr(lkey, 16) || ']' ELSE 'table=orders identity=[' || substr(lkey, 16) || '] required_fields=[o_orderstatus, o_totalprice]' END
+    || ':' || CASE status WHEN 'verified' THEN 'rowCount=1' WHEN 'missing' THEN 'rowCount=0' WHEN 'inconsistent' THEN 'rowCount=1 field=o_orderstatus expected="X" actual="O"' WHEN 'partially_verified' THEN 'multi_effect effect_rows=2' ELSE 'No SQL verification request (registry resolution or unknown tool).' END
+    || ':' || CASE status WHEN 'verified' THEN '' WHEN 'incomplete_verification' THEN 'verification_setup' ELSE 'workflow_execution' END || ':{{"k":' || seq || '}}', ';' ORDER BY seq) AS told FROM s GROUP BY 1, 2),
+v AS (SELECT *, {_VERSION} AS ver, CASE WHEN open_ THEN 'incomplete' WHEN bad THEN 'inconsistent' ELSE 'complete' END AS status FROM r),
+p AS (SELECT *, CASE WHEN ver=4 OR ver=16 THEN 'RESULT_VERSION_UNSUPPORTED' WHEN ver=9 AND n%2=0 THEN 'RUN_LEVEL_CODES_INCONSISTENT' WHEN ver<11 AND lost THEN 'RESULT_PARAMS_MISSING' WHEN ver>5 AND n%7=3 THEN 'COMPARE_WORKFLOW_TRUTH_MISMATCH' ELSE '' END AS problem FROM v)
+SELECT workflow_id || '/' || run_index AS run_id, ver AS saved_version, status, n_steps, problem,
+  CASE WHEN problem NOT IN ('', 'COMPARE_WORKFLOW_TRUTH_MISMATCH') THEN '' WHEN status='complete' THEN 'TRUSTED: Every step matched the database under the configured verification rules.'
+    WHEN status='incomplete' THEN 'NOT TRUSTED: Verification is incomplete; the workflow cannot be fully confirmed.' ELSE 'NOT TRUSTED: At least one step failed verification against the database (determinate failure).' END AS trust,
+  CASE WHEN problem IN ('', 'COMPARE_WORKFLOW_TRUTH_MISMATCH') THEN told ELSE '' END AS steps FROM p""")
 def normalize_saved_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.substring("workflow_id", 4, 20).cast("bigint")
-    runs = steps(spark, sf_dir).select("workflow_id", "run_index").distinct()
-    payload = F.format_string(
-        '{"schemaVersion":%d,"workflowId":"%s","status":"complete","runLevelReasons":[{"code":"A","message":"m"}],"runLevelCodes":["%s"]}',
-        n % 13 + 4, F.col("workflow_id"), F.when(n % 2 == 0, "B").otherwise("A"))
-    saved = runs.select(F.concat_ws("/", "workflow_id", F.col("run_index").cast("string")).alias("run_id"), payload.alias("payload"))
-    return K.normalize_saved_results(saved).select("run_id", "saved_version", F.coalesce("problem", F.lit("")).alias("problem"))
+    """All runs as files of their version hold them, brought to the current shape; the steps are read off the recomputed report."""
+    rows = steps(spark, sf_dir)
+    run_id = F.concat_ws("/", "workflow_id", F.col("run_index").cast("string")).alias("run_id")
+    loaded = V.normalize_saved_results(_saved_files(rows), rows.filter("seq % 97 <> 0").select(run_id, "seq", F.format_string('{"k":%d}', F.col("seq")).alias("params")))
+    told = F.from_json(F.get_json_object("report", "$.steps"), "array<struct<seq:bigint,outcomeLabel:string,verifyTarget:string,observedStateSummary:string,failureCategory:string,observedExecution:struct<paramsCanonical:string>>>")
+    text = F.array_join(F.transform(told, lambda s: F.concat_ws(":", s["seq"].cast("string"), s["outcomeLabel"], F.coalesce(s["verifyTarget"], F.lit("null")), s["observedStateSummary"], F.coalesce(s["failureCategory"], F.lit("")), s["observedExecution"]["paramsCanonical"])), ";")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return loaded.select("run_id", "saved_version", "status", F.size("steps").cast("bigint").alias("n_steps"), blank(F.col("problem")).alias("problem"), blank(F.get_json_object("report", "$.trustSummary")).alias("trust"), blank(text).alias("steps"))
+
+
+def _saved_files(rows: DataFrame) -> DataFrame:
+    """(run_id, payload): the results of all runs in the shapes that tools of different versions saved, written by Spark's own JSON writer."""
+    n = F.substring("workflow_id", 4, 20).cast("bigint") + F.col("run_index")
+    version = (n % 13 + 4).cast("int")
+    json = lambda **of: F.struct(*[v.alias(k) for k, v in of.items()])
+    say = F.lit
+    partial, unasked = F.col("status") == "partially_verified", F.col("status") == "incomplete_verification"
+    key = F.regexp_extract("logical_step_key", "=(.*)$", 1)
+    identity = F.array(json(column=say("o_orderkey"), value=key))
+    request = json(kind=F.when(partial, "sql_effects").otherwise("sql_row"), table=F.when(~partial, "orders"), identityEq=F.when(~partial, identity),
+                   requiredFields=F.when(~partial, json(o_totalprice=say(1), o_orderstatus=say("X"))), effects=F.when(partial, F.array(*[json(id=say(i), table=say("orders"), identityEq=identity) for i in "ba"])))
+    reasons = F.when(F.col("code").isNull(), F.array().cast("array<struct<code:string,message:string>>")).otherwise(F.array(json(code=F.col("code"), message=say("why"))))
+    parts = F.transform("effects", lambda e: json(id=e["id"], status=e["status"], reasons=F.when(e["code"].isNull(), F.array().cast("array<struct<code:string,message:string>>")).otherwise(F.array(json(code=e["code"], message=say("why"))))))
+    label = F.create_map(*[F.lit(x) for x in ("verified", "VERIFIED", "missing", "FAILED_ROW_MISSING", "inconsistent", "FAILED_VALUE_MISMATCH", "partially_verified", "PARTIALLY_VERIFIED", "incomplete_verification", "INCOMPLETE_CANNOT_VERIFY")])
+    wrong = F.col("status") == "inconsistent"
+    evidence = json(rowCount=F.when(~partial & ~unasked, F.when(F.col("status") == "missing", 0).otherwise(1)), field=F.when(wrong, "o_orderstatus"), expected=F.when(wrong, '"X"'), actual=F.when(wrong, '"O"'), effects=parts)
+    old = version < 11
+    effect, params = F.concat(F.lit("Do  "), F.col("seq").cast("string")), json(paramsCanonical=F.format_string('{"k":%d}', F.col("seq")))
+    flat = F.concat(F.lit("Do "), F.col("seq").cast("string"))
+    target = F.when(unasked, None).when(partial, F.concat(F.lit("sql_effects count=2 a:orders identity=[o_orderkey="), key, F.lit("]; b:orders identity=[o_orderkey="), key, F.lit("]"))).otherwise(
+        F.concat(F.lit("table=orders identity=[o_orderkey="), key, F.lit("] required_fields=[o_orderstatus, o_totalprice]")))
+    seen = (F.when(unasked, "No SQL verification request (registry resolution or unknown tool).").when(partial, "multi_effect effect_rows=2").when(wrong, 'rowCount=1 field=o_orderstatus expected="X" actual="O"')
+            .when(F.col("status") == "missing", "rowCount=0").otherwise("rowCount=1"))
+    engine = F.to_json(json(
+        seq=F.col("seq"), toolId=F.col("tool_id"), status=F.col("status"), reasons=reasons, verificationRequest=F.when(~unasked, request), evidenceSummary=evidence, repeatObservationCount=say(1), evaluatedObservationOrdinal=say(1),
+        observedExecution=F.when(~old, params)))
+    shown = F.to_json(json(
+        outcomeLabel=label[F.col("status")], seq=F.col("seq"), toolId=F.col("tool_id"), reasons=reasons, observations=json(repeatCount=say(1), evaluatedOrdinal=say(1)), verifyTarget=target, observedStateSummary=F.when(version == 15, seen),
+        observedExecution=F.when(~old, params), failureCategory=F.when(unasked, "verification_setup").when(F.col("status") != "verified", "workflow_execution"),
+        effects=F.transform(parts, lambda e: json(id=e["id"], reasons=e["reasons"], outcomeLabel=label[e["status"]]))))
+    add = lambda text, member: F.concat(text.substr(F.lit(1), F.length(text) - 1), member, F.lit("}"))
+    named = lambda text: F.when(old, F.concat(F.lit(',"intendedEffect":"'), text, F.lit('"'))).otherwise(F.concat(F.lit(',"intendedEffect":{"narrative":"'), text, F.lit('"}')))
+    lines = rows.select("workflow_id", "run_index", "seq", "status", add(engine, named(effect)).alias("engine"), add(shown, F.concat(named(flat), F.when(unasked, ',"verifyTarget":null').otherwise(""))).alias("shown"))
+    runs = lines.groupBy("workflow_id", "run_index").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "engine", "shown"))).alias("s"), F.bool_or(F.col("status") == "incomplete_verification").alias("open"), F.bool_or(F.col("status").isin("missing", "inconsistent", "partially_verified")).alias("bad"))
+    status = F.when(F.col("open"), "incomplete").when(F.col("bad"), "inconsistent").otherwise("complete")
+    trust = (F.when(n % 7 == 3, "TRUSTED").when(status == "complete", "TRUSTED: Every step matched the database under the configured verification rules.")
+             .when(status == "incomplete", "NOT TRUSTED: Verification is incomplete; the workflow cannot be fully confirmed.").otherwise("NOT TRUSTED: At least one step failed verification against the database (determinate failure)."))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.col(f"s.{c}"), ", "), F.lit("]"))
+    told = F.when(status == "complete", "null").otherwise('{"a":1}')
+    report = F.concat(
+        F.lit('{"steps":'), listed("shown"), F.lit(',"workflowId":"'), F.col("workflow_id"), F.lit('","workflowStatus":"'), status, F.lit('","trustSummary":"'), trust, F.lit('","runLevelIssues":[],"eventSequence":{"kind":"normal"},"failureAnalysis":'), told,
+        F.lit(',"executionPathFindings":[],"executionPathSummary":"Full upstream execution-path visibility requires schemaVersion 2 run events (retrieval, model_turn, control, tool_skipped) with run graph fields."'),
+        F.when(version == 15, F.concat(F.lit(',"failureExplanation":'), told, F.lit(',"correctnessDefinition":'), told)).otherwise(""), F.lit(',"schemaVersion":'), F.when(old, "4").when(version < 15, "6").otherwise("9"), F.lit("}"))
+    payload = F.concat(
+        F.format_string('{"schemaVersion":%d,"workflowId":"%s","status":"%s","runLevelReasons":[],"eventSequenceIntegrity":{"kind":"normal"},"steps":', version, F.col("workflow_id"), status), listed("engine"),
+        F.when(version == 9, F.when(n % 2 == 0, ',"runLevelCodes":["B"]').otherwise(',"runLevelCodes":[]')).otherwise(""), F.when(version >= 8, ',"verificationRunContext":{"maxWireSchemaVersion":1}').otherwise(""),
+        F.when(version > 5, F.concat(F.lit(',"workflowTruthReport":'), report)).otherwise(""), F.lit("}"))
+    return runs.select(F.concat_ws("/", "workflow_id", F.col("run_index").cast("string")).alias("run_id"), payload.alias("payload"))
 
 
 @query("artifact_integrity", """SELECT 'run_' || doc_id AS run_id, CASE WHEN doc_id%5=0 THEN 'ARTIFACT_LENGTH_MISMATCH' WHEN doc_id%3=0 THEN 'ARTIFACT_INTEGRITY_MISMATCH' ELSE '' END AS code FROM documents""")

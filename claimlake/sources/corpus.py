@@ -116,26 +116,3 @@ def write_bundles(results: DataFrame, folder: str) -> DataFrame:
         "bucket", F.pmod(F.xxhash64("workflow_id"), F.lit(64)))
     signed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
     return results.sparkSession.read.parquet(folder)
-
-
-# Result versions that can be read, and the current one.
-READABLE_VERSIONS = [5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
-CURRENT_VERSION = 15
-
-
-def normalize_saved_results(saved: DataFrame) -> DataFrame:
-    """Saved results (run_id, payload) in the current shape: version, verdict, run-level codes and consistency.
-
-    Version 9 stored the run-level codes twice; the two lists must agree.
-    """
-    get = lambda p: F.get_json_object("payload", p)
-    version = get("$.schemaVersion").cast("int")
-    reasons = F.transform(F.from_json(get("$.runLevelReasons"), "array<struct<code:string,message:string>>"), lambda r: r["code"])
-    codes = F.from_json(get("$.runLevelCodes"), "array<string>")
-    problem = (
-        F.when(F.try_parse_json("payload").isNull(), "RESULT_JSON_SYNTAX").when(version.isNull() | ~version.isin(READABLE_VERSIONS), "RESULT_VERSION_UNSUPPORTED")
-        .when((version == 9) & ~codes.eqNullSafe(reasons), "RUN_LEVEL_CODES_INCONSISTENT")
-    )
-    return saved.select(
-        "run_id", version.alias("saved_version"), F.lit(CURRENT_VERSION).alias("version"), get("$.workflowId").alias("workflow_id"), get("$.status").alias("status"),
-        F.coalesce(reasons, codes, F.array().cast("array<string>")).alias("run_codes"), problem.alias("problem"))
