@@ -139,6 +139,23 @@ def quick_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.quick_rollup(units(spark, sf_dir), activity(spark, sf_dir))
 
 
+@query("quick_rules", _UNITS + """SELECT doc_id, u.table_name, CASE kind WHEN 'row' THEN 'quick_inferred_sql_row' ELSE 'quick_inferred_relational' END AS kind,
+  CASE kind WHEN 'row' THEN 'Must: when tool orders.upsert actionIndex=0 is treated as successful for quick verification, table ' || u.table_name || ' SHALL satisfy the inferred sql_row contract (provisional, not a signed export) under read-only SQL checks.'
+    ELSE 'Must: when tool orders.upsert actionIndex=0 is treated as successful, related row existence for childTable=lineitem SHALL hold as checked by the inferred related_exists contract (provisional).' END AS must_always_hold,
+  CASE kind WHEN 'row' THEN 'reconcile_downstream_state' ELSE 'manual_review' END AS action,
+  CASE u.table_name WHEN 'lineitem' THEN '{"actionIndex":0,"checkId":"fk:lineitem.l_orderkey","childTable":"lineitem","matchEq":[{"column":"l_orderkey","value":"' || a.key || '"}],"projectionKind":"quick_inferred_relational","quickProvisional":true,"toolName":"orders.upsert","unitId":"u2"}'
+    WHEN 'orders' THEN '{"actionIndex":0,"projectionKind":"quick_inferred_sql_row","quickProvisional":true,"sqlRowRequest":{"identityEq":[{"column":"o_orderkey","value":"' || a.key || '"}],"kind":"sql_row","requiredFields":{"o_orderstatus":"' || a.st || '"},"table":"orders"},"table":"orders","toolName":"orders.upsert","unitId":"u1"}'
+    ELSE '{"actionIndex":0,"projectionKind":"quick_inferred_sql_row","quickProvisional":true,"sqlRowRequest":{"identityEq":[{"column":"c_custkey","value":"' || a.c || '"}],"kind":"sql_row","requiredFields":{"c_name":"' || a.name || '"},"table":"customer"},"table":"customer","toolName":"orders.upsert","unitId":"u0"}' END AS projection
+FROM u JOIN a USING (doc_id) WHERE u.code<>''""")
+def quick_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimlake.plans.correctness import quick_rules as rules
+
+    acts, rows, relations = row_units(spark, sf_dir)
+    found = Q.all_units(rows, relations, acts.select("doc_id", "place", "params"))
+    table_name = F.coalesce(F.get_json_object("projection", "$.table"), F.get_json_object("projection", "$.childTable"))
+    return rules(found, Q.numbered_actions(acts)).select("doc_id", table_name.alias("table_name"), "kind", "must_always_hold", "action", "projection")
+
+
 # Buckets are numbered by name. The customer bucket: a tool named after orders scores 0 for the table, 1 for the key and 1 for its best table, so 2/3; orders scores 1.
 _EXPORT = _UNITS + """, x AS (SELECT u.*, a.key, a.st, a.c, a.name, CASE WHEN kind='row' THEN 'const' WHEN code='' THEN 'related_exists' END AS export,
   CASE WHEN kind='row' THEN 'quick:u' || rank ELSE 'quick:rel:fk:lineitem.l_orderkey' END AS tool_id FROM (SELECT *, CASE table_name WHEN 'customer' THEN 0 ELSE 1 END AS rank FROM u) u JOIN a USING (doc_id))

@@ -224,6 +224,26 @@ def failure_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat("unknowns", lambda v: F.split_part(v, F.lit("|rationale="), F.lit(1))).alias("unknowns"))
 
 
+# The machine's form of each rule: JSON with keys in order. A step brings what it asks of the tables, unless its check did not resolve.
+_KEY = """'[{{"column":"{column}","value":"' || {value} || '"}}]'"""
+_ORDER, _LINE, _CUST = (_KEY.format(column=c, value=v) for c, v in (("o_orderkey", "q.rec"), ("l_orderkey", "q.rec"), ("c_custkey", "q.c")))
+_WANTED = """'{"' || CASE q.fault WHEN 'shape' THEN 'o_ghost' ELSE 'o_orderstatus' END || '":"' || CASE q.fault WHEN 'mismatch' THEN 'X' ELSE q.st END || '","o_totalprice":' || regexp_replace(CAST(CAST(q.price AS DOUBLE) AS VARCHAR), '\\.0$', '') || '}'"""
+_REQUEST = f"""CASE WHEN q.pre IS NOT NULL OR step_code='KEY_VALUE_POINTER_MISSING' THEN 'null'
+  WHEN q.tool_id='orders.upsert' THEN '{{"identityEq":' || {_ORDER} || ',"kind":"sql_row","requiredFields":' || {_WANTED} || ',"table":"orders"}}'
+  WHEN q.tool_id='orders.purge' THEN '{{"filterEq":[{{"column":"l_linenumber","value":"' || q.line_claimed || '"}}],"identityEq":' || {_LINE} || ',"kind":"sql_row_absent","table":"lineitem"}}'
+  WHEN q.tool_id='orders.audit' THEN '{{"effects":[{{"id":"order_row","identityEq":' || {_ORDER} || ',"kind":"sql_row","requiredFields":' || {_WANTED} || ',"table":"orders"}},{{"id":"customer_row","identityEq":' || {_CUST} || ',"kind":"sql_row","requiredFields":{{"c_name":"' || q.name_claimed || '"}},"table":"customer"}}],"kind":"sql_effects"}}'
+  ELSE '{{"checks":[{{"checkKind":"related_exists","childTable":"lineitem","id":"a_lines","matchEq":' || {_LINE} || '}},{{"checkKind":"aggregate","expectOp":"gte","expectValue":' || q.k%4 || ',"fn":"COUNT_STAR","id":"b_count","table":"lineitem","whereEq":' || {_LINE}
+    || '}},{{"checkKind":"aggregate","expectOp":"lte","expectValue":150,"fn":"SUM","id":"c_sum","sumColumn":"l_quantity","table":"lineitem","whereEq":' || {_LINE}
+    || '}},{{"checkKind":"join_count","expectOp":"gte","expectValue":2,"id":"d_join","leftJoinColumn":"o_orderkey","leftTable":"orders","rightJoinColumn":"l_orderkey","rightTable":"lineitem","whereEq":[{{"column":"o_orderkey","side":"left","value":"' || q.rec
+    || '"}}]}},{{"anchorColumn":"o_orderkey","anchorTable":"orders","checkKind":"anti_join","filterEqAnchor":[{{"column":"o_custkey","value":"' || q.c || '"}}],"filterEqLookup":[],"id":"e_orphans","lookupColumn":"l_orderkey","lookupPresenceColumn":"l_orderkey","lookupTable":"lineitem"}}],"kind":"sql_relational"}}' END"""
+_PROJECTION = f"""CASE phase WHEN 'p0' THEN '{{"ingestContractRequirement":"no_run_level_failures","primaryFailureCodes":["' || code || '"],"projectionKind":"run_ingest_integrity"'
+  WHEN 'p4' THEN '{{"forbiddenEventSequenceCodes":["' || concat_ws('","', CASE WHEN capture_irregular THEN 'CAPTURE_ORDER_NOT_MONOTONIC_IN_SEQ' END, CASE WHEN f.seq_after IS NOT NULL THEN 'TIMESTAMP_NOT_MONOTONIC_WITH_SEQ_SORT_ORDER' END) || '"],"projectionKind":"event_capture_integrity"'
+  WHEN 'p5' THEN '{{"projectionKind":"step_sql_expectation","seq":' || driver_seq || ',"toolId":"' || driver_tool_id || '"'
+  ELSE '{{"ingestIndex":' || cause_index || ',"primaryRunContextCodes":["' || code || '"],"projectionKind":"run_context_fairness","requiredUpstreamContract":"' || CASE WHEN code='RETRIEVAL_ERROR' THEN 'retrieval_ok_before_observation' WHEN code LIKE 'MODEL_TURN%' THEN 'model_turn_completed_before_observation'
+    WHEN code='CONTROL_INTERRUPT' THEN 'no_interrupt_before_observation' WHEN code='CONTROL_BRANCH_SKIPPED' THEN 'branch_not_skipped_before_observation' WHEN code='CONTROL_GATE_SKIPPED' THEN 'gate_not_skipped_before_observation' ELSE 'tool_not_skipped_before_observation' END || '"' END
+  || ',"verificationPolicyFragment":"{_POLICY}"' || CASE phase WHEN 'p5' THEN ',"verificationRequest":' || {_REQUEST} ELSE '' END || ',"workflowId":"' || a.workflow_id || '"}}'"""
+
+
 @query("correctness_definition", with_(ANALYSIS, f"""SELECT a.workflow_id, CASE phase WHEN 'p0' THEN 'run_ingest_integrity' WHEN 'p4' THEN 'event_capture_integrity' WHEN 'p5' THEN 'step_sql_expectation' ELSE 'run_context_fairness' END AS kind,
   CASE phase WHEN 'p0' THEN 'Must: ingest for workflowId=' || a.workflow_id || ' SHALL deliver a valid captured run under policy [{_POLICY}] with no blocking run-level failures (codes: ' || code || ').'
   WHEN 'p4' THEN 'Must: event capture for workflowId=' || a.workflow_id || ' SHALL preserve monotonic, well-formed ordering under policy [{_POLICY}] and SHALL NOT emit event-sequence fault codes '
@@ -232,12 +252,13 @@ def failure_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
   ELSE 'Must: before evaluating the failing tool observation at ingest_index=' || cause_index || ', upstream run context SHALL satisfy contract ' || CASE WHEN code='RETRIEVAL_ERROR' THEN 'retrieval_ok_before_observation'
     WHEN code LIKE 'MODEL_TURN%' THEN 'model_turn_completed_before_observation' WHEN code='CONTROL_INTERRUPT' THEN 'no_interrupt_before_observation' WHEN code='CONTROL_BRANCH_SKIPPED' THEN 'branch_not_skipped_before_observation'
     WHEN code='CONTROL_GATE_SKIPPED' THEN 'gate_not_skipped_before_observation' ELSE 'tool_not_skipped_before_observation' END || ' under policy [{_POLICY}] for workflowId=' || a.workflow_id || ' (primary codes: ' || code || ').' END AS must_always_hold,
-  CASE WHEN alt THEN 'manual_review' ELSE action END AS action
-FROM analysis a LEFT JOIN cap USING (workflow_id) LEFT JOIN firstdrop f USING (workflow_id)"""))
+  CASE WHEN alt THEN 'manual_review' ELSE action END AS action,
+  {_PROJECTION} AS projection
+FROM analysis a LEFT JOIN cap USING (workflow_id) LEFT JOIN firstdrop f USING (workflow_id) LEFT JOIN step q ON q.workflow_id=a.workflow_id AND q.seq=a.driver_seq"""))
 def correctness_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from claimlake.plans.correctness import correctness_definitions
+    from claimlake.plans.correctness import diagnosed_rules
 
-    return correctness_definitions(diagnosis(spark, sf_dir).analysis).select("workflow_id", "kind", "must_always_hold", "action")
+    return diagnosed_rules(diagnosis(spark, sf_dir)).select("workflow_id", "kind", "must_always_hold", "action", "projection")
 
 
 # Every document becomes a plan. Each line of its text gives a citation named after the line's first word: even lines oblige, odd ones

@@ -261,6 +261,15 @@ def verify_change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.evaluate_rules(changes(spark, sf_dir), RULES).select("change_id", "rule_id", "hits", "status", F.coalesce("code", F.lit("")).alias("code"))
 
 
+@query("change_set_rules", _CH + """, d AS (SELECT change_id, MIN_BY(seq, seq) AS seq, MIN_BY(rule_id, seq) AS rule_id, MIN_BY(code, seq) AS code FROM (SELECT *, CASE rule_id WHEN 'kinds' THEN 1 WHEN 'no_small' THEN 2 WHEN 'need_promo' THEN 3 WHEN 'allow' THEN 4 ELSE 5 END AS seq FROM v) WHERE code<>'' GROUP BY 1)
+SELECT change_id, 'Must: plan-validation step seq=' || seq || ' toolId=plan_transition.rule.' || rule_id || ' SHALL satisfy declared plan rules under policy [consistencyMode=strong; verificationWindowMs=0; pollIntervalMs=0] for workflowId=' || change_id || ' (primary codes: ' || code || ').' AS must_always_hold,
+  'reconcile_downstream_state' AS action, '{"primaryCodes":["' || code || '"],"projectionKind":"plan_transition_expectation","seq":' || seq || ',"toolId":"plan_transition.rule.' || rule_id || '","verificationPolicyFragment":"consistencyMode=strong; verificationWindowMs=0; pollIntervalMs=0","verifyTarget":null,"workflowId":"' || change_id || '"}' AS projection FROM d""")
+def change_set_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimlake.plans.correctness import change_set_rules as rules
+
+    return rules(G.evaluate_rules(changes(spark, sf_dir), RULES)).select("change_id", "must_always_hold", "action", "projection")
+
+
 @query("evidence_50", _CH + """, e AS (SELECT change_id, row_kind, CASE WHEN old IS NULL THEN [path] ELSE [old, path] END AS paths, unnest(list_filter([CASE WHEN h1 THEN 'kinds' END, CASE WHEN h2 THEN 'no_small' END, CASE WHEN h4 THEN 'allow' END], lambda x: x IS NOT NULL)) AS rule_id FROM
   (SELECT * FROM hit UNION ALL SELECT * REPLACE ('all' AS change_id) FROM hit)),
 x AS (SELECT change_id, rule_id, row_number() OVER (PARTITION BY change_id, rule_id ORDER BY row_kind, paths) AS place, COUNT(*) OVER (PARTITION BY change_id, rule_id) AS total FROM e)

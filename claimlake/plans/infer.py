@@ -349,13 +349,18 @@ NOT_RUN = "No database observation (verification not run)."
 RELATED = {"verified": "Related-exists scalar: present (1).", "fail": "Related-exists scalar: absent (0).", "uncertain": "Related-exists scalar: unusable."}
 
 
+def numbered_actions(actions: DataFrame) -> DataFrame:
+    """(doc_id, place, tool_name, n): each action's number in its document."""
+    return block_positions(actions.select("doc_id", "place", "tool_name"), ["doc_id"], F.floor(F.col("place")[0] / 256), ["place"], "n")
+
+
 def quick_reconciliation(rows: DataFrame, relations: DataFrame, flat: DataFrame, actions: DataFrame) -> DataFrame:
     """(doc_id, place, kind, name, declared, expected, observed, verdict_text) of every unit."""
     ids = ["doc_id", "place"]
     quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
     pair = lambda x: F.concat(quoted(x["path"]), F.lit(":"), F.when(x["t"] == "string", quoted(x["v"])).otherwise(x["v"]))
     digest = flat.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("path", "t", "v"))).alias("a")).select(*ids, F.concat(F.lit("{"), F.array_join(F.transform("a", pair), ","), F.lit("}")).alias("digest"))
-    numbered = block_positions(actions.select(*ids, "tool_name"), ["doc_id"], F.floor(F.col("place")[0] / 256), ["place"], "n").join(digest, ids, "left")
+    numbered = numbered_actions(actions).join(digest, ids, "left")
     declared = numbered.select(*ids, operational_message(F.concat(F.lit("tool="), "tool_name", F.lit("; action#="), F.col("n").cast("string"), F.lit("; parameters_digest="), F.coalesce("digest", F.lit("{}")))).alias("declared"))
     shown = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", F.col("confidence")), "0+$", ""), r"\.$", "")
     said = operational_message(F.concat(F.lit("outcome="), "verdict", F.lit("; confidence="), shown)).alias("verdict_text")

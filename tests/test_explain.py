@@ -5,6 +5,7 @@ import json
 import pytest
 from test_verify import ROW, TOOLS, eq, event, ptr, state, up
 
+from claimlake.plans.correctness import change_set_rules, diagnosed_rules, quick_rules
 from claimlake.plans.diagnose import Diagnosis
 from claimlake.plans.explain import FACTS, failure_explanations
 from claimlake.plans.verify import Verification
@@ -37,12 +38,16 @@ LINES = {
 
 
 @pytest.fixture(scope="module")
-def told(spark):
+def diagnosis(spark):
     rows = [(wf, i, line) for wf, lines in LINES.items() for i, line in enumerate(lines)]
     run = Verification(spark, spark.createDataFrame(rows, "source_file string, line_no long, line string"), Registry(TOOLS + MORE), state(spark), keep=("events", "steps"))
-    found = {r.workflow_id: r for r in failure_explanations(Diagnosis(spark, run), "eventual", 500, 50).collect()}
+    yield Diagnosis(spark, run)
     run.release()
-    return found
+
+
+@pytest.fixture(scope="module")
+def told(diagnosis):
+    return {r.workflow_id: r for r in failure_explanations(diagnosis, "eventual", 500, 50).collect()}
 
 
 def facts(row):
@@ -104,3 +109,41 @@ def test_run_level_scope(told):
     assert idle.observed == ('Run-level failure: code=NO_STEPS_FOR_WORKFLOW detail=No tool_observed events for workflowId "w_idle" after filtering. event_file_non_empty_lines=1 '
                              "schema_valid_events=1 tool_observed_for_workflow=0 tool_observed_other_workflows=0..")
     assert facts(torn)["primary_codes"] == "MALFORMED_EVENT_LINE,NO_STEPS_FOR_WORKFLOW" and "code=MALFORMED_EVENT_LINE" in torn.observed
+
+
+def test_rules_and_their_projections(diagnosis):
+    found = {r.workflow_id: r for r in diagnosed_rules(diagnosis, "eventual", 500, 50).collect()}
+    shown = {k: json.loads(r.projection) for k, r in found.items()}
+    assert set(found) == set(LINES) - {"w_fine"}
+    assert all(shown[k]["projectionKind"] == r.kind and shown[k]["workflowId"] == k and shown[k]["verificationPolicyFragment"].startswith("consistencyMode=eventual;") for k, r in found.items())
+    assert all(r.projection == json.dumps(shown[k], separators=(",", ":"), sort_keys=True, ensure_ascii=False) for k, r in found.items())
+    assert shown["w_sum"]["verificationRequest"] == {"kind": "sql_relational", "checks": [{
+        "checkKind": "aggregate", "id": "total", "table": "contacts", "fn": "SUM", "sumColumn": "qty", "whereEq": [{"column": "id", "value": "c_ok"}], "expectOp": "eq", "expectValue": 5}]}
+    assert [e["id"] for e in shown["w_two"]["verificationRequest"]["effects"]] == ["first", "second"] and shown["w_two"]["verificationRequest"]["effects"][0]["requiredFields"] == {}
+    assert shown["w_null"]["verificationRequest"] == {"kind": "sql_row", "table": "contacts", "identityEq": [{"column": "id", "value": "c_partial"}], "requiredFields": {"name": "N"}}
+    assert shown["w_torn"]["primaryFailureCodes"] == ["MALFORMED_EVENT_LINE", "NO_STEPS_FOR_WORKFLOW"]
+    assert shown["w_gate"] | {"x": 1} == shown["w_gate"] | {"x": 1, "ingestIndex": 0, "requiredUpstreamContract": "gate_not_skipped_before_observation"}
+
+
+def test_quick_rules(spark):
+    pairs = "array<struct<column:string,value:string>>"
+    units = spark.createDataFrame([
+        ("d", [0], "row", "b", "orders", "fail", "ROW_ABSENT", [("k", 'a"b')], [("q", "number", "1")], 0), ("d", [0], "row", "c", "", "uncertain", "MAPPING_FAILED", None, None, 1), ("d", [0], "row", "d", "t", "uncertain", "MAPPING_LOW_CONFIDENCE", None, None, 2),
+        ("d", [1], "related_exists", "fk:t.c", "t", "fail", "RELATED_ROWS_ABSENT", [("c", "7")], None, 3), ("d", [1], "row", "e", "t", "verified", None, [("c", "7")], None, 4), ("d", [1], "row", "f", "t", "uncertain", "CONNECTOR_ERROR", [], [], 5),
+    ], f"doc_id string, place array<int>, kind string, name string, table_name string, verdict string, code string, identity_eq {pairs}, fields array<struct<k:string,t:string,v:string>>, unit long")
+    actions = spark.createDataFrame([("d", [0], 0, "t.x"), ("d", [1], 1, "t.y")], "doc_id string, place array<int>, n long, tool_name string")
+    got = {r.unit: r for r in quick_rules(units, actions).collect()}
+    assert {k: (r.kind, r.action) for k, r in got.items()} == {
+        0: ("quick_inferred_sql_row", "reconcile_downstream_state"), 1: ("quick_mapping_gap", "correct_verification_inputs"), 2: ("quick_mapping_gap", "manual_review"),
+        3: ("quick_inferred_relational", "manual_review"), 5: ("quick_inferred_sql_row", "improve_read_connectivity")}
+    assert json.loads(got[0].projection)["sqlRowRequest"] == {"kind": "sql_row", "table": "orders", "identityEq": [{"column": "k", "value": 'a"b'}], "requiredFields": {"q": 1}}
+    assert json.loads(got[1].projection) == {"projectionKind": "quick_mapping_gap", "quickProvisional": True, "toolName": "t.x", "actionIndex": 0, "reasonCodes": ["MAPPING_FAILED"], "table": None}
+    assert "tool t.x actionIndex=0 SHALL map" in got[1].must_always_hold and got[1].must_always_hold.endswith("(reason codes: MAPPING_FAILED).")
+    assert json.loads(got[3].projection)["matchEq"] == [{"column": "c", "value": "7"}] and "childTable=t SHALL hold" in got[3].must_always_hold and len(got[3].enforce_as) == 2
+
+
+def test_change_set_rules(spark):
+    rows = [("c", 2, "plan_transition.rule.b", "inconsistent", "PLAN_RULE_FORBIDDEN_ROW"), ("c", 1, "plan_transition.rule.a", "inconsistent", "PLAN_RULE_RENAME_MISMATCH"), ("d", 1, "plan_transition.rule.a", "verified", None), ("e", 1, "x", "inconsistent", "NEW")]
+    got = {r.change_id: r for r in change_set_rules(spark.createDataFrame(rows, "change_id string, seq int, tool_id string, status string, code string")).collect()}
+    assert set(got) == {"c", "e"} and "seq=1 toolId=plan_transition.rule.a SHALL" in got["c"].must_always_hold and got["e"].action == "manual_review"
+    assert json.loads(got["c"].projection)["primaryCodes"] == ["PLAN_RULE_RENAME_MISMATCH"] and json.loads(got["c"].projection)["verifyTarget"] is None
