@@ -200,11 +200,14 @@ def _variants(spark: SparkSession, tables: list[str]) -> DataFrame:
 
 
 def tool_table_scores(tools: DataFrame, tables: list[str]) -> DataFrame:
-    """Distinct tool names and the tables that any of their words matches; rank 1 is the chosen table, ties by name."""
+    """Every distinct tool name against every table, at 0 where none of its words matches; rank 1 is the chosen table, ties by name."""
     variants = _variants(tools.sparkSession, tables)
-    words = tools.select("tool_name").distinct().select("tool_name", F.explode(F.array_distinct(S.tokens(F.col("tool_name")))).alias("a"))
+    names = tools.select("tool_name").filter("tool_name is not null").distinct()
+    words = names.select("tool_name", F.explode(F.array_distinct(S.tokens(F.col("tool_name")))).alias("a"))
     scored = words.join(stored(token_matches(words, variants)), "a").join(variants, "b").groupBy("tool_name", "table_name").agg(F.max("score").alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("tool_name").orderBy(F.col("score").desc(), "table_name")))
+    each = names.select("tool_name", F.explode(F.array(*[F.lit(t) for t in sorted(tables)])).alias("table_name"))
+    every = each.join(scored, ["tool_name", "table_name"], "left").fillna(0.0, ["score"])
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("tool_name").orderBy(F.col("score").desc(), "table_name")))
 
 
 def segment_tables(flat: DataFrame, tables: list[str]) -> DataFrame:

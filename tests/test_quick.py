@@ -109,3 +109,17 @@ def test_pointer_export_keeps_the_params(spark):
     entries = Q.export_registry(units)
     assert json.loads(entries.first()["entry"])["verification"]["identityEq"] == [{"column": {"const": "user_id"}, "value": {"pointer": "/who/user_id"}}]
     assert json.loads(Q.export_replay_events(entries).first()["params"]) == {"who": {"user_id": 1}, "__qvFields": {"name": "ann"}}
+
+
+def test_every_tool_stands_against_every_table(spark):
+    tools = spark.createDataFrame([("orders.sync",), ("orders.sync",), ("zzz",), (None,)], "tool_name string")
+    got = sorted(tuple(r) for r in Q.tool_table_scores(tools, ["orders", "part", "nation"]).select("tool_name", "table_name", "score", "rank").collect())
+    assert got == [("orders.sync", "nation", 0.0, 2), ("orders.sync", "orders", 1.0, 1), ("orders.sync", "part", 0.0, 3),
+                   ("zzz", "nation", 0.0, 1), ("zzz", "orders", 0.0, 2), ("zzz", "part", 0.0, 3)]
+
+
+def test_every_key_stands_against_every_column(spark):
+    keys = spark.createDataFrame([("orders", "O_CUSTKEY"), ("orders", "O_CUSTKEY"), ("orders", "price"), ("part", "x")], "table_name string, mapping_key string")
+    columns = spark.createDataFrame([("orders", "o_custkey", True), ("orders", "o_orderdate", False)], "table_name string, column_name string, is_primary boolean")
+    got = sorted(tuple(r) for r in Q.param_column_scores(keys, columns).select("mapping_key", "column_name", "score").collect())
+    assert got == [("O_CUSTKEY", "o_custkey", 0.95), ("O_CUSTKEY", "o_orderdate", 0.0), ("price", "o_custkey", 0.0), ("price", "o_orderdate", 0.0)]
