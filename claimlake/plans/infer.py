@@ -220,10 +220,11 @@ def segment_tables(flat: DataFrame, tables: list[str]) -> DataFrame:
 
 
 def param_column_scores(keys: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct (table, mapping key) and the table's columns that match it."""
+    """Distinct (table, mapping key) against every column of the table, at 0 where the names do not match."""
     asked = keys.select("table_name", "mapping_key").distinct()
     columns = catalog.select("table_name", "column_name", "is_primary")
-    return asked.join(stored(column_matches(asked, columns)), "mapping_key").join(columns, ["table_name", "column_name"])
+    matches = stored(column_matches(asked, columns))
+    return asked.join(columns, "table_name").join(matches, ["mapping_key", "column_name"], "left").fillna(0.0, ["score"])
 
 
 def fk_checks(flat: DataFrame, catalog: DataFrame, ids: list[str]) -> DataFrame:
