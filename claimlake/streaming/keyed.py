@@ -10,6 +10,7 @@ claim could have been made, with the last one before it.
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -62,34 +63,38 @@ class KeyedClaims(StatefulProcessor):
             else:
                 turns[at] = max(turns.get(at, (False, None)), (r.kind == "row", r.value), key=_rank)
         for due, new in claims.items():
-            held = self.claims.getValue((due,)) if self.claims.containsKey((due,)) else None
+            held = self.claims.getValue((due,))
             self.claims.updateValue((due,), ([*(tuple(c) for c in held[0]), *new] if held else new,))
             self.handle.registerTimer(due)
         for at, turn in turns.items():
-            held = self.turns.getValue((at,)) if self.turns.containsKey((at,)) else (False, None)
-            self.turns.updateValue((at,), max(tuple(held), turn, key=_rank))
+            held = self.turns.getValue((at,))
+            self.turns.updateValue((at,), max(tuple(held), turn, key=_rank) if held else turn)
         if turns:
             self._forget(timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802,N803
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        """All claims that are due by now, in one pass over the turns; their own timers then find them gone."""
+        due, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
         if not self.claims.containsKey((due,)):
             return
         line = self._line()
-        for claim in self.claims.getValue((due,))[0]:
-            yield self._verdict(key[0], due, tuple(claim), line)
-        self.claims.removeKey((due,))
-        self._forget(due)
+        times = [turn[0] for turn in line]
+        decided = sorted((k[0], v[0]) for k, v in self.claims.iterator() if k[0] == due or k[0] < now)
+        for at, held in decided:
+            for claim in held:
+                yield self._verdict(key[0], at, tuple(claim), line, times)
+            self.claims.removeKey((at,))
+        self._forget(decided[-1][0])
 
     def _line(self) -> list[tuple[int, bool, str | None]]:
         return sorted((k[0], v[0], v[1]) for k, v in self.turns.iterator())
 
-    def _verdict(self, key: str, due: int, claim: tuple, line: list[tuple[int, bool, str | None]]) -> Row:
+    def _verdict(self, key: str, due: int, claim: tuple, line: list[tuple[int, bool, str | None]], times: list[int]) -> Row:
         name, at, absent, wanted, step, effects = claim
-        before = [turn for turn in line if turn[0] <= at]
-        start = (at, *before[-1][1:]) if before else (at, False, None)
-        hits = [turn for turn in (start, *(t for t in line if at < t[0] <= at + self.window)) if turn[1] != absent]
+        first, last = bisect_right(times, at), bisect_right(times, at + self.window)
+        start = (at, *line[first - 1][1:]) if first else (at, False, None)
+        hits = [turn for turn in (start, *line[first:last]) if turn[1] != absent]
         seen, value = (hits[0][0], hits[0][2]) if hits else (None, None)
         if not hits:
             status, code = "uncertain", "FORBIDDEN_ROWS_STILL_PRESENT_WITHIN_WINDOW" if absent else "ROW_NOT_OBSERVED_WITHIN_WINDOW"

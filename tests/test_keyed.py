@@ -110,3 +110,35 @@ def test_rolling_counts_after_every_batch(spark, tmp_path):
         whole = spark.createDataFrame(sum(batches[: n + 1], []), schema)
         want = {(r.as_of, r.distinct_installs, r.outcome_rows) for r in kpi.rolling(whole).collect()}
         assert {(str(r.as_of), r.distinct_installs, r.outcome_rows) for r in R.current(spark, str(tmp_path)).collect()} == want
+
+
+class Held(dict):
+    """Map state that counts how often it is read through."""
+
+    reads = 0
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.get, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+    def iterator(self):
+        self.reads += 1
+        return iter(list(self.items()))
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+def test_due_claims_share_a_pass_over_the_turns():
+    keyed = K.KeyedClaims(5_000)
+    keyed.turns = Held({(i * 1_000_000,): (i % 2 == 0, "x") for i in range(200)})
+    keyed.claims = Held({(1000 * i + 5,): ([(f"c{i}", i * 1_000_000, False, None, None, None)],) for i in range(200)})
+    due = sorted(k[0] for k in keyed.claims)
+    got = [v for ms in due for v in keyed.handleExpiredTimer(("k",), Clock(10_000_000), Clock(ms))]
+    assert [(v.claim_id, v.status) for v in got] == [(f"c{i}", "verified" if i % 2 == 0 else "uncertain") for i in range(200)]
+    assert not keyed.claims and keyed.turns.reads <= 2
