@@ -123,3 +123,28 @@ def test_every_key_stands_against_every_column(spark):
     columns = spark.createDataFrame([("orders", "o_custkey", True), ("orders", "o_orderdate", False)], "table_name string, column_name string, is_primary boolean")
     got = sorted(tuple(r) for r in Q.param_column_scores(keys, columns).select("mapping_key", "column_name", "score").collect())
     assert got == [("O_CUSTKEY", "o_custkey", 0.95), ("O_CUSTKEY", "o_orderdate", 0.0), ("price", "o_custkey", 0.0), ("price", "o_orderdate", 0.0)]
+
+
+def plan_of(df):
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()
+
+
+def test_parameters_are_not_dealt_by_their_few_paths(spark):
+    flat = Q.flatten_params(spark.createDataFrame([(i, 0, json.dumps({"o_id": i, "x": 1})) for i in range(20)], "doc_id long, place int, params string"), IDS)
+    catalog = spark.createDataFrame([("lines", "o_id", "orders")], "table_name string, column_name string, ref_table string")
+    found = Q.fk_checks(flat, catalog, IDS)
+    assert "hashpartitioning(path" not in plan_of(found)
+    assert sorted((r.doc_id, r.check_id, r.path, r.value) for r in found.collect()) == [(i, "fk:lines.o_id", "o_id", str(i)) for i in range(20)]
+
+
+def test_logs_are_dealt_by_their_rows(spark, monkeypatch):
+    from claimlake.plans import workload as W
+
+    monkeypatch.setattr(W, "LOG_ROWS", 10)
+    dealt = W.spread(spark.range(1000), "id")
+    assert ", 100), REPARTITION_BY_NUM" in plan_of(dealt) and dealt.count() == 1000
