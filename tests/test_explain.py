@@ -147,3 +147,12 @@ def test_change_set_rules(spark):
     got = {r.change_id: r for r in change_set_rules(spark.createDataFrame(rows, "change_id string, seq int, tool_id string, status string, code string")).collect()}
     assert set(got) == {"c", "e"} and "seq=1 toolId=plan_transition.rule.a SHALL" in got["c"].must_always_hold and got["e"].action == "manual_review"
     assert json.loads(got["c"].projection)["primaryCodes"] == ["PLAN_RULE_RENAME_MISMATCH"] and json.loads(got["c"].projection)["verifyTarget"] is None
+
+
+def test_evidence_reads_the_analysis_once(diagnosis):
+    from test_quick import plan_of
+
+    evidence = diagnosis.evidence
+    assert "effects" not in plan_of(evidence)
+    got = {(r.workflow_id, r.scope, r.seq) for r in evidence.collect()}
+    assert ("w_null", "step", 0) in got and ("w_torn", "run_level", None) in got and "w_fine" not in {g[0] for g in got}
