@@ -63,9 +63,12 @@ SELECT doc_id, size, source_size, target, size * (rounds + CASE WHEN 2 * start_a
 
 @query("op3_mixing", _MIX_SQL)
 def mix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stash(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
-    mixed = mixing.mix_sources(rows, F.col("size"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"))
+    """What the mix takes of each document is counted in the mix itself, in training order."""
+    rows = stash(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"), F.monotonically_increasing_id().alias("row")))
+    mixed = stash(mixing.mix_sources(rows, F.col("size")))
+    mix = stash(mixing.training_order(mixed, ["row", "doc_id", "size"], "position"))
+    taken = mix.groupBy("row").agg(F.sum("size").alias("taken"))
+    return mixed.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _quality_sql() -> str:

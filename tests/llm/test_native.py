@@ -89,6 +89,15 @@ def test_mix_against_sql_and_law(spark, docs_of, tables):
     assert QUERIES["op3_mixing"](spark, tables(documents=docs_of([]))).count() == 0
 
 
+def test_mix_is_counted_in_training_order(spark, docs_of, tables, monkeypatch):
+    """The query's counts are those of the range-sorted mix: what that lacks is not taken."""
+    folder = tables(documents=docs_of([(i, "w " * (i % 7), "en", f"s{i % 3}") for i in range(60)]))
+    whole = {r.doc_id: r.taken for r in QUERIES["op3_mixing"](spark, folder).collect()}
+    order = mixing.training_order
+    monkeypatch.setattr(mixing, "training_order", lambda mixed, *a, **k: order(mixed, *a, **k).filter("doc_id <> 5"))
+    assert {r.doc_id: r.taken for r in QUERIES["op3_mixing"](spark, folder).collect()} == {**whole, 5: 0} and whole[5] > 0
+
+
 def test_schedule_inverts_its_integral(spark):
     knots = [(0.0, 1.0), (0.25, 3.0), (1.0, 0.5)]
     area = [0.0, 0.5, 0.5 + 0.75 * 1.75]
