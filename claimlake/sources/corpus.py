@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,12 +14,56 @@ MANIFEST = "agent-run.json"
 ARTIFACTS = ["workflow-result.json", "events.ndjson"]
 
 
+# Bytes of content and names that a task hands on at once.
+_BATCH_BYTES, _BATCH_NAMES = 1 << 22, 10_000
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(run_id, name, content, modified_at) of every file below the corpus folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(
-        F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("run_id"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content",
-        F.col("modificationTime").alias("modified_at"))
+    """(run_id, name, content, modified_at) of every file below the corpus folder but empty ones and those of hidden names.
+
+    Nothing is listed on the driver: one task hands on the names in the folder, and the tasks that get them list and read what is below.
+    """
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            system, folder = fs.FileSystem.from_uri(root)
+            found = (e.name for e in os.scandir(folder)) if system.type_name == "local" else (i.base_name for i in system.get_file_info(fs.FileSelector(folder)))
+            held = []
+            for name in found:
+                held.append(name)
+                if len(held) == _BATCH_NAMES:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["entry"])
+                    held = []
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["entry"])
+
+    def hidden(name: str) -> bool:
+        """What Spark's readers pass over."""
+        return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+    def below(system: fs.FileSystem, path: str) -> Iterator[fs.FileInfo]:
+        info = system.get_file_info(path)
+        found = system.get_file_info(fs.FileSelector(path, recursive=True)) if info.type == fs.FileType.Directory else [info]
+        above = len(path) - len(info.base_name)
+        return (i for i in found if i.type == fs.FileType.File and i.size and not any(map(hidden, i.path[above:].split("/"))))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(root)
+        schema = pa.schema([("run_id", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("modified_at", pa.timestamp("us", "UTC"))])
+        held, size = [], 0
+        for entry in (e for batch in batches for e in batch.column(0).to_pylist()):
+            for info in below(system, f"{folder.rstrip('/')}/{entry}"):
+                with system.open_input_stream(info.path, compression=None) as file:
+                    content = file.read()
+                held.append((info.path.split("/")[-2], info.base_name, content, (info.mtime_ns or 0) // 1_000_000 * 1000))
+                size += len(content)
+                if size >= _BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    entries = spark.range(1, numPartitions=1).mapInArrow(names, "entry string").repartition(tasks, "entry")
+    return entries.mapInArrow(read, "run_id string, name string, content binary, modified_at timestamp")
 
 
 _SAFE_ID = r"^(?!\.{1,2}$)[A-Za-z0-9._-]+$"

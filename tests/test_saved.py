@@ -30,6 +30,20 @@ def test_saved_runs_are_loaded(spark, tmp_path):
     assert codes(spark, tmp_path)["a"] == (None, "w")
 
 
+def test_corpus_is_listed_in_tasks(spark, tmp_path):
+    """The rows are those of Spark's file reader, without a list of the files on the driver."""
+    save(spark, tmp_path, *[(f"r{k}", "w", "x" * k) for k in range(9)], ("_hidden", "w", "x"))
+    (tmp_path / "r1" / "deep").mkdir()
+    (tmp_path / "r1" / "deep" / "more.txt").write_text("m")
+    (tmp_path / "r1" / ".crc").write_text("m")
+    (tmp_path / "loose.txt").write_text("l")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    want = sorted((*r.path.split("/")[-2:], bytes(r.content), r.modificationTime) for r in files.collect())
+    read = K.read_corpus(spark, str(tmp_path))
+    assert sorted((r.run_id, r.name, bytes(r.content), r.modified_at) for r in read.collect()) == want and len(want) > 20
+    assert not read.inputFiles()
+
+
 def test_torn_bundles_have_codes(spark, tmp_path):
     save(spark, tmp_path, *[(k, "w", "events") for k in "abcdef"])
     os.remove(tmp_path / "a" / K.MANIFEST)
