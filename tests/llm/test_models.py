@@ -97,6 +97,57 @@ def test_toxicity_without_labels(spark, docs_of, tables):
     assert QUERIES["op9_toxicity"](spark, tables(documents=docs_of([(i, "a b") for i in range(50)]), labels=same)).count() == 50
 
 
+def test_toxicity_of_pairs_of_plain_words(spark, docs_of, prose):
+    rng, rows, labels = random.Random(7), [], []
+    for i in range(900):
+        words, bad = prose(i, 80).split(), i % 6 == 0
+        for _ in range(4):
+            at, apart = rng.randrange(len(words)), rng.randrange(3, 20)
+            words[at:at] = ["grey", "goose"] if bad else ["grey", *words[at : at + apart], "plain", "goose"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs, known = docs_of(rows).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learned = F.col("doc_id") % 5 != 0
+    for hot_words in (toxicity.HOT_WORDS, 1):
+        model = toxicity.fit(docs.filter(learned), known.filter(learned), hot_words)
+        got = toxicity.score_documents(docs, model, ["doc_id"]).filter(~learned).collect()
+        assert sum(r["predicted"] == int(r["doc_id"] % 6 == 0) for r in got) >= 0.98 * len(got)
+
+
+def test_pair_ratios_are_those_of_the_two_levels(docs_of):
+    rows = [("a b", 1)] * 9 + [("a c", 1)] * 2 + [("b c", 1)] + [(f"{x} b a c", 0) for x in "cde"] * 40 + [("c a d", 0)] * 8
+    share = 12 / len(rows)
+    counts = toxicity.class_counts(docs_of([(i, t) for i, (t, _) in enumerate(rows)]).select("text", F.when(F.col("doc_id") < 12, 1).otherwise(0).alias("toxic")), share)
+    ratios = toxicity.log_ratios(counts, toxic_share=share)
+    seen = {(k, u, w): 0 for k in (0, 1) for u in "abcde" for w in "abcde"}
+    before, times = {}, {}
+    for text, k in rows:
+        words = text.split()
+        for u, w in zip([None, *words], words):
+            seen[k, u, w] = seen.get((k, u, w), 0) + 1
+            times[k, w] = times.get((k, w), 0) + 1
+            before.setdefault((k, w), set()).add(u)
+    n = {(k, w): len(before.get((k, w), ())) for k in (0, 1) for w in "abcde"}
+    pooled = {w: len(before.get((0, w), set()) | before.get((1, w), set())) for w in "abcde"}
+    total = [sum(n[k, w] for w in "abcde") for k in (0, 1)]
+    common = {w: pooled[w] / sum(pooled.values()) for w in "abcde"}
+    cut = lambda x, expected: max(0, x - toxicity.EXCESS * expected - toxicity.DISCOUNT)
+    own = {(k, w): cut(n[k, w], total[k] * common[w]) for k in (0, 1) for w in "abcde"}
+    low = {(k, w): own[k, w] / total[k] + (1 - sum(own[k, x] for x in "abcde") / total[k]) * common[w] for k in (0, 1) for w in "abcde"}
+    two = {(k, u, w): cut(seen[k, u, w], (1 - share, share)[k] * (seen[0, u, w] + seen[1, u, w])) for k in (0, 1) for u in "abcde" for w in "abcde"}
+    assert two[1, "a", "b"] > 0
+
+    def high(k, u, w):
+        size = times.get((k, u), 0)
+        return (two[k, u, w] + (size - sum(two[k, u, x] for x in "abcde")) * low[k, w]) / size if size else low[k, w]
+
+    for text in ("a b", "a c", "d b a c", "b"):
+        words = text.split()
+        want = math.log(low[1, words[0]] / low[0, words[0]]) + sum(math.log(high(1, u, w) / high(0, u, w)) for u, w in zip(words, words[1:]))
+        got = toxicity.mean_ratios(docs_of([(1, text)]), ratios, ["doc_id"]).first()["ratio"]
+        assert abs(got * len(words) - want) < 1e-9, text
+
+
 def test_counts_grow_with_contexts_not_copies(docs_of):
     rows = docs_of([(1, "a x"), (2, "a x"), (3, "b x"), (4, "a x")]).select("text", F.when(F.col("doc_id") == 4, 0).otherwise(1).alias("toxic"))
     counts = toxicity.class_counts(rows).toArrow()
