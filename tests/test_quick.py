@@ -148,3 +148,37 @@ def test_logs_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(W, "LOG_ROWS", 10)
     dealt = W.spread(spark.range(1000), "id")
     assert ", 100), REPARTITION_BY_NUM" in plan_of(dealt) and dealt.count() == 1000
+
+
+def test_pointers_that_do_not_resolve_to_the_same_request_are_not_exported(spark):
+    pairs, fields = "array<struct<column:string,value:string>>", "array<struct<o:struct<a:string,b:string>,k:string,t:string,v:string>>"
+    name = [(("n", "N"), "name", "string", "ann"), (("o", "O"), "open", "boolean", "true"), (("t", "T"), "total", "number", "1.5"), (("z", "Z"), "zip", "null", "null")]
+
+    def unit(doc, params, value, pointer, required=name, column="user_id", confidence=0.52):
+        row = (doc, [0], "users", "users", confidence, "verified", None, [(column, value)], required, [(column, pointer)])
+        return row, (doc, [0], json.dumps(params))
+
+    made = [
+        unit(0, {"who": {"user_id": 1}}, "1", "/who/user_id"),
+        unit(1, {"who.user_id": 1}, "1", "/who/user_id"),  # a key with a dot reads as a path of two
+        unit(2, {"user_id": None}, "null", "/user_id"),
+        unit(3, {"l": [{"id": "a"}, {"id": "b"}]}, "b", "/l/1/id"),
+        unit(4, {"l": {"1": {"a/b~": 9007199254740993}}}, "9007199254740992", "/l/1/a~1b~0"),
+        unit(5, {"__qvFields": {"user_id": 1}}, "1", "/__qvFields/user_id"),  # the replay puts the required fields there
+        unit(6, {"user_id": 1, "__qvFields": 3}, "1", "/user_id"),
+        unit(7, {"user_id": 1}, "1", "/user_id", required=[(("n", "N"), "full name", "string", "ann")]),
+        unit(8, {"user id": 1}, "1", "/user id", column="user id"),
+        unit(9, {"user_id": {"x": 1}}, "1", "/user_id"),
+        unit(10, {"user_id": 1}, "1", "/user_id", required=[]),
+        unit(11, {"who.user_id": 1}, "1", "/who/user_id", confidence=0.7),
+    ]
+    rows = spark.createDataFrame([m[0] for m in made], f"doc_id long, place array<long>, bucket string, table_name string, confidence double, verdict string, code string, identity_eq {pairs}, fields {fields}, pointers array<struct<column:string,pointer:string>>")
+    related = [(0, [0], "fk:a", "lines", "verified", None, [("user_id", "1")], []), (1, [0], "fk:b", "my lines", "verified", None, [("user_id", "1")], [])]
+    relations = spark.createDataFrame(related, f"doc_id long, place array<long>, check_id string, table_name string, verdict string, code string, identity_eq {pairs}, fields {fields}")
+    found = Q.all_units(rows, relations, spark.createDataFrame([m[1] for m in made], "doc_id long, place array<long>, params string")).cache()
+    assert {r.doc_id: r.export for r in found.filter("kind = 'row'").collect()} == {
+        0: "pointer", 1: None, 2: None, 3: "pointer", 4: "pointer", 5: None, 6: "pointer", 7: None, 8: None, 9: None, 10: "pointer", 11: "const"}
+    assert {r.doc_id: r.export for r in found.filter("kind = 'related_exists'").collect()} == {0: "related_exists", 1: None}
+    replay = {r.doc_id: json.loads(r.params) for r in Q.export_replay_events(Q.export_registry(found.filter("kind = 'row'"))).collect()}
+    asked = {"name": "ann", "open": True, "total": 1.5, "zip": None}
+    assert replay[6] == {"user_id": 1, "__qvFields": asked} and replay[10] == {"user_id": 1, "__qvFields": {}} and replay[11] == {"__qvFields": asked}
