@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlake.llm import kernel as K
-from claimlake.llm.common import WORD, fresh, quoted, stash
+from claimlake.llm.common import WORD, fresh, prefilter, quoted, stash
 from claimlake.llm.graph import components
+from claimlake.session import drop_stored
 
 #: Shingles that one task holds at a time, at most twice as many.
 BLOCK_SHINGLES = 1 << 21
@@ -172,7 +173,9 @@ def shared_tokens(tokens: DataFrame, num: int, den: int, rounds: int = ROUNDS) -
     left = stash(twice(tokens))
     for _ in range(rounds):
         enough = left.groupBy("cid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= asked(F.col("n"), num, den)).select(F.col("cid").alias("e"))
-        left = stash(twice(left.join(enough, F.col("cid") == F.col("e"), "left_semi").select("token", "cid", "n")))
+        before = left
+        left = stash(twice(before.join(enough, F.col("cid") == F.col("e"), "left_semi").select("token", "cid", "n")))
+        drop_stored(before)
     return left
 
 
@@ -290,8 +293,9 @@ def similar_documents(docs: DataFrame, *, k: int = 3, num: int = 90, den: int =
 
     # the texts of the candidates, one of each class, once for each task that opens it
     classes = stash(info.filter("n > 0").groupBy("cls", "cid").agg(F.min("doc_id").alias("first_doc")))
-    wanted = work.join(classes.select("cid", "cls", "first_doc"), "cid").select(F.col("first_doc").alias("d"), "cid", "cls", "task")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select(F.pmod(F.xxhash64("task"), F.lit(buckets)).alias("bucket"), "task", "cid", "cls", "text")
+    wanted = stash(work.join(classes.select("cid", "cls", "first_doc"), "cid").select(F.col("first_doc").alias("d"), "cid", "cls", "task"))
+    # most texts are of no candidate and stay where they are
+    texts = prefilter(rows, F.col("doc_id"), wanted, F.col("d")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select(F.pmod(F.xxhash64("task"), F.lit(buckets)).alias("bucket"), "task", "cid", "cls", "text")
 
     def link(table: pa.Table) -> pa.Table:
         groups: dict[int, dict[int, np.ndarray]] = {}

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from claimlake.llm import decontaminate, kernel, ngram_join, repeats
+from claimlake.llm.common import prefilter
 from claimlake.llm.graph import components
 from claimlake.llm.registry import QUERIES
 
@@ -78,6 +79,16 @@ def test_one_of_each(docs_of, prose):
     assert len({frozenset(shingles(t)) for t in texts}) == len(texts)
 
 
+def test_only_candidate_texts_are_shuffled(spark, docs_of, prose, monkeypatch):
+    rows = [(i, prose(i, 200)) for i in range(60)] + [(100 + i, prose(7, 200) + f" w{i}") for i in range(3)] + [(None, prose(8, 200) + " x"), (None, prose(9, 200))]
+    sent = []
+    monkeypatch.setattr(ngram_join, "prefilter", lambda *a: sent.append(found := prefilter(*a)) or found)
+    got = ngram_join.similar_documents(docs_of(rows)).collect()
+    assert sorted(r["doc_id"] for r in sent[0].collect() if r["doc_id"] is not None) == [7, 8, 100, 101, 102] and sent[0].count() == 7
+    assert {r["doc_id"] for r in got if r["component_id"] == 7} == {7, 100, 101, 102}
+    assert len(got) == len(rows)
+
+
 def test_hot_group_links_without_pairs():
     rng = np.random.RandomState(1)
     base = np.unique(rng.randint(1, 1 << 60, 400).astype(np.uint64))
