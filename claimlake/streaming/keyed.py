@@ -33,6 +33,8 @@ def _instant(ms: int) -> dt.datetime:
 # --- eventual checks ------------------------------------------------------------------------------
 
 CLAIMS_OUT = "key string, claim_id string, step_id string, n_effects int, status string, code string, seen_at long, deadline timestamp"
+#: Claims of a key that one entry of its state holds; more only where so many are due at one instant.
+CLAIMS_HELD = 1024
 
 
 class KeyedClaims(StatefulProcessor):
@@ -41,6 +43,9 @@ class KeyedClaims(StatefulProcessor):
     A claim that expects the row looks for the first moment from its own time on at which the row is there: its value then is
     right (verified), wrong (inconsistent) or unreadable (incomplete). One that expects its absence looks for the first moment without it.
     Of turns at one instant a present row counts, and of several such rows the largest value.
+
+    Each call on state or timers goes to the JVM and back, so claims are held by runs of deadlines, under the first of the run, and the
+    first run of all has a timer.
     """
 
     def __init__(self, window_us: int) -> None:
@@ -53,42 +58,67 @@ class KeyedClaims(StatefulProcessor):
         self.turns = handle.getMapState("turns", "at long", "is_on boolean, value string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802,N803
-        claims: dict[int, list[tuple]] = {}
+        claims: list[tuple] = []
         turns: dict[int, tuple] = {}
         for r in rows:
             at = r.at
             if r.kind == "claim":
-                due = -(-(at + self.window) // 1000)
-                claims.setdefault(due, []).append((r.claim_id, at, r.expect == "absent", r.wanted, r.step_id, r.n_effects))
+                claims.append((r.claim_id, at, r.expect == "absent", r.wanted, r.step_id, r.n_effects))
             else:
                 turns[at] = max(turns.get(at, (False, None)), (r.kind == "row", r.value), key=_rank)
-        for due, new in claims.items():
-            held = self.claims.getValue((due,))
-            self.claims.updateValue((due,), ([*(tuple(c) for c in held[0]), *new] if held else new,))
-            self.handle.registerTimer(due)
-        for at, turn in turns.items():
-            held = self.turns.getValue((at,))
-            self.turns.updateValue((at,), max(tuple(held), turn, key=_rank) if held else turn)
+        if claims:
+            self.handle.registerTimer(self._hold(claims))
         if turns:
-            self._forget(timerValues.getCurrentWatermarkInMs())
+            held = {k[0]: (v[0], v[1]) for k, v in self.turns.iterator()}
+            line = held | {at: max(held[at], turn, key=_rank) if at in held else turn for at, turn in turns.items()}
+            self._keep(line, held, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802,N803
-        """All claims that are due by now, in one pass over the turns; their own timers then find them gone."""
+        """All claims that are due by now, in one pass over the turns; other timers then find them gone."""
         due, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
         if not self.claims.containsKey((due,)):
             return
-        line = self._line()
+        held = {k[0]: (v[0], v[1]) for k, v in self.turns.iterator()}
+        line = sorted((at, *turn) for at, turn in held.items())
         times = [turn[0] for turn in line]
-        decided = sorted((k[0], v[0]) for k, v in self.claims.iterator() if k[0] == due or k[0] < now)
-        for at, held in decided:
-            for claim in held:
-                yield self._verdict(key[0], at, tuple(claim), line, times)
-            self.claims.removeKey((at,))
-        self._forget(decided[-1][0])
-
-    def _line(self) -> list[tuple[int, bool, str | None]]:
-        return sorted((k[0], v[0], v[1]) for k, v in self.turns.iterator())
+        runs = {k[0]: [tuple(c) for c in v[0]] for k, v in self.claims.iterator()}
+        passed = lambda d: d == due or d < now
+        last = due
+        for first in sorted(d for d in runs if passed(d)):
+            for claim in sorted(runs[first], key=self._due):
+                if passed(d := self._due(claim)):
+                    last = max(last, d)
+                    yield self._verdict(key[0], d, claim, line, times)
+        rest = [c for first, run in runs.items() if passed(first) for c in run if not passed(self._due(c))]
+        waiting = [first for first in runs if not passed(first)]
+        if waiting:
+            for first in runs.keys() - set(waiting):
+                self.claims.removeKey((first,))
+        else:
+            self.claims.clear()
+        if rest:
+            waiting.append(self._hold(rest))
+        if waiting:
+            self.handle.registerTimer(min(waiting))
+        self._keep(held, held, last)
+
+    def _due(self, claim: tuple) -> int:
+        return -(-(claim[1] + self.window) // 1000)
+
+    def _hold(self, claims: list[tuple]) -> int:
+        """Add claims to the state, by runs of deadlines; the first deadline of them."""
+        claims = sorted(claims, key=self._due)
+        start = 0
+        while start < len(claims):
+            end = min(start + CLAIMS_HELD, len(claims))
+            while end < len(claims) and self._due(claims[end]) == self._due(claims[end - 1]):
+                end += 1
+            first = self._due(claims[start])
+            held = self.claims.getValue((first,))
+            self.claims.updateValue((first,), ([*(tuple(c) for c in held[0]), *claims[start:end]] if held else claims[start:end],))
+            start = end
+        return self._due(claims[0])
 
     def _verdict(self, key: str, due: int, claim: tuple, line: list[tuple[int, bool, str | None]], times: list[int]) -> Row:
         name, at, absent, wanted, step, effects = claim
@@ -106,14 +136,22 @@ class KeyedClaims(StatefulProcessor):
             status, code = "inconsistent", "VALUE_MISMATCH"
         return Row(key=key, claim_id=name, step_id=step, n_effects=effects, status=status, code=code, seen_at=seen, deadline=_instant(due))
 
-    def _forget(self, watermark_ms: int) -> None:
-        """Drop turns that no open claim and no later one can ask for."""
+    def _keep(self, line: dict[int, tuple], held: dict[int, tuple], watermark_ms: int) -> None:
+        """Hold the turns, of which the state has those in held, without any that no open claim and no later one can ask for."""
         oldest = watermark_ms * 1000 - self.window
-        old = sorted(k[0] for k, _ in self.turns.iterator() if k[0] <= oldest)
-        for at in old[:-1]:
+        old = sorted(at for at in line if at <= oldest)
+        # absent is what no turn at all says
+        gone = set(old if old and not line[old[-1]][0] else old[:-1])
+        kept = {at: turn for at, turn in line.items() if at not in gone}
+        dropped = [at for at in held if at in gone]
+        if len(dropped) > len(kept):
+            self.turns.clear()
+            held, dropped = {}, []
+        for at in dropped:
             self.turns.removeKey((at,))
-        if old and not self.turns.getValue((old[-1],))[0]:  # absent is what no turn at all says
-            self.turns.removeKey((old[-1],))
+        for at, turn in kept.items():
+            if held.get(at) != turn:
+                self.turns.updateValue((at,), turn)
 
     def close(self) -> None:
         pass
@@ -145,13 +183,21 @@ class StepEffects(StatefulProcessor):
         self.effects = handle.getMapState("effects", "claim_id string", "status string, seen_at long, n_effects int")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802,N803
+        new, dues = {}, set()
         for r in rows:
-            self.effects.updateValue((r.claim_id,), (r.status, r.seen_at, r.n_effects))
-            self.handle.registerTimer(r.due + 1)
-        held = [v for _, v in self.effects.iterator()]
-        if len(held) >= held[0][2]:
-            self.effects.clear()
-            yield self._said(key[0], held)
+            new[r.claim_id] = (r.status, r.seen_at, r.n_effects)
+            dues.add(r.due + 1)
+        held = {k[0]: tuple(v) for k, v in self.effects.iterator()}
+        every = held | new
+        if len(every) >= next(iter(every.values()))[2]:
+            if held:
+                self.effects.clear()
+            yield self._said(key[0], list(every.values()))
+            return
+        for name, effect in new.items():
+            self.effects.updateValue((name,), effect)
+        for due in dues:
+            self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802,N803
         held = [v for _, v in self.effects.iterator()]

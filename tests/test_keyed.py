@@ -142,3 +142,59 @@ def test_due_claims_share_a_pass_over_the_turns():
     got = [v for ms in due for v in keyed.handleExpiredTimer(("k",), Clock(10_000_000), Clock(ms))]
     assert [(v.claim_id, v.status) for v in got] == [(f"c{i}", "verified" if i % 2 == 0 else "uncertain") for i in range(200)]
     assert not keyed.claims and keyed.turns.reads <= 2
+
+
+class Calls(dict):
+    """Map state that counts the calls on it, and a handle that counts timers."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls, self.timers = 0, []
+
+    def __getattribute__(self, name):
+        if name in ("containsKey", "getValue", "updateValue", "removeKey", "clear", "iterator"):
+            self.calls += 1
+        return super().__getattribute__(name)
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.get, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def registerTimer(self, due):  # noqa: N802
+        self.timers.append(due)
+
+
+class Change:
+    def __init__(self, kind, at, **more):
+        self.__dict__ = {"kind": kind, "at": at, "claim_id": None, "expect": "row", "wanted": None, "step_id": None, "n_effects": None, "value": None, **more}
+
+
+def test_a_key_of_many_claims_makes_few_calls():
+    keyed = K.KeyedClaims(5_000_000)
+    keyed.claims, keyed.turns, keyed.handle = Calls(), Calls(), Calls()
+    second = 1_000_000
+    rows = [Change("claim", i * second, claim_id=f"c{i}") for i in range(3000)] + [Change("row" if i % 20 < 10 else "gone", i * second, value="x") for i in range(0, 3000, 10)]
+    random.Random(2).shuffle(rows)
+    assert list(keyed.handleInputRows(("k",), iter(rows), Clock(0))) == []
+    assert keyed.handle.timers == [5000] and keyed.claims.calls <= 6 and keyed.turns.calls <= 301
+    got, at = [], 0
+    for clock in (1_000_000, 2_500_500, 9_000_000):  # a timer that a later one overtakes finds nothing
+        for due in [t for t in keyed.handle.timers if t < clock]:
+            keyed.handle.timers.remove(due)
+            found = list(keyed.handleExpiredTimer(("k",), Clock(clock), Clock(due)))
+            assert all(v.deadline < K._instant(clock) for v in found)
+            got += found
+    assert [v.claim_id for v in got] == [f"c{i}" for i in range(3000)] and not keyed.claims
+    assert all((v.status, v.seen_at) == (("verified", at * second) if at % 20 < 10 else ("uncertain", None) if at % 20 < 15 else ("verified", (at // 20 + 1) * 20 * second)) or at > 2980 for at, v in enumerate(got))
+    assert keyed.claims.calls <= 20 and keyed.turns.calls <= 700
+
+
+def test_a_step_whose_effects_come_together_is_not_written():
+    step = K.StepEffects()
+    step.effects = step.handle = Calls()
+    effect = lambda name, due=9: Change("", 0, claim_id=name, status="verified", seen_at=5, n_effects=3, due=due)
+    assert [r.status for r in step.handleInputRows(("s",), iter([effect("a"), effect("b"), effect("a"), effect("c")]), Clock(0))] == ["verified"]
+    assert step.effects.calls == 1 and step.handle.timers == []
+    assert list(step.handleInputRows(("s",), iter([effect("a"), effect("b")]), Clock(0))) == [] and step.handle.timers == [10]
+    assert [r.code for r in step.handleInputRows(("s",), iter([effect("c")]), Clock(0))] == [None] and not step.effects
