@@ -182,3 +182,14 @@ def test_pointers_that_do_not_resolve_to_the_same_request_are_not_exported(spark
     replay = {r.doc_id: json.loads(r.params) for r in Q.export_replay_events(Q.export_registry(found.filter("kind = 'row'"))).collect()}
     asked = {"name": "ann", "open": True, "total": 1.5, "zip": None}
     assert replay[6] == {"user_id": 1, "__qvFields": asked} and replay[10] == {"user_id": 1, "__qvFields": {}} and replay[11] == {"__qvFields": asked}
+
+
+def test_lines_are_made_behind_the_deal(spark):
+    from claimlake.plans import workload as W
+
+    made = F.to_json(F.struct(F.lit("t").alias("tool"), F.col("id")))
+    lines = W.spread(spark.range(50), "id").select(F.col("id").alias("doc_id"), F.lit(0).alias("place"), F.concat(F.lit("INFO "), made).alias("line"))
+    plan = plan_of(Q.ingest_lines(lines))
+    below = plan[plan.index("REPARTITION_BY_NUM"):]
+    assert "Project" not in below and "Filter" not in below
+    assert {r.j for r in Q.ingest_lines(lines).collect()} == {json.dumps({"tool": "t", "id": i}, separators=(",", ":")) for i in range(50)}
